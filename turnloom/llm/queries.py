@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import byte_bpe, mixing, simhash
 from .common import table
 
 
@@ -65,5 +65,23 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix_sources": op1_mix_sources}
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's token ids and of what the ids decode to."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", byte_bpe.digest(F.col("text")).alias("d")).select("doc_id", "d.*")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 4-word shingles and the components of those within 4 bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex(F.get("fp", F.lit(0))), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_simhash": op8_simhash,
+}
 SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL}
