@@ -16,6 +16,8 @@ import base64
 import hashlib
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -115,10 +117,15 @@ class ByteBpe:
             return [whole]
         line, compatible = data.decode("latin-1"), self.compatible
         ids = [rank for _, rank in self.automaton.iter_long(line)]
-        if all(map(compatible, ids, ids[1:])):  # longest tokens one after another, and all may stand so
+        good = 1
+        while good < len(ids) and compatible(ids[good - 1], ids[good]):
+            good += 1
+        if good >= len(ids):  # longest tokens one after another, and all may stand so
             return ids
         n, lengths, dead = len(data), self.lengths, bytearray(len(data) + 1)
-        ids, at, rank = [], 0, self._longest(line, 0)
+        rank = self.shorter(ids[good])
+        del ids[good:]
+        at = sum([lengths[x] for x in ids])
         while at < n:
             while rank is not None and (dead[at + lengths[rank]] or (ids and not compatible(ids[-1], rank))):
                 rank = self.shorter(rank)
@@ -153,7 +160,10 @@ class ByteBpe:
                         self._words.clear()
                     self._words[word] = found
             ids += found
-        return np.array(ids, "<u4").tobytes()
+        packed = array("I", ids)
+        if sys.byteorder != "little":
+            packed.byteswap()
+        return packed.tobytes()
 
     def _cached(self, piece: str) -> bytes:
         found = self._pieces.get(piece)
