@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, simhash
-from .common import table
+from . import ann, byte_bpe, embed_dedup, language_id, mixing, quality, simhash, url_filter
+from .common import remainder, table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,25 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and, where none fits, trees learnt from the URLs that the rules decide."""
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), keep=["page_id"])
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, by a model of the labelled documents that are not held out."""
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 3) == 1
+    model = language_id.fit(docs.where(~held_out), key=F.col("doc_id"))
+    said = docs.select("doc_id", held_out.alias("held_out"), language_id.predict(F.col("text"), model).alias("p"))
+    return said.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.ambiguous").alias("ambiguous"))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors with equal labels at a cosine of 0.98 or more."""
+    found = embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's token ids and of what the ids decode to."""
     docs = table(spark, sf_dir, "documents")
@@ -79,9 +98,28 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text, by rules from the labels that are not held out."""
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 4) == 2
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out)
+    model = quality.fit(docs.select("doc_id", "text").join(labels, "doc_id"), key=F.col("doc_id"))
+    said = quality.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return said.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every 50th."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_url_filter": op3_url_filter,
+    "op4_language_id": op4_language_id,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_simhash": op8_simhash,
+    "op9_quality": op9_quality,
+    "op10_nearest": op10_nearest,
 }
 SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL}

@@ -11,7 +11,7 @@ has to be searched and no pair is lost. A shard of too many rows is dealt once m
 vantage point; there the radius is not 0, and each row also goes to the shards of all distances within it. Within a shard,
 rows sorted by distance to a vantage point are compared only inside the triangle bound.
 
-Equal fingerprints are one node from the start, and a shard gives a chain for each group it finds, never all pairs.
+Equal fingerprints are one node from the start, and a shard ties each group it finds to the group's smallest id, never all pairs.
 """
 
 from __future__ import annotations
@@ -119,7 +119,7 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int32)
 
 
-def chains(ids: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+def stars(ids: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
     """Edges that connect just the groups of rows linked by distances within radius; fps: rows x lanes."""
     n = len(ids)
     if n < 2:
@@ -142,11 +142,11 @@ def chains(ids: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[int,
             frontier, left = left[found], left[~found]
             group.append(frontier)
         members = np.sort(ids[np.concatenate(group)]).tolist()
-        yield from zip(members, members[1:], strict=False)
+        yield from ((members[0], other) for other in members[1:])
 
 
 def linked(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Chain edges (a, b) over fps(node long, fp array<bigint>), distinct fingerprints read from files.
+    """Edges (a, b) over fps(node long, fp array<bigint>), distinct fingerprints read from files.
 
     Every pair within radius is connected if blocks > radius; else those that agree on a whole block are.
     """
@@ -180,7 +180,7 @@ def linked(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard_row
         marks = np.stack(pdf["fp"].to_numpy()).astype(np.int64).view(np.uint64)[order]
         edges = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
         for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(nodes)], strict=True):
-            out.extend(chains(nodes[lo:hi], marks[lo:hi], radius))
+            out.extend(stars(nodes[lo:hi], marks[lo:hi], radius))
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return small.groupBy("bin").applyInPandas(search, "a long, b long").distinct()
