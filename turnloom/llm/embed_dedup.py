@@ -27,7 +27,7 @@ THRESHOLD = 0.98
 #: Codewords of each half; filters are all their pairs.
 CODEWORDS = 128
 #: Filters that a random vector passes, on average; two vectors at the threshold share about two thirds of them.
-PASSED = 16.0
+PASSED = 26.0
 #: Rows of one block of a filter, and rows of one group that holds small filters, on average.
 BLOCK = 2048
 BIN_ROWS = 30_000
