@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, embed_dedup, language_id, mixing, quality, simhash, url_filter
+from . import ann, byte_bpe, embed_dedup, language_id, mixing, pii, quality, simhash, url_filter
 from .common import remainder, table
 
 
@@ -84,6 +84,18 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with surrogates for its entities: how many of each type, and what the text became."""
+    docs = table(spark, sf_dir, "documents")
+    done = docs.select("doc_id", pii.surrogates(F.col("text")).alias("p"))
+    kinds = ("email", "phone", "ip", "card", "iban", "ssn", "secret", "name")
+    return done.select(
+        "doc_id", F.size("p.entities").cast("long").alias("n_entities"),
+        *[F.size(F.filter("p.entities", lambda e, k=k: e["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds],
+        F.col("p.text").alias("text"), F.sha2(F.coalesce("p.text", F.lit("")).cast("binary"), 256).alias("text_sha256"),
+    )
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's token ids and of what the ids decode to."""
     docs = table(spark, sf_dir, "documents")
@@ -117,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_language_id": op4_language_id,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_pii": op6_pii,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
