@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, embed_dedup, language_id, mixing, pii, quality, simhash, url_filter
+from . import ann, byte_bpe, embed_dedup, language_id, mixing, pii, quality, simhash, suffix_dedup, url_filter
 from .common import remainder, table
 
 
@@ -65,6 +65,16 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What removing repeated 200-byte strings leaves of every text."""
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    runs = F.transform("removed", lambda r: r["end"] - r["start"])
+    return done.select(
+        F.col("id").alias("doc_id"), "n_bytes", F.aggregate(runs, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and, where none fits, trees learnt from the URLs that the rules decide."""
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), keep=["page_id"])
@@ -89,9 +99,13 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     done = docs.select("doc_id", pii.surrogates(F.col("text")).alias("p"))
     kinds = ("email", "phone", "ip", "card", "iban", "ssn", "secret", "name")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("p.entities", lambda e: e["kind"] == kind)).cast("long")
+
     return done.select(
         "doc_id", F.size("p.entities").cast("long").alias("n_entities"),
-        *[F.size(F.filter("p.entities", lambda e, k=k: e["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds],
+        *[count(k).alias(f"n_{k}") for k in kinds],
         F.col("p.text").alias("text"), F.sha2(F.coalesce("p.text", F.lit("")).cast("binary"), 256).alias("text_sha256"),
     )
 
@@ -126,6 +140,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_language_id": op4_language_id,
     "op5_embedding_dedup": op5_embedding_dedup,
