@@ -101,17 +101,17 @@ def _signed(x: int) -> int:
 
 
 def shard_path(fp: Column, block: list[tuple[int, int]]) -> Column:
-    """Distances of the block to its vantage points, as one number: the leaf of the block's tree.
+    """The leaf of the block's tree: its distances to all vantage points, in one number.
 
-    Vantage points: all zeros, then each single bit but the last. A distance to a single bit is the distance
-    to all zeros plus or minus one, so the leaf holds just those fingerprints that no bound of radius 0 parts.
+    Vantage points: all zeros, then each single bit. The distance to a single bit is the distance to all zeros
+    plus one, or minus one if that bit is set, so the block's own bits spell the distances out. A leaf holds just the
+    fingerprints that no bound of radius 0 parts.
     """
-    bits = [(lane, 1 << b) for lane, mask in block for b in range(64) if mask >> b & 1]
-    weight = sum((F.bit_count(F.get(fp, F.lit(lane)).bitwiseAND(F.lit(_signed(mask)))) for lane, mask in block), F.lit(0))
-    path = weight.cast("long")
-    for lane, bit in bits[:-1]:
-        nearer = F.when(F.get(fp, F.lit(lane)).bitwiseAND(F.lit(_signed(bit))) != 0, 1).otherwise(0)
-        path = path * 2 + nearer
+    path = F.lit(0).cast("long")
+    for lane, mask in block:
+        low = (mask & -mask).bit_length() - 1
+        part = F.shiftrightunsigned(F.get(fp, F.lit(lane)).bitwiseAND(F.lit(_signed(mask))), low)
+        path = F.shiftleft(path, (mask >> low).bit_length()).bitwiseOR(part)
     return path
 
 
