@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectors
-from .common import cut
+from .common import bound_batches, cut
 
 #: Tables, buckets that a query looks in of each table, and hashes that name a bucket together.
 TABLES, PROBES, HASHES = 10, 7, 1
@@ -80,6 +80,7 @@ def buckets(vector: Column, tables: int, count: int, hashes: int) -> Column:
             found = np.stack([nearest_axes(x, t, count, hashes) + (t << 40) for t in range(tables)], axis=1)
             yield pd.Series(list(found.reshape(len(x), -1).astype(np.int64)), dtype=object)
 
+    bound_batches()
     return F.pandas_udf(batches, "array<bigint>")(vector)
 
 

@@ -29,10 +29,11 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces, pre-tokens and token pairs that a Python worker keeps at most.
-CACHE_PIECES = 600_000
-CACHE_PAIRS = 400_000
+CACHE_PIECES, CACHE_WORDS, CACHE_PAIRS = 250_000, 200_000, 200_000
 #: Python's own \s holds every character that the pattern takes for space, so these cut too seldom, never too often.
 _SPACES, _CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
 
@@ -156,7 +157,7 @@ class ByteBpe:
             if found is None:
                 found = self.encode_piece(word.encode("utf-8", "surrogatepass"))
                 if len(word) <= 64:
-                    if len(self._words) >= CACHE_PIECES:
+                    if len(self._words) >= CACHE_WORDS:
                         self._words.clear()
                     self._words[word] = found
             ids += found
@@ -206,6 +207,7 @@ def encode(text: Column, vocabulary: str = VOCABULARY, pattern: str = public_tok
         for batch in texts:
             yield pd.Series([np.frombuffer(bpe.encode(x), "<u4").astype(np.int32) for x in batch], dtype=object)
 
+    bound_batches()
     return F.pandas_udf(batches, "array<int>")(text)
 
 
@@ -217,9 +219,24 @@ def decode(ids: Column, vocabulary: str = VOCABULARY, pattern: str = public_toke
         for batch in lists:
             yield pd.Series([bpe.decode(b"" if x is None else np.asarray(x, "<u4").tobytes()) for x in batch], dtype=object)
 
+    bound_batches()
     return F.pandas_udf(batches, "binary")(ids)
 
 
+def encode_checked(text: Column, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> Column:
+    """struct<ids array<int>, round_trip boolean>: the ids, and whether they decode to the text's bytes."""
+
+    def batches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bpe = load(vocabulary_path(vocabulary), pattern)
+        for batch in texts:
+            coded = [bpe.encode(x) for x in batch]
+            same = [bpe.decode(ids) == (x or "").encode("utf-8", "surrogatepass") for x, ids in zip(batch, coded, strict=True)]
+            yield pd.DataFrame({"ids": [np.frombuffer(ids, "<u4").astype(np.int32) for ids in coded], "round_trip": same})
+
+    bound_batches()
+    return F.pandas_udf(batches, "ids array<int>, round_trip boolean")(text)
+
+
 def digest(text: Column, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> Column:
     """struct<n_tokens, ids_sha256, decoded_sha256>: what encoding gives and what decoding its ids gives back."""
 
@@ -232,4 +249,5 @@ def digest(text: Column, vocabulary: str = VOCABULARY, pattern: str = public_tok
                 rows.append((len(ids) // 4, sha(ids).hexdigest(), sha(bpe.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bound_batches()
     return F.pandas_udf(batches, "n_tokens long, ids_sha256 string, decoded_sha256 string")(text)

@@ -13,6 +13,18 @@ from pyspark.sql import functions as F
 _OWN: dict[str, str] = {}
 
 
+#: Bytes of one Arrow batch on its way to Python; a batch by number of rows has no bound when texts are long.
+BATCH_BYTES = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches() -> None:
+    """Set the size of Arrow batches in the active session, unless it is set already."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)

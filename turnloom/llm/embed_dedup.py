@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors
-from .common import cut
+from .common import bound_batches, cut
 from .components import components
 
 THRESHOLD = 0.98
@@ -81,6 +81,7 @@ def filters(vector: Column, dims: int, codewords: int = CODEWORDS, passed: float
             x = np.pad(vectors.unit(x), ((0, 0), (0, dims - x.shape[1])))
             yield pd.Series(code.decode(x), dtype=object)
 
+    bound_batches()
     return F.pandas_udf(batches, "array<int>")(vector)
 
 

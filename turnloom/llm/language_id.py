@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 UNKNOWN = "und"
 #: Expected number of labelled rows that a model is fitted on (all of them if there are fewer).
 SAMPLE_ROWS = 20_000
@@ -164,6 +166,7 @@ def fit(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", key:
             slots = np.flatnonzero(got)
             yield pd.DataFrame({"lang": lang, "slot": slots, "n": got[slots]})
 
+    bound_batches()
     tallied = drawn.mapInPandas(tally, "lang string, slot int, n double").groupBy("lang", "slot").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in tallied})
     counts = np.zeros((len(langs), 1 << BITS))
@@ -205,4 +208,5 @@ def predict(text: Column, model: Model) -> Column:
         for batch in texts:
             yield model.predict(batch.tolist())
 
+    bound_batches()
     return F.pandas_udf(batches, "lang string, score double, ambiguous boolean")(text)

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 KEY = b"turnloom surrogate key"
 _ROUNDS = 8
 
@@ -300,6 +302,7 @@ def surrogates(text: Column, key: bytes = KEY) -> Column:
             done = [replace(x, key) for x in batch]
             yield pd.DataFrame({"text": [x for x, _ in done], "entities": [[{"kind": k, "original": o, "surrogate": s} for k, o, s in e] for _, e in done]})
 
+    bound_batches()
     return F.pandas_udf(batches, f"text string, entities {_ENTITY}")(text)
 
 

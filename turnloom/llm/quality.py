@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
+from .common import bound_batches
 
 #: Expected number of labelled rows that a model is fitted on (all of them if there are fewer).
 SAMPLE_ROWS = 20_000
@@ -68,6 +69,7 @@ def statistics_column(text: Column) -> Column:
         for batch in texts:
             yield pd.Series([statistics(x) for x in batch], dtype=object)
 
+    bound_batches()
     return F.pandas_udf(batches, "array<double>")(text)
 
 

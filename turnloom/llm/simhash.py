@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bound_batches, cut
 from .components import components
 
 SHINGLE = 4
@@ -81,6 +81,7 @@ def fingerprints(text: Column, words: int = SHINGLE, lanes: int = 1) -> Column:
     def batch(texts: pd.Series) -> pd.Series:
         return pd.Series([np.array(fingerprint(x, words, lanes), np.uint64).view(np.int64) for x in texts])
 
+    bound_batches()
     return F.pandas_udf(batch, "array<bigint>")(text)
 
 

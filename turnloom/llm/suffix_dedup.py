@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bound_batches, cut
 
 LENGTH = 200
 #: Bytes that the hash of a minimizer covers; strings of LENGTH have LENGTH - GRAM + 1 of them to choose from.
@@ -313,6 +313,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
             yield batch.loc[give, ["k1", "k2", "pos"]]
             last = (batch.iloc[-1:], bool(twin[-1]))
 
+    bound_batches()
     marks = texts.select("k1", "k2", "data").mapInPandas(sample, "h long, k1 long, k2 int, pos int")
     marks = marks.repartition("h").sortWithinPartitions("h", "k1", "k2", "pos")
     places = marks.mapInPandas(shared, "k1 long, k2 int, pos int").groupBy("k1", "k2").agg(F.collect_list("pos").alias("places"))
