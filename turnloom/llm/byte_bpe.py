@@ -33,7 +33,7 @@ from .common import bound_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces, pre-tokens and token pairs that a Python worker keeps at most.
-CACHE_PIECES, CACHE_WORDS, CACHE_PAIRS = 250_000, 200_000, 200_000
+CACHE_PIECES, CACHE_WORDS, CACHE_PAIRS = 200_000, 150_000, 150_000
 #: Python's own \s holds every character that the pattern takes for space, so these cut too seldom, never too often.
 _SPACES, _CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
 
@@ -224,17 +224,18 @@ def decode(ids: Column, vocabulary: str = VOCABULARY, pattern: str = public_toke
 
 
 def encode_checked(text: Column, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> Column:
-    """struct<ids array<int>, round_trip boolean>: the ids, and whether they decode to the text's bytes."""
+    """struct<ids binary, round_trip boolean>: ids as little-endian unsigned 32-bit integers, the form that training
+    readers map into memory, and whether they decode to the text's bytes."""
 
     def batches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = load(vocabulary_path(vocabulary), pattern)
         for batch in texts:
             coded = [bpe.encode(x) for x in batch]
             same = [bpe.decode(ids) == (x or "").encode("utf-8", "surrogatepass") for x, ids in zip(batch, coded, strict=True)]
-            yield pd.DataFrame({"ids": [np.frombuffer(ids, "<u4").astype(np.int32) for ids in coded], "round_trip": same})
+            yield pd.DataFrame({"ids": coded, "round_trip": same})
 
     bound_batches()
-    return F.pandas_udf(batches, "ids array<int>, round_trip boolean")(text)
+    return F.pandas_udf(batches, "ids binary, round_trip boolean")(text)
 
 
 def digest(text: Column, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> Column:

@@ -14,7 +14,7 @@ _OWN: dict[str, str] = {}
 
 
 #: Bytes of one Arrow batch on its way to Python; a batch by number of rows has no bound when texts are long.
-BATCH_BYTES = "4m"
+BATCH_BYTES = "2m"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
