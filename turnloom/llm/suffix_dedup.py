@@ -283,8 +283,10 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     reach = length - gram
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = Minimizers(length, gram)
+        found, seen = Minimizers(length, gram), set()
         for batch in batches:
+            names = list(zip(batch["k1"].tolist(), batch["k2"].tolist(), strict=True))
+            batch = batch[[not (x in seen or seen.add(x)) for x in names]]  # a copy has no places of its own
             data, k1, k2 = batch["data"].tolist(), batch["k1"].to_numpy(), batch["k2"].to_numpy()
             for some in [range(i, min(i + 500, len(data))) for i in range(0, len(data), 500)]:
                 got = [(some[i], p, h) for i, p, h in found.of_many([data[j] for j in some])]
@@ -295,28 +297,13 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
                         "k2": np.repeat(k2[which], sizes), "pos": np.concatenate([p for _, p, _ in got]),
                     })
 
-    def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Of rows in order, those whose h another place has as well; repeated rows once."""
-        last = None  # the last row of what came before, and whether it was given out
-        for batch in batches:
-            batch = batch if last is None else pd.concat([last[0], batch], ignore_index=True)
-            h = batch["h"].to_numpy()
-            new = np.concatenate(([True], (batch[["h", "k1", "k2", "pos"]].to_numpy()[1:] != batch[["h", "k1", "k2", "pos"]].to_numpy()[:-1]).any(axis=1)))
-            batch, h = batch[new], h[new]
-            if not len(batch):
-                continue
-            eq = h[1:] == h[:-1]
-            twin = np.concatenate(([False], eq)) | np.concatenate((eq, [False]))
-            give = twin.copy()
-            if last is not None and last[1]:
-                twin[0], give[0] = True, False
-            yield batch.loc[give, ["k1", "k2", "pos"]]
-            last = (batch.iloc[-1:], bool(twin[-1]))
-
     bound_batches()
-    marks = texts.select("k1", "k2", "data").mapInPandas(sample, "h long, k1 long, k2 int, pos int")
-    marks = marks.repartition("h").sortWithinPartitions("h", "k1", "k2", "pos")
-    places = marks.mapInPandas(shared, "k1 long, k2 int, pos int").groupBy("k1", "k2").agg(F.collect_list("pos").alias("places"))
+    marks = cut(texts.select("k1", "k2", "data").mapInPandas(sample, "h long, k1 long, k2 int, pos int"))
+    # A gram at two places or more. Its rows are many only in the join, whose large keys can be split.
+    place = F.xxhash64("k1", "k2", "pos")
+    twice = marks.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
+    twice = cut(twice.select(F.col("h").alias("of_h")))
+    places = marks.join(twice, marks.h == twice.of_h, "left_semi").groupBy("k1", "k2").agg(F.collect_set("pos").alias("places"))
     places = cut(places.withColumnsRenamed({"k1": "j1", "k2": "j2"}))
     total = places.agg(F.sum(F.size("places")).alias("n")).first()["n"] or 0
 
@@ -326,7 +313,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
             rows = []
             for k1, k2, data, found in zip(batch["k1"], batch["k2"], batch["data"], batch["places"], strict=True):
                 if (k1, k2) != last:  # copies of a text come one after another
-                    rows.extend((k1, k2, p, data[max(0, p - reach) : p], data[p : p + length]) for p in found.tolist())
+                    rows.extend((k1, k2, p, data[max(0, p - reach) : p], data[p : p + length]) for p in sorted(found.tolist()))
                 last = (k1, k2)
                 if len(rows) > 5000:
                     yield pd.DataFrame(rows, columns=["k1", "k2", "pos", "before", "rest"])
