@@ -188,7 +188,7 @@ def near_duplicates(
     picked = picked.withColumn("k1", F.when(ok, F.xxhash64("v"))).withColumn("k2", F.when(ok, F.hash("v")))
     good = picked.where("k1 is not null")
     nodes = good.groupBy("label", "k1", "k2").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("v").alias("v"))
-    dims = vectors.dimension(rows, vector_col)
+    dims = max(vectors.dimension(rows, vector_col), 1)
     nodes = cut(nodes.withColumn("passed", filters(F.col("v"), dims, codewords, passed)))
     met = nodes.select("node", "copies", "label", "v", "passed", F.explode("passed").alias("filter"))
     large = cut(met.groupBy("label", "filter").count().where(F.col("count") > block).select("label", "filter", F.ceil(F.col("count") / block).cast("int").alias("n")))
