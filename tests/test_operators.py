@@ -301,3 +301,32 @@ def test_catalog_and_paths(spark):
     assert [(r.patient_id, r.names_bindung, r.has_bindung) for r in rows] == [("a", True, False), ("b", True, True), ("", False, False)]
     assert one(spark, "p string", ("C:\\a\\b",), readers.native_path(F.col("p"))) == "/mnt/c/a/b"
     assert one(spark, "p string", ("/mnt/c/a/b",), readers.windows_path(F.col("p"))) == "C:\\a\\b"
+
+
+def test_shapiro_against_published_values():
+    """The weights of eleven men, with W = 0.79 and p = 0.01 in the literature."""
+    w, p = models.shapiro_wilk(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236.0]))
+    assert abs(w - 0.7888) < 1e-3 and abs(p - 0.0067) < 2e-3
+    rng = np.random.default_rng(0)
+    ps = [models.shapiro_wilk(rng.normal(size=80))[1] for _ in range(200)]
+    assert 0.4 < np.mean(ps) < 0.6 and math.isnan(models.shapiro_wilk(np.ones(9))[0])
+
+
+def test_sinks(spark, tmp_path):
+    from turnloom.sources import sinks
+
+    items = spark.createDataFrame([("a", 1, "y", None), ("a", 0, "x", "positive"), ("b", 0, "z", None)], "file string, idx int, text string, sentiment_label string")
+    docs = {r.file: r.value for r in sinks.json_documents(items, ["text", "sentiment_label"]).collect()}
+    assert docs == {"a": '[{"text":"x","sentiment_label":"positive"},{"text":"y"}]', "b": '[{"text":"z"}]'}
+    out = str(tmp_path / "json")
+    sinks.write_json(items, out, ["text"])
+    sinks.write_json(items.limit(0), out, ["text"])  # left alone
+    assert spark.read.text(out, wholetext=True).count() == 2
+    seg = spark.createDataFrame([("my file", 2.0, 0.5, "S 1"), ("my file", 1.0, 0.25, "S2")], "uri string, start_s double, dur_s double, speaker string")
+    sinks.write_rttm(seg, str(tmp_path / "rttm"))
+    lines = readers.parse_rttm(spark.read.text(str(tmp_path / "rttm"))).collect()
+    assert [(r.uri, r.start_s, r.speaker) for r in lines] == [("my_file", 1.0, "S2"), ("my_file", 2.0, "S_1")]
+    sinks.write_csv(spark.createDataFrame([(1, float("nan"))], "a int, b double"), str(tmp_path / "csv"), ["b", "a", "c"])
+    assert spark.read.text(str(tmp_path / "csv")).first().value == "b,a,c"
+    sinks.write_label_summary(items.withColumnRenamed("sentiment_label", "label"), str(tmp_path / "sum"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "sum")).collect()][:2] == ["  positive          1", "  TOTAL             1"]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -443,8 +444,68 @@ def focal_binomial(rows: DataFrame, succ: str, total: str, per_row: bool = True)
 
 # --- residuals -------------------------------------------------------------------------------------------
 
+#: Values up to which W is computed, the range its approximation was made for.
+SHAPIRO_MOST = 5000
+
+
 def moments(rows: DataFrame, column: str) -> DataFrame:
     """(n, skewness, kurtosis): of the population, kurtosis in excess."""
     return rows.agg(F.count(column).alias("n"), F.skewness(column).alias("skewness"), F.kurtosis(column).alias("kurtosis"))
 
 
+def residuals(rows: DataFrame, y: str, group: str) -> DataFrame:
+    """rows with resid: the value less the fitted label mean and the group's predicted effect, at REML."""
+    kept = rows.where(F.col(y).isNotNull() & ~F.isnan(y) & F.col("sentiment").isin(*SENTIMENTS))
+    cells = _local(cells_of(rows, y, group)).sort_values([group, "sentiment"], kind="stable")
+    q = kept.agg(F.sum(F.col(y) * F.col(y)).alias("q")).first()["q"]
+    code, labels, n, s = _numbered(cells, group, "sentiment")
+    x = design(labels)
+    have = [0, *(j for j in (1, 2) if x[:, j].any())]
+    fit = RandomIntercept(code, x[:, have], n, s, q)
+    lam = fit.best(True)
+    beta = fit.parts(lam)[1]
+    effect = lam / (1 + lam * fit.n) * (fit.S - fit.xg @ beta)
+    fitted = x[:, have] @ beta + effect[code]
+    names = [f"{group} {rows.schema[group].dataType.simpleString()}", "sentiment string", "fitted double"]
+    known = rows.sparkSession.createDataFrame([(g, t, float(f)) for g, t, f in zip(cells[group].tolist(), labels.tolist(), fitted, strict=True)], ", ".join(names))
+    return kept.join(known, [group, "sentiment"]).withColumn("resid", F.col(y) - F.col("fitted")).drop("fitted")
+
+
+def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
+    """W and its p by Royston's approximation, for 4 to 5000 values that are not all the same; else NaN."""
+    x = np.sort(np.asarray(values, float))
+    n = len(x)
+    if not 4 <= n <= SHAPIRO_MOST or x[0] == x[-1]:
+        return math.nan, math.nan
+    normal = NormalDist()
+    m = np.array([normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    mm, u = float(m @ m), 1 / math.sqrt(n)
+    a = m / math.sqrt(mm)
+    last = a[-1] + np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0], u)
+    if n > 5:
+        before = a[-2] + np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0], u)
+        rest = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * before**2)
+        a = m / math.sqrt(rest)
+        a[-2], a[1] = before, -before
+    else:
+        a = m / math.sqrt((mm - 2 * m[-1] ** 2) / (1 - 2 * last**2))
+    a[-1], a[0] = last, -last
+    w = min(float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum()), 1.0)
+    if w >= 1:
+        return w, 1.0
+    if n <= 11:
+        g = np.polyval([0.459, -2.273], n)
+        value = -math.log(g - math.log(1 - w)) if g > math.log(1 - w) else math.inf
+        mean, spread = np.polyval([-0.0006714, 0.025054, -0.39978, 0.5440], n), math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
+    else:
+        value, k = math.log(1 - w), math.log(n)
+        mean, spread = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], k), math.exp(np.polyval([0.0030302, -0.082676, -0.4803], k))
+    return w, 1 - normal.cdf((value - mean) / spread)
+
+
+def residual_normality(rows: DataFrame, y: str, group: str) -> dict[str, float | None]:
+    """resid_skewness and resid_kurtosis over all rows; resid_shapiro_w and _p where there are no more than 5000."""
+    resid = residuals(rows, y, group)
+    m = moments(resid, "resid").first()
+    w, p = shapiro_wilk(np.array([r["resid"] for r in resid.select("resid").collect()])) if m["n"] <= SHAPIRO_MOST else (None, None)
+    return {"resid_shapiro_w": w, "resid_shapiro_p": p, "resid_skewness": m["skewness"], "resid_kurtosis": m["kurtosis"]}

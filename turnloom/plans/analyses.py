@@ -41,6 +41,8 @@ def smile_by_sentiment(turns: DataFrame, perms: int = 0, seed: int = 42) -> Data
         row |= {k: fit[k] for k in FIT_FIELDS}
         for name, a, b in (("positive", "positive", "neutral"), ("negative", "negative", "neutral"), ("pos_vs_neg", "positive", "negative")):
             row[f"d_{name}"] = effects.cohens_d(kept, column, a, b).first()["d"]
+        some = fit["method"] != "not_fittable"
+        row |= models.residual_normality(kept, column, "patient_id") if some else dict.fromkeys(("resid_shapiro_w", "resid_shapiro_p", "resid_skewness", "resid_kurtosis"))
         row |= {"perm_p": None, "perm_n_valid": 0}
         if perms and fit["lr_stat"] is not None:
             shuffles = effects.shuffled(kept.select("patient_id", "turn_index", "sentiment", column), "patient_id", "sentiment", ["turn_index", column], perms, seed + 100_000 + i)
