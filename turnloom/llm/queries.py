@@ -127,8 +127,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every text, by rules from the labels that are not held out."""
     docs, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 4) == 2
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out)
-    model = quality.fit(docs.select("doc_id", "text").join(labels, "doc_id"), key=F.col("doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out & F.col("quality").isin(0, 1))
+    drawn = F.broadcast(quality.draw(labels, F.col("doc_id")))  # about quality.SAMPLE_ROWS rows of two numbers
+    model = quality.fit(docs.select("doc_id", "text").join(drawn, "doc_id"), sample_rows=None)
     said = quality.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
     return said.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
