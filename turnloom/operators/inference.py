@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
 from turnloom.operators import turns as turn_ops
+from turnloom.workers import reachable
 
 Make = Callable[[], Callable[[list[str]], list[str]]]
 
@@ -30,6 +31,7 @@ def per_text(text: Column, make: Make, fallback: Callable[[str], str]) -> Column
             except Exception:  # the caller's model may raise anything
                 yield pd.Series([_one(model, x, fallback) for x in asked], dtype=object)
 
+    reachable()
     return F.pandas_udf(batches, "string")(text)
 
 
@@ -78,4 +80,5 @@ def transcribe(segments: DataFrame, make: Callable[[], Callable[[pd.DataFrame],
             rows = [(*row, i, text) for row, texts in zip(frame[keep].itertuples(index=False), found, strict=True) for i, text in enumerate(texts)]
             yield pd.DataFrame(rows, columns=[*keep, "part", "text"])
 
+    reachable()
     return segments.mapInPandas(batches, schema)

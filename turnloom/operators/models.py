@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.workers import reachable
+
 SENTIMENTS = ("neutral", "positive", "negative")
 SINGULAR = 1e-8
 
@@ -257,6 +259,7 @@ def permutation_test(shuffles: DataFrame, y: str, group: str, observed: float, q
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lr": [lr_statistic(_numbered(frame, group, "shuffled"), q)]})
 
+    reachable()
     each = cells.groupBy("perm").applyInPandas(fit, "lr double")
     counts = each.where(~F.isnan("lr")).agg(F.count("*").alias("perm_n_valid"), F.count_if(F.col("lr") >= observed).alias("extreme"))
     p = (F.col("extreme") + 1) / (F.col("perm_n_valid") + 1)
