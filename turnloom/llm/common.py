@@ -9,6 +9,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnloom.workers import reachable
+
 #: Folders made for sessions that name none (tests on one machine), by application id.
 _OWN: dict[str, str] = {}
 
@@ -19,7 +21,8 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bound_batches() -> None:
-    """Set the size of Arrow batches in the active session, unless it is set already."""
+    """Set the size of Arrow batches in the active session, unless it is set already; workers find the package."""
+    reachable()
     spark = SparkSession.getActiveSession()
     if spark is not None and spark.conf.get(_BATCH, None) is None:
         spark.conf.set(_BATCH, BATCH_BYTES)
