@@ -428,6 +428,19 @@ def test_fingerprints(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_null_ids(spark):
+    import corpus_pipeline as pipe
+
+    d = docs(spark, ["a b c", "a b c", "x y", "lone"]).withColumn("doc_id", F.when(F.col("doc_id") != 1, F.col("doc_id")))
+    d = d.withColumn("doc_id", F.when(F.col("doc_id") != 3, F.col("doc_id")))
+    assert sorted((r["id"] is None, r.component) for r in simhash.near_duplicates(d).collect() if r.component is not None) == [(False, 0), (False, 2), (True, 0)]
+    assert sorted(r.text for r in pipe.dedup_stage(spark, d, "").collect()) == ["a b c", "a b c", "lone", "x y"]
+    v = vecs(spark, [[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]], [1, 1, 1]).withColumn("vec_id", F.lit(None).cast("bigint"))
+    assert sorted((r.n_links, r.component) for r in embed_dedup.near_duplicates(v).collect()) == [(0, None), (1, None), (1, None)]
+    assert ann.nearest(v, F.lit(True)).count() == 0
+    assert mixing.mix(d).count() == 4 and suffix_dedup.remove_repeats(d).count() == 4
+
+
 # --- quality ---------------------------------------------------------------------------------------------
 
 @needs_tables

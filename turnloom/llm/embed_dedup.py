@@ -181,7 +181,8 @@ def near_duplicates(
 
     Rows link when labels are equal and not null and the cosine is at least threshold. Vectors that are null,
     zero or hold a null or non-finite component, and rows without label, link with nothing. Repeated rows are
-    vectors of their own and link with each other. Ids are whole numbers, not null.
+    vectors of their own and link with each other. Ids are whole numbers; vectors whose rows all have a null id link
+    with copies only, and have no component.
     """
     picked = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("v"))
     ok = vectors.usable(F.col("v")) & F.col("label").isNotNull()
@@ -190,7 +191,7 @@ def near_duplicates(
     nodes = good.groupBy("label", "k1", "k2").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("v").alias("v"))
     dims = max(vectors.dimension(rows, vector_col), 1)
     nodes = cut(nodes.withColumn("passed", filters(F.col("v"), dims, codewords, passed)))
-    met = nodes.select("node", "copies", "label", "v", "passed", F.explode("passed").alias("filter"))
+    met = nodes.where("node is not null").select("node", "copies", "label", "v", "passed", F.explode("passed").alias("filter"))
     large = cut(met.groupBy("label", "filter").count().where(F.col("count") > block).select("label", "filter", F.ceil(F.col("count") / block).cast("int").alias("n")))
     small, split = met.withColumn("n", F.lit(1)), None
     if large.count():

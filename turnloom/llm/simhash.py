@@ -193,12 +193,13 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, fp, component) for each row of docs; component: the smallest id linked, directly or by others.
 
-    Null and empty texts have fingerprint zero and link like any other. Repeated rows stay repeated. Ids are
-    whole numbers, not null. An empty table gives an empty table.
+    Null and empty texts have fingerprint zero and link like any other. Repeated rows stay repeated. Ids are whole
+    numbers; a row with a null id has the component of its fingerprint, null if no row with an id has that. An empty
+    table gives an empty table.
     """
     marked = cut(docs.select(F.col(id_col).cast("long").alias("id"), fingerprints(F.col(text_col), words, lanes).alias("fp")))
     nodes = cut(marked.groupBy("fp").agg(F.min("id").alias("node")))
-    edges = cut(linked(nodes, radius, blocks, shard_rows))
+    edges = cut(linked(nodes.where("node is not null"), radius, blocks, shard_rows))
     of = components(edges)
     named = cut(nodes.join(of, "node", "left").select(F.col("fp").alias("of_fp"), F.coalesce("component", "node").alias("component")))
     return marked.join(named, marked.fp == named.of_fp).select("id", "fp", "component")
