@@ -204,7 +204,18 @@ def split_oversized(spark, sf_dir):
     return d.select("doc_id", F.posexplode(T.split_oversized(F.col("text"), 24)).alias("part", "chunk"))
 
 
-@query()
+SPACES = "[\\s\\x{85}\\p{Z}]+"
+CHUNKS = f"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^{SPACES}|{SPACES}$', '', 'g') AS t FROM documents),
+s AS (SELECT doc_id, t, list_filter(list_transform(string_split(regexp_replace(t, '([.!?]){SPACES}', '\\1' || chr(1), 'g'), chr(1)),
+  lambda x: regexp_replace(x, '^{SPACES}|{SPACES}$', '', 'g')), lambda x: x <> '') AS ss FROM d),
+p AS (SELECT doc_id, t, flatten(list_transform(ss, lambda x: CASE WHEN len({WORDS.format('x')}) > 192
+  THEN list_transform(range((len({WORDS.format('x')}) + 191) // 192), lambda i: array_to_string(({WORDS.format('x')})[i * 192 + 1 : i * 192 + 192], ' ')) ELSE [x] END)) AS pp FROM s),
+c AS (SELECT doc_id, CASE WHEN t = '' THEN [] WHEN len({WORDS.format('t')}) <= 192 THEN [t] ELSE string_split(list_reduce(pp, lambda a, x:
+  CASE WHEN len({WORDS.format('string_split(a, chr(2))[-1]')}) + len({WORDS.format('x')}) > 192 THEN a || chr(2) || x ELSE a || ' ' || x END), chr(2)) END AS cc FROM p)
+SELECT doc_id, CAST(unnest(range(len(cc))) AS INTEGER) AS part, unnest(cc) AS chunk FROM c"""
+
+
+@query(CHUNKS)
 def chunk_text(spark, sf_dir):
     d = A.read(spark, sf_dir, "documents")
     return d.select("doc_id", F.posexplode(T.chunk_text(F.col("text"), 192)).alias("part", "chunk"))
