@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut
+from .common import bound_batches, cut, drop
 
 LENGTH = 200
 #: Bytes that the hash of a minimizer covers; strings of LENGTH have LENGTH - GRAM + 1 of them to choose from.
@@ -305,6 +305,8 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     twice = cut(twice.select(F.col("h").alias("of_h")))
     places = marks.join(twice, marks.h == twice.of_h, "left_semi").groupBy("k1", "k2").agg(F.collect_set("pos").alias("places"))
     places = cut(places.withColumnsRenamed({"k1": "j1", "k2": "j2"}))
+    drop(marks)  # the places are written by now
+    drop(twice)
     total = places.agg(F.sum(F.size("places")).alias("n")).first()["n"] or 0
 
     def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
