@@ -9,8 +9,7 @@ from turnloom.llm import byte_bpe, language_id, mixing, pii, simhash
 from turnloom.llm.common import cut, free_name, table
 
 #: Near-duplicates share most of their five-word shingles: the fingerprints have 4 x 64 bits, two texts are linked at
-#: an angle of up to that of a cosine of 0.8 (52 of 256 bits). Of pairs that overlap by 0.8 (Jaccard), 21 blocks of 12
-#: bits bring 96 % together, of those that overlap by 0.9 or more 99.8 %.
+#: an angle of up to that of a cosine of 0.8 (52 of 256 bits). Blocks do not exceed that radius, so every pair is compared.
 SHINGLE, LANES, DISTANCE, BLOCKS = 5, 4, 52, 21
 
 

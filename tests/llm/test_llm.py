@@ -411,6 +411,54 @@ def test_every_pair_within_the_radius(spark, shard_rows):
     assert {i: got.get(i, i) for i in range(len(fps))} == {i: find(i) for i in range(len(fps))}
 
 
+def test_pairs_within_a_radius_above_the_blocks(spark):
+    rng = np.random.default_rng(8)
+    bits = rng.integers(0, 2, (40, 256), dtype=np.uint8)
+    edges = [256 * i // 21 for i in range(22)]
+    for k, flips in enumerate([52, 52, 53, 45, 39, 30] * 12):
+        hit = {int(rng.integers(lo, hi)) for lo, hi in zip(edges, edges[1:], strict=False)}  # one in each block: none agrees
+        rest = [b for b in rng.permutation(256) if b not in hit]
+        copy = bits[k % 40].copy()
+        copy[[*hit, *rest[: flips - len(hit)]]] ^= 1
+        bits = np.vstack([bits, copy])
+    fps = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    n = len(bits)
+    want = components_of(n, [(i, j) for i in range(n) for j in range(i) if (bits[i] != bits[j]).sum() <= 52])
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(fps.tolist())], "node long, fp array<bigint>")
+    for chunks in (1, 5):
+        edges = simhash._every_pair(df, 52, 1024 * chunks)
+        got = {r.node: r.component for r in components.components(edges).collect()}
+        assert {i: got.get(i, i) for i in range(n)} == want
+    got = {r.node: r.component for r in components.components(simhash.linked(df, 52, 21)).collect()}
+    assert {i: got.get(i, i) for i in range(n)} == want
+
+
+def test_near_duplicate_stage_as_by_brute_force(spark):
+    import corpus_pipeline as pipe
+
+    rng = random.Random(9)
+    texts = []
+    for _ in range(150):
+        words = [f"w{rng.randrange(4000)}" for _ in range(135)]
+        copy = list(words)
+        for at in (20, 60, 100):  # 15 of 131 shingles differ on either side: Jaccard 0.79
+            copy[at] = "other"
+        texts += [" ".join(words), " ".join(copy)]
+    marks = np.array([simhash.fingerprint(t, pipe.SHINGLE, pipe.LANES) for t in texts], np.uint64)
+    close = [(i, j) for i in range(len(texts)) for j in range(i) if np.bitwise_count(marks[i] ^ marks[j]).sum() <= pipe.DISTANCE]
+    of = components_of(len(texts), close)
+    kept = {r.doc_id for r in pipe.dedup_stage(spark, docs(spark, texts), "").collect()}
+    assert kept == {i for i, c in of.items() if i == c} and len(close) >= 140
+
+
+def components_of(n, pairs):
+    of = list(range(n))
+    for a, b in pairs:
+        lo, hi = sorted((of[a], of[b]))
+        of = [lo if x == hi else x for x in of]
+    return dict(enumerate(of))
+
+
 def test_fingerprints(spark):
     import xxhash
 

@@ -11,6 +11,11 @@ has to be searched and no pair is lost. A shard of too many rows is dealt once m
 vantage point; there the radius is not 0, and each row also goes to the shards of all distances within it. Within a shard,
 rows sorted by distance to a vantage point are compared only inside the triangle bound.
 
+With no more blocks than radius a branch search saves nothing at the radius that asks for it: 21 blocks of 12 bits at 52 of
+256 bits leave a radius of 2 a block, and the branches within it hold about a quarter of all rows, for each row. There the
+fingerprints are dealt to chunks that all meet pairwise, and every pair is compared. No pair is lost; the work is
+the square of the number of distinct fingerprints, the rows shuffled are not.
+
 Equal fingerprints are one node from the start, and a shard ties each group it finds to the group's smallest id, never all pairs.
 """
 
@@ -34,6 +39,10 @@ BLOCKS = 5
 SHARD_ROWS = 100_000
 #: Rows that one group of small shards holds, on average.
 BIN_ROWS = 40_000
+#: Chunks that meet pairwise where blocks do not exceed the radius; each row goes to so many groups, whatever the input.
+CHUNKS = 24
+#: Rows of the tiles in which two chunks are compared.
+TILE = (16, 4096)
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -146,13 +155,66 @@ def stars(ids: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[int,
         yield from ((members[0], other) for other in members[1:])
 
 
+def _within(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of x and y are within radius; x, y: lanes x rows. Half of the lanes decide on most pairs."""
+    half = (len(x) + 1) // 2
+    far = np.zeros((x.shape[1], y.shape[1]), np.uint8 if half * 64 < 256 else np.uint16)
+    bits = np.empty(far.shape, np.uint64)
+    for a, b in zip(x[:half], y[:half], strict=True):
+        far += np.bitwise_count(np.bitwise_xor(a[:, None], b[None, :], out=bits))
+    i, j = np.divmod(np.flatnonzero(far.ravel() <= radius), y.shape[1])
+    close = far[i, j] + _distances(x[half:, i].T, y[half:, j].T) <= radius
+    return i[close], j[close]
+
+
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the groups of a and b in label, which holds the smallest row of each row's group."""
+    while True:
+        left, right = label[a], label[b]
+        apart = left != right
+        if not apart.any():
+            return
+        a, b, left, right = a[apart], b[apart], left[apart], right[apart]
+        low = np.minimum(left, right)
+        np.minimum.at(label, left, low)
+        np.minimum.at(label, right, low)
+        while not np.array_equal(up := label[label], label):
+            label[:] = up
+
+
+def _every_pair(fps: DataFrame, radius: int, count: int) -> DataFrame:
+    """Edges that connect all rows linked by distances within radius, from comparing every pair."""
+    chunks = max(1, min(CHUNKS, -(-count // 1024)))
+    dealt = fps.withColumn("chunk", F.pmod(F.xxhash64("node"), F.lit(chunks)).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    dealt = dealt.select("node", "fp", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        nodes, chunk = pdf["node"].to_numpy(np.int64), pdf["chunk"].to_numpy()
+        marks = np.ascontiguousarray(np.stack(pdf["fp"].to_numpy()).astype(np.int64).view(np.uint64).T)
+        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+        own, others = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
+        x, y, label = marks[:, own], marks[:, others], np.arange(len(nodes))
+        for at in range(0, len(own), TILE[0]):
+            for to in range(at // TILE[1] * TILE[1] if lo == hi else 0, len(others), TILE[1]):
+                i, j = _within(x[:, at : at + TILE[0]], y[:, to : to + TILE[1]], radius)
+                _merge(label, own[at + i], others[to + j])
+        tied = np.flatnonzero(label != np.arange(len(nodes)))
+        return pd.DataFrame({"a": nodes[label[tied]], "b": nodes[tied]}, dtype=np.int64)
+
+    return dealt.groupBy("lo", "hi").applyInPandas(search, "a long, b long").distinct()
+
+
 def linked(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Edges (a, b) over fps(node long, fp array<bigint>), distinct fingerprints read from files.
 
-    Every pair within radius is connected if blocks > radius; else those that agree on a whole block are.
+    Every pair within radius is connected: through blocks if there are more of them than radius, else all pairs are compared.
     """
     lanes = (fps.select(F.size("fp").alias("n")).first() or {"n": 1})["n"]
     count = fps.count()
+    if blocks <= radius:
+        return _every_pair(fps, radius, count)
     paths = F.array(*[
         F.struct(F.lit(i).alias("block"), shard_path(F.col("fp"), b).alias("path")) for i, b in enumerate(_block_bits(lanes, blocks))
     ])
