@@ -283,6 +283,25 @@ def test_list_decoding_finds_all_filters():
         assert not len(want) or set(got) == set(want)
 
 
+def test_filters_shared_at_the_threshold():
+    """Pairs at the threshold and above share a filter of the default code, those of thin vectors too."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    code = embed_dedup.ProductCode(64, fewest=embed_dedup.FEWEST)
+    assert min(map(len, code.decode(x))) == embed_dedup.FEWEST
+    first, second = code._scores(x[:50])
+    for i, got in enumerate(code.decode(x[:50])):
+        score = (first[i][:, None] + second[i][None, :]).ravel()
+        assert set(got) == set(np.argsort(-score)[: max(embed_dedup.FEWEST, (score >= code.least).sum())])
+    for cosine in (0.98, 0.99):
+        side = rng.normal(size=x.shape)
+        side -= (side * x).sum(1, keepdims=True) * x
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        near = code.decode(cosine * x + np.sqrt(1 - cosine**2) * side)
+        assert all(len(np.intersect1d(a, b)) for a, b in zip(code.decode(x), near, strict=True))
+
+
 # --- personal data ---------------------------------------------------------------------------------------
 
 PERSONAL = 'a Bob.33@Mail7.example.com b 49.37.233.206 c 4111 1111 1111 1111 d +1 (988) 555-2485 token = "0641917ea4e9feb9cda83477b57ac2654884f485" Frau Anna Schmidt, Mr Jones. 123-45-6789 10.1.2.3'

@@ -2,7 +2,8 @@
 
 Filter directions are all pairs of one codeword for each half of the dimensions: a structured random product code. A
 vector passes every filter whose direction it exceeds the threshold with; list decoding walks the sorted scores
-of the second half only as far as the first half's score lets them reach. Vectors with the same label that pass a
+of the second half only as far as the first half's score lets them reach. Vectors far from most directions pass few
+filters or none; they get their best ones up to a least number. Vectors with the same label that pass a
 common filter meet there and are verified with the exact cosine.
 
 A pair that meets under several filters counts only at the smallest they share, so links are counted without
@@ -28,6 +29,8 @@ THRESHOLD = 0.98
 CODEWORDS = 128
 #: Filters that a random vector passes, on average; two vectors at the threshold share about two thirds of them.
 PASSED = 26.0
+#: Filters that every vector is given at least: its best ones, where the threshold leaves fewer.
+FEWEST = 26
 #: Rows of one block of a filter, and rows of one group that holds small filters, on average.
 BLOCK = 2048
 BIN_ROWS = 30_000
@@ -37,7 +40,7 @@ SEED = 5
 class ProductCode:
     """Random unit codewords for each half of the dimensions, and the score from which a filter is passed."""
 
-    def __init__(self, dims: int, codewords: int = CODEWORDS, passed: float = PASSED):
+    def __init__(self, dims: int, codewords: int = CODEWORDS, passed: float = PASSED, fewest: int = 1):
         rng, half = np.random.default_rng((SEED, dims)), max(1, dims // 2)
         self.half, self.words = half, []
         for width in (half, max(dims - half, 0)):
@@ -47,32 +50,37 @@ class ProductCode:
         scores = self._scores(probe / np.linalg.norm(probe, axis=1, keepdims=True))
         every = (scores[0][:, :, None] + scores[1][:, None, :]).ravel()
         self.least = float(np.quantile(every, 1 - min(passed / codewords**2, 1.0)))
+        self.fewest = min(fewest, codewords**2)
+        #: Ranks in each half that the best `fewest` sums can have.
+        ranks = range(min(self.fewest, codewords))
+        self.ranks = np.array([(i, j) for i in ranks for j in ranks if (i + 1) * (j + 1) <= self.fewest], int).reshape(-1, 2).T
 
     def _scores(self, x: np.ndarray) -> list[np.ndarray]:
         return [x[:, : self.half] @ self.words[0].T, x[:, self.half :] @ self.words[1].T]
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
-        """For each unit vector, the numbers of all filters it passes, rising; none passed: its best filter."""
+        """For each unit vector, the numbers of all filters it passes, rising; fewer passed than `fewest`: its best ones."""
         first, second = self._scores(x)
         n, out = second.shape[1], []
         order = np.argsort(-second, axis=1, kind="stable")
         ranked = np.take_along_axis(second, order, axis=1)
         for a, b, o in zip(first, ranked, order, strict=True):
             reach = np.searchsorted(-b, a - self.least, side="right")
-            hit = np.flatnonzero(reach)
-            if len(hit):
-                found = np.concatenate([i * n + o[: reach[i]] for i in hit])
+            if reach.sum() >= self.fewest:
+                found = np.concatenate([i * n + o[: reach[i]] for i in np.flatnonzero(reach)])
             else:
-                found = np.array([int(a.argmax()) * n + o[0]])
+                i, j = np.argsort(-a, kind="stable")[self.ranks[0]], self.ranks[1]
+                best = np.argsort(-(a[i] + b[j]), kind="stable")[: self.fewest]
+                found = i[best] * n + o[j[best]]
             out.append(np.sort(found).astype(np.int32))
         return out
 
 
-def filters(vector: Column, dims: int, codewords: int = CODEWORDS, passed: float = PASSED) -> Column:
-    """array<int> of the filters that each vector passes."""
+def filters(vector: Column, dims: int, codewords: int = CODEWORDS, passed: float = PASSED, fewest: int = FEWEST) -> Column:
+    """array<int> of the filters that each vector passes, or of its best ones."""
 
     def batches(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        code = ProductCode(dims, codewords, passed)
+        code = ProductCode(dims, codewords, passed, fewest)
         for batch in lists:
             x = vectors.matrix(batch)
             if not len(x):
@@ -175,7 +183,7 @@ def _verify(threshold: float):
 
 def near_duplicates(
     rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-    threshold: float = THRESHOLD, codewords: int = CODEWORDS, passed: float = PASSED, block: int = BLOCK,
+    threshold: float = THRESHOLD, codewords: int = CODEWORDS, passed: float = PASSED, fewest: int = FEWEST, block: int = BLOCK,
 ) -> DataFrame:
     """(id, n_links, component) for each row: other rows linked directly, smallest id reachable.
 
@@ -190,7 +198,7 @@ def near_duplicates(
     good = picked.where("k1 is not null")
     nodes = good.groupBy("label", "k1", "k2").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("v").alias("v"))
     dims = max(vectors.dimension(rows, vector_col), 1)
-    nodes = cut(nodes.withColumn("passed", filters(F.col("v"), dims, codewords, passed)))
+    nodes = cut(nodes.withColumn("passed", filters(F.col("v"), dims, codewords, passed, fewest)))
     met = nodes.where("node is not null").select("node", "copies", "label", "v", "passed", F.explode("passed").alias("filter"))
     large = cut(met.groupBy("label", "filter").count().where(F.col("count") > block).select("label", "filter", F.ceil(F.col("count") / block).cast("int").alias("n")))
     small, split = met.withColumn("n", F.lit(1)), None
