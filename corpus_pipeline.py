@@ -40,7 +40,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     changed = {"text": F.col(mark)["text"]}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.length(F.col(mark)["text"]).cast(docs.schema["n_chars"].dataType)
-    return done.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    seen = free_name("entities", docs.columns)
+    done = done.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns], F.col(mark)["entities"].alias(seen))
+    return pii.checked(done, seen).select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

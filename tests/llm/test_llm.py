@@ -329,6 +329,36 @@ def test_permutations(size, tweak):
     assert all(0 <= pii.permute(v, size, b"k", tweak) < size for v in range(0, size, 97))
 
 
+def test_one_entity_has_one_surrogate():
+    def digits(text):
+        return re.sub(r"\D", "", pii.replace(text)[0])
+
+    assert digits("4111 1111 1111 1111") == digits("4111111111111111") == digits("4111-1111-1111-1111") != "4111111111111111"
+    assert digits("+1 (988) 555-2485") == digits("+1 988 555 2485") == digits("+19885552485") != "19885552485"
+    assert digits("(988) 555-2485") == digits("988-555-2485")
+    bare, spaced = (pii.replace(x)[0] for x in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00"))
+    assert spaced.replace(" ", "") == bare
+    text, found = pii.replace("Dr John Smith came. Mr John Smith left. John Smith said so; Smith agreed, John's smithy did not.")
+    by = {o: s for _, o, s in found}
+    assert [o for _, o, _ in found] == ["John Smith"] * 3 + ["Smith", "John"]
+    assert len({s for _, o, s in found if o == "John Smith"}) == 1 and by["John Smith"].split() == [by["John"], by["Smith"]]
+    assert "John" not in text and "Smith" not in text and "smithy" in text
+
+
+def test_collisions_are_looked_for(spark, monkeypatch):
+    import corpus_pipeline as pipe
+
+    d = docs(spark, ["a ann@mail.com", "b bob@mail.com", "Mr Jones", "MR JONES 4111111111111111", "4111 1111 1111 1111"])
+    monkeypatch.setattr(queries, "table", lambda *a: d)
+    assert queries.op6_pii(spark, "").count() == pipe.pii_stage(spark, d, "").count() == 5
+    same = d.select("doc_id", F.expr("array(named_struct('kind', 'email', 'original', text, 'surrogate', 'x@y.com'))").alias("entities"))
+    monkeypatch.setattr(pii, "surrogates", lambda text: F.struct(text.alias("text"), F.array(F.struct(F.lit("email").alias("kind"), text.alias("original"), F.lit("x@y.com").alias("surrogate"))).alias("entities")))
+    assert pii.collisions(same).first().originals == 5
+    for run in (lambda: queries.op6_pii(spark, ""), lambda: pipe.pii_stage(spark, d, "")):
+        with pytest.raises(ValueError, match="1 surrogates"):
+            run()
+
+
 def test_names_are_distinct():
     words = {a + b + c for a in "abcdeé" for b in ("", "x", "yz") for c in ("o", "ni", "ü")}
     assert len({pii.name_word(w.capitalize(), "", b"k") for w in words}) == len(words)

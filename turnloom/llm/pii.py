@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, cut
 
 KEY = b"turnloom surrogate key"
 _ROUNDS = 8
@@ -55,6 +55,8 @@ _IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)")
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 _CARD = re.compile(r"(?<![\d-])[3-6]\d(?:[ -]?\d){11,17}(?![\d-])")
 _PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-])")
+#: Calling codes: 1 and 7, those of two digits, else three.
+_COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3}")
 _WORD = r"[^\W\d_]+"
 _NAME = re.compile(rf"\b(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?P<name>{_WORD}(?:[-']{_WORD})?(?: {_WORD}(?:[-']{_WORD})?){{0,2}})")
 _HEX = re.compile("[0-9a-f]+")
@@ -131,23 +133,29 @@ def luhn(digits: str) -> int:
     return total % 10
 
 
+def _bare(text: str) -> str:
+    return "".join(c for c in text if c.isalnum())
+
+
+def _laid_out(text: str, bare: str) -> str:
+    """bare in the layout of text, whose separators stay."""
+    chars = iter(bare)
+    return "".join(next(chars) if c.isalnum() else c for c in text)
+
+
 def card(text: str, key: bytes) -> str:
-    """First digit and layout stay, the rest is permuted, the last digit is as right or wrong as before."""
-    digits = [i for i, c in enumerate(text) if c.isdigit()]
-    first, last = digits[0], digits[-1]
-    off = luhn("".join(text[i] for i in digits))
-    out = list(shape_permute(text, key, "card", lambda i, c: first < i < last))
-    out[last] = "0"
-    bare = "".join(out[i] for i in digits)
-    out[last] = str((off - luhn(bare)) % 10)
-    return "".join(out)
+    """First digit and layout stay, the rest is permuted, the last digit is as right or wrong as before. One number in
+    two layouts has one surrogate."""
+    bare = _bare(text)
+    new = shape_permute(bare, key, "card", lambda i, c: 0 < i < len(bare) - 1)[:-1]
+    return _laid_out(text, f"{new}{(luhn(bare) - luhn(new + '0')) % 10}")
 
 
 def phone(text: str, key: bytes) -> str:
-    """Country code and layout stay; the national number is permuted."""
-    start = re.match(r"\+\d{1,3}(?=\D)", text)
-    after = start.end() if start else 0
-    return shape_permute(text, key, "phone", lambda i, c: i >= after)
+    """Country code and layout stay; the national number is permuted, whatever its layout."""
+    bare = _bare(text)
+    after = _COUNTRY.match(bare).end() if text.startswith("+") else 0
+    return _laid_out(text, shape_permute(bare, key, f"phone {bare[:after]}" if after else "phone", lambda i, c: i >= after))
 
 
 _RANGES = ((10 << 24, 24), (172 << 24 | 16 << 16, 20), (192 << 24 | 168 << 16, 16), (127 << 24, 24), (169 << 24 | 254 << 16, 16))
@@ -199,7 +207,7 @@ def secret(text: str, key: bytes) -> str:
 
 def iban(text: str, key: bytes) -> str:
     """Country, check digits and layout stay; the account is permuted."""
-    return shape_permute(text, key, "iban", lambda i, c: i >= 4)
+    return _laid_out(text, shape_permute(_bare(text), key, "iban", lambda i, c: i >= 4))
 
 
 def script_of(word: str) -> str | None:
@@ -239,7 +247,8 @@ def name(text: str, gender: str, key: bytes) -> str:
 def entities(text: str, key: bytes = KEY) -> list[tuple[int, int, str, str]]:
     """(start, end, type, surrogate) of what is found in a whole text, in order and without overlaps.
 
-    Where finds overlap, the type named first wins: secret, email, iban, ip, card, ssn, phone, name.
+    Where finds overlap, the type named first wins: secret, email, iban, ip, card, ssn, phone, name. A name found behind a
+    title is found wherever the text has it, whole or a word of it; a title that tells no gender takes another's.
     """
     found: list[tuple[int, int, str, str]] = []
     taken: list[tuple[int, int]] = []
@@ -267,6 +276,7 @@ def entities(text: str, key: bytes = KEY) -> list[tuple[int, int, str, str]]:
                 add(*m.span(), "ssn", lambda m=m: shape_permute(m[0], key, "ssn"))
             for m in _PHONE.finditer(text):
                 add(*m.span(), "phone", lambda m=m: phone(m[0], key))
+    titled: list[tuple[int, str, str]] = []
     for m in _NAME.finditer(text):
         kept = []
         for w in m["name"].split(" "):
@@ -274,8 +284,24 @@ def entities(text: str, key: bytes = KEY) -> list[tuple[int, int, str, str]]:
                 break
             kept.append(w)
         if kept:
-            words = " ".join(kept)
-            add(m.start("name"), m.start("name") + len(words), "name", lambda w=words, m=m: name(w, TITLES[m["title"]], key))
+            titled.append((m.start("name"), " ".join(kept), TITLES[m["title"]]))
+    if not titled:
+        return sorted(found)
+    told: dict[str, str] = {}
+    for _, words, gender in titled:
+        if gender:
+            told.setdefault(words, gender)
+    known: dict[str, str] = {}
+    for at, words, gender in titled:
+        add(at, at + len(words), "name", lambda w=words, g=gender: name(w, g or told.get(w, ""), key))
+        known.setdefault(words, name(words, told.get(words, ""), key))
+    for words in list(known):
+        for word, new in zip(words.split(" "), known[words].split(" "), strict=True):
+            if len(word) > 1:
+                known.setdefault(word, new)
+    mention = "|".join(map(re.escape, sorted(known, key=len, reverse=True)))
+    for m in re.finditer(rf"(?<!\w)(?:{mention})(?!\w)", text):
+        add(*m.span(), "name", lambda m=m: known[m[0]])
     return sorted(found)
 
 
@@ -309,7 +335,21 @@ def surrogates(text: Column, key: bytes = KEY) -> Column:
 def collisions(found: DataFrame, column: str = "entities") -> DataFrame:
     """(kind, surrogate, originals) of surrogates that stand for more than one entity; none is expected.
 
-    Entities are counted without regard to case. One row for each distinct entity is shuffled.
+    E-mails and names are counted without regard to case, cards, phones and IBANs without regard to layout. One row for
+    each distinct entity is shuffled.
     """
-    each = found.select(F.explode(column).alias("e")).select("e.kind", F.lower("e.original").alias("o"), F.lower("e.surrogate").alias("surrogate")).distinct()
+
+    def plain(c: str) -> Column:
+        bare = F.regexp_replace(c, r"[^\p{L}\p{N}+]", "")
+        return F.when(F.col("e.kind").isin("card", "phone", "iban"), bare).when(F.col("e.kind").isin("email", "name"), F.lower(c)).otherwise(F.col(c))
+
+    each = found.select(F.explode(column).alias("e")).select("e.kind", plain("e.original").alias("o"), plain("e.surrogate").alias("surrogate")).distinct()
     return each.groupBy("kind", "surrogate").agg(F.count("*").alias("originals")).where("originals > 1")
+
+
+def checked(found: DataFrame, column: str = "entities") -> DataFrame:
+    """found, written once, if no surrogate in the whole of it stands for two entities; else an error."""
+    found = cut(found)
+    if bad := collisions(found, column).count():
+        raise ValueError(f"personal data: {bad} surrogates stand for more than one entity")
+    return found
