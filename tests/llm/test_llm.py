@@ -345,6 +345,15 @@ def test_one_entity_has_one_surrogate():
     assert "John" not in text and "Smith" not in text and "smithy" in text
 
 
+def test_cards_have_a_checksum():
+    for plain in ("4111111111111112", "order 3000000000001", "4000 0000 0000 000"):
+        assert pii.replace(plain) == (plain, [])
+    for number in ("4111111111111111", "378282246310005", "5555-5555-5555-4444", "30569309025904", "6011 1111 1111 1117"):
+        for text in (number, f"{number} 12", f"3 {number}"):
+            ((kind, original, new),) = pii.replace(text)[1]
+            assert (kind, original) == ("card", number) and pii.luhn(re.sub(r"\D", "", new)) == 0
+
+
 def test_collisions_are_looked_for(spark, monkeypatch):
     import corpus_pipeline as pipe
 

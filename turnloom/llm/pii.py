@@ -55,6 +55,8 @@ _IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)")
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 _CARD = re.compile(r"(?<![\d-])[3-6]\d(?:[ -]?\d){11,17}(?![\d-])")
 _PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-])")
+#: Lengths of the numbers that issuers give out.
+_ISSUED = re.compile(r"3[47]\d{13}|3[0689]\d{12,17}|35\d{14,17}|4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|(?:5[06-9]|6\d)\d{11,17}")
 #: Calling codes: 1 and 7, those of two digits, else three.
 _COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3}")
 _WORD = r"[^\W\d_]+"
@@ -151,6 +153,14 @@ def card(text: str, key: bytes) -> str:
     return _laid_out(text, f"{new}{(luhn(bare) - luhn(new + '0')) % 10}")
 
 
+def card_span(text: str) -> tuple[int, int] | None:
+    """The longest run of a text's groups of digits that is a card number: its checksum is right, its length is issued."""
+    groups = [m.span() for m in re.finditer(r"\d+", text)]
+    spans = [(lo, hi) for k, (lo, _) in enumerate(groups) for _, hi in groups[k:] if hi - lo >= 13]
+    fit = [x for x in spans if _ISSUED.fullmatch(bare := _bare(text[slice(*x)])) and not luhn(bare)]
+    return max(fit, key=lambda x: x[1] - x[0], default=None)
+
+
 def phone(text: str, key: bytes) -> str:
     """Country code and layout stay; the national number is permuted, whatever its layout."""
     bare = _bare(text)
@@ -269,9 +279,13 @@ def entities(text: str, key: bytes = KEY) -> list[tuple[int, int, str, str]]:
             for m in _EMAIL.finditer(text):
                 add(*m.span(), "email", lambda m=m: email(m[0], key))
         if re.search(r"\d", text):
-            for kind, pattern, make in (("iban", _IBAN, iban), ("ip", _IP, ip), ("card", _CARD, card)):
+            for kind, pattern, make in (("iban", _IBAN, iban), ("ip", _IP, ip)):
                 for m in pattern.finditer(text):
                     add(*m.span(), kind, lambda m=m, make=make: make(m[0], key))
+            for m in _CARD.finditer(text):
+                if span := card_span(m[0]):
+                    lo, hi = (m.start() + x for x in span)
+                    add(lo, hi, "card", lambda v=text[lo:hi]: card(v, key))
             for m in _SSN.finditer(text):
                 add(*m.span(), "ssn", lambda m=m: shape_permute(m[0], key, "ssn"))
             for m in _PHONE.finditer(text):
