@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import signals as S
 from turnloom.functions import text as T
-from turnloom.operators import bootstrap, dyad, effects, inference, jobs, models, turns
+from turnloom.operators import bootstrap, crossed, dyad, effects, inference, jobs, models, turns
 from turnloom.sources import readers
 
 TURN = "file int, idx int, speaker string, text string, start bigint, end bigint"
@@ -231,7 +231,7 @@ def test_crossed_against_dense():
     y = rng.normal(size=60) + rng.normal(size=4)[i] + 0.5 * d
     frame = pd.DataFrame({"interviewer_id": i, "participant_id": p, "sentiment": np.where(d, "positive", "negative"), "y": y})
     cells = frame.groupby(["interviewer_id", "participant_id", "sentiment"]).y.agg(n="count", s="sum").reset_index()
-    fit = models.Crossed(cells, float(y @ y))
+    fit = crossed.Crossed(cells, float(y @ y))
     x = np.stack([np.ones(60), d], 1)
     for theta in ((0.0, 0.0), (0.7, 0.2), (1.5, 1.0)):
         s2 = fit.parts(np.array(theta))[2] / 60
@@ -239,15 +239,99 @@ def test_crossed_against_dense():
         assert math.isclose(fit.deviance(np.array(theta), False), want, rel_tol=1e-9)
 
 
-def test_binomial_without_effects_is_the_plain_fit():
+def test_slope_against_dense():
+    rng = np.random.default_rng(6)
+    i, p, d = rng.integers(0, 4, 80), rng.integers(0, 7, 80), rng.integers(0, 2, 80)
+    y = rng.normal(size=80) + rng.normal(size=7)[p] * d
+    frame = pd.DataFrame({"interviewer_id": i, "participant_id": p, "sentiment": np.where(d, "positive", "negative"), "y": y})
+    cells = frame.groupby(["interviewer_id", "participant_id", "sentiment"]).y.agg(n="count", s="sum").reset_index()
+    fit = crossed.Crossed(cells, float(y @ y), slope=True)
+    x = np.stack([np.ones(80), d], 1)
+    theta = np.array([0.4, 0.7, 0.3, 0.9])
+    lower = np.array([[0.7, 0.0], [0.3, 0.9]])
+    z = np.concatenate([np.stack([(p == k) * 1.0, (p == k) * d], 1) @ lower for k in range(7)], 1)
+    s2 = fit.parts(theta)[2] / 80
+    assert math.isclose(fit.deviance(theta, False), dense(y, x, [(np.eye(4)[i], 0.16 * s2), (z, s2), s2], False), rel_tol=1e-9)
+
+
+def test_ties_in_chunks(monkeypatch):
+    rng = np.random.default_rng(0)
+    j, i = np.sort(rng.integers(0, 30, 200)), rng.integers(0, 5, 200)
+    w, g, ra, rb = rng.random(200), rng.random((200, 2)), rng.random((5, 3)), rng.random((30, 2, 3))
+    got = []
+    for chunk in (7, 2048):
+        monkeypatch.setattr(crossed, "CHUNK", chunk)
+        ties = crossed.Ties(i, j)
+        got.append((ties.factor(w, 0.6, g), *ties.solve(ra, rb)))
+    assert math.isclose(got[0][0], got[1][0]) and np.allclose(got[0][1], got[1][1]) and np.allclose(got[0][2], got[1][2])
+
+
+def counts(seed, n, effect=0.3):
+    rng = np.random.default_rng(seed)
+    i, p, d = rng.integers(0, 8, n), rng.integers(0, 30, n), rng.integers(0, 2, n)
+    trials = rng.integers(5, 40, n)
+    eta = -1 + effect * d + 0.5 * rng.normal(size=8)[i] + 0.4 * rng.normal(size=30)[p] + 0.3 * rng.normal(size=n)
+    succ = rng.binomial(trials, 1 / (1 + np.exp(-eta)))
+    return pd.DataFrame({"interviewer_id": i, "participant_id": p, "sentiment": np.where(d, "positive", "negative"), "succ": succ * 1.0, "n": trials * 1.0, "times": 1.0})
+
+
+def laplace(cells, v):
+    """The Laplace deviance with a dense matrix of all effects, by short Newton steps."""
+    cells, i, j, d = crossed._coded(cells)
+    k, n = cells["succ"].to_numpy(), cells["n"].to_numpy()
+    z = np.concatenate([v[2] * np.eye(i.max() + 1)[i], v[3] * np.eye(j.max() + 1)[j], v[4] * np.eye(len(k))], 1)
+    fixed, u = v[0] + v[1] * d, np.zeros(z.shape[1])
+    for _ in range(200):
+        eta = fixed + z @ u
+        mu = 1 / (1 + np.exp(-eta))
+        h = z.T @ (z * (n * mu * (1 - mu))[:, None]) + np.eye(len(u))
+        u = u + 0.2 * np.linalg.solve(h, z.T @ (k - n * mu) - u)
+    choose = sum(math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1) for a, b in zip(n, k, strict=True))
+    return -2 * (choose + k @ eta - n @ np.logaddexp(0, eta)) + u @ u + np.linalg.slogdet(h)[1]
+
+
+def test_binomial_against_dense_laplace_whatever_came_before():
+    cells = counts(1, 150)
+    fit = crossed.Binomial(cells, per_row=True)
+    points = [np.array(v) for v in ([-1.0, 0.3, 0.5, 0.4, 0.3], [-1.0, 3.0, 0.1, 2.0, 1.0], [4.0, -2.0, 0.0, 0.0, 3.0])]
+    fresh = [fit.deviance(v) for v in points]
+    assert [fit.deviance(v) for v in reversed(points)] == fresh[::-1]
+    for v, dev in zip(points[:2], fresh, strict=False):
+        assert math.isclose(dev, laplace(cells, v), rel_tol=1e-7)
+
+
+@pytest.mark.parametrize("per_row", [True, False])
+def test_likelihood_ratio_is_near_walds_square(per_row):
+    cells = counts(2, 400)
+    if not per_row:
+        cells = cells.assign(succ=(cells["succ"] > 4) * 1.0, n=1.0)
+    full, v, none, dev, settled = crossed.nested(cells, per_row)
+    wald = (v[1] / full.errors(v)[1]) ** 2
+    assert settled and none >= dev and abs((none - dev) - wald) < 0.25 * wald + 0.3
+    same = crossed.nested(cells.assign(sentiment=np.random.default_rng(0).permutation(cells["sentiment"])), per_row)
+    assert 0 <= same[2] - same[3] < 8
+
+
+def test_bernoulli_without_effects_is_a_table():
     cells = pd.DataFrame({"interviewer_id": [0, 1, 0, 1], "participant_id": [0, 1, 1, 0], "sentiment": ["negative", "positive"] * 2, "succ": [3.0, 6, 2, 7], "n": [10.0] * 4, "times": [1] * 4})
-    fit = models.Binomial(cells, per_row=True)
+    fit = crossed.Binomial(cells, per_row=True)
     b = np.array([math.log(5 / 15), math.log(13 / 7) - math.log(5 / 15)])
-    plain = fit.deviance(np.concatenate([b, [0, 0, 0]]))
     want = -2 * sum(math.log(math.comb(10, k) * p**k * (1 - p) ** (10 - k)) for k, p in ((3, 0.25), (2, 0.25), (6, 0.65), (7, 0.65)))
-    assert math.isclose(plain, want, rel_tol=1e-9)
-    v, dev, _ = fit.fit()
-    assert dev <= plain + 1e-6 and abs(v[1] - b[1]) < 0.3
+    assert math.isclose(fit.deviance(np.concatenate([b, [0, 0, 0]])), want, rel_tol=1e-9)
+
+
+def test_focal_model_against_plain_differences(spark):
+    """Balanced pairs: the estimate is the mean difference, and its p that of a t test with as many degrees of freedom as fit."""
+    rng = np.random.default_rng(8)
+    rows = [(int(p % 4), int(p), s, float(rng.normal() + (s == "positive") * 0.8 + p * 0.1)) for p in range(16) for s in ("negative", "positive") for _ in range(3)]
+    df = spark.createDataFrame(rows, "interviewer_id int, participant_id int, sentiment string, y double")
+    fit = crossed.focal_model(df, "y")
+    diff = np.mean([r[3] for r in rows if r[2] == "positive"]) - np.mean([r[3] for r in rows if r[2] == "negative"])
+    assert math.isclose(fit["estimate"], diff, rel_tol=1e-6) and (fit["n_participants"], fit["n_interviewers"], fit["n_obs"]) == (16, 4, 96)
+    assert 0 < fit["p_wald"] < 0.05 and abs(fit["lrt_stat"] - fit["z"] ** 2) < 0.2 * fit["z"] ** 2 and fit["slope_lrt_stat"] >= 0
+    assert math.isclose(fit["p_wald"], models.t_two_sided(fit["z"], 79), rel_tol=0.05)
+    assert set(fit) == set(crossed.FOCAL_FIELDS) and crossed.focal_slope(df, "y")["slope_lrt_stat"] >= 0
+    assert crossed.focal_slope(df.limit(0), "y")["slope_source"] == "empty" and crossed.focal_model(df.limit(3), "y")["method"] == "not_fittable"
 
 
 def test_tails():
@@ -278,7 +362,9 @@ def test_a_model_that_fails_falls_back(spark):
 def test_json_turns_keep_their_places(spark, tmp_path):
     (tmp_path / "results_a.json").write_text('[{"text": "x", "start": 1, "end": 2, "speaker_id": "p"}, {"text": "y"}]')
     (tmp_path / "results_b.json").write_text('{"not": "a list"}')
-    rows = readers.read_turns(spark, str(tmp_path)).orderBy("idx").collect()
+    rows = readers.read_turns(spark, str(tmp_path), strict=False).orderBy("idx").collect()
+    with pytest.raises(Exception, match="not a JSON list"):
+        readers.read_turns(spark, str(tmp_path)).collect()
     assert [(r.idx, r.text, r.start) for r in rows] == [(0, "x", "1"), (1, "y", None)]
     assert readers.malformed(spark, str(tmp_path)).count() == 1
 
@@ -312,6 +398,107 @@ def test_shapiro_against_published_values():
     assert 0.4 < np.mean(ps) < 0.6 and math.isnan(models.shapiro_wilk(np.ones(9))[0])
 
 
+def test_many_residuals_still_have_a_w(spark):
+    rows = spark.range(7000).selectExpr("cast(pow(id / 7000, 3) as double) as v")
+    w, p = models.shapiro_wilk(models.normal_sample(rows, "v"))
+    plain = models.shapiro_wilk((np.arange(5000) / 5000) ** 3)
+    assert abs(w - plain[0]) < 0.01 and p < 1e-6
+    assert len(models.normal_sample(rows, "v", 9000)) == 7000
+
+
+def test_resampling_across_empty_buckets(spark):
+    """Frames at both ends of a long gap: the points between look past many buckets without any."""
+    f = spark.createDataFrame([(1, s, t, v, v) for s in (0, 1) for t, v in ((0.0, 1.0), (1.0, 0.0), (50.0, 1.0))], FRAME)
+    grid = dyad.common_grid(f, 1.0)
+    near = {r.i: r.v for r in dyad.resample_nearest(grid, f, bucket=3.0).where("side = 0").collect()}
+    assert near == {i: 1.0 if i == 0 or i > 25 else 0.0 for i in range(51)}
+    line = {r.i: r.v for r in dyad.resample_linear(grid, f, bucket=3.0).where("side = 1").collect()}
+    assert all(math.isclose(line[i], 1.0 - i if i < 1 else (i - 1) / 49) for i in range(51))
+
+
+def test_chunks_by_tokens(spark):
+    def make():
+        return (lambda t: [ord(c) for c in t]), (lambda ids: "".join(map(chr, ids)))
+
+    df = spark.createDataFrame([(0, "abcdefg"), (1, "ab"), (2, ""), (3, None), (4, "     ")], "i int, t string")
+    got = [r.c for r in df.select("i", inference.split_by_tokens(F.col("t"), make, 3).alias("c")).orderBy("i").collect()]
+    assert got == [["abc", "def", "g"], ["ab"], [""], [], ["     "]]
+
+    def failing():
+        def encode(t):
+            if "c" in t:
+                raise ValueError
+            return list(t)
+
+        return encode
+
+    assert [r.n for r in df.select("i", inference.token_count(F.col("t"), failing).alias("n")).orderBy("i").collect()] == [1, 2, 0, 0, 5]
+
+
+def test_limits_and_devices():
+    assert T.model_limits(512) == (192, 256) and T.model_limits(100) == (68, 256) and T.model_limits(10**30, None) == (480, 256) and T.model_limits(40, 192, 999) == (32, 256)
+    assert [inference.resolve_device(x, 1) for x in ("auto", None, 1, "cuda", "-1", "cpu")] == ["cuda:0", "cuda:0", "cuda:1", "cuda:0", "cpu", "cpu"]
+    assert inference.resolve_device("auto") == "cpu" and inference.device_name("CUDA") == "cuda:0"
+
+
+def test_asr_turns_keep_the_types_of_their_items(spark, tmp_path):
+    (tmp_path / "results_a.json").write_text('[{"text": null, "start": 1.9, "end": "12.5", "speaker_id": null}, {"start": "7"}, {"text": "x", "start": -4, "end": true}]')
+    rows = readers.read_asr_turns(spark, str(tmp_path)).orderBy("idx").collect()
+    assert [(r.speaker, r.text, r.start, r.end) for r in rows] == [("None", "None", 1, 1), ("unknown", "", 7, 7), ("unknown", "x", -4, 1)]
+
+
+def test_synchrony_csv_round_trip(spark, tmp_path):
+    from turnloom.sources import sinks
+
+    df = spark.createDataFrame([("p", "i", 3, "positive", 10.5, 300, "synchrony", "duchenne_smile", 0.1, float("nan"), None, 4, 300, 0.25)],
+                               "participant_id string, interviewer_id string, turn_index long, sentiment string, duration_s double, n_frames long, level string, au string, cc_r double, "
+                               "peak_lag_s double, cc_r_peak double, simul_smile_frames long, simul_smile_n_frames long, simul_smile_freq double")
+    sinks.write_csv(df, str(tmp_path / "sync"), sinks.SYNC_TURNS)
+    back = readers.read_synchrony(spark, str(tmp_path / "sync"))
+    assert back.columns == list(sinks.SYNC_TURNS)
+    assert back.first() == ("p", "i", 3, "positive", 10.5, 300, "synchrony", "duchenne_smile", 0.1, None, None, 4, 300, 0.25)
+    (tmp_path / "few.csv").write_text("turn_index,extra,cc_r\n2,x,nan\n")
+    r = readers.read_synchrony(spark, str(tmp_path / "few.csv")).first()
+    assert (r.turn_index, r.cc_r, r.simul_smile_freq) == (2, None, None)
+
+
+def test_catalog_files(spark, tmp_path):
+    (tmp_path / "m.yaml").write_text("interviews:\n- patient: {patient_id: ab}\n  therapist: {therapist_id: 7}\n  types:\n    bindung: {transcript: t}\n")
+    (tmp_path / "m.json").write_text('{"interviews": [{"patient": {"patient_id": "ab"}, "therapist": {"therapist_id": 7}, "types": {"bindung": {"transcript": "t"}}}]}')
+    a, b = (readers.read_catalog_file(spark, str(tmp_path / f)).collect() for f in ("m.yaml", "m.json"))
+    assert a == b and (a[0].patient_id, a[0].therapist_id, a[0].has_bindung) == ("ab", "7", True)
+
+
+def test_first_existing_path(spark):
+    rows = spark.createDataFrame([("/mnt/c/x.csv",), ("C:\\y.csv",), ("z.csv",), ("none.csv",), ("",), (None,)], "p string")
+    there = spark.createDataFrame([("C:\\x.csv",), ("/mnt/c/y.csv",), ("file:/root/z.csv",), ("file:///mnt/c/x.csv",)], "path string")
+    got = {r.p: r.resolved for r in readers.first_existing(rows, "p", there, "/root/").collect()}
+    assert got == {"/mnt/c/x.csv": "/mnt/c/x.csv", "C:\\y.csv": "/mnt/c/y.csv", "z.csv": "/root/z.csv", "none.csv": None, "": None, None: None}
+
+
+def test_discovery(spark, tmp_path):
+    for name in ("a/x.mov", "a/y.wav", "z.mp4", "out/temp_audio/x.wav", "n.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    found = [r.path.rsplit("/", 1)[1] for r in readers.discover_media(spark, str(tmp_path)).collect()]
+    assert sorted(found) == ["x.mov", "x.wav", "y.wav", "z.mp4"]
+    assert [r.path.rsplit("/", 1)[1] for r in readers.discover_media(spark, str(tmp_path), temp_audio=str(tmp_path / "out/temp_audio")).collect()] == ["x.wav"]
+    items = spark.createDataFrame([("f", 4, "Client", 1.0)], "file string, turn_index int, sentiment_label string, x double").selectExpr("file", "turn_index", "' POS ' as sentiment_label", "1500 as start_ms", "2000 as end_ms")
+    assert readers.analysis_turns(items).first() == ("f", 4, "pos", 1.5, 2.0)
+
+
+def test_reasons_and_sources(spark):
+    status = jobs.load_status(
+        spark.createDataFrame([(i, None if i == 1 else "p", "p", "p") for i in range(5)], "job int, patient_path string, therapist_path string, labelled_path string"),
+        spark.createDataFrame([(0, 1, 1), (2, 1, 1), (3, 0, 1), (4, 1, 1)], "job int, patient_frames int, therapist_frames int"),
+        spark.createDataFrame([(0, 1), (2, 1), (3, 1)], "job int, turns int"), spark.createDataFrame([(2, "OSError", "gone"), (1, "OSError", "x")], "job int, kind string, message string"),
+    )
+    got = {r.job: (r.ok, r.reason) for r in status.collect()}
+    assert got == {0: (True, None), 1: (False, "missing_paths"), 2: (False, "exception:OSError:gone"), 3: (False, "empty_openface"), 4: (False, "no_labeled_turns")}
+    picks = spark.createDataFrame([(0.2, 0.5), (None, 0.5), (float("nan"), 0.4)], "perm double, lr double").select(*effects.pick_p(F.col("perm"), F.col("lr"))).collect()
+    assert [(r.p, r.q_source) for r in picks] == [(0.2, "perm"), (0.5, "lr"), (0.4, "lr")]
+
+
 def test_sinks(spark, tmp_path):
     from turnloom.sources import sinks
 
@@ -320,8 +507,15 @@ def test_sinks(spark, tmp_path):
     assert docs == {"a": '[{"text":"x","sentiment_label":"positive"},{"text":"y"}]', "b": '[{"text":"z"}]'}
     out = str(tmp_path / "json")
     sinks.write_json(items, out, ["text"])
-    sinks.write_json(items.limit(0), out, ["text"])  # left alone
-    assert spark.read.text(out, wholetext=True).count() == 2
+    more = items.unionByName(items.where("file = 'b'").withColumn("file", F.lit("c d")))
+    sinks.write_json(more.withColumn("text", F.lit("new")), out, ["text"])  # a and b are left alone, one by one
+    read = lambda: {r.file: r.value for r in spark.read.option("basePath", out).text(out).collect()}
+    assert read() == {"a": '[{"text":"x"},{"text":"y"}]', "b": '[{"text":"z"}]', "c d": '[{"text":"new"}]'}
+    sinks.write_json(items.where("file = 'b'").withColumn("text", F.lit("over")), out, ["text"], overwrite=True)
+    assert read()["b"] == '[{"text":"over"}]' and len(read()) == 3
+    deep = items.withColumn("file", F.concat(F.lit("/in/sub/"), "file", F.lit(".json")))
+    sinks.write_json(deep, str(tmp_path / "mirror"), ["text"], root="/in")
+    assert {(r.dir, r.file) for r in spark.read.text(str(tmp_path / "mirror")).collect()} == {("sub", "a.json"), ("sub", "b.json")}
     seg = spark.createDataFrame([("my file", 2.0, 0.5, "S 1"), ("my file", 1.0, 0.25, "S2")], "uri string, start_s double, dur_s double, speaker string")
     sinks.write_rttm(seg, str(tmp_path / "rttm"))
     lines = readers.parse_rttm(spark.read.text(str(tmp_path / "rttm"))).collect()

@@ -72,6 +72,30 @@ def coerce_ms(value: Column, default: Column) -> Column:
     return F.when(trimmed.rlike(r"^-?\d+$"), trimmed.try_cast("bigint")).otherwise(default)
 
 
+def coerce_json_ms(value: Column, default: Column) -> Column:
+    """Milliseconds of a JSON value (variant): numbers cut to whole ones, true 1 and false 0, texts as coerce_ms; null,
+    absent or anything else: the default."""
+    kind = F.schema_of_variant(value)
+    number = F.try_variant_get(value, "$", "double")
+    whole = F.when(F.abs(number) < 9e18, F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("bigint"))
+    out = F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint")).when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), whole)
+    out = out.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("bigint"))
+    return F.coalesce(out.when(kind == "STRING", coerce_ms(F.try_variant_get(value, "$", "string"), default)), default)
+
+
+def json_text(value: Column, absent: str) -> Column:
+    """The text of a JSON value (variant); null is the word None, as its text is elsewhere; absent: as given."""
+    return F.when(value.isNull(), absent).when(F.is_variant_null(value), "None").otherwise(F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value)))
+
+
+def model_limits(model_max: int | None, most_in: int | None = 192, most_new: int | None = 256) -> tuple[int, int]:
+    """Tokens that go into a model and may come out. A model's length that is missing, not positive or above 16384 counts as
+    512; 32 of it are kept free; no more than 256 come out."""
+    known = model_max if isinstance(model_max, int) and 0 < model_max <= 16384 else 512
+    room = max(32, known - 32)
+    return min(most_in or room, room), min(most_new or 256, 256)
+
+
 def clamp_span(start: Column, end: Column) -> tuple[Column, Column]:
     """Start no less than 0, end no less than start; a missing end is the start."""
     lo = F.greatest(F.coalesce(start, F.lit(0)), F.lit(0))
@@ -101,22 +125,31 @@ def split_oversized(text: Column, most: int) -> Column:
 
 def chunk_text(text: Column, most: int) -> Column:
     """array<string>: a text of up to `most` words is one chunk; a longer one is cut at sentence ends, sentences
-    that are too long are cut by words, and pieces are packed greedily. Null and blank texts: no chunk."""
+    that are too long are cut by words, and pieces are packed greedily. Null and blank texts: no chunk.
+
+    The words of each piece are counted once; packing adds numbers and slices the pieces at the end.
+    """
     whole = strip(F.coalesce(text, F.lit("")))
-    sentences = F.filter(F.transform(F.split(whole, rf"(?<=[.!?]){_SPACE}+"), strip), lambda s: s != "")
-    pieces = F.flatten(F.transform(sentences, lambda s: F.when(token_len(s) > most, split_oversized(s, most)).otherwise(F.array(s))))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    sentences = F.filter(F.split(whole, rf"(?<=[.!?]){_SPACE}+"), lambda s: s != "")
+    counted = F.transform(sentences, lambda s: F.struct(s.alias("s"), token_len(s).alias("n")))
+    long = lambda x: F.transform(split_oversized(x["s"], most), lambda s: F.struct(s.alias("s"), token_len(s).alias("n")))
+    pieces = F.flatten(F.transform(counted, lambda x: F.when(x["n"] > most, long(x)).otherwise(F.array(x))))
+    start = F.struct(F.array().cast("array<int>").alias("from"), F.lit(0).alias("open"), F.lit(0).alias("i"))
 
     def step(acc: Column, piece: Column) -> Column:
-        joined = F.when(acc["open"] == "", piece).otherwise(F.concat(acc["open"], F.lit(" "), piece))
-        full = (acc["open"] != "") & (token_len(joined) > most)
+        fresh = (acc["i"] == 0) | (acc["open"] + piece["n"] > most)
         return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
-            F.when(full, piece).otherwise(joined).alias("open"),
-        )
+            F.when(fresh, F.array_append(acc["from"], acc["i"])).otherwise(acc["from"]).alias("from"),
+            F.when(fresh, piece["n"]).otherwise(acc["open"] + piece["n"]).alias("open"), (acc["i"] + 1).alias("i"),
+        )
+
+    def packed(all_pieces: Column) -> Column:
+        bounds = F.aggregate(all_pieces, start, step, lambda acc: F.array_append(acc["from"], acc["i"]))
+        return F.transform(F.array(F.struct(all_pieces["s"].alias("p"), bounds.alias("b"))), lambda x: F.transform(
+            F.slice(x["b"], 1, F.size(x["b"]) - 1), lambda lo, k: F.array_join(F.slice(x["p"], lo + 1, F.get(x["b"], k + 1) - lo), " ")))[0]
 
-    packed = F.aggregate(pieces, start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
-    return F.when(whole == "", F.array().cast("array<string>")).when(token_len(whole) <= most, F.array(whole)).otherwise(packed)
+    one = F.transform(F.array(pieces), packed)[0]
+    return F.when(whole == "", F.array().cast("array<string>")).when(token_len(whole) <= most, F.array(whole)).otherwise(one)
 
 
 def rejoin_chunks(chunks: Column) -> Column:

@@ -6,10 +6,15 @@ turns: dyad, turn_index, start_s, end_s and whatever else; one row for each (dya
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions import signals as S
+from turnloom.workers import reachable
 
 HZ = 30.0
 MAX_LAG_S = 2.5
@@ -61,29 +66,40 @@ def common_grid(frames: DataFrame, hz: float = HZ) -> DataFrame:
     return span.select("dyad", "t0", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("i")).select("dyad", "i", (F.col("t0") + F.col("i") / hz).alias("t"))
 
 
-def _around(grid: DataFrame, frames: DataFrame, value: Column) -> DataFrame:
-    """Grid points of each side with the frame at or before and the frame at or after: (t, v) structs."""
+def _around(grid: DataFrame, frames: DataFrame, value: Column, bucket: float) -> DataFrame:
+    """Grid points of each side with the frame at or before and the frame at or after: (t, v) structs.
+
+    A person's time is cut to buckets, each sorted on its own. The last frame before a bucket and the first after it
+    come from a table of one row a bucket, so a long recording is not one task's.
+    """
     sides = F.explode(F.array(F.lit(0), F.lit(1))).alias("side")
     points = grid.select("dyad", sides, "t", "i", F.lit(None).cast("struct<t:double,v:double>").alias("f"))
-    known = frames.select("dyad", F.col("side").cast("int").alias("side"), F.col("ts").alias("t"), F.lit(None).cast("long").alias("i"), F.struct(F.col("ts").alias("t"), value.alias("v")).alias("f"))
-    each = Window.partitionBy("dyad", "side")
+    known = frames.where(F.col("ts").isNotNull()).select("dyad", F.col("side").cast("int").alias("side"), F.col("ts").alias("t"), F.lit(None).cast("long").alias("i"), F.struct(F.col("ts").alias("t"), value.alias("v")).alias("f"))
+    key = ["dyad", "side", "bucket"]
+    both = points.unionByName(known).withColumn("bucket", F.floor(F.col("t") / bucket))
+    along = Window.partitionBy("dyad", "side").orderBy("bucket")
+    ends = both.groupBy(*key).agg(F.min("f").alias("first"), F.max("f").alias("last"))
+    behind = F.last("last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    ahead = F.last("first", ignorenulls=True).over(Window.partitionBy("dyad", "side").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select(*key, F.array(behind, ahead).alias("fs")).select(*key, F.explode("fs").alias("f")).where("f is not null")
+    both = both.unionByName(carried.select("dyad", "side", F.col("f.t").alias("t"), F.lit(None).cast("long").alias("i"), "f", "bucket"))
+    each = Window.partitionBy(*key)
     before = each.orderBy(F.col("t"), F.col("i").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     after = each.orderBy(F.col("t").desc(), F.col("i").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    both = points.unionByName(known)
     both = both.withColumn("a", F.last("f", ignorenulls=True).over(before)).withColumn("b", F.last("f", ignorenulls=True).over(after))
     return both.where("i is not null").select("dyad", "side", "i", "t", "a", "b")
 
 
-def resample_nearest(grid: DataFrame, frames: DataFrame, column: str = "presence") -> DataFrame:
+def resample_nearest(grid: DataFrame, frames: DataFrame, column: str = "presence", bucket: float = BUCKET_S) -> DataFrame:
     """(dyad, side, i, t, v): the value of the nearest frame, of two equally near the earlier; missing stays null."""
-    near = _around(grid, frames, F.col(column))
+    near = _around(grid, frames, F.col(column), bucket)
     earlier = F.col("b").isNull() | (F.col("a").isNotNull() & (F.col("t") - F.col("a.t") <= F.col("b.t") - F.col("t")))
     return near.select("dyad", "side", "i", "t", F.when(earlier, F.col("a.v")).otherwise(F.col("b.v")).alias("v"))
 
 
-def resample_linear(grid: DataFrame, frames: DataFrame, column: str = "intensity") -> DataFrame:
+def resample_linear(grid: DataFrame, frames: DataFrame, column: str = "intensity", bucket: float = BUCKET_S) -> DataFrame:
     """(dyad, side, i, t, v): linear between the frames with a value; beyond the first or last of them, its value."""
-    near = _around(grid, frames.where(F.col(column).isNotNull()), F.col(column))
+    near = _around(grid, frames.where(F.col(column).isNotNull()), F.col(column), bucket)
     share = (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
     v = F.when(F.col("a").isNull(), F.col("b.v")).when(F.col("b").isNull() | (F.col("b.t") <= F.col("a.t")), F.col("a.v"))
     return near.select("dyad", "side", "i", "t", v.otherwise(F.col("a.v") + (F.col("b.v") - F.col("a.v")) * share).alias("v"))
@@ -101,7 +117,7 @@ def simul_smile(turns: DataFrame, frames: DataFrame, hz: float = HZ, min_frames:
     A missing presence is not a smile, but its point counts. Fewer than max(3, min_frames) points: 0 frames, n
     kept, no share.
     """
-    both = aligned(resample_nearest(common_grid(frames, hz), frames))
+    both = aligned(resample_nearest(common_grid(frames, hz), frames, bucket=bucket))
     smile = F.when(F.coalesce((F.col("p") >= 0.5) & (F.col("q") >= 0.5), F.lit(False)), 1).otherwise(0)
     points = both.select("dyad", "i", "t", smile.alias("both_smile"))
     met = range_join(turns, points, "t", closed=True, bucket=bucket).groupBy(*turns.columns)
@@ -113,6 +129,31 @@ def simul_smile(turns: DataFrame, frames: DataFrame, hz: float = HZ, min_frames:
     )
 
 
+def lag_scan(p: np.ndarray, q: np.ndarray, most: int, flat: float = 1e-12) -> tuple[float | None, int | None, float | None]:
+    """(r at lag 0, lag of the largest |r|, r there) over lags of up to `most` points, p against q that many points later.
+
+    A lag with fewer than 3 points where both have a value, or a flat side, has no r. Sizes are compared to 12
+    places; of equal ones the smallest lag counts.
+    """
+    zero, best, size = None, None, -1.0
+    for k in range(-most, most + 1):
+        x, y = p[max(0, -k) : len(p) - max(0, k)], q[max(0, k) : len(q) - max(0, -k)]
+        both = np.isfinite(x) & np.isfinite(y)
+        if not both.all():
+            x, y = x[both], y[both]
+        if len(x) < 3:
+            continue
+        x, y = x - x.mean(), y - y.mean()
+        sx, sy = float(np.sqrt(x @ x / len(x))), float(np.sqrt(y @ y / len(y)))
+        if sx < flat or sy < flat:
+            continue
+        r = float(x @ y) / len(x) / (sx * sy)
+        zero = r if k == 0 else zero
+        if round(abs(r), 12) > size:
+            best, size = (k, r), round(abs(r), 12)
+    return zero, *(best or (None, None))
+
+
 def cross_lag(
     turns: DataFrame, frames: DataFrame, hz: float = HZ, max_lag_s: float = MAX_LAG_S, min_turn_s: float = MIN_TURN_S,
     min_frames: int = MIN_FRAMES, bucket: float = BUCKET_S,
@@ -120,23 +161,28 @@ def cross_lag(
     """turns with cc_r (lag 0), cc_r_peak (the signed r of the largest size), peak_lag_s, n_frames.
 
     Lags up to K = max(0, min(round(max_lag_s * hz), n - 3)) points; of equal sizes the smallest lag; a positive lag
-    says that the participant leads. Turns that are short, or have few points, keep n_frames only. Sizes are
-    compared to 12 places.
+    says that the participant leads. Turns that are short, or have few points, keep n_frames only. A turn's points are
+    gathered once, as one array bounded by the turn's length, and all its lags are slices of that: no row for each lag.
     """
-    both = aligned(resample_linear(common_grid(frames, hz), frames))
-    key = ["dyad", "turn_index"]
+    both = aligned(resample_linear(common_grid(frames, hz), frames, bucket=bucket))
+    key, most, least = ["dyad", "turn_index"], round(max_lag_s * hz), max(3, min_frames)
     points = range_join(turns.select(*key, "start_s", "end_s"), both, "t", closed=True, bucket=bucket)
-    n = points.groupBy(*key).agg(F.count("i").alias("n_frames"))
-    long_enough = (F.col("n_frames") >= max(3, min_frames)) & (F.col("end_s") - F.col("start_s") >= min_turn_s)
-    fit = turns.select(*key, "start_s", "end_s").join(n, key).where(long_enough).select(*key, F.least(F.lit(round(max_lag_s * hz)), F.col("n_frames") - 3).alias("K"))
-    here = points.where("i is not null").select(*key, "i", "p", "q").join(fit, key)
-    lead = here.select(*key, "i", "p", F.explode(F.sequence(-F.col("K"), F.col("K"))).alias("k")).withColumn("j", F.col("i") + F.col("k"))
-    other = here.select(*key, F.col("i").alias("j"), "q")
-    r = lead.join(other, [*key, "j"]).groupBy(*key, "k").agg(S.signed_corr(F.col("p"), F.col("q")).alias("r"))
-    best = F.min(F.when(F.col("r").isNotNull(), F.struct((-F.round(F.abs("r"), 12)).alias("size"), F.col("k").alias("k"), F.col("r").alias("r"))))
-    peak = r.groupBy(*key).agg(F.max(F.when(F.col("k") == 0, F.col("r"))).alias("cc_r"), best.alias("best"))
-    peak = peak.select(*key, "cc_r", (F.col("best.k") / hz).alias("peak_lag_s"), F.col("best.r").alias("cc_r_peak"))
-    out = turns.join(n, key, "left").join(peak, key, "left")
+    point = F.when((F.col("end_s") - F.col("start_s") >= min_turn_s) & F.col("i").isNotNull(), F.struct("i", "p", "q"))
+    gathered = points.groupBy(*key).agg(F.count("i").alias("n_frames"), F.array_sort(F.collect_list(point)).alias("at"))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(None, None, None) if len(p) < least else lag_scan(np.array(p, float), np.array(q, float), min(most, len(p) - 3)) for p, q in zip(batch["p"], batch["q"], strict=True)]
+            yield pd.DataFrame({"cc_r": pd.Series([f[0] for f in found], dtype="Float64"), "k": pd.Series([f[1] for f in found], dtype="Int64"), "r": pd.Series([f[2] for f in found], dtype="Float64")})
+
+    def call(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        yield from scan(pd.DataFrame({"p": p, "q": q}) for p, q in batches)
+
+    reachable()
+    told = F.pandas_udf(call, "cc_r double, k long, r double")(F.col("at.p"), F.col("at.q"))
+    peak = gathered.select(*key, "n_frames", told.alias("f"))
+    peak = peak.select(*key, "n_frames", "f.cc_r", (F.col("f.k") / hz).alias("peak_lag_s"), F.col("f.r").alias("cc_r_peak"))
+    out = turns.join(peak, key, "left")
     return out.select(*turns.columns, "cc_r", "peak_lag_s", "cc_r_peak", F.coalesce("n_frames", F.lit(0)).cast("long").alias("n_frames"))
 
 

@@ -82,3 +82,113 @@ def transcribe(segments: DataFrame, make: Callable[[], Callable[[pd.DataFrame],
 
     reachable()
     return segments.mapInPandas(batches, schema)
+
+
+def split_by_tokens(text: Column, make: Callable[[], tuple[Callable[[str], list[int]], Callable[[list[int]], str]]], most: int) -> Column:
+    """array<string>: runs of at most `most` token ids, decoded and stripped, blank ones left out. make() gives (encode, decode).
+
+    A text of no more tokens, or whose runs are all blank, stays as it is; null gives no piece.
+    """
+
+    def batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode, decode = make()
+        for batch in texts:
+            yield pd.Series([[] if x is None else _runs(x, encode, decode, most) for x in batch], dtype=object)
+
+    reachable()
+    return F.pandas_udf(batches, "array<string>")(text)
+
+
+def _runs(text: str, encode: Callable[[str], list[int]], decode: Callable[[list[int]], str], most: int) -> list[str]:
+    ids = list(encode(text))
+    if len(ids) <= most:
+        return [text]
+    return [s for i in range(0, len(ids), most) if (s := decode(ids[i : i + most]).strip())] or [text]
+
+
+def token_count(text: Column, make: Callable[[], Callable[[str], list[int]]]) -> Column:
+    """Number of tokens; where the tokenizer fails, of words. Null: 0."""
+
+    def batches(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = make()
+        for batch in texts:
+            yield pd.Series([int(_one(lambda t: [len(encode(t[0]))], x or "", lambda t: len(t.split()))) for x in batch], dtype="int64")
+
+    reachable()
+    return F.pandas_udf(batches, "long")(text)
+
+
+def device_name(device: str) -> str:
+    """cuda means its first device."""
+    return "cuda:0" if str(device).strip().lower() == "cuda" else str(device)
+
+
+def resolve_device(preferred: str | int | None, accelerators: int = 0) -> str:
+    """auto: the first accelerator, or the cpu where there is none; a number: that accelerator, below 0 the cpu."""
+    if preferred is None or str(preferred).strip().lower() in ("", "auto"):
+        return "cuda:0" if accelerators else "cpu"
+    try:
+        number = int(preferred)
+    except ValueError:
+        return device_name(str(preferred))
+    return f"cuda:{number}" if number >= 0 else "cpu"
+
+
+def with_ffmpeg(folder: str, sample_rate: int = 16_000, channels: int = 1) -> Callable[[], Callable[[str], str | None]]:
+    """An extractor for extract_audio(): the sound of a recording as WAV in a folder that all executors share."""
+
+    def make() -> Callable[[str], str | None]:
+        import os
+        import subprocess
+
+        def extract(path: str) -> str | None:
+            out = os.path.join(folder, os.path.splitext(os.path.basename(path))[0] + ".wav")
+            os.makedirs(folder, exist_ok=True)
+            call = ["ffmpeg", "-y", "-loglevel", "error", "-i", path, "-vn", "-ac", str(channels), "-ar", str(sample_rate), out]
+            return out if subprocess.run(call, check=False).returncode == 0 else None
+
+        return extract
+
+    return make
+
+
+def extract_audio(media: DataFrame, make: Callable[[], Callable[[str], str | None]], path_col: str = "path") -> DataFrame:
+    """media with audio: the path itself for .wav, else what the extractor returns; null where it fails."""
+
+    def batches(paths: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        extract = make()
+        for batch in paths:
+            yield pd.Series([_extracted(extract, p) for p in batch], dtype=object)
+
+    reachable()
+    return media.withColumn("audio", F.pandas_udf(batches, "string")(F.col(path_col)))
+
+
+def _extracted(extract: Callable[[str], str | None], path: str | None) -> str | None:
+    if path is None or path.lower().endswith(".wav"):
+        return path
+    try:
+        return extract(path)
+    except Exception:  # the caller's tool may raise anything
+        return None
+
+
+def diarize(media: DataFrame, make: Callable[[], Callable[[str, int], list[tuple[float, float, str]]]], speakers: int = 2, path_col: str = "audio") -> DataFrame:
+    """(uri, start_s, dur_s, speaker) of every recording: who speaks when, by the caller's model. One that fails has no rows."""
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for frame in frames:
+            rows = []
+            for path in frame["path"].dropna():
+                try:
+                    found = model(path, speakers)
+                except Exception:  # the caller's model may raise anything
+                    continue
+                uri = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                rows += [(uri, float(a), float(d), str(who)) for a, d, who in found]
+            yield pd.DataFrame(rows, columns=["uri", "start_s", "dur_s", "speaker"])
+
+    reachable()
+    said = media.select(F.col(path_col).alias("path")).mapInPandas(batches, "uri string, start_s double, dur_s double, speaker string")
+    return said.withColumn("uri", T.sanitize_uri(F.col("uri")))

@@ -43,12 +43,15 @@ def strict_match(files: DataFrame, catalog: DataFrame) -> DataFrame:
     return files.join(known, "code", "left_semi")
 
 
-def load_status(jobs: DataFrame, frame_counts: DataFrame, turn_counts: DataFrame) -> DataFrame:
-    """(job, ok, reason): paths first, then frames of either side, then labelled turns."""
+def load_status(jobs: DataFrame, frame_counts: DataFrame, turn_counts: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """(job, ok, reason): paths first, then errors (job, kind, message) of reading, then frames of either side, then labelled turns."""
     met = jobs.join(frame_counts, "job", "left").join(turn_counts, "job", "left")
+    if errors is not None:
+        met = met.join(errors.groupBy("job").agg(F.min(F.concat_ws(":", F.lit("exception"), "kind", "message")).alias("error")), "job", "left")
     none = lambda c: F.coalesce(c, F.lit(0)) == 0
     reason = (
         F.when(F.col("patient_path").isNull() | F.col("therapist_path").isNull() | F.col("labelled_path").isNull(), "missing_paths")
+        .when(F.lit(False) if errors is None else F.col("error").isNotNull(), F.lit(None) if errors is None else F.col("error"))
         .when(none("patient_frames") | none("therapist_frames"), "empty_openface")
         .when(none("turns"), "no_labeled_turns")
     )

@@ -86,14 +86,14 @@ def golden(f: Callable[[float], float], lo: float, hi: float, tol: float = 1e-10
     return (a + b) / 2
 
 
-def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, step: float = 0.3, most: int = 4000, tol: float = 1e-10) -> tuple[np.ndarray, float, bool]:
+def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, step: float = 0.3, most: int = 4000, tol: float = 1e-10, apart: float = 1e-6) -> tuple[np.ndarray, float, bool]:
     n = len(start)
     points = [start] + [start + step * np.eye(n)[i] for i in range(n)]
     values = [f(p) for p in points]
     for _ in range(most):
         order = np.argsort(values, kind="stable")
         points, values = [points[i] for i in order], [values[i] for i in order]
-        if abs(values[-1] - values[0]) < tol and max(np.abs(p - points[0]).max() for p in points[1:]) < 1e-6:
+        if abs(values[-1] - values[0]) < tol and max(np.abs(p - points[0]).max() for p in points[1:]) < apart:
             return points[0], values[0], True
         centre = np.mean(points[:-1], axis=0)
         mirror = centre + (centre - points[-1])
@@ -183,7 +183,7 @@ def _numbered(cells: pd.DataFrame, group: str, by: str) -> tuple[np.ndarray, np.
     return codes, cells[by].to_numpy(str), cells["n"].to_numpy(float), cells["s"].to_numpy(float)
 
 
-def _local(df: DataFrame) -> pd.DataFrame:
+def local(df: DataFrame) -> pd.DataFrame:
     """The cell table on the driver: one row for each patient and label."""
     return pd.DataFrame([r.asDict() for r in df.collect()], columns=df.columns)
 
@@ -194,7 +194,7 @@ def sentiment_model(rows: DataFrame, y: str, group: str) -> dict[str, float | st
     Fewer than 6 values, 3 patients or 2 labels: nulls with method not_fittable.
     """
     sums = rows.where(F.col(y).isNotNull() & ~F.isnan(y) & F.col("sentiment").isin(*SENTIMENTS)).agg(F.count("*").alias("n"), F.sum(F.col(y) * F.col(y)).alias("q")).first()
-    cells = _local(cells_of(rows, y, group))
+    cells = local(cells_of(rows, y, group))
     names = [f"{a}_{b}" for b in ("positive", "negative", "pos_vs_neg") for a in ("coef", "se", "z", "p")]
     out: dict = dict.fromkeys(["lr_stat", "lr_pval", *names, "sigma2_patient", "sigma2_resid", "icc"])
     out |= {"n_turns": int(sums["n"]), "n_patients": cells[group].nunique() if len(cells) else 0, "method": "not_fittable"}
@@ -222,30 +222,34 @@ def sentiment_model(rows: DataFrame, y: str, group: str) -> dict[str, float | st
 
 
 def _satterthwaite(fit: RandomIntercept, row: np.ndarray, lam: float, s2: float) -> float:
-    """Degrees of freedom from the curvature of the REML deviance in (group variance, residual variance)."""
+    """Degrees of freedom of a contrast, over (group variance, residual variance)."""
 
     def deviance(v: np.ndarray) -> float:
-        a, beta, rss = fit.parts(v[0] / v[1])
+        a, _, rss = fit.parts(v[0] / v[1])
         m = fit.N - fit.p
         return m * math.log(2 * math.pi * v[1]) + rss / v[1] + float(np.log1p(v[0] / v[1] * fit.n).sum()) + np.linalg.slogdet(a)[1]
 
     def variance(v: np.ndarray) -> float:
         return float(v[1] * row @ np.linalg.solve(fit.parts(v[0] / v[1])[0], row))
 
-    at = np.array([max(lam * s2, 1e-6 * s2), s2])
-    h = at * 1e-3
-    e = np.eye(2)
-    grad = np.array([(variance(at + h * e[i]) - variance(at - h * e[i])) / (2 * h[i]) for i in range(2)])
-    hess = np.empty((2, 2))
-    for i in range(2):
-        for j in range(2):
-            hess[i, j] = (deviance(at + h * e[i] + h * e[j]) - deviance(at + h * e[i] - h * e[j]) - deviance(at - h * e[i] + h * e[j]) + deviance(at - h * e[i] - h * e[j])) / (4 * h[i] * h[j])
+    return satterthwaite(deviance, variance, np.array([max(lam * s2, 1e-6 * s2), s2]), fit.N - fit.p)
+
+
+def satterthwaite(deviance: Callable[[np.ndarray], float], variance: Callable[[np.ndarray], float], at: np.ndarray, most: float) -> float:
+    """Degrees of freedom of an estimate from the curvature of the REML deviance in the variances; most: where there is none."""
+    h, n = at * 1e-3, len(at)
+    e = np.diag(h)
+    grad = np.array([(variance(at + e[i]) - variance(at - e[i])) / (2 * h[i]) for i in range(n)])
+    hess = np.empty((n, n))
+    for i in range(n):
+        for j in range(n):
+            hess[i, j] = (deviance(at + e[i] + e[j]) - deviance(at + e[i] - e[j]) - deviance(at - e[i] + e[j]) + deviance(at - e[i] - e[j])) / (4 * h[i] * h[j])
     try:
         cov = 2 * np.linalg.inv(hess)
     except np.linalg.LinAlgError:
-        return fit.N - fit.p
+        return most
     spread = float(grad @ cov @ grad)
-    return 2 * variance(at) ** 2 / spread if spread > 0 else fit.N - fit.p
+    return 2 * variance(at) ** 2 / spread if spread > 0 else most
 
 
 def permutation_test(shuffles: DataFrame, y: str, group: str, observed: float, q: float) -> DataFrame:
@@ -266,188 +270,9 @@ def permutation_test(shuffles: DataFrame, y: str, group: str, observed: float, q
     return counts.select(F.when(F.col("perm_n_valid") > 0, p).alias("perm_p"), "perm_n_valid")
 
 
-# --- crossed intercepts, and a random slope --------------------------------------------------------------
-
-class Crossed:
-    """y ~ positive + (1 | interviewer) + (1 | participant), or with the slope of positive by participant."""
-
-    def __init__(self, cells: pd.DataFrame, q: float, slope: bool = False, null: bool = False):
-        cells = cells.sort_values(["interviewer_id", "participant_id", "sentiment"], kind="stable")
-        i, p = (pd.factorize(cells[c])[0] for c in ("interviewer_id", "participant_id"))
-        n, s = cells["n"].to_numpy(float), cells["s"].to_numpy(float)
-        d = (cells["sentiment"] == "positive").to_numpy(float)
-        x = np.stack([np.ones(len(d)), d], 1)[:, : 1 if null else 2]
-        blocks = [np.eye(i.max() + 1)[i], np.eye(p.max() + 1)[p]]
-        if slope:
-            blocks.append(blocks[1] * d[:, None])
-        self.sizes, z = [b.shape[1] for b in blocks], np.concatenate(blocks, 1)
-        self.N, self.p, self.q, self.slope = float(n.sum()), x.shape[1], q, slope
-        self.ZZ, self.ZX, self.Zy = (z * n[:, None]).T @ z, (z * n[:, None]).T @ x, z.T @ s
-        self.XX, self.Xy = (x * n[:, None]).T @ x, x.T @ s
-
-    def parts(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
-        a, b = self.sizes[:2]
-        lam = np.zeros_like(self.ZZ)
-        lam[range(a), range(a)] = theta[0]
-        lam[range(a, a + b), range(a, a + b)] = theta[1]
-        if self.slope:
-            lam[range(a + b, a + 2 * b), range(a, a + b)] = theta[2]
-            lam[range(a + b, a + 2 * b), range(a + b, a + 2 * b)] = theta[3]
-        chol = np.linalg.cholesky(lam.T @ self.ZZ @ lam + np.eye(len(lam)))
-        rx, ry = np.linalg.solve(chol, lam.T @ self.ZX), np.linalg.solve(chol, lam.T @ self.Zy)
-        info = self.XX - rx.T @ rx
-        c = self.Xy - rx.T @ ry
-        beta = np.linalg.solve(info, c)
-        return info, beta, max(self.q - float(ry @ ry) - float(beta @ c), 1e-300), 2 * float(np.log(np.diag(chol)).sum())
-
-    def deviance(self, theta: np.ndarray, reml: bool) -> float:
-        info, _, rss, logdet = self.parts(np.abs(theta) if not self.slope else theta)
-        m = self.N - self.p if reml else self.N
-        out = m * math.log(2 * math.pi * rss / m) + logdet + m
-        return out + np.linalg.slogdet(info)[1] if reml else out
-
-    def fit(self, reml: bool) -> tuple[np.ndarray, float, bool]:
-        width = 4 if self.slope else 2
-        starts = [np.full(width, v) for v in (0.1, 1.0)]
-        found = [nelder_mead(lambda t: self.deviance(t, reml), s) for s in starts]
-        return min(found, key=lambda r: r[1])
-
-
-FOCAL_FIELDS = (
-    "n_obs", "estimate", "se", "z", "lrt_stat", "p_lrt", "sigma2_interviewer", "sigma2_participant", "slope_var_participant",
-    "slope_lrt_stat", "slope_p_lrt", "method", "converged",
-)
-
-
-def focal_model(rows: DataFrame, y: str) -> dict[str, float | str | int | bool | None]:
-    """Positive against negative with crossed intercepts: REML estimate, ML likelihood ratio, slope check.
-
-    rows: sentiment (negative or positive), interviewer_id, participant_id and y. The cell table and matrices as
-    wide as interviewers and participants come to the driver.
-    """
-    kept = rows.where(F.col(y).isNotNull() & ~F.isnan(y) & F.col("sentiment").isin("negative", "positive"))
-    cells = _local(kept.groupBy("interviewer_id", "participant_id", "sentiment").agg(F.count("*").alias("n"), F.sum(y).alias("s")))
-    q = kept.agg(F.sum(F.col(y) * F.col(y)).alias("q")).first()["q"]
-    out: dict = dict.fromkeys(FOCAL_FIELDS) | {"n_obs": int(cells["n"].sum()) if len(cells) else 0, "method": "not_fittable", "converged": False}
-    if not len(cells) or min(cells[c].nunique() for c in ("sentiment", "interviewer_id", "participant_id")) < 2 or out["n_obs"] < 10:
-        return out
-    full = Crossed(cells, q)
-    theta, _, out["converged"] = full.fit(True)
-    info, beta, rss, _ = full.parts(np.abs(theta))
-    s2 = rss / (full.N - full.p)
-    out |= {"estimate": float(beta[1]), "se": math.sqrt(s2 * np.linalg.inv(info)[1, 1])}
-    out["z"] = out["estimate"] / out["se"]
-    out["sigma2_interviewer"], out["sigma2_participant"] = (float(t * t * s2) for t in theta)
-    ml = full.fit(False)[1]
-    out["lrt_stat"] = max(Crossed(cells, q, null=True).fit(False)[1] - ml, 0.0)
-    out["p_lrt"] = chi2_sf(out["lrt_stat"], 1)
-    flat = [n for n, k in (("interviewer", "sigma2_interviewer"), ("participant", "sigma2_participant")) if out[k] < SINGULAR]
-    out["method"] = f"lmer_singular({'+'.join(flat)})" if flat else "lmer"
-    sloped = Crossed(cells, q, slope=True)
-    theta, dev, _ = sloped.fit(False)
-    s2 = sloped.parts(theta)[2] / sloped.N
-    out["slope_var_participant"] = float((theta[2] ** 2 + theta[3] ** 2) * s2)
-    out["slope_lrt_stat"] = max(ml - dev, 0.0)
-    out["slope_p_lrt"] = chi2_sf(out["slope_lrt_stat"], 2)
-    return out
-
-
-# --- binomial mixed models -------------------------------------------------------------------------------
-
-class Binomial:
-    """succ of n ~ positive + (1 | interviewer) + (1 | participant) [+ (1 | observation)], Laplace approximation.
-
-    cells: interviewer_id, participant_id, sentiment, succ, n, times (how many observations are just alike).
-    Alike observations share the mode of their own effect, so one row stands for them.
-    """
-
-    def __init__(self, cells: pd.DataFrame, per_row: bool, null: bool = False):
-        cells = cells.sort_values(["interviewer_id", "participant_id", "sentiment", "succ", "n"], kind="stable")
-        self.i, self.j = (pd.factorize(cells[c])[0] for c in ("interviewer_id", "participant_id"))
-        self.a, self.b = self.i.max() + 1, self.j.max() + 1
-        self.k, self.n, self.w = (cells[c].to_numpy(float) for c in ("succ", "n", "times"))
-        d = (cells["sentiment"] == "positive").to_numpy(float)
-        self.x = np.stack([np.ones(len(d)), d], 1)[:, : 1 if null else 2]
-        self.per_row = per_row
-        self.u, self.e = np.zeros(self.a + self.b), np.zeros(len(d))
-
-    def deviance(self, v: np.ndarray) -> float:
-        p = self.x.shape[1]
-        beta, theta = v[:p], np.abs(v[p:])
-        scale = np.concatenate([np.full(self.a, theta[0]), np.full(self.b, theta[1])])
-        own = theta[2] if self.per_row else 0.0
-        u, e, fixed = self.u.copy(), self.e.copy(), self.x @ beta
-        last = math.inf
-        for _ in range(60):
-            eta = np.clip(fixed + (scale * u)[self.i] + (scale * u)[self.a + self.j] + own * e, -30, 30)
-            mu = 1 / (1 + np.exp(-eta))
-            r, h = self.k - self.n * mu, np.maximum(self.n * mu * (1 - mu), 1e-12)
-            de = 1 + own * own * h
-            ge = own * r - e
-            # Newton step with each observation's own effect eliminated.
-            hz, rz = h / de * self.w, (r - h * own * ge / de) * self.w
-            zz = np.zeros((self.a + self.b,) * 2)
-            np.add.at(zz, (self.i, self.i), hz)
-            np.add.at(zz, (self.a + self.j, self.a + self.j), hz)
-            np.add.at(zz, (self.i, self.a + self.j), hz)
-            np.add.at(zz, (self.a + self.j, self.i), hz)
-            info = scale[:, None] * zz * scale[None, :] + np.eye(len(scale))
-            grad = scale * (np.bincount(self.i, rz, self.a + self.b) + np.bincount(self.a + self.j, rz, self.a + self.b)) - u
-            du = np.linalg.solve(info, grad)
-            back = (scale * du)[self.i] + (scale * du)[self.a + self.j]
-            de_step = (ge - own * h * back) / de
-            u, e = u + du, e + de_step
-            size = max(np.abs(du).max(initial=0), np.abs(de_step).max(initial=0))
-            if size < 1e-9 or size >= last * 10:
-                break
-            last = size
-        self.u, self.e = u, e
-        eta = np.clip(fixed + (scale * u)[self.i] + (scale * u)[self.a + self.j] + own * e, -30, 30)
-        choose = np.array([math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) for n, k in zip(self.n, self.k, strict=True)])
-        log = self.w @ (choose + self.k * eta - self.n * np.logaddexp(0, eta))
-        return float(-2 * log + u @ u + self.w @ (e * e) + np.linalg.slogdet(info)[1] + self.w @ np.log(de))
-
-    def fit(self) -> tuple[np.ndarray, float, bool]:
-        p = self.x.shape[1]
-        rate = np.clip((self.w @ self.k) / (self.w @ self.n), 1e-4, 1 - 1e-4)
-        start = np.concatenate([[math.log(rate / (1 - rate))], np.zeros(p - 1), np.full(3 if self.per_row else 2, 0.5)])
-        found = nelder_mead(self.deviance, start, 0.25, 2500, 1e-8)
-        return nelder_mead(self.deviance, found[0], 0.05, 1500, 1e-9)
-
-
-def focal_binomial(rows: DataFrame, succ: str, total: str, per_row: bool = True) -> dict[str, float | str | int | bool | None]:
-    """Aggregated counts with an effect for each observation, or (per_row False) whether there was any success."""
-    kept = rows.where(F.col("sentiment").isin("negative", "positive") & (F.col(total) > 0))
-    k = F.col(succ).cast("double") if per_row else (F.col(succ) > 0).cast("double")
-    n = F.greatest(F.col(total), F.col(succ)).cast("double") if per_row else F.lit(1.0)
-    cells = _local(kept.groupBy("interviewer_id", "participant_id", "sentiment", k.alias("succ"), n.alias("n")).agg(F.count("*").alias("times")))
-    names = ("n_obs", "estimate", "se", "z", "p_wald", "odds_ratio", "lrt_stat", "p_lrt", "sigma2_interviewer", "sigma2_participant", "method", "converged")
-    out: dict = dict.fromkeys(names) | {"n_obs": int(cells["times"].sum()) if len(cells) else 0, "method": "not_fittable", "converged": False}
-    if not len(cells) or min(cells[c].nunique() for c in ("sentiment", "interviewer_id", "participant_id")) < 2 or out["n_obs"] < 10:
-        return out
-    if not per_row and cells["succ"].nunique() < 2:
-        return out | {"method": "no_variance_in_binary_dv"}
-    full = Binomial(cells, per_row)
-    v, dev, out["converged"] = full.fit()
-    null = Binomial(cells, per_row, null=True).fit()[1]
-    h = 1e-3
-    e = np.eye(len(v))[:2]
-    curve = np.array([[(full.deviance(v + h * (e[i] + e[j])) - full.deviance(v + h * (e[i] - e[j])) - full.deviance(v - h * (e[i] - e[j])) + full.deviance(v - h * (e[i] + e[j]))) / (4 * h * h) for j in range(2)] for i in range(2)])
-    out["estimate"], out["odds_ratio"] = float(v[1]), math.exp(v[1])
-    out["se"] = math.sqrt(max(2 * np.linalg.inv(curve)[1, 1], 0.0))
-    out["z"] = out["estimate"] / out["se"] if out["se"] > 0 else None
-    out["p_wald"] = math.erfc(abs(out["z"]) / math.sqrt(2)) if out["z"] is not None else None
-    out["lrt_stat"] = max(null - dev, 0.0)
-    out["p_lrt"] = chi2_sf(out["lrt_stat"], 1)
-    out["sigma2_interviewer"], out["sigma2_participant"] = float(v[2] ** 2), float(v[3] ** 2)
-    flat = [m for m, key in (("interviewer", "sigma2_interviewer"), ("participant", "sigma2_participant")) if out[key] < SINGULAR]
-    out["method"] = ("glmer_olre" + (f"_singular({'+'.join(flat)})" if flat else "")) if per_row else "glmer_bernoulli"
-    return out
-
-
 # --- residuals -------------------------------------------------------------------------------------------
 
-#: Values up to which W is computed, the range its approximation was made for.
+#: Values up to which Royston's approximation was made; for more, W is that of as many evenly spaced order statistics.
 SHAPIRO_MOST = 5000
 
 
@@ -459,7 +284,7 @@ def moments(rows: DataFrame, column: str) -> DataFrame:
 def residuals(rows: DataFrame, y: str, group: str) -> DataFrame:
     """rows with resid: the value less the fitted label mean and the group's predicted effect, at REML."""
     kept = rows.where(F.col(y).isNotNull() & ~F.isnan(y) & F.col("sentiment").isin(*SENTIMENTS))
-    cells = _local(cells_of(rows, y, group)).sort_values([group, "sentiment"], kind="stable")
+    cells = local(cells_of(rows, y, group)).sort_values([group, "sentiment"], kind="stable")
     q = kept.agg(F.sum(F.col(y) * F.col(y)).alias("q")).first()["q"]
     code, labels, n, s = _numbered(cells, group, "sentiment")
     x = design(labels)
@@ -506,9 +331,17 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
     return w, 1 - normal.cdf((value - mean) / spread)
 
 
+def normal_sample(rows: DataFrame, column: str, most: int = SHAPIRO_MOST) -> np.ndarray:
+    """All values if there are no more than `most`, else `most` evenly spaced order statistics of all of them, without a collect."""
+    if rows.where(F.col(column).isNotNull()).limit(most + 1).count() <= most:
+        return np.array([r[0] for r in rows.select(column).where(F.col(column).isNotNull()).collect()])
+    shares = [(i - 0.5) / most for i in range(1, most + 1)]
+    return np.array(rows.agg(F.percentile_approx(column, shares, F.lit(100 * most))).first()[0])
+
+
 def residual_normality(rows: DataFrame, y: str, group: str) -> dict[str, float | None]:
-    """resid_skewness and resid_kurtosis over all rows; resid_shapiro_w and _p where there are no more than 5000."""
+    """resid_skewness and resid_kurtosis over all rows, resid_shapiro_w and _p of normal_sample() of them."""
     resid = residuals(rows, y, group)
     m = moments(resid, "resid").first()
-    w, p = shapiro_wilk(np.array([r["resid"] for r in resid.select("resid").collect()])) if m["n"] <= SHAPIRO_MOST else (None, None)
+    w, p = shapiro_wilk(normal_sample(resid, "resid"))
     return {"resid_shapiro_w": w, "resid_shapiro_p": p, "resid_skewness": m["skewness"], "resid_kurtosis": m["kurtosis"]}

@@ -89,6 +89,14 @@ def summary_lines(summary: DataFrame) -> DataFrame:
     return summary.select(F.format_string("  %-12s %6d", F.coalesce("label", F.lit("TOTAL")), "n").alias("line"))
 
 
+def progress(turns: DataFrame, every: int = 64, file_col: str = "file") -> DataFrame:
+    """(file, batch, n, done): the client's turns in batches of `every`, as a labelling run reports them."""
+    kept = turns.where((T.strip(F.coalesce("text", F.lit(""))) != "") & (T.canonical_speaker(F.col("speaker")) == "client"))
+    place = F.row_number().over(Window.partitionBy(file_col).orderBy("idx")) - 1
+    each = kept.withColumn("place", place).groupBy(file_col, F.floor(F.col("place") / every).cast("int").alias("batch"))
+    return each.agg(F.count("*").alias("n"), (F.max("place") + 1).cast("bigint").alias("done"))
+
+
 def turn_totals(turns: DataFrame, file_col: str = "file") -> DataFrame:
     role = T.canonical_speaker(F.col("speaker"))
     return turns.groupBy(file_col).agg(

@@ -148,7 +148,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interviews from orders: some without bindung, some with an empty one, some without transcript."""
     o = read(spark, sf_dir, "orders")
     code = F.concat(F.lit(" p"), F.col("o_custkey").cast("string"))
-    return o.where("o_orderkey % 3 = 0").select(
+    return o.select(
         F.col("o_orderkey").alias("interview"), code.alias("patient_id"), (F.col("o_orderkey") % 5 != 0).alias("names_bindung"),
         (F.col("o_orderkey") % 10 > 0).alias("has_bindung"), F.when(F.col("o_orderkey") % 7 != 0, F.concat(F.lit("t"), F.col("o_orderkey").cast("string"))).alias("transcript"),
     ).withColumn("has_bindung", F.col("names_bindung") & F.col("has_bindung"))
@@ -158,22 +158,22 @@ CATALOG = """catalog AS (
   SELECT o_orderkey AS interview, ' p' || CAST(o_custkey AS VARCHAR) AS patient_id, o_orderkey % 5 <> 0 AS names_bindung,
          o_orderkey % 5 <> 0 AND o_orderkey % 10 > 0 AS has_bindung,
          CASE WHEN o_orderkey % 7 <> 0 THEN 't' || CAST(o_orderkey AS VARCHAR) END AS transcript
-  FROM orders WHERE o_orderkey % 3 = 0
+  FROM orders
 )"""
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path and code of labelled files, one or two for a customer."""
+    """path and code of labelled files, one or two for a customer; every fourth customer's code is in no catalog."""
     c = read(spark, sf_dir, "customer")
-    name = F.concat(F.lit("translate_p"), F.col("c_custkey").cast("string"), F.lit("_"), F.col("v").cast("string"), F.lit("_bindung_sentiment.json"))
-    twice = c.where("c_custkey % 4 <> 0").withColumn("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c_custkey") % 2)))
-    return twice.select(name.alias("path"), F.upper(F.concat(F.lit("p"), F.col("c_custkey").cast("string"))).alias("code"))
+    code = F.concat(F.when(F.col("c_custkey") % 4 == 0, "x").otherwise("p"), F.col("c_custkey").cast("string"))
+    name = F.concat(F.lit("translate_"), code, F.lit("_"), F.col("v").cast("string"), F.lit("_bindung_sentiment.json"))
+    twice = c.withColumn("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c_custkey") % 2)))
+    return twice.select(name.alias("path"), F.upper(code).alias("code"))
 
 
 FILES = """files AS (
-  SELECT 'translate_p' || CAST(c_custkey AS VARCHAR) || '_' || CAST(v AS VARCHAR) || '_bindung_sentiment.json' AS path,
-         'P' || CAST(c_custkey AS VARCHAR) AS code
-  FROM (SELECT c_custkey, unnest(range(c_custkey % 2 + 1)) AS v FROM customer WHERE c_custkey % 4 <> 0)
+  SELECT 'translate_' || c || '_' || CAST(v AS VARCHAR) || '_bindung_sentiment.json' AS path, upper(c) AS code
+  FROM (SELECT CASE WHEN c_custkey % 4 = 0 THEN 'x' ELSE 'p' END || CAST(c_custkey AS VARCHAR) AS c, unnest(range(c_custkey % 2 + 1)) AS v FROM customer)
 ), idx AS (SELECT code, min(path) AS path FROM files GROUP BY code)"""
 
 

@@ -78,6 +78,17 @@ def coerce_ms(spark, sf_dir):
     return A.read(spark, sf_dir, "events").select("event_id", T.coerce_ms(raw, F.col("event_id")).alias("ms"))
 
 
+JSON_MS = ["12", "1.9", "-1.9", "true", "false", "null", '" 7 "', '"12.5"', '"x"', "[1]", "2.5e3"]
+
+
+@query("""SELECT event_id, CASE WHEN k IN ('UBIGINT', 'BIGINT') THEN CAST(raw AS BIGINT) WHEN k = 'DOUBLE' THEN CAST(trunc(CAST(raw AS DOUBLE)) AS BIGINT)
+  WHEN k = 'BOOLEAN' THEN CAST(CAST(raw AS BOOLEAN) AS BIGINT) WHEN k = 'VARCHAR' AND regexp_matches(trim(t), '^-?[0-9]+$') THEN CAST(trim(t) AS BIGINT) ELSE event_id END AS ms
+FROM (SELECT event_id, raw, json_type(raw::JSON) AS k, json_extract_string(raw::JSON, '$') AS t FROM (SELECT event_id, %s[event_id %% 11 + 1] AS raw FROM events))""" % JSON_MS)
+def coerce_json_ms(spark, sf_dir):
+    raw = F.element_at(F.array(*map(F.lit, JSON_MS)), (F.col("event_id") % 11 + 1).cast("int"))
+    return A.read(spark, sf_dir, "events").select("event_id", T.coerce_json_ms(F.try_parse_json(raw), F.col("event_id")).alias("ms"))
+
+
 @query("""SELECT event_id, greatest(a, 0) AS start_ms, greatest(coalesce(b, greatest(a, 0)), greatest(a, 0)) AS end_ms
 FROM (SELECT event_id, user_id - 50 AS a, CASE WHEN event_id % 5 <> 0 THEN event_id % 100 - 20 END AS b FROM events)""")
 def clamp_ms(spark, sf_dir):
@@ -227,6 +238,13 @@ def label_summary(spark, sf_dir):
     return turns.label_summary(labels)
 
 
+@query(with_(A.RAW_TURNS) + """SELECT file, batch, count(*) AS n, max(place) + 1 AS done FROM (
+  SELECT file, CAST(place // 2 AS INTEGER) AS batch, place FROM (
+    SELECT file, row_number() OVER (PARTITION BY file ORDER BY idx) - 1 AS place FROM raw_turns WHERE trim(text) <> '' AND lower(trim(speaker)) = 'client')) GROUP BY file, batch""")
+def progress_batches(spark, sf_dir):
+    return turns.progress(A.raw_turns(spark, sf_dir), 2)
+
+
 @query(with_(A.RAW_TURNS) + """SELECT file, count(*) AS turns, count(*) FILTER (lower(trim(speaker)) = 'client') AS client_turns,
   count(*) FILTER (lower(trim(speaker)) <> 'client') AS other_turns FROM raw_turns GROUP BY file""")
 def turn_totals(spark, sf_dir):
@@ -294,6 +312,25 @@ def load_status(spark, sf_dir):
     return jobs.load_status(j, n, o.select(F.col("o_orderkey").alias("job"), (F.col("o_orderkey") % 3).alias("turns")))
 
 
+@query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'missing_paths' WHEN o_orderkey % 13 = 0 THEN 'exception:ValueError:bad'
+  WHEN o_orderkey % 5 = 0 THEN 'empty_openface' WHEN o_orderkey % 7 = 0 THEN 'no_labeled_turns' END AS reason FROM orders) WHERE reason IS NOT NULL GROUP BY reason""")
+def failure_histogram(spark, sf_dir):
+    o = A.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job"))
+    path = F.when(F.col("job") % 11 != 0, "x")
+    listed = o.select("job", path.alias("patient_path"), path.alias("therapist_path"), path.alias("labelled_path"))
+    counts = o.select("job", F.when(F.col("job") % 5 != 0, 3).alias("patient_frames"), F.lit(3).alias("therapist_frames"))
+    errors = o.where("job % 13 = 0").select("job", F.lit("ValueError").alias("kind"), F.lit("bad").alias("message"))
+    return jobs.failure_histogram(jobs.load_status(listed, counts, o.select("job", F.when(F.col("job") % 7 != 0, 2).alias("turns")), errors))
+
+
+@query(with_(A.CATALOG, A.FILES) + """SELECT count(*) AS found, count(*) FILTER (k) AS kept, CAST(0 AS BIGINT) AS skipped_name, count(*) FILTER (NOT k) AS skipped_patient FROM (
+  SELECT code IN (SELECT upper(trim(patient_id)) FROM catalog WHERE names_bindung) AS k FROM files)""")
+def bindung_counts(spark, sf_dir):
+    from turnloom.sources.readers import bindung_counts
+
+    return bindung_counts(A.files(spark, sf_dir), A.catalog(spark, sf_dir))
+
+
 @query(with_(A.STATS) + """SELECT participant_id, count(*) AS n FROM stats WHERE participant_id IN (
   SELECT participant_id FROM stats GROUP BY 1 HAVING count(*) FILTER (sentiment = 'positive') >= 130 AND count(*) FILTER (sentiment = 'neutral') >= 130
   AND count(*) FILTER (sentiment = 'negative') >= 130) GROUP BY participant_id""")
@@ -361,13 +398,13 @@ def grid_turn_closed(spark, sf_dir):
 @query(with_(A.FRAMES, A.GRID, A.NEAREST) + "SELECT dyad, side, i, v FROM nearest")
 def resample_nearest(spark, sf_dir):
     f = A.frames(spark, sf_dir)
-    return dyad.resample_nearest(dyad.common_grid(f, A.HZ), f).select("dyad", "side", "i", "v")
+    return dyad.resample_nearest(dyad.common_grid(f, A.HZ), f, bucket=A.BUCKET_S).select("dyad", "side", "i", "v")
 
 
 @query(with_(A.FRAMES, A.GRID, A.LINEAR) + "SELECT dyad, side, i, round(v, 9) AS v FROM linear")
 def resample_linear(spark, sf_dir):
     f = A.frames(spark, sf_dir)
-    return dyad.resample_linear(dyad.common_grid(f, A.HZ), f).select("dyad", "side", "i", r9("v"))
+    return dyad.resample_linear(dyad.common_grid(f, A.HZ), f, bucket=A.BUCKET_S).select("dyad", "side", "i", r9("v"))
 
 
 SIMUL = """co AS (
@@ -426,6 +463,17 @@ def cross_lag_peak(spark, sf_dir):
     return c.select("dyad", "turn_index", F.round(F.col("peak_lag_s") * A.HZ).cast("long").alias("k"), F.round("cc_r_peak", 9).alias("r"))
 
 
+@query()
+def cross_lag_151(spark, sf_dir):
+    """All 151 lags on a 30 Hz clock: an hour of the recordings counts as one frame's thirtieth of a second."""
+    quick = A.frames(spark, sf_dir).withColumn("ts", F.col("ts") / 108_000)
+    turns_ = A.turns(spark, sf_dir).withColumns({c: F.col(c) / 108_000 for c in ("start_s", "end_s")})
+    # Turns are as long as a dyad's whole record here, so that the longest lag fits.
+    whole = turns_.groupBy("dyad", "interviewer").agg(F.lit(0).alias("turn_index"), F.lit("positive").alias("sentiment"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"))
+    cc = dyad.cross_lag(whole, quick, min_turn_s=4.0)
+    return cc.select("dyad", "turn_index", "n_frames", r9("cc_r"), F.round("peak_lag_s", 6).alias("peak_lag_s"), r9("cc_r_peak"))
+
+
 SYNC = with_(A.FRAMES, A.GRID, A.NEAREST, A.LINEAR, A.TURNS, SIMUL, CROSS, """sync AS (
   SELECT t.dyad AS participant_id, t.interviewer AS interviewer_id, t.turn_index, t.sentiment, round(t.end_s - t.start_s, 3) AS duration_s, coalesce(c.n_frames, 0) AS n_frames,
     'synchrony' AS level, 'duchenne_smile' AS au, c.cc_r, c.peak_lag_s, c.cc_r_peak, coalesce(s.simul_smile_frames, 0) AS simul_smile_frames,
@@ -537,9 +585,10 @@ def perm_shuffle(spark, sf_dir):
   SELECT 'simul_smile' AS measure, count(*) FILTER (l_returnflag = 'A') AS n_positive, round(avg(l_discount) FILTER (l_returnflag = 'A'), 9) AS mean_freq_positive, NULL::DOUBLE AS mean_r_positive FROM lineitem
   UNION ALL SELECT 'duchenne_smile', count(*) FILTER (l_returnflag = 'A'), NULL, round(avg(l_tax) FILTER (l_returnflag = 'A'), 9) FROM lineitem)""")
 def union_measures(spark, sf_dir):
-    x = A.read(spark, sf_dir, "lineitem").where("l_returnflag = 'A'")
-    one = x.agg(F.lit("simul_smile").alias("measure"), F.count("*").alias("n_positive"), F.round(F.avg("l_discount"), 9).alias("mean_freq_positive"))
-    two = x.agg(F.lit("duchenne_smile").alias("measure"), F.count("*").alias("n_positive"), F.round(F.avg("l_tax"), 9).alias("mean_r_positive"))
+    x, positive = A.read(spark, sf_dir, "lineitem"), F.col("l_returnflag") == "A"
+    n = F.count_if(positive).alias("n_positive")
+    one = x.agg(F.lit("simul_smile").alias("measure"), n, F.round(F.avg(F.when(positive, F.col("l_discount"))), 9).alias("mean_freq_positive"))
+    two = x.agg(F.lit("duchenne_smile").alias("measure"), n, F.round(F.avg(F.when(positive, F.col("l_tax"))), 9).alias("mean_r_positive"))
     return one.unionByName(two, allowMissingColumns=True)
 
 
@@ -580,14 +629,41 @@ def wcb(spark, sf_dir):
     return out.select(r9("wcb_beta"), r9("wcb_p"), F.round("wcb_ci_lo", 7).alias("wcb_ci_lo"), F.round("wcb_ci_hi", 7).alias("wcb_ci_hi"), "wcb_n_clusters", "wcb_exact")
 
 
-# --- models: no SQL; tests hold them against dense likelihoods ---------------------------------------------
+# --- result tables; the models in them have no SQL, tests hold those against dense likelihoods -----------------
+
+def _smile(spark, sf_dir):
+    return _turn_rows(spark, sf_dir).withColumnsRenamed({"dyad": "patient_id", "interviewer": "therapist_id"})
+
 
 @query()
 def smile_sentiment_lmm(spark, sf_dir):
     from turnloom.plans import analyses
 
-    rows = _turn_rows(spark, sf_dir).withColumnsRenamed({"dyad": "patient_id", "interviewer": "therapist_id"})
-    return analyses.smile_by_sentiment(rows, perms=20)
+    return analyses.smile_by_sentiment(_smile(spark, sf_dir))
+
+
+def _pooled(a: str, b: str) -> str:
+    return f"(m_{a} - m_{b}) / sqrt(((n_{a} - 1) * s_{a} * s_{a} + (n_{b} - 1) * s_{b} * s_{b}) / (n_{a} + n_{b} - 2))"
+
+
+_LABELS = ("positive", "neutral", "negative")
+_BY_LABEL = ", ".join(f"avg(v) FILTER (sentiment = '{s}') AS m_{s}, stddev_samp(v) FILTER (sentiment = '{s}') AS s_{s}, count(v) FILTER (sentiment = '{s}') AS n_{s}" for s in _LABELS)
+_SMILE_LONG = " UNION ALL ".join(
+    f"SELECT '{p}' AS person, '{m}' AS measure, '{f}' AS fdr_family, dyad, interviewer, sentiment, {c} AS v FROM m"
+    for p, m, c, f in (("client", "duchenne_smile_freq", "client_smile_freq", "frequency"), ("therapist", "duchenne_smile_freq", "therapist_smile_freq", "frequency"),
+                       ("client", "duchenne_smile_intensity", "client_smile_intensity", "intensity"), ("therapist", "duchenne_smile_intensity", "therapist_smile_intensity", "intensity"))
+)
+
+
+@query(TURN_ROWS + f"""SELECT person, measure, fdr_family, n_turns, n_patients, n_therapists, round(grand, 9) AS grand_mean_raw, {', '.join(f'round(m_{s}, 9) AS mean_{s}, n_{s} AS n_turns_{s}' for s in _LABELS)},
+  round({_pooled('positive', 'neutral')}, 9) AS d_positive, round({_pooled('negative', 'neutral')}, 9) AS d_negative, round({_pooled('positive', 'negative')}, 9) AS d_pos_vs_neg
+FROM (SELECT person, measure, fdr_family, count(*) AS n_turns, count(DISTINCT dyad) AS n_patients, count(DISTINCT interviewer) AS n_therapists, avg(v) AS grand, {_BY_LABEL}
+      FROM ({_SMILE_LONG}) WHERE v IS NOT NULL GROUP BY person, measure, fdr_family)""")
+def smile_descriptives(spark, sf_dir):
+    from turnloom.plans import analyses
+
+    d = analyses.smile_descriptives(_smile(spark, sf_dir)).drop("i")
+    return d.select(*[r9(c) if t == "double" else F.col(c) for c, t in d.dtypes])
 
 
 @query()
@@ -597,6 +673,37 @@ def synchrony_lmm(spark, sf_dir):
     return analyses.synchrony_by_sentiment(_sync(spark, sf_dir))
 
 
+_FREQ = ", ".join(f"round(m_{s}, 9) AS mean_freq_{s}, round(s_{s}, 9) AS sd_freq_{s}, CAST(NULL AS DOUBLE) AS mean_r_{s}, CAST(NULL AS DOUBLE) AS mean_z_{s}, CAST(NULL AS DOUBLE) AS sd_z_{s}, n_{s}" for s in _LABELS)
+_ZED = ", ".join(f"CAST(NULL AS DOUBLE) AS mean_freq_{s}, CAST(NULL AS DOUBLE) AS sd_freq_{s}, round(tanh(m_{s}), 9) AS mean_r_{s}, round(m_{s}, 9) AS mean_z_{s}, round(s_{s}, 9) AS sd_z_{s}, n_{s}" for s in _LABELS)
+_SHARE = "sync WHERE simul_smile_freq IS NOT NULL AND simul_smile_n_frames > 0"
+
+
+@query(SYNC + f"""SELECT 'simul_smile' AS measure, 'identity' AS transform, {_FREQ}, round({_pooled('positive', 'negative')}, 9) AS cohens_d, CAST(NULL AS DOUBLE) AS cohens_q
+FROM (SELECT {_BY_LABEL} FROM (SELECT sentiment, simul_smile_freq AS v FROM {_SHARE}))
+UNION ALL SELECT 'simul_smile_any', 'binary', {_FREQ}, round({_pooled('positive', 'negative')}, 9), CAST(NULL AS DOUBLE)
+FROM (SELECT {_BY_LABEL} FROM (SELECT sentiment, CASE WHEN simul_smile_frames > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM {_SHARE}))
+UNION ALL SELECT 'duchenne_smile', 'fisherz', {_ZED}, CAST(NULL AS DOUBLE), round(m_positive - m_negative, 9)
+FROM (SELECT {_BY_LABEL} FROM (SELECT sentiment, atanh(least(abs(cc_r_peak), 0.999)) AS v FROM sync WHERE cc_r_peak IS NOT NULL))""")
+def synchrony_descriptives(spark, sf_dir):
+    from turnloom.plans import analyses
+
+    d = analyses.synchrony_descriptives(_sync(spark, sf_dir))
+    return d.select(*[r9(c) if t == "double" else F.col(c) for c, t in d.dtypes])
+
+
+@query()
+def permutation_test(spark, sf_dir):
+    """The permutation p of one measure with 3000 shuffles within patients."""
+    from turnloom.operators import models
+    from turnloom.scratch import cut
+
+    rows = cut(_smile(spark, sf_dir).where(F.col("client_smile_freq").isNotNull()).select("patient_id", "turn_index", "sentiment", "client_smile_freq"))
+    q = rows.agg(F.sum(F.col("client_smile_freq") ** 2).alias("q")).first()["q"] or 0.0
+    observed = models.sentiment_model(rows, "client_smile_freq", "patient_id")["lr_stat"]
+    shuffles = effects.shuffled(rows, "patient_id", "sentiment", ["turn_index", "client_smile_freq"], 3000, 100_042)
+    return models.permutation_test(shuffles, "client_smile_freq", "patient_id", observed or 0.0, q)
+
+
 @query()
 def stats_lmm(spark, sf_dir):
     """A random-intercept fit on many rows: cells only come to the driver."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from typing import Any
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnloom.functions import text as X
+from turnloom.sources.columns import SYNC_TURNS
 
 ASR_TURN = "array<struct<text:string,start:string,end:string,speaker_id:string>>"
 TRANSLATED_TURN = "array<struct<turn_index:int,text:string,start_ms:bigint,end_ms:bigint,speaker_id:string,original_turn_indices:array<int>,sentiment_label:string>>"
@@ -17,6 +19,11 @@ CATALOG = T.StructType([
     T.StructField("therapist_id", T.StringType()), T.StructField("patient_id", T.StringType()), T.StructField("names_bindung", T.BooleanType()), T.StructField("has_bindung", T.BooleanType()),
     T.StructField("transcript", T.StringType()), T.StructField("patient_openface", T.StringType()), T.StructField("therapist_openface", T.StringType()),
 ])
+SYNC = T.StructType([
+    T.StructField(name, T.LongType() if name in ("turn_index", "n_frames", "simul_smile_frames", "simul_smile_n_frames") else
+                  T.StringType() if name in ("participant_id", "interviewer_id", "sentiment", "level", "au") else T.DoubleType())
+    for name in SYNC_TURNS
+])
 UNITS = ("AU06_r", "AU12_r", "AU06_c", "AU12_c")
 MEDIA = ("*.mov", "*.mp4", "*.wav")
 
@@ -34,10 +41,31 @@ def read_rttm(spark: SparkSession, path: str) -> DataFrame:
     return parse_rttm(lines.select("value", F.col("_metadata.file_path").alias("file")), ["file"])
 
 
-def read_turns(spark: SparkSession, path: str, glob: str = "results_*.json", schema: str = ASR_TURN, recursive: bool = True) -> DataFrame:
-    """file, idx and the fields of each item of JSON arrays, with places kept; files that are no array: no rows,
-    see malformed()."""
-    return _documents(spark, path, glob, schema, recursive).select("file", F.posexplode("items").alias("idx", "item")).select("file", "idx", "item.*")
+def _listed(items: Column, strict: bool) -> Column:
+    """The items, or an error for a file whose top level is no list."""
+    return F.coalesce(items, F.raise_error(F.concat(F.lit("not a JSON list: "), F.col("file"))).cast("void")) if strict else items
+
+
+def read_turns(spark: SparkSession, path: str, glob: str = "results_*.json", schema: str = ASR_TURN, recursive: bool = True, strict: bool = True) -> DataFrame:
+    """file, idx and the fields of each item of JSON arrays, with places kept. A file that is no array is an error; if not
+    strict it has no rows, see malformed()."""
+    found = _documents(spark, path, glob, schema, recursive).select("file", F.posexplode(_listed(F.col("items"), strict)).alias("idx", "item"))
+    return found.select("file", "idx", "item.*")
+
+
+def read_asr_turns(spark: SparkSession, path: str, glob: str = "results_*.json", recursive: bool = True, strict: bool = True) -> DataFrame:
+    """file, idx, speaker, text, start, end of each item, in the types that the items have: numbers are cut to whole
+    milliseconds, a JSON null text or speaker is the word None, an absent one blank or unknown. start is 0 and end the start
+    where there is none that can be read."""
+    whole = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).text(path, wholetext=True)
+    parsed = whole.select(F.col("_metadata.file_path").alias("file"), F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>").alias("items"))
+    each = parsed.select("file", F.posexplode(_listed(F.col("items"), strict)).alias("idx", "item"))
+    field = lambda name: F.try_variant_get("item", f"$.{name}", "variant")
+    start = X.coerce_json_ms(field("start"), F.lit(0).cast("bigint"))
+    return each.select(
+        "file", "idx", X.json_text(field("speaker_id"), "unknown").alias("speaker"), X.json_text(field("text"), "").alias("text"),
+        start.alias("start"), X.coerce_json_ms(field("end"), F.greatest(start, F.lit(0).cast("bigint"))).alias("end"),
+    )
 
 
 def malformed(spark: SparkSession, path: str, glob: str = "results_*.json", recursive: bool = True) -> DataFrame:
@@ -82,6 +110,33 @@ def read_catalog(spark: SparkSession, document: dict[str, Any]) -> DataFrame:
     return spark.createDataFrame(rows, CATALOG)
 
 
+def read_catalog_file(spark: SparkSession, path: str) -> DataFrame:
+    """The data model from a YAML or JSON file in any store that Spark reads."""
+    text = spark.read.text(path, wholetext=True).first()
+    if text is None:
+        return read_catalog(spark, {})
+    if text[0].lstrip().startswith("{"):
+        return read_catalog(spark, json.loads(text[0]))
+    import yaml  # only here: a session without it can still read JSON
+
+    return read_catalog(spark, yaml.safe_load(text[0]) or {})
+
+
+def read_synchrony(spark: SparkSession, path: str) -> DataFrame:
+    """The synchrony table from CSV, by the names in its header: absent columns and empty cells are null, others are left out."""
+    raw = spark.read.option("header", True).csv(path, enforceSchema=False)
+
+    def cell(field: T.StructField) -> Column:
+        value = F.col(field.name) if field.name in raw.columns else F.lit(None).cast("string")
+        if field.dataType == T.StringType():
+            return value.alias(field.name)
+        number = value.try_cast("double")
+        number = F.when(~F.isnan(number), number)
+        return (number.cast("bigint") if field.dataType == T.LongType() else number).alias(field.name)
+
+    return raw.select(*map(cell, SYNC.fields))
+
+
 def read_openface(spark: SparkSession, path: str, threshold: float = 0.5, drop: bool = False) -> DataFrame:
     """file, ts and the four units of frame tables; frames below the confidence lose their values, or go if `drop`."""
     raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path, enforceSchema=False)
@@ -97,8 +152,10 @@ def read_openface(spark: SparkSession, path: str, threshold: float = 0.5, drop:
     return out.select(F.col("_metadata.file_path").alias("file"), number("timestamp").alias("ts"), *map(unit, UNITS))
 
 
-def discover_media(spark: SparkSession, path: str, globs: Sequence[str] = MEDIA) -> DataFrame:
-    """Paths of recordings below a folder, in order."""
+def discover_media(spark: SparkSession, path: str, globs: Sequence[str] = MEDIA, temp_audio: str | None = None) -> DataFrame:
+    """Paths of recordings below a folder, in order. temp_audio: the folder of extracted sound, which alone is looked through."""
+    if temp_audio is not None:
+        path, globs = temp_audio, ("*.wav",)
     found = None
     for glob in globs:
         one = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path")
@@ -106,6 +163,33 @@ def discover_media(spark: SparkSession, path: str, globs: Sequence[str] = MEDIA)
     return found.distinct().orderBy("path")
 
 
+def bindung_counts(files: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """(found, kept, skipped_name, skipped_patient): how many files a discovery keeps; with a catalog codes must match."""
+    named = F.lower(F.regexp_extract("path", r"[^/]*$", 0)).rlike("bindung|brfi")
+    if catalog is None:
+        marked = files.withColumn("known", F.lit(True))
+    else:
+        known = catalog.where("names_bindung").select(F.upper(X.strip(F.col("patient_id"))).alias("code"), F.lit(True).alias("known")).where("code <> ''").distinct()
+        marked = files.join(known, "code", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return marked.agg(
+        F.count("*").alias("found"), F.count_if(named & F.col("known")).alias("kept"), F.count_if(~named).alias("skipped_name"),
+        F.count_if(named & ~F.col("known")).alias("skipped_patient"),
+    )
+
+
+def first_existing(rows: DataFrame, path_col: str, existing: DataFrame, root: str, name: str = "resolved") -> DataFrame:
+    """rows with the first of the path, its rewrite for the other system, or the path below root, that `existing` (path) lists.
+
+    Paths of /mnt/ are rewritten one way, those with a drive the other, any else is taken from the root. None listed: null.
+    """
+    raw = F.col(path_col)
+    other = F.when(raw.startswith("/mnt/"), windows_path(raw)).when(raw.rlike("^.:.") , native_path(raw)).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), raw))
+    asked = rows.where(raw.isNotNull() & (raw != "")).select(raw.alias("_raw"), F.posexplode(F.array(raw, other)).alias("_place", "_path")).distinct()
+    listed = existing.select(F.regexp_replace("path", r"^file:/+", "/").alias("_path")).distinct()
+    best = asked.join(listed, "_path").groupBy("_raw").agg(F.min_by("_path", "_place").alias(name))
+    return rows.join(best, raw.eqNullSafe(F.col("_raw")), "left").drop("_raw")
+
+
 def native_path(path: Column) -> Column:
     """/mnt/c/x for C:\\x; anything else as it is."""
     drive, rest = F.lower(F.substring(path, 1, 1)), F.translate(F.substring(path, 3, 10_000), "\\", "/")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -9,17 +10,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
 from turnloom.operators import turns
-
-# Columns of the tables that are handed on.
-SMILE_TURNS = (
-    "patient_id", "therapist_id", "turn_index", "sentiment", "start_s", "end_s",
-    "client_smile_intensity", "therapist_smile_intensity", "client_smile_freq", "therapist_smile_freq",
-)
-SYNC_TURNS = (
-    "participant_id", "interviewer_id", "turn_index", "sentiment", "duration_s", "n_frames", "level", "au",
-    "cc_r", "peak_lag_s", "cc_r_peak", "simul_smile_frames", "simul_smile_n_frames", "simul_smile_freq",
-)
-
+from turnloom.sources.columns import SMILE_TURNS, SYNC_TURNS  # noqa: F401
 
 def mode(overwrite: bool) -> str:
     """Existing output is left alone unless asked otherwise."""
@@ -58,14 +49,37 @@ def json_documents(items: DataFrame, fields: Sequence[str], file_col: str = "fil
     return docs.select(F.col(file_col).alias("file"), F.to_json(F.col("all.item"), {"ignoreNullFields": "true"}).alias("value"))
 
 
-def write_json(items: DataFrame, path: str, fields: Sequence[str], overwrite: bool = False, file_col: str = "file", order: str = "idx") -> None:
-    """A folder file=<name> for each file with its list of items."""
-    json_documents(items, fields, file_col, order).write.mode(mode(overwrite)).partitionBy("file").text(path)
+def _written(spark, path: str) -> DataFrame:
+    """(dir, file) of the documents below an output folder; none if there is no such folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], "dir string, file string")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    part = lambda name: F.url_decode(F.regexp_replace(F.regexp_extract("path", rf"/{name}=([^/]*)/", 1), r"\+", "%2B"))
+    return found.select(part("dir").alias("dir"), part("file").alias("file")).distinct()
+
+
+def write_json(
+    items: DataFrame, path: str, fields: Sequence[str], overwrite: bool = False, file_col: str = "file", order: str = "idx", root: str | None = None,
+) -> None:
+    """A folder dir=<folder>/file=<name> for each file with its list of items. Files already there are left alone one by
+    one, or replaced if overwrite; files of other names stay. root: the input folder whose sub-folders are mirrored in dir;
+    without it there is one, named all."""
+    docs = json_documents(items, fields, file_col, order)
+    if root is None:
+        docs = docs.withColumn("dir", F.lit("all"))
+    else:
+        top = re.sub("^file:/+", "/", root).rstrip("/")
+        below = F.regexp_replace(F.substring(F.regexp_replace("file", "^file:/+", "/"), len(top) + 1, 1 << 30), "^/+", "")
+        parent = F.regexp_replace(below, "/?[^/]*$", "")
+        docs = docs.withColumns({"dir": F.when(parent == "", "all").otherwise(parent), "file": F.regexp_extract(below, "[^/]*$", 0)})
+    if not overwrite:
+        docs = docs.join(_written(docs.sparkSession, path), ["dir", "file"], "left_anti")
+    out = docs.select("dir", "file", "value").write.partitionBy("dir", "file")
+    (out.mode("overwrite").option("partitionOverwriteMode", "dynamic") if overwrite else out.mode("append")).text(path)
 
 
 def write_label_summary(labels: DataFrame, path: str) -> None:
     """One text: counts of each label over all files, the total, then by file. A line for each file and label."""
-    summary = turns.label_summary(labels)
-    lines = summary.withColumn("line", F.format_string("  %-12s %6d", F.coalesce("label", F.lit("TOTAL")), "n"))
-    ordered = lines.orderBy(F.col("file").asc_nulls_first(), F.col("label").asc_nulls_last()).select("line")
-    ordered.coalesce(1).write.mode("overwrite").text(path)
+    ordered = turns.label_summary(labels).orderBy(F.col("file").asc_nulls_first(), F.col("label").asc_nulls_last())
+    turns.summary_lines(ordered).coalesce(1).write.mode("overwrite").text(path)
