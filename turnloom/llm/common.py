@@ -1,20 +1,15 @@
-"""Helpers that the operators share: scratch tables in the shared folder, hold-out rule, free names."""
+"""Helpers that the operators share: batch sizes, hold-out rule, bounded samples, free names; scratch tables from turnloom.scratch."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnloom.scratch import cut, drop  # noqa: F401
 from turnloom.workers import reachable
 
-#: Folders made for sessions that name none (tests on one machine), by application id.
-_OWN: dict[str, str] = {}
-
-
 #: Bytes of one Arrow batch on its way to Python; a batch by number of rows has no bound when texts are long.
 BATCH_BYTES = "2m"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -28,38 +23,21 @@ def bound_batches() -> None:
         spark.conf.set(_BATCH, BATCH_BYTES)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="turnloom-")
-    return _OWN[app]
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: a short lineage that outlives lost executors."""
-    path = f"{scratch_root(df.sparkSession)}/turnloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table from cut(), once nothing reads them any more."""
-    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-    path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def remainder(doc_id: Column, by: int) -> Column:
     """crc32(doc_id as text) mod by; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(by)
 
 
+def drawn(rows: DataFrame, key: Column, rows_wanted: int, count: int) -> DataFrame:
+    """About rows_wanted of count rows by the hash of a key, the same ones in every run, and never more than twice as many.
+
+    Rows that repeat a key are drawn or left together; the hard limit holds even so, and takes those of the least hash.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    chosen = rows.withColumn("_place", place).where(F.col("_place") < int(min(1.0, rows_wanted / max(count, 1)) * (1 << 30)))
+    return chosen.orderBy("_place", *rows.columns).limit(2 * rows_wanted).drop("_place")
+
+
 def free_name(wanted: str, taken: Iterable[str]) -> str:
     """wanted, with underscores before it until no column has that name."""
     names = {x.lower() for x in taken}
