@@ -9,8 +9,8 @@ from turnloom.llm import byte_bpe, language_id, mixing, pii, simhash
 from turnloom.llm.common import cut, free_name, table
 
 #: Near-duplicates share most of their five-word shingles: the fingerprints have 4 x 64 bits, two texts are linked at
-#: an angle of up to that of a cosine of 0.8 (52 of 256 bits). Blocks do not exceed that radius, so every pair is compared.
-SHINGLE, LANES, DISTANCE, BLOCKS = 5, 4, 52, 21
+#: an angle of up to that of a cosine of 0.8 (52 of 256 bits). They meet in shards named by two min-hashes of 16 pairs.
+SHINGLE, LANES, DISTANCE, ANCHORS = 5, 4, 52, 16
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,15 +22,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; of rows that repeat an id, one.
-
-    Rows with a null id cannot be told apart and stay.
+    """Of each group of near-duplicates one row: that with the smallest id, one without id last; of rows with that id in
+    the group the one whose columns hash least, so a rerun keeps the same. Rows that share an id but not a group all stay.
     """
-    found = simhash.near_duplicates(docs, words=SHINGLE, lanes=LANES, radius=DISTANCE, blocks=BLOCKS)
-    keep = found.where("id = component").select("id").distinct()
-    kept = docs.join(keep, docs.doc_id == keep.id, "left_semi")
-    nameless = docs.where(docs.doc_id.isNull())
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(nameless)
+    mark = free_name("row", docs.columns)
+    known = docs.withColumn(mark, F.xxhash64(*docs.columns))
+    found = simhash.near_duplicates(known, words=SHINGLE, lanes=LANES, radius=DISTANCE, anchors=ANCHORS, row=F.col(mark))
+    first = F.min(F.struct(F.col("id").isNull().alias("without"), "id", "row")).alias("f")
+    keep = found.groupBy("group").agg(first).select(F.col("f.id").alias("id"), F.col("f.row").alias("row"))
+    kept = known.join(keep, (known[mark] == keep["row"]) & known.doc_id.eqNullSafe(keep.id), "left_semi")
+    return kept.dropDuplicates(["doc_id", mark]).select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
