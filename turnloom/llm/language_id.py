@@ -4,7 +4,8 @@ Every language has a codeword of +1 and -1. For each bit a binary classifier tel
 those with -1 by the log odds of hashed byte n-grams; every language counts alike, whatever its share of the
 rows. Its margin is put on a log-odds scale by a logistic fit. Decoding compares the margins with every
 codeword: a wrong sign costs more the larger the margin, bits weigh by how often they were right for that
-language, and the least loss wins. A result is ambiguous if the next codeword's loss is close.
+language, and the least loss wins. A result is ambiguous if the next codeword's loss is close, and foreign if a text of some
+length is far from every codeword, further than any labelled text was.
 """
 
 from __future__ import annotations
@@ -18,17 +19,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, drawn
 
 UNKNOWN = "und"
-#: Expected number of labelled rows that a model is fitted on (all of them if there are fewer).
+#: Labelled rows that a model is fitted on: about this many, twice as many at most.
 SAMPLE_ROWS = 20_000
 #: Hash buckets for n-grams, and the lengths of n-grams in bytes.
 BITS, ORDERS = 15, (3, 4)
-#: A document weighs as this many n-grams at most when counts are summed.
-MOST_GRAMS = 1000
+#: A document's n-grams are counted as if it had this many, but for documents of fewer: shares of a language are means over
+#: documents, not over bytes. All of a text's n-grams are counted, whatever its length.
+EVEN_GRAMS = 1000
 #: Difference of loss below which a result counts as ambiguous.
 AMBIGUOUS = 0.05
+#: A text of this many bytes or more is foreign if its least loss is so many times above the largest of labelled texts as long.
+FOREIGN_BYTES, FOREIGN_TIMES = 200, 1.25
 _KEEP = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _PAD = b"   "
 
@@ -87,6 +91,8 @@ class Model:
     slope: np.ndarray
     offset: np.ndarray
     trust: np.ndarray
+    #: Largest least loss of the labelled texts of FOREIGN_BYTES or more.
+    worst: float = np.inf
 
     def raw(self, texts: list[str | None]) -> np.ndarray:
         """rows x bits: the mean log odds of a text's n-grams."""
@@ -106,10 +112,10 @@ class Model:
         return np.stack([(np.logaddexp(0, -margins * c) * t).sum(1) for c, t in zip(self.code, self.trust, strict=True)], axis=1)
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
-        """lang (und: null, or no letter), score from 0 to 1, ambiguous."""
+        """lang (und: null, or no letter), score from 0 to 1, ambiguous, foreign."""
         n = len(texts)
         if not self.langs or not n:
-            return pd.DataFrame({"lang": [UNKNOWN] * n, "score": np.zeros(n), "ambiguous": np.zeros(n, bool)})
+            return pd.DataFrame({"lang": [UNKNOWN] * n, "score": np.zeros(n), "ambiguous": np.zeros(n, bool), "foreign": np.zeros(n, bool)})
         loss = self.losses(self.raw(texts))
         best = loss.argmin(1)
         ranked = np.sort(loss, axis=1)
@@ -118,7 +124,9 @@ class Model:
         score = 1 / np.exp((ranked[:, :1] - ranked) * bits).sum(1)
         speaks = np.array([x is not None and any(map(str.isalpha, x)) for x in texts])
         lang = np.where(speaks, np.array(self.langs, object)[best], UNKNOWN)
-        return pd.DataFrame({"lang": lang, "score": np.where(speaks, score, 0.0), "ambiguous": ambiguous & speaks})
+        long = np.array([x is not None and len(x.encode("utf-8", "replace")) >= FOREIGN_BYTES for x in texts])
+        foreign = speaks & long & (ranked[:, 0] > FOREIGN_TIMES * self.worst)
+        return pd.DataFrame({"lang": lang, "score": np.where(speaks, score, 0.0), "ambiguous": ambiguous & speaks, "foreign": foreign})
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -146,10 +154,9 @@ def fit(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", key:
     count = labelled.count()
     if not count:
         return Model([], np.zeros((0, 0), np.int8), np.zeros((1 << BITS, 0), np.float32), np.zeros(0), np.zeros(0), np.zeros((0, 0)))
-    share = min(1.0, sample_rows / count)
     key = F.col(text_col) if key is None else key
-    drawn = labelled.where(F.pmod(F.xxhash64(key), F.lit(1 << 24)) < int(share * (1 << 24)))
-    drawn = drawn.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    named = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), key.cast("string").alias("key"))
+    picked = drawn(named, F.col("key"), sample_rows, count).select("text", "lang")
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -161,13 +168,13 @@ def fit(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", key:
                     for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
                         got = np.bincount(slots[a:b], minlength=1 << BITS)
                         sums.setdefault(langs[first + i], np.zeros(1 << BITS))
-                        sums[langs[first + i]] += got * min(1.0, MOST_GRAMS / max(b - a, 1))
+                        sums[langs[first + i]] += got * min(1.0, EVEN_GRAMS / max(b - a, 1))
         for lang, got in sums.items():
             slots = np.flatnonzero(got)
             yield pd.DataFrame({"lang": lang, "slot": slots, "n": got[slots]})
 
     bound_batches()
-    tallied = drawn.mapInPandas(tally, "lang string, slot int, n double").groupBy("lang", "slot").agg(F.sum("n").alias("n")).collect()
+    tallied = picked.mapInPandas(tally, "lang string, slot int, n double").groupBy("lang", "slot").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in tallied})
     counts = np.zeros((len(langs), 1 << BITS))
     place = {x: i for i, x in enumerate(langs)}
@@ -185,28 +192,35 @@ def fit(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", key:
 
     def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"lang": batch["lang"], "raw": list(model.raw(batch["text"].tolist()))})
+            texts = batch["text"].tolist()
+            yield pd.DataFrame({"lang": batch["lang"], "raw": list(model.raw(texts)), "long": [len(x.encode("utf-8", "replace")) >= FOREIGN_BYTES for x in texts]})
 
-    seen = drawn.mapInPandas(margins, "lang string, raw array<double>").collect()
+    seen = picked.mapInPandas(margins, "lang string, raw array<double>, long boolean").collect()
     raw = np.array([r["raw"] for r in seen])
     lang = np.array([place[r["lang"]] for r in seen])
     order = np.lexsort((*raw.T, lang))  # rows come in any order; sums must not depend on it
-    raw, lang = raw[order], lang[order]
+    raw, lang, long = raw[order], lang[order], np.array([r["long"] for r in seen])[order]
     weight = 1 / np.bincount(lang, minlength=len(langs))[lang]
     for b in range(bits):
         model.slope[b], model.offset[b] = _logistic(raw[:, b], (code[lang, b] > 0).astype(float), weight * len(raw) / len(langs))
     right = (raw * model.slope + model.offset) * code[lang] > 0
     trust = np.stack([right[lang == i].mean(0) if (lang == i).any() else np.ones(bits) for i in range(len(langs))])
     model.trust = trust / np.maximum(trust.sum(1, keepdims=True), 1e-9)
+    if long.any():
+        model.worst = float(model.losses(raw[long]).min(1).max())
     return model
 
 
 def predict(text: Column, model: Model) -> Column:
-    """struct<lang string, score double, ambiguous boolean> of whole texts; only the text is looked at."""
+    """struct<lang string, score double, ambiguous boolean, foreign boolean> of whole texts; only the text is looked at.
+
+    A null text, or one without a letter, is und with score 0. Very long texts are read whole, in runs of half a megabyte;
+    equal texts get equal results. A model without languages says und to everything.
+    """
 
     def batches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             yield model.predict(batch.tolist())
 
     bound_batches()
-    return F.pandas_udf(batches, "lang string, score double, ambiguous boolean")(text)
+    return F.pandas_udf(batches, "lang string, score double, ambiguous boolean, foreign boolean")(text)

@@ -11,6 +11,7 @@ accumulated by source, and only the rows of one hash prefix are put in order tog
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,8 +25,9 @@ BUDGET = 1.5
 MAX_EPOCHS = 2
 #: Weight at training times 0, 1/2 and 1, relative to the source's mean weight; sources take them in turn.
 CURRICULUM = ((1.5, 1.0, 0.5), (0.5, 1.0, 1.5), (1.0, 1.0, 1.0))
-#: Hex digits of the order hash that name a bucket: 16 ** 3 buckets for each source.
-BUCKET_DIGITS = 3
+#: Hex digits of the order hash that name a bucket, least and most, and the rows of a bucket that they aim at. The order of
+#: the rows does not depend on how many digits there are.
+BUCKET_DIGITS, BUCKET_ROWS = (3, 5), 20_000
 
 
 def words(text: Column) -> Column:
@@ -110,10 +112,12 @@ def mix(
 
     taken: words of this document in the mix, repeats counted; the document at which a source's target runs
     out counts with the words up to there. positions: the training time of each pass that starts.
-    Null text: size 0, nothing taken. Null ids sort as the empty text. Repeated rows are separate documents.
+    Rows lie in the order of a hash of id and text, so rows that repeat an id or have none are spread like others.
+    Null text: size 0, nothing taken. Null ids count as the empty text. Repeated rows are separate documents.
     Other columns of docs, whatever their names, are not read unless they are in `keep`.
     """
-    h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    h = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))
+    digits = min(max(math.ceil(math.log(max(docs.count(), 1) / BUCKET_ROWS, 16)), BUCKET_DIGITS[0]), BUCKET_DIGITS[1])
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.struct(F.col(source_col).alias("name")).alias("s"),
@@ -123,7 +127,7 @@ def mix(
     )
     # A null source is a value of its own here: joins on a plain null would lose it.
     rows = rows.withColumn("src", F.concat(F.when(F.col("s.name").isNull(), "1").otherwise("0"), F.coalesce("s.name", F.lit(""))))
-    rows = rows.drop("s").withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
+    rows = rows.drop("s").withColumn("bucket", F.substring("h", 1, digits))
     if not keep:
         rows = cut(rows)
     sums = cut(rows.groupBy("src", "bucket").agg(F.sum("size").alias("size")))

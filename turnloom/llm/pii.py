@@ -4,35 +4,60 @@ A surrogate is a keyed permutation of the entity within all texts of its shape:
 letters of their script and case, separators stay where they are. Within a shape a permutation cannot map two
 entities to one, and it needs no table: the same entity gets the same surrogate in every document, on every
 executor, at every run with the same key. Types add what their format asks for: cards keep their first digit
-and how far their last digit is off the checksum, phones keep the country code, addresses stay in their range,
-e-mails keep their top-level domain, secrets keep their marker, names become pronounceable names of the same
-script with an ending for the gender that the title tells.
+and how far their last digit is off the checksum, account numbers their remainder by 97, phones their country code, addresses
+stay in their range, e-mails keep their top-level domain and share surrogates of domains, secrets keep their marker, names
+become pronounceable names of the same script, given names with an ending of their gender. What a word of a name becomes
+depends on the word alone, not on a title or a place, so a person is the same one wherever they are mentioned.
+
+The key is a secret: who has it can undo the permutations. It is an argument of every function here; queries take it from the
+session's spark.turnloom.surrogateKey or, where that is unset, draw one for the application, so that other
+applications give other surrogates.
+
+Defined results: a null text stays null, an empty one empty, neither has entities. Texts are read whole, in time linear in their
+length. Repeated rows get the same surrogates. Only the text column is read; others may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import secrets
 from bisect import bisect
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, cut
 
-KEY = b"turnloom surrogate key"
+#: Where the key is looked for, and the keys drawn for applications that name none.
+KEY_CONF = "spark.turnloom.surrogateKey"
+_DRAWN: dict[str, bytes] = {}
 _ROUNDS = 8
-
-# Titles and the gender they tell, by language.
-TITLES = {
-    "Mr": "m", "Mister": "m", "Sir": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Dr": "", "Prof": "",
-    "Herr": "m", "Herrn": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f",
-    "Sr": "m", "Señor": "m", "Sra": "f", "Señora": "f", "Srta": "f", "Don": "m", "Doña": "f",
-    "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f",
-}
+#: Characters that are permuted as one number; longer texts go block by block.
+_BLOCK = 64
+#: Letters of a word that can be part of a name; characters of the two parts of an e-mail address.
+NAME_LETTERS, LOCAL_MOST, DOMAIN_MOST = 40, 64, 253
+
+# Titles that come before a name, and given names by gender.
+TITLES = (
+    "Mr", "Mister", "Sir", "Mrs", "Ms", "Miss", "Madam", "Dr", "Prof", "Herr", "Herrn", "Frau", "Monsieur", "Madame", "Mme", "Mlle",
+    "Sr", "Señor", "Sra", "Señora", "Srta", "Don", "Doña", "Господин", "Госпожа", "Κύριος", "Κυρία",
+)
+WOMEN = (
+    "mary", "patricia", "jennifer", "linda", "elizabeth", "susan", "jessica", "sarah", "karen", "lisa", "nancy", "emily", "anna", "emma", "julia", "laura", "alice", "jane",
+    "marie", "claire", "sophie", "camille", "julie", "maria", "carmen", "ana", "lucia", "elena", "isabel", "sabine", "petra", "ursula", "katrin", "ingrid",
+    "анна", "мария", "елена", "ольга", "наталья", "ирина", "μαρία", "ελένη", "άννα", "σοφία",
+)
+MEN = (
+    "james", "robert", "john", "michael", "david", "william", "richard", "thomas", "charles", "daniel", "paul", "mark", "george", "peter", "martin", "adam", "bob", "tom",
+    "jean", "pierre", "michel", "philippe", "luc", "jose", "juan", "carlos", "miguel", "luis", "pedro", "hans", "klaus", "stefan", "jürgen", "karl",
+    "иван", "алексей", "сергей", "дмитрий", "андрей", "николай", "γιώργος", "δημήτρης", "νίκος", "κώστας",
+)
+_GIVEN = dict.fromkeys(WOMEN, "f") | dict.fromkeys(MEN, "m")
 #: Ends of a given name by script and gender; none is known: no ending.
 ENDINGS = {"latin": {"f": "a", "m": "o"}, "cyrillic": {"f": "а", "m": ""}, "greek": {"f": "α", "m": "ος"}}
 CONSONANTS = {"latin": "bdfgklmnprstv", "cyrillic": "бвгдклмнпрстф", "greek": "βγδκλμνπρστφχ"}
@@ -45,13 +70,18 @@ _LETTERS = {
     "greek": "".join(map(chr, range(0x3AC, 0x3CF))),
 }
 
-_EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
+_DOMAIN = re.compile(r"[A-Za-z0-9.-]*")
+_LABEL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?")
+_TOP = re.compile(r"[A-Za-z]{2,}")
 _SECRET = re.compile(
     r"\b(?P<aws>AKIA|ASIA)[A-Z0-9]{16}\b"
     r"|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b)(?P<to>[\"']?\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9_+/.\-]{6,}=*)"
 )
+_MIXED = re.compile(r"\d|[a-z][A-Z]|[_+/=]|[.\-].*[.\-]")
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 _IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)")
+_IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 _CARD = re.compile(r"(?<![\d-])[3-6]\d(?:[ -]?\d){11,17}(?![\d-])")
 _PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-])")
@@ -60,7 +90,9 @@ _ISSUED = re.compile(r"3[47]\d{13}|3[0689]\d{12,17}|35\d{14,17}|4(?:\d{12}|\d{15
 #: Calling codes: 1 and 7, those of two digits, else three.
 _COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3}")
 _WORD = r"[^\W\d_]+"
-_NAME = re.compile(rf"\b(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?P<name>{_WORD}(?:[-']{_WORD})?(?: {_WORD}(?:[-']{_WORD})?){{0,2}})")
+_PART = rf"{_WORD}(?:[-']{_WORD})?"
+_NAME = re.compile(rf"\b(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?P<name>{_PART}(?: {_PART}){{0,2}})")
+_MENTION = re.compile(rf"(?<!\w){_WORD}(?!\w)")
 _HEX = re.compile("[0-9a-f]+")
 _HINT = re.compile(r"[0-9@=:]")
 
@@ -109,20 +141,27 @@ def _han() -> str:
 
 
 def shape_permute(text: str, key: bytes, tweak: str, free: Callable[[int, str], bool] = lambda i, c: True) -> str:
-    """The text with its free characters permuted together within their alphabets; others stay."""
+    """The text with its free characters permuted together within their alphabets; others stay.
+
+    More than a block of them go block by block, each under what the blocks before it became.
+    """
     places = [(i, a) for i, c in enumerate(text) if free(i, c) and (a := _alphabet(c)) and c in a]
-    value, size = 0, 1
-    for i, a in places:
-        value, size = value * len(a) + a.index(text[i]), size * len(a)
-    shape = list(text)
-    for i, a in places:
-        shape[i] = a[0]
-    shape = "".join(shape)
-    value = permute(value, size, key, f"{tweak}|{shape}")
     out = list(text)
-    for i, a in reversed(places):
-        value, at = divmod(value, len(a))
-        out[i] = a[at]
+    for i, a in places:
+        out[i] = a[0]
+    tweak = f"{tweak}|{''.join(out)}"
+    if len(places) > _BLOCK:
+        tweak = hashlib.sha256(tweak.encode("utf-8", "surrogatepass")).hexdigest()
+    for at in range(0, len(places), _BLOCK):
+        part = places[at : at + _BLOCK]
+        value, size = 0, 1
+        for i, a in part:
+            value, size = value * len(a) + a.index(text[i]), size * len(a)
+        value = permute(value, size, key, tweak)
+        for i, a in reversed(part):
+            value, digit = divmod(value, len(a))
+            out[i] = a[digit]
+        tweak = hashlib.sha256(f"{tweak}|{''.join(out[i] for i, _ in part)}".encode("utf-8", "surrogatepass")).hexdigest()
     return "".join(out)
 
 
@@ -162,10 +201,25 @@ def card_span(text: str) -> tuple[int, int] | None:
 
 
 def phone(text: str, key: bytes) -> str:
-    """Country code and layout stay; the national number is permuted, whatever its layout."""
+    """Country code and layout stay; the national number is permuted, whatever its layout. Ten digits without a country are
+    numbers of country 1, as the layouts looked for are those of its plan."""
     bare = _bare(text)
     after = _COUNTRY.match(bare).end() if text.startswith("+") else 0
-    return _laid_out(text, shape_permute(bare, key, f"phone {bare[:after]}" if after else "phone", lambda i, c: i >= after))
+    country = bare[:after] or ("1" if len(bare) == 10 else "")
+    return _laid_out(text, bare[:after] + shape_permute(bare[after:], key, f"phone {country}"))
+
+
+def ssn(text: str, key: bytes) -> str:
+    """Numbers that can have been given out stay such, others stay others."""
+    valid = lambda a, g, n: 0 < a < 900 and a != 666 and g > 0 and n > 0
+    parts = tuple(map(int, text.split("-")))
+    kind = valid(*parts)
+    value = parts[0] * 10**6 + parts[1] * 10**4 + parts[2]
+    while True:
+        value = permute(value, 10**9, key, "ssn")
+        area, group, number = value // 10**6, value // 10**4 % 100, value % 10**4
+        if valid(area, group, number) == kind:
+            return f"{area:03}-{group:02}-{number:04}"
 
 
 _RANGES = ((10 << 24, 24), (172 << 24 | 16 << 16, 20), (192 << 24 | 168 << 16, 16), (127 << 24, 24), (169 << 24 | 254 << 16, 16))
@@ -195,12 +249,62 @@ def ip(text: str, key: bytes) -> str | None:
     return ".".join(str(number >> s & 255) for s in (24, 16, 8, 0))
 
 
+#: Ranges of addresses that stay among themselves: bits of the prefix and its value; others keep their first eight bits.
+_RANGES6 = ((10, 0xFE80 >> 6), (7, 0xFC00 >> 9), (3, 0x2000 >> 13))
+
+
+def ip6(text: str, key: bytes) -> str | None:
+    """An address of the same range, in the short form; loopback, unspecified and what is no address: None."""
+    try:
+        number = int(ipaddress.IPv6Address(text))
+    except ValueError:
+        return None
+    if number < 2:
+        return None
+    fixed = next((bits for bits, value in _RANGES6 if number >> (128 - bits) == value), 8)
+    free = 128 - fixed
+    top, low = number >> free, number & ((1 << free) - 1)
+    low = permute(low, 1 << free, key, f"ip6 {fixed} {top}")
+    if top == 0 and low < 2:
+        low = permute(low, 1 << free, key, f"ip6 {fixed} {top}")
+    out = str(ipaddress.IPv6Address(top << free | low))
+    return out.upper() if any(c.isupper() for c in text) else out
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Places of addresses, found from each @ outwards, so that no part of the text is looked at more than twice."""
+    at, before = text.find("@"), 0
+    while at >= 0:
+        lo = at
+        while lo > before and at - lo <= LOCAL_MOST and _LOCAL.match(text[lo - 1]):
+            lo -= 1
+        whole = lo == 0 or not _LOCAL.match(text[lo - 1]) or lo == before
+        while lo < at and not text[lo].isalnum():
+            lo += 1
+        if whole and lo < at and at - lo <= LOCAL_MOST and not (lo and (text[lo - 1].isalnum() or text[lo - 1] == "_")):
+            end, best, pos = _DOMAIN.match(text, at + 1).end(), None, at + 1
+            while pos < end and pos - at <= DOMAIN_MOST:
+                stop = text.find(".", pos, end)
+                stop = end if stop < 0 else stop
+                top = _TOP.match(text, pos, stop)
+                if top and pos > at + 1:
+                    best = top.end()
+                if not _LABEL.fullmatch(text, pos, stop):
+                    break
+                pos = stop + 1
+            if best is not None and best - at - 1 <= DOMAIN_MOST:
+                yield lo, best
+                before = best
+        before = max(before, at + 1)
+        at = text.find("@", at + 1)
+
+
 def email(text: str, key: bytes) -> str:
-    """Local part and domain labels are permuted as one, lower or upper case alike; what follows the last dot stays,
-    as do the domains reserved for examples."""
-    low = text.lower()
-    tail = re.search(r"(?:(?<=[@.])example)?\.[a-z]{2,}$", low)
-    out = shape_permute(low, key, "email", lambda i, c: i < tail.start())
+    """The labels of the domain are permuted as one, then the local part under its domain, lower or upper case alike; what
+    follows the last dot stays, as do the domains reserved for examples."""
+    local, domain = text.lower().split("@")
+    tail = re.search(r"(?:(?:^|(?<=\.))example)?\.[a-z]{2,}$", domain)
+    out = shape_permute(local, key, f"local {domain}") + "@" + shape_permute(domain, key, "domain", lambda i, c: i < tail.start())
     return "".join(b.upper() if a.isupper() else b for a, b in zip(text, out, strict=True))
 
 
@@ -215,9 +319,17 @@ def secret(text: str, key: bytes) -> str:
             return text
 
 
+def _mod97(account: str, head: str) -> int:
+    return int("".join(str(int(c, 36)) for c in account + head)) % 97
+
+
 def iban(text: str, key: bytes) -> str:
-    """Country, check digits and layout stay; the account is permuted."""
-    return _laid_out(text, shape_permute(_bare(text), key, "iban", lambda i, c: i >= 4))
+    """Country and layout stay; the account is permuted, and the check digits leave the same remainder by 97 as before."""
+    bare = _bare(text)
+    country, check, account = bare[:2], bare[2:4], bare[4:]
+    account_new = shape_permute(account, key, f"iban {country} {int(check) // 97}")
+    digits = (_mod97(account, country + check) - _mod97(account_new, country + "00")) % 97
+    return _laid_out(text, f"{country}{digits + 97 * (digits < 2):02}{account_new}")
 
 
 def script_of(word: str) -> str | None:
@@ -225,12 +337,13 @@ def script_of(word: str) -> str | None:
     return next((s for s, letters in _LETTERS.items() if all(c in letters for c in low)), None)
 
 
-def name_word(word: str, gender: str, key: bytes) -> str:
+@lru_cache(1 << 16)
+def name_word(word: str, key: bytes) -> str:
     """A pronounceable name of the same script, one for each word: its number among all words of up to its length
-    is permuted within its length and spelled in syllables."""
+    is permuted within its length and spelled in syllables. A given name whose gender is known gets an ending for it."""
     low, script = word.lower(), script_of(word)
     if script is None:
-        return "-".join(name_word(p, gender, key) if p and p != word else shape_permute(p, key, "name") for p in re.split(r"[-']", word))
+        return "-".join(name_word(p, key) if p and p != word else shape_permute(p, key, "name") for p in re.split(r"[-']", word))
     letters, value, below = _LETTERS[script], 0, 0
     for c in low:
         value = value * len(letters) + letters.index(c)
@@ -245,20 +358,48 @@ def name_word(word: str, gender: str, key: bytes) -> str:
         if not number:
             break
         number -= 1
-    spelled += ENDINGS[script].get(gender, "")
+    spelled += ENDINGS[script].get(_GIVEN.get(low, ""), "")
     return spelled.upper() if word.isupper() and len(word) > 1 else spelled.capitalize()
 
 
-def name(text: str, gender: str, key: bytes) -> str:
-    words = text.split(" ")
-    return " ".join(name_word(w, gender if i == 0 and len(words) > 1 else "", key) for i, w in enumerate(words))
+def name(text: str, key: bytes) -> str:
+    return " ".join(name_word(w, key) for w in text.split(" "))
+
+
+def _titled(text: str) -> list[tuple[int, str]]:
+    """(place, name) of capitalised words behind a title."""
+    out = []
+    for m in _NAME.finditer(text):
+        kept = []
+        for w in m["name"].split(" "):
+            if not w[0].isupper() or len(w) > NAME_LETTERS:
+                break
+            kept.append(w)
+        if kept:
+            out.append((m.start("name"), " ".join(kept)))
+    return out
+
+
+def _mentions(text: str, known: set[str], most: int) -> Iterator[tuple[int, int]]:
+    """Places of known names, the longest at each word, in one walk over the words."""
+    words = [m.span() for m in _MENTION.finditer(text)]
+    at = 0
+    while at < len(words):
+        for n in range(min(most, len(words) - at), 0, -1):
+            lo, hi = words[at][0], words[at + n - 1][1]
+            if hi - lo <= (NAME_LETTERS + 1) * most and text[lo:hi] in known:
+                yield lo, hi
+                at += n
+                break
+        else:
+            at += 1
 
 
-def entities(text: str, key: bytes = KEY) -> list[tuple[int, int, str, str]]:
+def entities(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     """(start, end, type, surrogate) of what is found in a whole text, in order and without overlaps.
 
     Where finds overlap, the type named first wins: secret, email, iban, ip, card, ssn, phone, name. A name found behind a
-    title is found wherever the text has it, whole or a word of it; a title that tells no gender takes another's.
+    title is found wherever the text has it, whole or a word of it.
     """
     found: list[tuple[int, int, str, str]] = []
     taken: list[tuple[int, int]] = []
@@ -273,11 +414,13 @@ def entities(text: str, key: bytes = KEY) -> list[tuple[int, int, str, str]]:
     if _HINT.search(text):
         for m in _SECRET.finditer(text):
             lo, hi = m.span("value") if m["value"] else (m.end("aws"), m.end())
-            if m["aws"] or re.search(r"\d", m["value"]):
+            if m["aws"] or re.search("[=\"']", m["to"]) or _MIXED.search(m["value"]):
                 add(lo, hi, "secret", lambda v=text[lo:hi]: secret(v, key))
-        if "@" in text:
-            for m in _EMAIL.finditer(text):
-                add(*m.span(), "email", lambda m=m: email(m[0], key))
+        for lo, hi in emails(text):
+            add(lo, hi, "email", lambda v=text[lo:hi]: email(v, key))
+        if ":" in text:
+            for m in _IP6.finditer(text):
+                add(*m.span(), "ip", lambda m=m: ip6(m[0], key))
         if re.search(r"\d", text):
             for kind, pattern, make in (("iban", _IBAN, iban), ("ip", _IP, ip)):
                 for m in pattern.finditer(text):
@@ -287,39 +430,31 @@ def entities(text: str, key: bytes = KEY) -> list[tuple[int, int, str, str]]:
                     lo, hi = (m.start() + x for x in span)
                     add(lo, hi, "card", lambda v=text[lo:hi]: card(v, key))
             for m in _SSN.finditer(text):
-                add(*m.span(), "ssn", lambda m=m: shape_permute(m[0], key, "ssn"))
+                add(*m.span(), "ssn", lambda m=m: ssn(m[0], key))
             for m in _PHONE.finditer(text):
                 add(*m.span(), "phone", lambda m=m: phone(m[0], key))
-    titled: list[tuple[int, str, str]] = []
-    for m in _NAME.finditer(text):
-        kept = []
-        for w in m["name"].split(" "):
-            if not w[0].isupper():
-                break
-            kept.append(w)
-        if kept:
-            titled.append((m.start("name"), " ".join(kept), TITLES[m["title"]]))
+    titled = _titled(text)
     if not titled:
         return sorted(found)
-    told: dict[str, str] = {}
-    for _, words, gender in titled:
-        if gender:
-            told.setdefault(words, gender)
-    known: dict[str, str] = {}
-    for at, words, gender in titled:
-        add(at, at + len(words), "name", lambda w=words, g=gender: name(w, g or told.get(w, ""), key))
-        known.setdefault(words, name(words, told.get(words, ""), key))
-    for words in list(known):
-        for word, new in zip(words.split(" "), known[words].split(" "), strict=True):
-            if len(word) > 1:
-                known.setdefault(word, new)
-    mention = "|".join(map(re.escape, sorted(known, key=len, reverse=True)))
-    for m in re.finditer(rf"(?<!\w)(?:{mention})(?!\w)", text):
-        add(*m.span(), "name", lambda m=m: known[m[0]])
+    known: set[str] = set()
+    for at, words in titled:
+        add(at, at + len(words), "name", lambda w=words: name(w, key))
+        known.add(words)
+        known.update(w for w in words.split(" ") if len(w) > 1)
+    for lo, hi in _mentions(text, known, max(len(re.findall(_WORD, w)) for w in known)):
+        add(lo, hi, "name", lambda w=text[lo:hi]: name(w, key))
     return sorted(found)
 
 
-def replace(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[str, str, str]]]:
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names, else one drawn for the application."""
+    named = spark.conf.get(KEY_CONF, None)
+    if named:
+        return named.encode()
+    return _DRAWN.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, str, str]]]:
     """The text with surrogates in place, and (type, original, surrogate) of each entity; null stays null."""
     if not text:
         return text, []
@@ -334,8 +469,8 @@ def replace(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[
 _ENTITY = "array<struct<kind:string,original:string,surrogate:string>>"
 
 
-def surrogates(text: Column, key: bytes = KEY) -> Column:
-    """struct<text string, entities array<struct<kind, original, surrogate>>> of each whole text."""
+def surrogates(text: Column, key: bytes) -> Column:
+    """struct<text string, entities array<struct<kind, original, surrogate>>> of each whole text; null: null and none."""
 
     def batches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:

@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
-from .common import bound_batches
+from .common import bound_batches, drawn
 
-#: Expected number of labelled rows that a model is fitted on (all of them if there are fewer).
+#: Labelled rows that a model is fitted on: about this many, twice as many at most.
 SAMPLE_ROWS = 20_000
 TREES, DEPTH = 24, 3
 #: Weight of the lasso's penalty, a share of the smallest that would leave no rule.
@@ -140,22 +140,18 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> RuleModel:
     return RuleModel(offset, [r for r, _ in kept], [w for _, w in kept])
 
 
-def draw(labelled: DataFrame, key: Column, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """About sample_rows of the rows, chosen by the hash of key; all of them if there are fewer."""
-    share = min(1.0, sample_rows / max(labelled.count(), 1))
-    return labelled.where(F.pmod(F.xxhash64(key), F.lit(1 << 24)) < int(share * (1 << 24)))
-
-
 def fit(rows: DataFrame, *, text_col: str = "text", label_col: str = "quality", key: Column | None = None, sample_rows: int | None = SAMPLE_ROWS) -> RuleModel:
     """A model from rows with label 0 or 1, about sample_rows of them, drawn by the hash of `key` (else the text).
 
     Null texts count as empty, rows with a null label are not used. The driver gets the statistics of the sample.
     sample_rows None: the rows are a sample already.
     """
-    drawn = rows.where(F.col(label_col).isin(0, 1))
+    picked = rows.where(F.col(label_col).isin(0, 1))
     if sample_rows is not None:
-        drawn = draw(drawn, F.coalesce(F.col(text_col), F.lit("")) if key is None else key, sample_rows)
-    got = drawn.select(F.col(label_col).cast("int").alias("y"), statistics_column(F.col(text_col)).alias("x")).collect()
+        picked = drawn(picked.select(F.col(text_col).alias("text"), F.col(label_col).alias("y"), (F.coalesce(F.col(text_col), F.lit("")) if key is None else key).alias("k")), F.col("k"), sample_rows, picked.count())
+    else:
+        picked = picked.select(F.col(text_col).alias("text"), F.col(label_col).alias("y"))
+    got = picked.select(F.col("y").cast("int").alias("y"), statistics_column(F.col("text")).alias("x")).collect()
     x = np.array([r["x"] for r in got], float).reshape(-1, len(FEATURES))
     y = np.array([r["y"] for r in got], float)
     order = np.lexsort((*x.T, y))  # rows come in any order; the fit must not depend on it

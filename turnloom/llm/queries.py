@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, byte_bpe, embed_dedup, language_id, mixing, pii, quality, simhash, suffix_dedup, url_filter
-from .common import remainder, table
+from .common import drawn, remainder, table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS h,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents
 ), s AS (
@@ -97,7 +97,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with surrogates for its entities: how many of each type, and what the text became."""
     docs = table(spark, sf_dir, "documents")
-    done = pii.checked(docs.select("doc_id", pii.surrogates(F.col("text")).alias("p")), "p.entities")
+    done = pii.checked(docs.select("doc_id", pii.surrogates(F.col("text"), pii.session_key(spark)).alias("p")), "p.entities")
     kinds = ("email", "phone", "ip", "card", "iban", "ssn", "secret", "name")
 
     def count(kind: str) -> Column:
@@ -128,8 +128,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every text, by rules from the labels that are not held out."""
     docs, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 4) == 2
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out & F.col("quality").isin(0, 1))
-    drawn = F.broadcast(quality.draw(labels, F.col("doc_id")))  # about quality.SAMPLE_ROWS rows of two numbers
-    model = quality.fit(docs.select("doc_id", "text").join(drawn, "doc_id"), sample_rows=None)
+    some = drawn(labels, F.col("doc_id"), quality.SAMPLE_ROWS, labels.count())
+    few = spark.createDataFrame(some.collect(), "doc_id long, quality int")  # 2 x quality.SAMPLE_ROWS rows of two numbers at most
+    model = quality.fit(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), sample_rows=quality.SAMPLE_ROWS)
     said = quality.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
     return said.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 

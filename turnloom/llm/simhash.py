@@ -355,10 +355,10 @@ def near_duplicates(
     """
     made = docs.select(F.col(id_col).cast("long").alias("id"), fingerprints(F.col(text_col), words, lanes, anchors).alias("f"), (F.lit(None).cast("long") if row is None else row).alias("row"))
     marked = cut(made.select("id", "f.fp", "f.anchors", "row"))
-    nodes = cut(marked.select("fp").distinct().withColumn("node", F.monotonically_increasing_id()))
+    nodes = cut(marked.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
     if anchors:
         texts = marked.select("fp", "anchors").distinct().select("fp", F.explode("anchors").alias("shard")).distinct()
-        dealt = texts.join(nodes, "fp").select("shard", "node", "fp")
+        dealt = texts.join(nodes.select("fp", "node"), "fp").select("shard", "node", "fp")
     else:
         dealt = tree_shards(nodes, lanes, radius, blocks, leaf_rows)
     shards = cut(dealt)
@@ -366,8 +366,7 @@ def near_duplicates(
     drop(shards)
     groups = components(edges)
     drop(edges)
-    named = nodes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("group"))
-    told = cut(marked.select("id", "fp", "row").join(named, "fp"))
-    drop(marked)
-    least = told.groupBy("group").agg(F.min("id").alias("component"))
-    return told.join(least, "group").select("id", "fp", "component", "group", "row")
+    named = cut(nodes.join(groups, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("group")))
+    least = cut(named.groupBy("group").agg(F.min("least").alias("component")))
+    told = cut(named.join(least, "group").select("fp", "group", "component"))  # from files, so that a group of many is split
+    return marked.join(told, "fp").select("id", "fp", "component", "group", "row")

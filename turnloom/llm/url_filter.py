@@ -2,6 +2,12 @@
 
 Everything that touches rows is a DataFrame expression. The trees are fitted on the driver from a bounded sample
 of labelled URLs and then compiled to nested CASE expressions.
+
+Labels: those given, else the URLs that a rule decides. In the latter case a label restates the rule, that is the host's suffix
+and the path's first part, so neither is a feature: of a suffix it is only told how common it is, by powers of ten, not
+how many of its URLs are blocked. With labels of its own the trees also see the share of blocked URLs among the other
+hosts of the suffix, never that of the URL's own host. Both kinds weigh alike in the fit, and a URL is blocked only at a high
+score: where the features say nothing about the labels, as rules by host and language leave it, URLs are allowed.
 """
 
 from __future__ import annotations
@@ -14,17 +20,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
-from .common import cut
+from .common import cut, drawn
 
 #: (verdict, host/path prefix): a rule fits its host and all subdomains.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Expected number of labelled URLs that the trees are fitted on (all of them if there are fewer).
+#: Labelled URLs that the trees are fitted on: about this many, twice as many at most.
 SAMPLE_ROWS = 20_000
 TREES, DEPTH = 16, 3
 #: A suffix's share of blocked URLs counts as if this many more URLs had the overall share.
 PRIOR = 20.0
-#: URLs at this score or above are blocked.
-THRESHOLD = 0.5
+#: URLs at this score or above are blocked; both kinds weigh alike, so 0.5 says nothing.
+THRESHOLD = 0.8
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -80,10 +86,41 @@ def lexical(url: Column, host: Column, path: Column) -> list[Column]:
         F.when(text.startswith("https"), 1.0).otherwise(0.0),
         F.when(path.rlike(r"\.[A-Za-z0-9]{1,5}$"), 1.0).otherwise(0.0),
         F.when(text.contains("#"), 1.0).otherwise(0.0),
-        _count(host, "[aeiouy]") / F.greatest(F.length(host), F.lit(1)),
     ]
 
 
+def with_features(rows: DataFrame, labelled: DataFrame | None) -> DataFrame:
+    """rows (url, host, path, suffix) with x, their features. labelled (host, suffix, blocked): labels that are no rules'."""
+    common = cut(rows.groupBy("suffix").agg(F.count("*").alias("seen")).withColumnRenamed("suffix", "of_suffix"))
+    out = rows.join(common, rows.suffix == common.of_suffix, "left").drop("of_suffix")
+    extra = [F.floor(F.log10(F.coalesce("seen", F.lit(1)))).cast("double")]
+    if labelled is not None:
+        bad = F.sum(F.col("blocked").cast("int")).alias
+        hosts = cut(labelled.groupBy("suffix", "host").agg(F.count("*").alias("n_host"), bad("bad_host")))
+        suffixes = hosts.groupBy(F.col("suffix").alias("s")).agg(F.sum("n_host").alias("n"), F.sum("bad_host").alias("bad"))
+        whole = hosts.agg(F.sum("n_host").alias("n"), F.sum("bad_host").alias("bad")).first()
+        base = (whole["bad"] or 0) / (whole["n"] or 1)
+        out = out.join(suffixes, out.suffix == suffixes.s, "left").drop("s")
+        hosts = hosts.select(F.col("host").alias("h"), "n_host", "bad_host")
+        out = out.join(hosts, out.host == hosts.h, "left").drop("h")
+        of = lambda c: F.coalesce(c, F.lit(0))
+        extra.append((of("bad") - of("bad_host") + PRIOR * base) / (of("n") - of("n_host") + PRIOR))
+    return out.select(*rows.columns, F.array(*lexical(F.col("url"), F.col("host"), F.col("path")), *extra).alias("x"))
+
+
+def fit(known: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[float, list[trees.Node]]:
+    """Offset and trees from rows (url, x, blocked), a bounded sample of them. One kind of label, or none: no trees, offset 0."""
+    got = drawn(known.select("url", F.col("blocked").cast("int").alias("y"), "x"), F.col("url"), sample_rows, known.count()).select("x", "y").collect()
+    y = np.array([r["y"] for r in got], float)
+    if not len(y) or y.min() == y.max():
+        return 0.0, []
+    x = np.array([r["x"] for r in got], float)
+    order = np.lexsort((*x.T, y))  # rows come in any order; the fit must not depend on it
+    x, y = x[order], y[order]
+    weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    return trees.boost(x, y, weight, TREES, DEPTH)
+
+
 def judge(
     pages: DataFrame, labelled: DataFrame | None = None, *, url_col: str = "url", keep: Sequence[str] = (),
     rules: Sequence[tuple[str, str]] = RULES, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD,
@@ -91,47 +128,24 @@ def judge(
     """keep, host, path, rule, verdict, score (of blocking) for each row of pages.
 
     labelled: rows (url, blocked boolean) to learn from; without it, the URLs that a rule decides are the labels.
-    A null URL or one without :// has an empty host and path, fits no rule and is judged by its features.
-    With no labelled URL, or one kind only, every URL that no rule decides gets that kind (none: allowed).
+    A null URL or one without :// has an empty host and path, fits no rule and is judged by its features. A URL that ends
+    with its host has an empty path, which starts with no rule's path, so no rule fits it. Repeated rows are judged alike, an
+    empty table gives an empty one. With no labelled URL, or one kind only, nothing can be told apart: score 0.5, allowed.
+    Columns of pages that are not in keep are not read, whatever their names.
     """
     rows = pages.select(F.struct(*keep).alias("kept"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rows = rows.withColumn("found", rule_of(F.col("host"), F.col("path"), rules)).withColumn("suffix", suffix_of(F.col("host")))
-    if labelled is None:
-        known = rows.where(F.col("found").isNotNull()).select("url", "host", "path", "suffix", (F.col("found.verdict") == "block").alias("blocked"))
-    else:
-        known = labelled.where(F.col("blocked").isNotNull()).select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "blocked")
-        known = known.withColumn("suffix", suffix_of(F.col("host")))
-    marks = known.select("suffix", F.lit(0).alias("seen"), F.lit(1).alias("known"), F.col("blocked").cast("int").alias("bad"))
-    marks = marks.unionByName(rows.select("suffix", F.lit(1).alias("seen"), F.lit(0).alias("known"), F.lit(0).alias("bad")))
-    sums = cut(marks.groupBy("suffix").agg(*[F.sum(c).alias(c) for c in ("seen", "known", "bad")]))
-    whole = sums.agg(F.sum("known").alias("known"), F.sum("bad").alias("bad")).first()
-    n_known, n_bad = whole["known"] or 0, whole["bad"] or 0
-    if n_bad in (0, n_known):
-        score = F.lit(1.0 if n_known else 0.0)
-        return _told(rows.withColumn("score", score if n_bad else F.lit(0.0)), threshold)
-    rate = (F.col("bad") + PRIOR * n_bad / n_known) / (F.col("known") + PRIOR)
-    stats = sums.select(F.col("suffix").alias("of_suffix"), rate.alias("suffix_rate"), F.log1p("seen").alias("suffix_seen"))
-
-    def with_features(df: DataFrame) -> DataFrame:
-        both = df.join(stats, df.suffix == stats.of_suffix, "left").drop("of_suffix")
-        unseen = [F.coalesce("suffix_rate", F.lit(n_bad / n_known)), F.coalesce("suffix_seen", F.lit(0.0))]
-        return both.withColumn("x", F.array(*lexical(F.col("url"), F.col("host"), F.col("path")), *unseen))
-
-    drawn = known.where(F.pmod(F.xxhash64("url"), F.lit(1 << 24)) < int(min(1.0, sample_rows / n_known) * (1 << 24)))
-    got = with_features(drawn).select("x", F.col("blocked").cast("int").alias("y")).collect()
-    x, y = np.array([r["x"] for r in got], float).reshape(len(got), -1), np.array([r["y"] for r in got], float)
-    if not len(y) or y.min() == y.max():
-        return _told(rows.withColumn("score", F.lit(n_bad / n_known)), threshold)
-    order = np.lexsort((*x.T, y))  # rows come in any order; the fit must not depend on it
-    x, y = x[order], y[order]
-    offset, grown = trees.boost(x, y, np.ones(len(y)), TREES, DEPTH)
-    features = [F.get("x", F.lit(i)) for i in range(x.shape[1])]
+    own = None
+    if labelled is not None:
+        own = labelled.where(F.col("blocked").isNotNull()).select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "blocked")
+        own = own.withColumn("suffix", suffix_of(F.col("host")))
+    marked = with_features(rows, own)
+    known = marked.where(F.col("found").isNotNull()).withColumn("blocked", F.col("found.verdict") == "block") if own is None else with_features(own, own)
+    offset, grown = fit(known, sample_rows)
+    features = [F.get("x", F.lit(i)) for i in range(64)]
     total = F.lit(offset)
     for tree in grown:
         total = total + trees.as_column(tree, features)
-    return _told(with_features(rows).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-total))), threshold)
-
-
-def _told(rows: DataFrame, threshold: float) -> DataFrame:
+    scored = marked.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-total)))
     guess = F.when(F.col("score") >= threshold, "block").otherwise("allow")
-    return rows.select("kept.*", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", guess).alias("verdict"), F.round("score", 6).alias("score"))
+    return scored.select("kept.*", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", guess).alias("verdict"), F.round("score", 6).alias("score"))
