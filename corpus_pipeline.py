@@ -14,11 +14,14 @@ SHINGLE, LANES, DISTANCE, ANCHORS = 5, 4, 52, 16
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; those without text or letters go."""
+    """Documents in a language that the labelled ones teach. Those without text or letters go, and those of some length that are
+    further from every language's codeword than any labelled text by a margin. Without labelled documents all stay."""
     model = language_id.fit(docs, key=F.col("doc_id"))
+    if not model.langs:
+        return docs
     mark = free_name("said", docs.columns)
     said = docs.withColumn(mark, language_id.predict(F.col("text"), model))
-    return said.where(F.col(mark)["lang"] != language_id.UNKNOWN).select(*docs.columns)
+    return said.where((F.col(mark)["lang"] != language_id.UNKNOWN) & ~F.col(mark)["foreign"]).select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +38,9 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with surrogates for personal data and secrets; n_chars follows the new text."""
+    """Every document, with surrogates for personal data and secrets; n_chars follows the new text. Null and empty texts stay."""
     mark = free_name("done", docs.columns)
-    done = docs.withColumn(mark, pii.surrogates(F.col("text")))
+    done = docs.withColumn(mark, pii.surrogates(F.col("text"), pii.session_key(spark)))
     changed = {"text": F.col(mark)["text"]}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.length(F.col(mark)["text"]).cast(docs.schema["n_chars"].dataType)
@@ -47,12 +50,13 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to their targets, in training order; a document taken twice is two rows."""
+    """Sources mixed to their targets, in training order; a document taken twice is two rows. Null and empty texts have no words, so
+    nothing of them is taken; rows without a source are a source of their own."""
     return mixing.training_stream(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text."""
+    """Token ids of every document, and whether they decode to its text. A null or empty text has no ids; repeated rows stay."""
     coded = docs.select("doc_id", "source", "lang", byte_bpe.encode_checked(F.col("text")).alias("t"))
     return coded.select("doc_id", "source", "lang", F.floor(F.octet_length("t.ids") / 4).alias("n_tokens"), "t.ids", "t.round_trip")
 
