@@ -295,6 +295,75 @@ def test_language_held_out(spark):
     assert np.mean(hits) > 0.93
 
 
+@needs_tables
+def test_languages_scored_again_by_hand(spark):
+    """The query's results, from the model's weights by plain sums over the n-grams of each text."""
+    table = spark.read.parquet(DIR + "/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = language_id.fit(table.where(~held), key=F.col("doc_id"))
+    got = {r.doc_id: r for r in queries.op4_language_id(spark, DIR).collect()}
+    for r in table.collect():
+        text = b"   " + (r.text or "").lower().encode().translate(language_id._KEEP) + b"   "
+        raw, n = np.zeros(model.code.shape[1]), max(2 * (len(text) - 6), 1)
+        for order in language_id.ORDERS:
+            for i in range(len(text) - order + 1):
+                code = (int.from_bytes(text[i : i + order], "little") + order) * 2654435761 % 2**32
+                raw += model.weights[code >> 32 - language_id.BITS]
+        margins = np.clip(raw / n * model.slope + model.offset, -30, 30)
+        loss = [sum(np.log1p(np.exp(-m * c)) * t for m, c, t in zip(margins, code, trust, strict=True)) for code, trust in zip(model.code, model.trust, strict=True)]
+        want = model.langs[int(np.argmin(loss))] if any(map(str.isalpha, r.text or "")) else "und"
+        assert got[r.doc_id].lang_pred == want
+        score = 1 / sum(np.exp((min(loss) - x) * len(margins)) for x in loss)
+        assert abs(got[r.doc_id].score - (score if want != "und" else 0)) < 1e-4
+
+
+def few_rows(spark):
+    """Null and repeated ids, repeated labels, odd texts."""
+    rows = [(None, "a b c d"), (None, None), (4, "the cat and the dog"), (4, "the cat and the dog"), (4, "der Hund und"), (5, ""), *[(10 + i, f"word {i} and more {i}") for i in range(40)]]
+    d = spark.createDataFrame([(i, t, "en" if k % 2 else "de", "s", 1) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = spark.createDataFrame([(i, k % 2, 0) for k, (i, _) in enumerate(rows)] + [(4, 1, 1), (4, 0, None), (11, None, 0)], "doc_id bigint, quality int, toxic int")
+    return d, labels
+
+
+def test_classifier_queries_take_null_and_repeated_ids(spark, monkeypatch):
+    d, labels = few_rows(spark)
+    monkeypatch.setattr(queries, "table", lambda spark, sf_dir, name: {"documents": d, "labels": labels}[name])
+    for f, by in ((queries.op4_language_id, 3), (queries.op9_quality, 4)):
+        rows = f(spark, "").collect()
+        assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in d.collect())
+        assert all(r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % by == (1 if by == 3 else 2)) and 0 <= r.score <= 1 for r in rows)
+    monkeypatch.setattr(queries, "table", lambda spark, sf_dir, name: {"documents": d, "labels": labels}[name].limit(0))
+    assert queries.op4_language_id(spark, "").count() == queries.op9_quality(spark, "").count() == queries.op6_pii(spark, "").count() == 0
+
+
+@needs_tables
+def test_quality_scored_again_by_hand(spark):
+    """The query's scores, from the statistics of each text and the rules of a model fitted on the same rows."""
+    table, labels = (spark.read.parquet(f"{DIR}/{t}.parquet").collect() for t in ("documents", "labels"))
+    text = {r.doc_id: r.text for r in table}
+    known = [(text[r.doc_id], r.quality) for r in labels if r.doc_id in text and r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    x, y = np.array([quality.statistics(t) for t, _ in known]), np.array([q for _, q in known], float)
+    order = np.lexsort((*x.T, y))
+    model = quality.fit_rules(x[order], y[order])
+    for r in queries.op9_quality(spark, DIR).collect():
+        total = model.offset + sum(w for rule, w in zip(model.rules, model.weights, strict=True) if all((quality.statistics(text[r.doc_id])[f] > at) == above for f, above, at in rule))
+        assert abs(r.score - 1 / (1 + np.exp(-total))) < 1e-9 and r.predicted == (r.score >= 0.7)
+
+
+@needs_tables
+def test_personal_data_through_the_query(spark):
+    """The query's texts and counts, from each text alone; different entities keep different surrogates over all texts."""
+    key, seen = pii.session_key(spark), {}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(DIR.replace("0.001", "0.01") + "/documents.parquet").collect()}
+    for r in queries.op6_pii(spark, DIR.replace("0.001", "0.01")).collect():
+        text, found = pii.replace(texts[r.doc_id], key)
+        assert (r.text, r.n_entities) == (text, len(found)) and r.n_entities == sum(r[f"n_{k}"] for k in ("email", "phone", "ip", "card", "iban", "ssn", "secret", "name"))
+        assert r.text_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+        for kind, original, new in found:
+            assert seen.setdefault((kind, new.lower()), original.lower()) == original.lower() and new != original
+    assert len(seen) > 20
+
+
 def test_language_odd_rows(spark):
     d = docs(spark, ["the cat and the dog"] * 6 + ["der Hund und die Katze"] * 6, None, ["en"] * 6 + ["de"] * 5 + [None])
     model = language_id.fit(d)
@@ -394,6 +463,38 @@ def test_nearest_recall_and_ties(spark):
     assert len(few) == 6
 
 
+@pytest.mark.parametrize("hashes", [1, 2])
+def test_nearest_where_probing_prunes(spark, hashes):
+    """64 dimensions, 3000 rows in loose crowds: recall of 0.9 with buckets that hold a share of the rows."""
+    rng = np.random.default_rng(5)
+    middle = rng.normal(size=(300, 64))
+    x = (middle[rng.integers(300, size=3000)] + 0.7 * rng.normal(size=(3000, 64))).astype(np.float32)
+    rows = ann.nearest(vecs(spark, list(x), [0] * 3000), F.col("vec_id") % 50 == 0, hashes=hashes).collect()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 3000, 50):
+        near = unit @ unit[q]
+        near[q] = -9
+        hits += len(set(np.argsort(-near)[:5].tolist()) & {r.vec_id for r in rows if r.query_id == q})
+    assert len(rows) == 300 and hits / 300 >= 0.9
+    tables, probes = ann.PLANS[hashes]
+    read = [np.isin(ann.nearest_axes(unit, t, 1, hashes)[:, 0], ann.nearest_axes(unit[:1], t, probes, hashes)[0]).mean() for t in range(tables)]
+    assert np.mean(read) < (0.2 if hashes == 1 else 0.05)
+
+
+def test_plans_grow_with_the_rows():
+    assert [ann.plan(n, 64)[0] for n in (0, 100_000, 600_000, 50_000_000, 80_000_000, 10**12)] == [1, 1, 2, 2, 3, 3]
+
+
+def test_rows_that_repeat_an_id_are_one(spark):
+    x = [[1.0, 0.0], [0.0, 1.0], [1.0, 0.1], [0.9, 0.2], [0.5, 0.5]]
+    v = vecs(spark, x, [0] * 5).withColumn("vec_id", F.when(F.col("vec_id") < 2, 7).otherwise(F.col("vec_id")).cast("bigint"))
+    got = [ann.nearest(d, F.col("vec_id") == 2, k=3).orderBy("rank").collect() for d in (v, v.unionByName(v), v.repartition(5))]
+    assert [(r.vec_id, round(r.score, 3)) for r in got[0]] == [(7, 0.995), (3, 0.992), (4, 0.774)] and got[0] == got[1] == got[2]
+    asked = ann.nearest(v, F.col("vec_id") == 7, k=2).orderBy("rank").collect()
+    assert [(r.vec_id, r["rank"]) for r in asked] == [(2, 1), (3, 2)]
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 64))
     assert np.allclose(np.linalg.norm(ann.rotate(x, 3), axis=1), np.linalg.norm(x, axis=1))

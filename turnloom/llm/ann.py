@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 Three rounds of random signs and a fast Hadamard transform turn each unit vector; its hash is the signed axis it
-lies nearest to. Every row is in one bucket of each table, a query looks in its nearest `probes` buckets of each
-table, and all candidates there are ranked by the exact cosine. Buckets of many rows or queries are split in
-blocks that meet pairwise, so no task holds an unbounded bucket. Queries that find fewer than k rows are searched
+lies nearest to. A bucket of a table is named by one or more hashes, so that buckets stay small however many rows there are:
+see plan(). Every row is in one bucket of each table, a query looks in its nearest `probes` buckets of each
+table, and all candidates there are ranked by the exact cosine. What travels together is a cell, the rows of one first
+hash of a table; inside it a query meets only the rows of the buckets it looks in. Cells of many rows or queries are split in
+blocks that meet pairwise, so no task holds an unbounded cell. Queries that find fewer than k rows are searched
 against all rows, in blocks.
 """
 
@@ -19,9 +21,11 @@ from pyspark.sql import functions as F
 from . import vectors
 from .common import bound_batches, cut
 
-#: Tables, buckets that a query looks in of each table, and hashes that name a bucket together.
-TABLES, PROBES, HASHES = 10, 7, 1
-#: Rows and queries of one block of a bucket.
+#: By the number of hashes that name a bucket together: tables, and buckets that a query looks in of each table.
+PLANS = {1: (10, 7), 2: (24, 64), 3: (48, 512)}
+#: Rows of a bucket, on average, above which one more hash is used.
+BUCKET_ROWS = 4096
+#: Rows and queries of one block of a cell.
 BLOCK = 4096
 #: Rows of one group that holds small buckets, on average.
 BIN_ROWS = 30_000
@@ -49,7 +53,7 @@ def rotate(x: np.ndarray, table: int) -> np.ndarray:
     return x
 
 
-def nearest_axes(x: np.ndarray, table: int, count: int, hashes: int = HASHES) -> np.ndarray:
+def nearest_axes(x: np.ndarray, table: int, count: int, hashes: int = 1) -> np.ndarray:
     """rows x count bucket numbers of one table, nearest first; an axis is 2 * place, plus 1 if negative."""
     per = []
     for h in range(hashes):
@@ -67,8 +71,17 @@ def nearest_axes(x: np.ndarray, table: int, count: int, hashes: int = HASHES) ->
     return axis
 
 
-def buckets(vector: Column, tables: int, count: int, hashes: int) -> Column:
-    """array<struct<table, bucket>>: `count` buckets of each table, nearest first."""
+def plan(rows: int, dims: int) -> tuple[int, int, int]:
+    """Hashes, tables and probes for so many rows: one more hash for every factor of the number of axes."""
+    axes, hashes = 2 << max(0, dims - 1).bit_length(), 1
+    while rows > BUCKET_ROWS * axes**hashes and hashes < max(PLANS):
+        hashes += 1
+    return hashes, *PLANS[hashes]
+
+
+def buckets(vector: Column, dims: int, tables: int, count: int, hashes: int) -> Column:
+    """array<struct<cell long, codes array<int>>>: of each table `count` buckets, nearest first, by cells."""
+    bits = (hashes - 1) * (1 + max(0, dims - 1).bit_length())
 
     def batches(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in lists:
@@ -76,12 +89,17 @@ def buckets(vector: Column, tables: int, count: int, hashes: int) -> Column:
             if not len(x):
                 yield pd.Series([], dtype=object)
                 continue
-            x = vectors.unit(x)
-            found = np.stack([nearest_axes(x, t, count, hashes) + (t << 40) for t in range(tables)], axis=1)
-            yield pd.Series(list(found.reshape(len(x), -1).astype(np.int64)), dtype=object)
+            x = vectors.unit(np.pad(x, ((0, 0), (0, dims - x.shape[1]))))
+            out: list[list[dict]] = [[] for _ in x]
+            for t in range(tables):
+                for row, found in zip(out, nearest_axes(x, t, count, hashes), strict=True):
+                    cells = found >> bits
+                    for cell in dict.fromkeys(cells.tolist()):
+                        row.append({"cell": (t << 40) + cell, "codes": (found[cells == cell] & ((1 << bits) - 1)).astype(np.int32)})
+            yield pd.Series(out, dtype=object)
 
     bound_batches()
-    return F.pandas_udf(batches, "array<bigint>")(vector)
+    return F.pandas_udf(batches, "array<struct<cell:bigint,codes:array<int>>>")(vector)
 
 
 def _search(k: int):
@@ -91,47 +109,69 @@ def _search(k: int):
             asks = part[part["asks"]]
             rows = part[~part["asks"]]
             if len(asks) and len(rows):
-                out.append(best(asks["id"].to_numpy(np.int64), vectors.matrix(asks["v"]), rows["id"].to_numpy(np.int64), vectors.matrix(rows["v"]), k))
+                codes = np.array([c[0] for c in rows["codes"]])
+                out.append(best(asks["id"].to_numpy(np.int64), vectors.matrix(asks["v"]), rows["id"].to_numpy(np.int64), vectors.matrix(rows["v"]), k, list(asks["codes"]), codes))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
     return search
 
 
-def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest rows of each query, ties to the smaller id, a row with the query's own id left out."""
-    order = np.argsort(ids, kind="stable")
-    ids, rows = ids[order], rows[order]
-    kept = np.concatenate(([True], ids[1:] != ids[:-1]))
-    ids, rows = ids[kept], rows[kept]
+def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, looks: list[np.ndarray] | None = None, codes: np.ndarray | None = None) -> pd.DataFrame:
+    """The k nearest rows of each query among those whose code it looks in (without codes: all), ties to the smaller id.
+
+    A row with the query's own id is left out. Rows that repeat an id count once, with the nearest of their vectors.
+    """
+    if codes is None:
+        codes, looks = np.zeros(len(ids), int), [np.zeros(1, int)] * len(queries)
     unit_rows, unit_queries = vectors.unit(rows), vectors.unit(queries)
-    out_q, out_r = [], []
-    for at in range(0, len(queries), 512):
-        near = unit_queries[at : at + 512] @ unit_rows.T
-        near[query_ids[at : at + 512, None] == ids[None, :]] = -np.inf
-        m = min(k, near.shape[1])
-        least = np.partition(near, near.shape[1] - m, axis=1)[:, near.shape[1] - m]
-        q, r = np.nonzero((near >= least[:, None] - 1e-9) & np.isfinite(near))
-        out_q.append(q + at)
-        out_r.append(r)
-    q, r = np.concatenate(out_q), np.concatenate(out_r)
-    found = pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[r], "score": vectors.cosine(queries[q], rows[r])})
+    order = np.argsort(codes, kind="stable")
+    asked: dict[int, list[int]] = {}
+    for q, some in enumerate(looks):
+        for c in some.tolist():
+            asked.setdefault(c, []).append(q)
+    pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    edges = np.flatnonzero(np.diff(codes[order])) + 1
+    for part in np.split(order, edges):
+        wide = np.unique(ids[part], return_counts=True)[1].max() * k  # enough for k different ids
+        asking = np.array(asked.get(int(codes[part[0]]), []), int)
+        for at in range(0, len(asking), 512):
+            some = asking[at : at + 512]
+            near = unit_queries[some] @ unit_rows[part].T
+            near[query_ids[some, None] == ids[None, part]] = -np.inf
+            m = min(wide, near.shape[1])
+            least = np.partition(near, near.shape[1] - m, axis=1)[:, near.shape[1] - m]
+            q, r = np.nonzero((near >= least[:, None] - 1e-9) & np.isfinite(near))
+            pairs.append((some[q], part[r], near[q, r]))
+    if not pairs:
+        return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+    q, r, near = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    found = pd.DataFrame({"query_id": query_ids[q], "q": q, "vec_id": ids[r], "r": r, "near": near})
+    rough = found.groupby(["query_id", "vec_id"], sort=False)["near"].max().reset_index().sort_values(["query_id", "near"], ascending=[True, False])
+    kth = rough[rough.groupby("query_id").cumcount() == k - 1].set_index("query_id")["near"]
+    found = found[found["near"] >= found["query_id"].map(kth).fillna(-2.0) - 2e-9]
+    found = found.assign(score=vectors.cosine(queries[found["q"]], rows[found["r"]])).groupby(["query_id", "vec_id"], as_index=False)["score"].max()
     found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
     return found[found.groupby("query_id").cumcount() < k]
 
 
 def nearest(
     rows: DataFrame, queries: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5,
-    tables: int = TABLES, probes: int = PROBES, hashes: int = HASHES, block: int = BLOCK,
+    hashes: int | None = None, tables: int | None = None, probes: int | None = None, block: int = BLOCK,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where `queries` holds, its k nearest other rows found.
 
     Null, zero and non-finite vectors and null ids take no part, as query or candidate. A row whose id equals
-    the query's is not a candidate; rows that repeat an id count once. Fewer than k rows: all of them.
+    the query's is not a candidate. Rows that repeat an id are one candidate, and one query, with the nearest of their
+    vectors. Fewer than k rows: all of them. Ids are whole numbers; other columns may have any name. hashes, tables and
+    probes: by plan() unless they are given.
     """
     good = rows.where(vectors.usable(F.col(vector_col)) & F.col(id_col).isNotNull())
-    base = cut(good.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")))
-    index = base.select("id", "v", F.explode(buckets(F.col("v"), tables, 1, hashes)).alias("cell"))
-    asked = base.where("asks").select("id", "v", F.explode(buckets(F.col("v"), tables, probes, hashes)).alias("cell"))
+    base = cut(good.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).distinct())
+    count, dims = base.count(), max(vectors.dimension(base, "v"), 1)
+    hashes = hashes or plan(count, dims)[0]
+    tables, probes = tables or PLANS[hashes][0], probes or PLANS[hashes][1]
+    index = base.select("id", "v", F.explode(buckets(F.col("v"), dims, tables, 1, hashes)).alias("b")).select("id", "v", "b.*")
+    asked = base.where("asks").select("id", "v", F.explode(buckets(F.col("v"), dims, tables, probes, hashes)).alias("b")).select("id", "v", "b.*")
     sizes = index.groupBy("cell").agg(F.count("*").alias("n_rows")).join(asked.groupBy("cell").agg(F.count("*").alias("n_asks")), "cell")
     sizes = cut(sizes.select("cell", F.ceil(F.col("n_rows") / block).alias("n_i"), F.ceil(F.col("n_asks") / block).alias("n_j"), "n_rows"))
     total = sizes.agg(F.sum(F.col("n_rows") * F.col("n_j")).alias("n")).first()["n"] or 0
@@ -140,12 +180,12 @@ def nearest(
     short = cut(base.where("asks").select("id", "v").join(enough, F.col("id") == F.col("query_id"), "left_anti"))
     n_short = short.count()
     if n_short:
-        n_i = max(1, -(-base.count() // block))
+        n_i = max(1, -(-count // block))
         every = base.sparkSession.range(1).select(F.lit(-1).cast("long").alias("cell"), F.lit(n_i).alias("n_i"), F.lit(-(-n_short // block)).alias("n_j"))
-        lone = F.lit(-1).cast("long").alias("cell")
-        more = _meet(base.select("id", "v", lone), short.select("id", "v", lone), every, max(64, n_i), k)
+        lone = [F.lit(-1).cast("long").alias("cell"), F.array(F.lit(0)).alias("codes")]
+        more = _meet(base.select("id", "v", *lone), short.select("id", "v", *lone), every, max(64, n_i), k)
         found = found.unionByName(more)
-    each = found.dropDuplicates(["query_id", "vec_id"])
+    each = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -156,7 +196,7 @@ def _meet(index: DataFrame, asked: DataFrame, sizes: DataFrame, bins: int, k: in
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
     a = index.join(sizes, "cell").withColumn("i", deal("n_i")).withColumn("j", every("n_j")).withColumn("asks", F.lit(False))
     b = asked.join(sizes, "cell").withColumn("j", deal("n_j")).withColumn("i", every("n_i")).withColumn("asks", F.lit(True))
-    names = ["id", "v", "cell", "i", "j", "asks"]
+    names = ["id", "v", "codes", "cell", "i", "j", "asks"]
     both = a.select(names).unionByName(b.select(names))
     both = both.withColumn("bin", F.pmod(F.xxhash64("cell", "i", "j"), F.lit(bins)))
     return both.groupBy("bin").applyInPandas(_search(k), "query_id long, vec_id long, score double")
