@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EXACT_UP_TO = 12
@@ -14,8 +14,8 @@ def cluster_sums(rows: DataFrame, y: str, d: str, cluster: str) -> DataFrame:
     sums = kept.groupBy(cluster).agg(
         F.count("*").alias("n"), F.sum(F.col(d).cast("double")).alias("d"), F.sum(y).alias("s"), F.sum(F.col(y) * F.col(d)).alias("sd")
     )
-    names = sums.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col(cluster).alias("c"), "n", "d", "s", "sd"))).alias("all"))
-    return names.select(F.posexplode("all").alias("g", "x")).select("g", "x.n", "x.d", "x.s", "x.sd")
+    number = (F.row_number().over(Window.orderBy(cluster)) - 1).alias("g")  # one row a cluster, sorted with spilling
+    return sums.select(number, "n", "d", "s", "sd")
 
 
 def wild_cluster_bootstrap(rows: DataFrame, y: str, d: str, cluster: str, n_boot: int = 3000, seed: int = 42, alpha: float = 0.05) -> DataFrame:

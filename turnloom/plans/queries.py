@@ -124,6 +124,13 @@ def segment_filter(spark, sf_dir):
     return turns.segment_filter(A.segments(spark, sf_dir), F.col("role")).select("event_id", "file", "start_ms", "end_ms")
 
 
+@query(with_(A.SEGMENTS) + "SELECT event_id, file, row_number() OVER (PARTITION BY file ORDER BY start_s, dur_s, event_id) - 1 AS place FROM segments")
+def segments_in_order(spark, sf_dir):
+    s = A.segments(spark, sf_dir)
+    ordered = turns.in_time_order(s.withColumn("dur_s", F.struct("dur_s", "event_id")))
+    return ordered.select("event_id", "file", "place")
+
+
 @query(with_(A.SEGMENTS, """marked AS (
   SELECT *, start_s + dur_s AS end_s, max(start_s + dur_s) OVER (PARTITION BY file, speaker ORDER BY start_s, dur_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM segments
 ), covered AS (
