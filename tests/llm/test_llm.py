@@ -280,7 +280,7 @@ def test_samples_have_a_hard_limit(spark):
     rows = spark.range(5000).select(F.lit(7).alias("k"), "id")
     assert drawn(rows, F.col("k"), 100, 5000).count() in (0, 200)
     some = drawn(spark.range(5000), F.col("id"), 100, 5000)
-    assert 60 < some.count() < 150 and some.collect() == drawn(spark.range(5000).repartition(7), F.col("id"), 100, 5000).collect()
+    assert 60 < some.count() < 150 and sorted(some.collect()) == sorted(drawn(spark.range(5000).repartition(7), F.col("id"), 100, 5000).collect())
 
 
 # --- languages -------------------------------------------------------------------------------------------
@@ -490,7 +490,7 @@ def test_rows_that_repeat_an_id_are_one(spark):
     x = [[1.0, 0.0], [0.0, 1.0], [1.0, 0.1], [0.9, 0.2], [0.5, 0.5]]
     v = vecs(spark, x, [0] * 5).withColumn("vec_id", F.when(F.col("vec_id") < 2, 7).otherwise(F.col("vec_id")).cast("bigint"))
     got = [ann.nearest(d, F.col("vec_id") == 2, k=3).orderBy("rank").collect() for d in (v, v.unionByName(v), v.repartition(5))]
-    assert [(r.vec_id, round(r.score, 3)) for r in got[0]] == [(7, 0.995), (3, 0.992), (4, 0.774)] and got[0] == got[1] == got[2]
+    assert [(r.vec_id, round(r.score, 3)) for r in got[0]] == [(7, 0.995), (3, 0.993), (4, 0.774)] and got[0] == got[1] == got[2]
     asked = ann.nearest(v, F.col("vec_id") == 7, k=2).orderBy("rank").collect()
     assert [(r.vec_id, r["rank"]) for r in asked] == [(2, 1), (3, 2)]
 

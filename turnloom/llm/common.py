@@ -31,11 +31,15 @@ def remainder(doc_id: Column, by: int) -> Column:
 def drawn(rows: DataFrame, key: Column, rows_wanted: int, count: int) -> DataFrame:
     """About rows_wanted of count rows by the hash of a key, the same ones in every run, and never more than twice as many.
 
-    Rows that repeat a key are drawn or left together; the hard limit holds even so, and takes those of the least hash.
+    Rows that repeat a key are drawn or left together; the hard limit holds even so, and takes those of the least hash of all
+    their columns. The sample is written to the scratch folder, so rows are read once for it.
     """
     place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
-    chosen = rows.withColumn("_place", place).where(F.col("_place") < int(min(1.0, rows_wanted / max(count, 1)) * (1 << 30)))
-    return chosen.orderBy("_place", *rows.columns).limit(2 * rows_wanted).drop("_place")
+    chosen = cut(rows.where(place < int(min(1.0, rows_wanted / max(count, 1)) * (1 << 30))))
+    if chosen.count() <= 2 * rows_wanted:
+        return chosen
+    mark = free_name("place", rows.columns)
+    return chosen.withColumn(mark, F.xxhash64(*rows.columns)).orderBy(mark, *rows.columns).limit(2 * rows_wanted).drop(mark)
 
 
 def free_name(wanted: str, taken: Iterable[str]) -> str:

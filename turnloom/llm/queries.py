@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, byte_bpe, embed_dedup, language_id, mixing, pii, quality, simhash, suffix_dedup, url_filter
-from .common import drawn, remainder, table
+from .common import cut, drawn, remainder, table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +130,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out & F.col("quality").isin(0, 1))
     some = drawn(labels, F.col("doc_id"), quality.SAMPLE_ROWS, labels.count())
     few = spark.createDataFrame(some.collect(), "doc_id long, quality int")  # 2 x quality.SAMPLE_ROWS rows of two numbers at most
-    model = quality.fit(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), sample_rows=quality.SAMPLE_ROWS)
+    known = cut(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "quality"))
+    model = quality.fit(known, sample_rows=quality.SAMPLE_ROWS)
     said = quality.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
     return said.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
