@@ -79,9 +79,29 @@ def plan(rows: int, dims: int) -> tuple[int, int, int]:
     return hashes, *PLANS[hashes]
 
 
-def buckets(vector: Column, dims: int, tables: int, count: int, hashes: int) -> Column:
-    """array<struct<cell long, codes array<int>>>: of each table `count` buckets, nearest first, by cells."""
-    bits = (hashes - 1) * (1 + max(0, dims - 1).bit_length())
+def _code_bits(dims: int, hashes: int) -> int:
+    """Bits of a bucket's number that follow those of its cell."""
+    return (hashes - 1) * (1 + max(0, dims - 1).bit_length())
+
+
+def buckets(vector: Column, dims: int, tables: int, hashes: int) -> Column:
+    """array<bigint>: the bucket of each table, the table's number in the bits from 40 on."""
+
+    def batches(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in lists:
+            x = vectors.matrix(batch)
+            if len(x):
+                x = vectors.unit(np.pad(x, ((0, 0), (0, dims - x.shape[1]))))
+                found = np.stack([nearest_axes(x, t, 1, hashes)[:, 0] + (t << 40) for t in range(tables)], axis=1)
+            yield pd.Series(list(found.astype(np.int64)) if len(x) else [], dtype=object)
+
+    bound_batches()
+    return F.pandas_udf(batches, "array<bigint>")(vector)
+
+
+def looked_in(vector: Column, dims: int, tables: int, probes: int, hashes: int) -> Column:
+    """array<struct<cell long, codes array<int>>>: the buckets that a query looks in, by cells."""
+    bits = _code_bits(dims, hashes)
 
     def batches(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in lists:
@@ -92,10 +112,9 @@ def buckets(vector: Column, dims: int, tables: int, count: int, hashes: int) ->
             x = vectors.unit(np.pad(x, ((0, 0), (0, dims - x.shape[1]))))
             out: list[list[dict]] = [[] for _ in x]
             for t in range(tables):
-                for row, found in zip(out, nearest_axes(x, t, count, hashes), strict=True):
-                    cells = found >> bits
-                    for cell in dict.fromkeys(cells.tolist()):
-                        row.append({"cell": (t << 40) + cell, "codes": (found[cells == cell] & ((1 << bits) - 1)).astype(np.int32)})
+                for row, found in zip(out, nearest_axes(x, t, probes, hashes) + (t << 40), strict=True):
+                    cells, codes = found >> bits, (found & ((1 << bits) - 1)).astype(np.int32)
+                    row.extend({"cell": c, "codes": codes[cells == c]} for c in dict.fromkeys(cells.tolist()))
             yield pd.Series(out, dtype=object)
 
     bound_batches()
@@ -129,7 +148,7 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.n
     for q, some in enumerate(looks):
         for c in some.tolist():
             asked.setdefault(c, []).append(q)
-    pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
     edges = np.flatnonzero(np.diff(codes[order])) + 1
     for part in np.split(order, edges):
         wide = np.unique(ids[part], return_counts=True)[1].max() * k  # enough for k different ids
@@ -141,15 +160,13 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.n
             m = min(wide, near.shape[1])
             least = np.partition(near, near.shape[1] - m, axis=1)[:, near.shape[1] - m]
             q, r = np.nonzero((near >= least[:, None] - 1e-9) & np.isfinite(near))
-            pairs.append((some[q], part[r], near[q, r]))
+            pairs.append((some[q], part[r]))
     if not pairs:
         return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-    q, r, near = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    found = pd.DataFrame({"query_id": query_ids[q], "q": q, "vec_id": ids[r], "r": r, "near": near})
-    rough = found.groupby(["query_id", "vec_id"], sort=False)["near"].max().reset_index().sort_values(["query_id", "near"], ascending=[True, False])
-    kth = rough[rough.groupby("query_id").cumcount() == k - 1].set_index("query_id")["near"]
-    found = found[found["near"] >= found["query_id"].map(kth).fillna(-2.0) - 2e-9]
-    found = found.assign(score=vectors.cosine(queries[found["q"]], rows[found["r"]])).groupby(["query_id", "vec_id"], as_index=False)["score"].max()
+    q, r = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    found = pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[r], "score": vectors.cosine(queries[q], rows[r])})
+    if len(np.unique(ids)) < len(ids) or len(np.unique(query_ids)) < len(query_ids):
+        found = found.groupby(["query_id", "vec_id"], as_index=False)["score"].max()
     found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
     return found[found.groupby("query_id").cumcount() < k]
 
@@ -170,8 +187,11 @@ def nearest(
     count, dims = base.count(), max(vectors.dimension(base, "v"), 1)
     hashes = hashes or plan(count, dims)[0]
     tables, probes = tables or PLANS[hashes][0], probes or PLANS[hashes][1]
-    index = base.select("id", "v", F.explode(buckets(F.col("v"), dims, tables, 1, hashes)).alias("b")).select("id", "v", "b.*")
-    asked = base.where("asks").select("id", "v", F.explode(buckets(F.col("v"), dims, tables, probes, hashes)).alias("b")).select("id", "v", "b.*")
+    bits = _code_bits(dims, hashes)
+    code = F.col("b").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    index = base.select("id", "v", F.explode(buckets(F.col("v"), dims, tables, hashes)).alias("b"))
+    index = index.select("id", "v", F.shiftright("b", bits).alias("cell"), F.array(code).alias("codes"))
+    asked = base.where("asks").select("id", "v", F.explode(looked_in(F.col("v"), dims, tables, probes, hashes)).alias("b")).select("id", "v", "b.*")
     sizes = index.groupBy("cell").agg(F.count("*").alias("n_rows")).join(asked.groupBy("cell").agg(F.count("*").alias("n_asks")), "cell")
     sizes = cut(sizes.select("cell", F.ceil(F.col("n_rows") / block).alias("n_i"), F.ceil(F.col("n_asks") / block).alias("n_j"), "n_rows"))
     total = sizes.agg(F.sum(F.col("n_rows") * F.col("n_j")).alias("n")).first()["n"] or 0

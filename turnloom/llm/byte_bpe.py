@@ -225,7 +225,10 @@ def decode(ids: Column, vocabulary: str = VOCABULARY, pattern: str = public_toke
 
 def encode_checked(text: Column, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> Column:
     """struct<ids binary, round_trip boolean>: ids as little-endian unsigned 32-bit integers, the form that training
-    readers map into memory, and whether they decode to the text's bytes."""
+    readers map into memory, and whether they decode to the text's bytes.
+
+    A null or empty text has no ids and makes the trip. Texts are encoded whole, however long; equal texts get equal ids.
+    """
 
     def batches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = load(vocabulary_path(vocabulary), pattern)
@@ -239,7 +242,10 @@ def encode_checked(text: Column, vocabulary: str = VOCABULARY, pattern: str = pu
 
 
 def digest(text: Column, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> Column:
-    """struct<n_tokens, ids_sha256, decoded_sha256>: what encoding gives and what decoding its ids gives back."""
+    """struct<n_tokens, ids_sha256, decoded_sha256>: what encoding gives and what decoding its ids gives back.
+
+    A null or empty text has 0 tokens and the digests of nothing. Texts are encoded whole; equal texts get equal digests.
+    """
 
     def batches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe, sha = load(vocabulary_path(vocabulary), pattern), hashlib.sha256
