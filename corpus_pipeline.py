@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import byte_bpe, language_id, mixing, pii, simhash
-from turnloom.llm.common import cut, free_name, table
+from turnloom.llm.common import free_name, table
+from turnloom.scratch import cut, drop, step
 
 #: Near-duplicates share most of their five-word shingles: the fingerprints have 4 x 64 bits, two texts are linked at
 #: an angle of up to that of a cosine of 0.8 (52 of 256 bits). They meet in shards named by two min-hashes of 16 pairs.
@@ -73,8 +74,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each stage's rows are written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply the stages to documents; each stage's rows are written as Parquet and read again. What a stage and the one before
+    it have written goes once its own rows are."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        with step() as written:
+            docs = cut(stage(spark, docs, sf_dir))
+            written.remove(docs)
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
