@@ -341,6 +341,44 @@ def test_tails():
     assert math.isclose(models.t_two_sided(1.0, 1), 0.5, rel_tol=1e-9)
 
 
+def test_satterthwaite_of_a_balanced_design(spark):
+    """Every patient has every label equally often: contrasts within patients have N - patients - 2 degrees of freedom."""
+    rng = np.random.default_rng(12)
+    rows = [(p, s, float(rng.normal() + 0.3 * p + (s == "positive") * 0.4)) for p in range(8) for s in ("neutral", "positive", "negative") for _ in range(4)]
+    fit = models.sentiment_model(spark.createDataFrame(rows, "g int, sentiment string, y double"), "y", "g")
+    mean = {s: np.mean([y for _, t, y in rows if t == s]) for s in ("neutral", "positive", "negative")}
+    assert math.isclose(fit["coef_positive"], mean["positive"] - mean["neutral"], rel_tol=1e-9) and math.isclose(fit["coef_pos_vs_neg"], mean["positive"] - mean["negative"], rel_tol=1e-9)
+    for name in ("positive", "negative", "pos_vs_neg"):
+        assert math.isclose(fit[f"p_{name}"], models.t_two_sided(fit[f"z_{name}"], 96 - 8 - 2), rel_tol=1e-3)
+    within = sum((y - np.mean([v for q, t, v in rows if (q, t) == (p, s)])) ** 2 for p, s, y in rows) + sum(
+        4 * (np.mean([v for q, t, v in rows if (q, t) == (p, s)]) - mean[s] - np.mean([v for q, _, v in rows if q == p]) + np.mean([v for *_, v in rows])) ** 2 for p in range(8) for s in mean
+    )
+    assert math.isclose(fit["sigma2_resid"], within / 86, rel_tol=1e-6)
+
+
+def test_scratch_tables_go(spark):
+    import os
+    from types import SimpleNamespace
+
+    from turnloom import scratch
+
+    with scratch.step() as made:
+        a, b = scratch.cut(spark.range(3)), scratch.cut(spark.range(4))
+        made.remove(b)
+    assert not os.path.exists(a.scratch_path.removeprefix("file://")) and b.count() == 4
+    scratch.drop(b)
+    assert not os.path.exists(b.scratch_path.removeprefix("file://"))
+
+    def session(master, folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master, applicationId="test"))
+
+    assert scratch.scratch_root(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    assert scratch.scratch_root(session("local[2]", None)).startswith("file:///")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch.scratch_root(session(master, None))
+
+
 def test_small_inputs_give_nulls(spark):
     rows = spark.createDataFrame([("a", "positive", 1.0)], "g string, sentiment string, y double")
     assert models.sentiment_model(rows, "y", "g")["method"] == "not_fittable"

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.scratch import cut, drop
 from turnloom.workers import reachable
 
 SENTIMENTS = ("neutral", "positive", "negative")
@@ -174,7 +175,7 @@ def lr_statistic(cells: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], q
 
 def cells_of(rows: DataFrame, y: str, group: str, by: str = "sentiment", extra: tuple[str, ...] = ()) -> DataFrame:
     kept = rows.where(F.col(y).isNotNull() & ~F.isnan(y) & F.col(by).isin(*SENTIMENTS))
-    return kept.groupBy(*extra, group, by).agg(F.count("*").alias("n"), F.sum(y).alias("s"))
+    return kept.groupBy(*extra, group, by).agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(F.col(y) * F.col(y)).alias("q"))
 
 
 def _numbered(cells: pd.DataFrame, group: str, by: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -193,11 +194,11 @@ def sentiment_model(rows: DataFrame, y: str, group: str) -> dict[str, float | st
 
     Fewer than 6 values, 3 patients or 2 labels: nulls with method not_fittable.
     """
-    sums = rows.where(F.col(y).isNotNull() & ~F.isnan(y) & F.col("sentiment").isin(*SENTIMENTS)).agg(F.count("*").alias("n"), F.sum(F.col(y) * F.col(y)).alias("q")).first()
     cells = local(cells_of(rows, y, group))
+    sums = {"n": int(cells["n"].sum()) if len(cells) else 0, "q": math.fsum(cells["q"])}
     names = [f"{a}_{b}" for b in ("positive", "negative", "pos_vs_neg") for a in ("coef", "se", "z", "p")]
     out: dict = dict.fromkeys(["lr_stat", "lr_pval", *names, "sigma2_patient", "sigma2_resid", "icc"])
-    out |= {"n_turns": int(sums["n"]), "n_patients": cells[group].nunique() if len(cells) else 0, "method": "not_fittable"}
+    out |= {"n_turns": sums["n"], "n_patients": cells[group].nunique() if len(cells) else 0, "method": "not_fittable"}
     if sums["n"] < 6 or out["n_patients"] < 3 or cells["sentiment"].nunique() < 2:
         return out
     numbered = _numbered(cells, group, "sentiment")
@@ -285,7 +286,7 @@ def residuals(rows: DataFrame, y: str, group: str) -> DataFrame:
     """rows with resid: the value less the fitted label mean and the group's predicted effect, at REML."""
     kept = rows.where(F.col(y).isNotNull() & ~F.isnan(y) & F.col("sentiment").isin(*SENTIMENTS))
     cells = local(cells_of(rows, y, group)).sort_values([group, "sentiment"], kind="stable")
-    q = kept.agg(F.sum(F.col(y) * F.col(y)).alias("q")).first()["q"]
+    q = math.fsum(cells["q"])
     code, labels, n, s = _numbered(cells, group, "sentiment")
     x = design(labels)
     have = [0, *(j for j in (1, 2) if x[:, j].any())]
@@ -341,7 +342,8 @@ def normal_sample(rows: DataFrame, column: str, most: int = SHAPIRO_MOST) -> np.
 
 def residual_normality(rows: DataFrame, y: str, group: str) -> dict[str, float | None]:
     """resid_skewness and resid_kurtosis over all rows, resid_shapiro_w and _p of normal_sample() of them."""
-    resid = residuals(rows, y, group)
+    resid = cut(residuals(rows, y, group).select("resid"))
     m = moments(resid, "resid").first()
     w, p = shapiro_wilk(normal_sample(resid, "resid"))
+    drop(resid)
     return {"resid_shapiro_w": w, "resid_shapiro_p": p, "resid_skewness": m["skewness"], "resid_kurtosis": m["kurtosis"]}

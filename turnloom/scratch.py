@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders made for sessions on one machine that name none (tests), by application id.
 _OWN: dict[str, str] = {}
+#: Lists that note the tables made while they are open.
+_NOTED: list[list[DataFrame]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -39,9 +43,24 @@ def cut(df: DataFrame) -> DataFrame:
     store.deleteOnExit(place)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    for noted in _NOTED:
+        noted.append(out)
     return out
 
 
+@contextmanager
+def step() -> Iterator[list[DataFrame]]:
+    """Tables that cut() makes inside go at the end, but for those taken out of the list: what a step returns."""
+    noted: list[DataFrame] = []
+    _NOTED.append(noted)
+    try:
+        yield noted
+    finally:
+        _NOTED[:] = [x for x in _NOTED if x is not noted]
+    for df in noted:
+        drop(df)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table from cut(), once nothing reads them any more."""
     store, place = _at(df, df.scratch_path)
