@@ -705,6 +705,22 @@ def test_tokens_as_the_library_gives_them(bpe, text):
     assert bpe.decode(ids) == text.encode()
 
 
+def test_shortcuts_and_caches_change_nothing(bpe, monkeypatch):
+    """Letters, stops and small caches against the library, over and over the same pieces."""
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = byte_bpe.read_ranks(P.path(byte_bpe.VOCABULARY))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(byte_bpe, "CACHE_PIECES", 7)
+    monkeypatch.setattr(byte_bpe, "CACHE_WORDS", 3)
+    mine, rng = byte_bpe.ByteBpe(ranks, P.PATTERN), random.Random(4)
+    pieces = ["word", "Wort.", "é", "éa,", "l'eau", "don't.", "a1.", "x!", "..", "？", "日本。", "ω;", "\u0301a.", "\u01c5x", "\n", "", "I'll:", "ٱل.", "ª?", "²", "Ⅷ.", "\U0001f642a"]
+    for _ in range(300):
+        text = " ".join(rng.choice(pieces) for _ in range(rng.randrange(12)))
+        assert np.frombuffer(mine.encode(text), "<u4").tolist() == enc.encode_ordinary(text)
+
+
 def test_long_runs(bpe):
     for text in ("a" * 5000, "=" * 3000, " " * 2000, "ab" * 3000, "\n" * 999):
         assert bpe.decode(bpe.encode(text)) == text.encode()

@@ -7,7 +7,7 @@ two. That test is memoised, and a place where no token can follow is never tried
 length. The result is the one sequence whose neighbours are all compatible, which is what the ranked merges give.
 
 Texts are whole. They are cut before single spaces that follow a visible character, where the pattern always cuts;
-the pieces between are met again and again and come from a bounded cache.
+the pieces between are met again and again and come from a bounded cache, the older half of which goes when it is full.
 """
 
 from __future__ import annotations
@@ -32,8 +32,12 @@ from pyspark.sql import functions as F
 from .common import bound_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pieces, pre-tokens and token pairs that a Python worker keeps at most.
-CACHE_PIECES, CACHE_WORDS, CACHE_PAIRS = 200_000, 150_000, 150_000
+#: Pieces (in each of two generations), pre-tokens and token pairs that a Python worker keeps at most.
+CACHE_PIECES, CACHE_WORDS, CACHE_PAIRS = 150_000, 50_000, 150_000
+#: Marks that are a pre-token of their own between letters and a space.
+_STOPS = frozenset(".,;:!?")
+#: No token, and not looked up yet.
+_NONE, _UNKNOWN = -1, -2
 #: Python's own \s holds every character that the pattern takes for space, so these cut too seldom, never too often.
 _SPACES, _CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
 
@@ -48,17 +52,21 @@ class ByteBpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.tokens = {rank: token for token, rank in ranks.items()}
+        size = max(ranks.values(), default=-1) + 1
+        self.tokens, self.lengths, self._shorter = [b""] * size, [0] * size, [_UNKNOWN] * size
+        for token, rank in ranks.items():
+            self.tokens[rank], self.lengths[rank] = token, len(token)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self.lengths = {rank: len(token) for token, rank in ranks.items()}
-        self.most = max(self.lengths.values(), default=1)
+        self.most = max(self.lengths, default=1)
         self._pieces: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        #: The shortcuts for letters and stops hold for this pattern.
+        self._usual = pattern == public_tokenizers.PATTERN
         self._words: dict[str, list[int]] = {}
         self._pairs: dict[int, bool] = {}
-        self._shorter: dict[int, int | None] = {}
         self._merged: dict[int, tuple[int, int] | None] = {}
 
     def _halves(self, rank: int) -> tuple[int, int] | None:
@@ -116,64 +124,92 @@ class ByteBpe:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        line, compatible = data.decode("latin-1"), self.compatible
+        line, pairs, compatible, lengths = data.decode("latin-1"), self._pairs, self.compatible, self.lengths
         ids = [rank for _, rank in self.automaton.iter_long(line)]
-        good = 1
-        while good < len(ids) and compatible(ids[good - 1], ids[good]):
-            good += 1
-        if good >= len(ids):  # longest tokens one after another, and all may stand so
+        last, at = ids[0], lengths[ids[0]]
+        for good in range(1, len(ids)):
+            rank = ids[good]
+            fits = pairs.get(last << 32 | rank)
+            if not (compatible(last, rank) if fits is None else fits):
+                break
+            last = rank
+            at += lengths[rank]
+        else:  # longest tokens one after another, and all may stand so
             return ids
-        n, lengths, dead = len(data), self.lengths, bytearray(len(data) + 1)
+        # From here on longest tokens are known where those above began; others are looked up when they are asked for.
+        n, place, longest, dead, shorter = len(data), at, {}, set(), self._shorter
+        for rank in ids[good:]:
+            longest[place] = rank
+            place += lengths[rank]
         rank = self.shorter(ids[good])
         del ids[good:]
-        at = sum([lengths[x] for x in ids])
         while at < n:
-            while rank is not None and (dead[at + lengths[rank]] or (ids and not compatible(ids[-1], rank))):
+            last = ids[-1] if ids else _NONE
+            while rank >= 0:
+                if at + lengths[rank] not in dead:
+                    if last < 0:
+                        break
+                    fits = pairs.get(last << 32 | rank)
+                    if compatible(last, rank) if fits is None else fits:
+                        break
+                rank = shorter[rank] if shorter[rank] != _UNKNOWN else self.shorter(rank)
+            if rank < 0:
+                dead.add(at)
+                rank = ids.pop()
+                at -= lengths[rank]
                 rank = self.shorter(rank)
-            if rank is None:
-                dead[at] = 1
-                at -= lengths[ids[-1]]
-                rank = self.shorter(ids.pop())
             else:
                 ids.append(rank)
                 at += lengths[rank]
-                rank = self._longest(line, at) if at < n else None
+                if at < n:
+                    rank = longest.get(at, _NONE)
+                    if rank < 0:
+                        rank = longest[at] = next(self.automaton.iter_long(line[at : at + self.most]))[1]
         return ids
 
-    def _longest(self, line: str, at: int) -> int:
-        return next(self.automaton.iter_long(line[at : at + self.most]))[1]
-
-    def shorter(self, rank: int) -> int | None:
+    def shorter(self, rank: int) -> int:
         """The longest token that this one starts with, other than itself."""
-        if rank not in self._shorter:
+        found = self._shorter[rank]
+        if found == _UNKNOWN:
             token = self.tokens[rank]
-            self._shorter[rank] = next((self.ranks[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in self.ranks), None)
-        return self._shorter[rank]
-
-    def _ids(self, text: str) -> bytes:
-        ids: list[int] = []
-        for word in self.pattern.findall(text):
-            found = self._words.get(word)
-            if found is None:
-                found = self.encode_piece(word.encode("utf-8", "surrogatepass"))
-                if len(word) <= 64:
-                    if len(self._words) >= CACHE_WORDS:
-                        self._words.clear()
-                    self._words[word] = found
-            ids += found
+            found = self._shorter[rank] = next((self.ranks[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in self.ranks), _NONE)
+        return found
+
+    def _ids(self, piece: str) -> bytes:
+        if self._usual and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+            ids = self.encode_piece(piece.encode("utf-8"))  # letters, after a space or not: one pre-token
+        else:
+            ids = []
+            for word in self.pattern.findall(piece):
+                found = self._words.get(word)
+                if found is None:
+                    found = self.encode_piece(word.encode("utf-8", "surrogatepass"))
+                    if len(word) <= 64:
+                        if len(self._words) >= CACHE_WORDS:
+                            self._words.clear()
+                        self._words[word] = found
+                ids += found
         packed = array("I", ids)
         if sys.byteorder != "little":
             packed.byteswap()
         return packed.tobytes()
 
     def _cached(self, piece: str) -> bytes:
+        """Ids of a piece, which begins a text or with a space, and which a space or the text's end follows."""
         found = self._pieces.get(piece)
+        if found is not None:
+            return found
+        found = self._older.get(piece)
         if found is None:
-            found = self._ids(piece)
-            if len(piece) <= 64:
-                if len(self._pieces) >= CACHE_PIECES:
-                    self._pieces.clear()
-                self._pieces[piece] = found
+            stem = piece[:-1]
+            if self._usual and piece[-1:] in _STOPS and stem[1:].isalpha() and (stem[0] == " " or stem[0].isalpha()):
+                found = self._cached(stem) + self._cached(piece[-1])
+            else:
+                found = self._ids(piece)
+        if len(piece) <= 64:
+            if len(self._pieces) >= CACHE_PIECES:
+                self._older, self._pieces = self._pieces, {}
+            self._pieces[piece] = found
         return found
 
     def encode(self, text: str | None) -> bytes:
@@ -182,8 +218,8 @@ class ByteBpe:
             return b""
         if _SPACES.search(text):
             return b"".join(map(self._cached, _CUT.split(text)))
-        known, (first, *rest) = self._pieces, text.split(" ")
-        return b"".join([self._cached(first), *(known.get(x) or self._cached(x) for x in map(" ".__add__, rest))])
+        known, cached, (first, *rest) = self._pieces.get, self._cached, text.split(" ")
+        return b"".join([cached(first), *(known(x) or cached(x) for x in map(" ".__add__, rest))])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
