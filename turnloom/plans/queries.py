@@ -470,13 +470,22 @@ def cross_lag_peak(spark, sf_dir):
     return c.select("dyad", "turn_index", F.round(F.col("peak_lag_s") * A.HZ).cast("long").alias("k"), F.round("cc_r_peak", 9).alias("r"))
 
 
-@query()
+def _at_30_hz(sql: str) -> str:
+    """The same SQL on a clock on which an hour is a thirtieth of a second."""
+    sql = sql.replace("/ 1e6 AS ts", "/ 1e6 / 108000 AS ts").replace("(1.0::DOUBLE / 3600.0::DOUBLE)", "(30.0::DOUBLE)")
+    return sql.replace("least(3, n_frames - 3)", "least(75, n_frames - 3)").replace("end_s - start_s >= 43200", "end_s - start_s >= 4.0")
+
+
+#: Turns as long as a dyad's whole record, so that the longest lag fits.
+WHOLE = "turns AS (SELECT DISTINCT user_id // 2 AS dyad, 0 AS turn_index, 0.0::DOUBLE AS start_s, 24.0::DOUBLE AS end_s FROM events)"
+
+
+@query(_at_30_hz(with_(A.FRAMES, A.GRID, A.LINEAR, WHOLE, CROSS) + "SELECT dyad, turn_index, n_frames, round(cc_r, 9) AS cc_r, round(peak_lag_s, 6) AS peak_lag_s, round(cc_r_peak, 9) AS cc_r_peak FROM cc"))
 def cross_lag_151(spark, sf_dir):
-    """All 151 lags on a 30 Hz clock: an hour of the recordings counts as one frame's thirtieth of a second."""
+    """All 151 lags at 30 Hz."""
     quick = A.frames(spark, sf_dir).withColumn("ts", F.col("ts") / 108_000)
     turns_ = A.turns(spark, sf_dir).withColumns({c: F.col(c) / 108_000 for c in ("start_s", "end_s")})
-    # Turns are as long as a dyad's whole record here, so that the longest lag fits.
-    whole = turns_.groupBy("dyad", "interviewer").agg(F.lit(0).alias("turn_index"), F.lit("positive").alias("sentiment"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"))
+    whole = turns_.groupBy("dyad").agg(F.lit(0).alias("turn_index"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"))
     cc = dyad.cross_lag(whole, quick, min_turn_s=4.0)
     return cc.select("dyad", "turn_index", "n_frames", r9("cc_r"), F.round("peak_lag_s", 6).alias("peak_lag_s"), r9("cc_r_peak"))
 
