@@ -32,7 +32,7 @@ EVEN_GRAMS = 1000
 #: Difference of loss below which a result counts as ambiguous.
 AMBIGUOUS = 0.05
 #: A text of this many bytes or more is foreign if its least loss is so many times above the largest of labelled texts as long.
-FOREIGN_BYTES, FOREIGN_TIMES = 200, 1.25
+FOREIGN_BYTES, FOREIGN_TIMES = 200, 2.0
 _KEEP = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _PAD = b"   "
 
