@@ -24,7 +24,7 @@ def segment_filter(segments: DataFrame, role: Column, both_speakers: bool = Fals
 def in_time_order(segments: DataFrame, file_col: str = "file") -> DataFrame:
     """Segments by file and time, with their place in the file."""
     along = Window.partitionBy(file_col).orderBy("start_s", "dur_s")
-    return segments.withColumn("place", F.row_number().over(along) - 1).orderBy(file_col, "place")
+    return segments.withColumn("place", (F.row_number().over(along) - 1).cast("bigint")).orderBy(file_col, "place")
 
 
 def speaker_roles(segments: DataFrame, file_col: str = "file", speaker_col: str = "speaker") -> DataFrame:
