@@ -137,7 +137,7 @@ def read_synchrony(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*map(cell, SYNC.fields))
 
 
-def read_openface(spark: SparkSession, path: str, threshold: float = 0.5, drop: bool = False) -> DataFrame:
+def read_openface(spark: SparkSession, path: str | list[str], threshold: float = 0.5, drop: bool = False) -> DataFrame:
     """file, ts and the four units of frame tables; frames below the confidence lose their values, or go if `drop`."""
     raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path, enforceSchema=False)
     raw = raw.toDF(*[c.strip() for c in raw.columns])
