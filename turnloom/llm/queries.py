@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, embed_dedup, language_id, mixing, pii, quality, simhash, suffix_dedup, url_filter
+from . import (
+    ann, byte_bpe, decision_list, embed_dedup, importance, language_id, mixing, pii, prefix_trie, quality, simhash, suffix_dedup, url_filter,
+)
 from .common import cut, drawn, remainder, table
 
 
@@ -141,6 +143,111 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, rebuilt with the first turns of the first of their hundred."""
+    turns = prefix_trie.ranked(table(spark, sf_dir, "conversations"))
+    ids = turns.select("conv_id").distinct()
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    rebuilt = cut(prefix_trie.shared_heads(turns, ids, head, F.col("conv_id") - F.col("conv_id") % 100, 5))
+    return prefix_trie.trie(rebuilt, ids)
+
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL: the unsigned CRC-32 of an ASCII or hex-escaped text's UTF-8 bytes."""
+    octets = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i - 1 AS INTEGER), 2) AS BIGINT))"
+    bit = "CASE WHEN (a & 1) = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: {bit})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: {byte}), 4294967295::BIGINT)"
+
+
+OP11_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, n, conv_id - conv_id % 100 AS lender, {_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id)
+), b AS (
+  SELECT c.conv_id, c.h, c.lender, least(c.h, coalesce(l.n, 0)) AS begun FROM c LEFT JOIN c l ON l.conv_id = c.lender
+), r AS (
+  SELECT b.conv_id, t.pos, t.role, t.text FROM b JOIN t ON t.conv_id = b.lender AND t.pos <= b.h
+  UNION ALL
+  SELECT b.conv_id, b.begun + t.pos - b.h, t.role, t.text FROM b JOIN t ON t.conv_id = b.conv_id AND t.pos > b.h
+), w AS (
+  SELECT b.conv_id, coalesce(list(md5(length(r.role) || ':' || r.role || r.text) ORDER BY r.pos) FILTER (r.pos IS NOT NULL), []) AS keys,
+         coalesce(list(length(r.text) ORDER BY r.pos) FILTER (r.pos IS NOT NULL), []) AS sizes
+  FROM b LEFT JOIN r USING (conv_id) GROUP BY b.conv_id
+), m AS (
+  SELECT conv_id, len(keys) AS n, d, md5(array_to_string(keys[1:d], '')) AS p, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS size,
+         md5(array_to_string(keys[1:d - 1], '')) AS up
+  FROM (SELECT *, unnest(range(0, len(keys) + 1)) AS d FROM w)
+), g AS (
+  SELECT d, p, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+  FROM m GROUP BY d, p
+), k AS (
+  SELECT g.*, (SELECT count(*) FROM g c WHERE c.d = g.d + 1 AND c.up = g.p) AS n_children, (n_convs - 1) * size AS own FROM g
+), pairs AS (
+  SELECT DISTINCT a.d, a.p, b.d AS d2, b.p AS p2 FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.d >= a.d
+), s AS (
+  SELECT pairs.d, pairs.p, count(*) FILTER (k.n_children = 0) AS n_leaves, sum(k.own) AS saved FROM pairs JOIN k ON k.d = pairs.d2 AND k.p = pairs.p2 GROUP BY pairs.d, pairs.p
+)
+SELECT k.conv_id, CAST(k.d AS BIGINT) AS depth, CASE WHEN k.d > 0 THEN q.conv_id END AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, k.ends_sha256
+FROM k JOIN s ON s.d = k.d AND s.p = k.p LEFT JOIN g q ON q.d = k.d - 1 AND q.p = k.up
+"""
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's words, its score and its place in the draw."""
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+_WORDS12 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP12_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_WORDS12} AS words FROM documents
+), dw AS (
+  SELECT rid, unnest(words) AS word FROM d
+), tw AS (
+  SELECT unnest({_WORDS12}) AS word FROM benchmark
+), v AS (
+  SELECT word, {_crc32("word")} % 10000 AS bucket FROM (SELECT word FROM dw UNION SELECT word FROM tw)
+), s AS (
+  SELECT bucket, count(*) AS s FROM dw JOIN v USING (word) GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*) AS t FROM tw JOIN v USING (word) GROUP BY bucket
+), g AS (
+  SELECT s.bucket, CAST(floor(1000.0::DOUBLE * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)::DOUBLE
+         / ((s + 1)::DOUBLE * ((SELECT count(*) FROM tw) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)
+), w AS (
+  SELECT rid, sum(gain) AS weight FROM dw JOIN v USING (word) JOIN g USING (bucket) GROUP BY rid
+), h AS (
+  SELECT d.rid, d.doc_id, CAST(len(d.words) AS BIGINT) AS n_features, CAST(coalesce(w.weight, 0) AS BIGINT) AS weight,
+         CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)::DOUBLE AS h
+  FROM d LEFT JOIN w USING (rid)
+), x AS (
+  SELECT *, weight + CAST(floor(-1000.0::DOUBLE * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM h
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place FROM x
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= 10 * (SELECT count(*) FROM x WHERE n_features >= 20) // 100 THEN place END AS rank
+FROM o
+"""
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and a decision list from all labels; reason: the rule that decides."""
+    docs = table(spark, sf_dir, "documents")
+    rules = decision_list.fit(docs, table(spark, sf_dir, "labels"))
+    judged = decision_list.judge(docs.select("doc_id", "text"), rules)
+    return judged.select("doc_id", *[F.col(f"judged.{c}").alias(c) for c in (*decision_list.COUNTS, "base_failed", "kept", "reason")])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -152,5 +259,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_nearest": op10_nearest,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_importance": op12_importance,
+    "op13_quality_rules": op13_quality_rules,
 }
-SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL}
+SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op11_prefix_trie": OP11_SQL, "op12_importance": OP12_SQL}
