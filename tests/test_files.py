@@ -31,8 +31,10 @@ def build(folder, patients=6):
 def test_from_files_to_result_tables(spark, tmp_path):
     build(tmp_path)
     where = (str(tmp_path / "model.json"), str(tmp_path / "labelled"), str(tmp_path))
-    turns, frames, status = files.load(spark, *where)
-    assert {r.job: r.reason for r in status.collect()} == {f"p{p}": "missing_paths" if p == 6 else None for p in range(7)}
+    got = files.load(spark, *where)
+    turns, frames = got.turns, got.frames
+    assert {r.patient_id: r.reason for r in got.jobs.collect()} == {f"p{p}": "missing_paths" if p == 6 else None for p in range(7)}
+    assert {r.status: r.n for r in got.catalog.collect()} == {"job": 7, "transcript_null": 1, "orphaned": 0}
     assert turns.count() == 36 and frames.count() == 12 * 800 and frames.where("intensity is null").count() == 12 * 16
     out = str(tmp_path / "out")
     smile = files.smile(spark, *where, out, least=1).collect()
@@ -47,6 +49,41 @@ def test_from_files_to_result_tables(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{out}/synchrony_by_sentiment").columns == list(analyses.SYNC_RESULT)
 
 
+def test_bad_files_end_their_own_interview_and_interviews_stay_apart(spark, tmp_path):
+    build(tmp_path, 7)
+    model = json.loads((tmp_path / "model.json").read_text())
+    (tmp_path / "labelled/translate_P0_bindung_sentiment.json").write_text('[{"turn_index": 1, ')
+    (tmp_path / "labelled/translate_P1_bindung_sentiment.json").write_text('{"turns": []}')
+    (tmp_path / "labelled/translate_P2_bindung_sentiment.json").write_text("[3, null, {}]")
+    (tmp_path / "frames/patient3.csv").write_text("frame, AU06_r\n1, 2\n")
+    (tmp_path / "frames/therapist4.csv").write_text("timestamp, AU06_r\n1, 2\n2, 3, 4\n")
+    (tmp_path / "frames/therapist5.csv").write_text("")
+    again = json.loads(json.dumps(model["interviews"][6]))  # another interview of p6, with other recordings
+    again["types"]["bindung"] |= {"patient_openface": "frames/therapist0.csv", "therapist_openface": str(tmp_path / "frames/therapist1.csv")}
+    alone = {**model, "interviews": list(model["interviews"])}
+    model["interviews"].append(again)
+    (tmp_path / "model.json").write_text(json.dumps(model))
+    (tmp_path / "alone.json").write_text(json.dumps(alone))
+    got = files.load(spark, str(tmp_path / "model.json"), str(tmp_path / "labelled"), str(tmp_path))
+    assert {r.job: r.reason for r in got.jobs.collect()} == {
+        "0": "exception:JSONDecodeError:not a JSON document", "1": "exception:TypeError:not a JSON list", "2": "no_labeled_turns",
+        "3": "exception:KeyError:'timestamp'", "4": "exception:ParserError:expected 2 fields, saw 3", "5": "exception:EmptyDataError:no lines",
+        "6": None, "7": "missing_paths", "9": None,
+    }
+    out = str(tmp_path / "out")
+    files.smile(spark, str(tmp_path / "model.json"), str(tmp_path / "labelled"), str(tmp_path), out)
+    files.smile(spark, str(tmp_path / "alone.json"), str(tmp_path / "labelled"), str(tmp_path), str(tmp_path / "alone"))
+
+    def means(folder):
+        return {(r.turn_index, r.client_smile_intensity) for r in spark.read.option("header", True).csv(f"{folder}/turns").where("patient_id = 'p6'").collect()}
+
+    assert len(means(out)) == 12 and len(means(tmp_path / "alone")) == 6 and means(tmp_path / "alone") < means(out)
+    reasons = {r.reason: r.n for r in spark.read.option("header", True).csv(f"{out}/failures").collect()}
+    assert reasons["no_labeled_turns"] == "1" and len(reasons) == 7
+    assert spark.read.option("header", True).csv(f"{out}/catalog_counts").count() == 3
+    assert files.synchrony(spark, str(tmp_path / "model.json"), str(tmp_path / "labelled"), str(tmp_path), out).select("participant_id").distinct().collect() == [("p6",)]
+
+
 def test_program(spark, tmp_path):
     build(tmp_path, 4)
     files.main(["smile", "--data-model", str(tmp_path / "model.json"), "--labelled-dir", str(tmp_path / "labelled"), "--root", str(tmp_path), "--output-dir", str(tmp_path / "out"), "--permutations", "5"])

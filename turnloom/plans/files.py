@@ -4,69 +4,101 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.functions import signals as S
 from turnloom.operators import dyad, jobs
 from turnloom.plans import analyses
 from turnloom.scratch import cut
-from turnloom.sources import readers, sinks
+from turnloom.sources import documents, readers, sinks
 
 
-def _plain(path: Column) -> Column:
-    return F.regexp_replace(path, "^file:/+", "/")
+#: Columns of turns beside what an analysis computes: an interview is known by its place in the catalog.
+TURN = ("dyad", "patient", "interviewer", "turn_index", "sentiment", "start_s", "end_s")
 
 
-def _placed(path: Column, root: str) -> Column:
-    """A path of the catalog as this system has it: drives rewritten, relative ones below root."""
-    native = readers.native_path(path)
-    return F.when(native.rlike("^(/|[a-z][a-z0-9+.-]+:)"), _plain(native)).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), native))
+@dataclass
+class Loaded:
+    """turns (TURN) and frames (dyad, side, ts, intensity, presence) of the interviews that loaded; jobs (job, patient_id, therapist_id, ok,
+    reason) of all that have a transcript and a labelled file; catalog: how many interviews and labelled files were met or not, by status."""
 
+    turns: DataFrame
+    frames: DataFrame
+    jobs: DataFrame
+    catalog: DataFrame
 
-def _there(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """Those of the catalog's files that exist; two for each interview."""
+    def report(self, out: str) -> None:
+        """jobs, the histogram of reasons and the counts of the catalog, below out."""
+        sinks.write_csv(self.jobs, f"{out}/jobs", self.jobs.columns)
+        sinks.write_csv(jobs.failure_histogram(self.jobs), f"{out}/failures", ["reason", "n"])
+        sinks.write_csv(self.catalog, f"{out}/catalog_counts", self.catalog.columns)
+
+
+def _existing(spark: SparkSession, candidates: DataFrame) -> DataFrame:
+    """path of the files in the folders that candidates (path) name, listed by the driver as Spark does before a scan."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    return [p for p in paths if (place := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(place)]
+    folders = [r[0] for r in candidates.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1)).where("path like '%/%'").distinct().collect()]
+    found = []
+    for folder in filter(None, folders):
+        place = jvm.org.apache.hadoop.fs.Path(folder)
+        store = place.getFileSystem(conf)
+        if store.exists(place):
+            found += [(x.getPath().toString(),) for x in store.listStatus(place)]
+    return spark.createDataFrame(found, "path string").select(documents.plain(F.col("path")).alias("path"))  # Spark's readers list no empty file
 
 
 def load(
     spark: SparkSession, data_model: str, labelled_dir: str, root: str, *, threshold: float = 0.5, suffix: str = "_sentiment", label_key: str = "sentiment_label",
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """turns (dyad, interviewer, turn_index, sentiment, start_s, end_s), frames (dyad, side, ts, intensity, presence) and the
-    status (job, ok, reason) of every interview with a transcript and a labelled file. A dyad is named by its patient."""
+) -> Loaded:
+    """Every interview by itself, also those of one patient: what can't be read ends that interview, with a reason, and no other."""
     catalog = readers.read_catalog_file(spark, data_model)
-    found = jobs.build_jobs(catalog, jobs.labelled_index(readers.labelled_files(spark, labelled_dir, suffix)))
-    found = cut(found.select(
-        F.col("patient_id").alias("dyad"), F.col("therapist_id").alias("interviewer"), _plain(F.col("path")).alias("labelled_path"),
-        _placed(F.col("patient_openface"), root).alias("patient_path"), _placed(F.col("therapist_openface"), root).alias("therapist_path"),
-    ))
-    sides = found.select("dyad", F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"{who}_path").alias("path")) for k, who in ((0, "patient"), (1, "therapist"))])).alias("s")).select("dyad", "s.*")
-    listed = _there(spark, sorted({r["path"] for r in sides.collect() if r["path"]}))
-    if listed:
-        raw = readers.read_openface(spark, listed, threshold)
-        frames = raw.withColumn("path", _plain(F.col("file"))).join(sides, "path").select(
-            "dyad", "side", "ts", S.smile_intensity(F.col("au06_r"), F.col("au12_r")).alias("intensity"), S.smile_presence(F.col("au06_c"), F.col("au12_c")).alias("presence"),
-        )
+    index = jobs.labelled_index(readers.labelled_files(spark, labelled_dir, suffix))
+    counts = jobs.status_counts(catalog, index).unionByName(jobs.orphaned(index, catalog).agg(F.lit("orphaned").alias("status"), F.count("*").alias("n")))
+    found = jobs.build_jobs(catalog, index).select(
+        F.col("interview").cast("string").alias("job"), "patient_id", "therapist_id", documents.plain(F.col("path")).alias("labelled_path"), "patient_openface", "therapist_openface"
+    )
+    asked = found.select(F.explode(F.array("patient_openface", "therapist_openface")).alias("raw")).where("raw is not null")
+    native = readers.native_path(F.col("raw"))
+    candidates = asked.select(F.explode(F.array(F.col("raw"), native, F.concat(F.lit(root.rstrip("/") + "/"), native))).alias("path")).distinct()
+    there = cut(_existing(spark, candidates))
+    for who in ("patient", "therapist"):
+        found = readers.first_existing(found, f"{who}_openface", there, root, f"{who}_path")
+    found = cut(found.select("job", "patient_id", "therapist_id", "labelled_path", *[documents.plain(F.col(f"{w}_path")).alias(f"{w}_path") for w in ("patient", "therapist")]))
+
+    sides = found.select("job", F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"{who}_path").alias("file")) for k, who in ((0, "patient"), (1, "therapist"))])).alias("s")).select("job", "s.*")
+    sides = sides.where("file is not null")
+    paths = [r[0] for r in sides.select("file").distinct().collect()]  # as many as Spark's own list of the files it reads
+    if paths:
+        scanned = cut(readers.scan_frames(spark, paths, threshold))
     else:
-        frames = spark.createDataFrame([], "dyad string, side int, ts double, intensity double, presence double")
-    frames = cut(frames.where(F.col("ts").isNotNull()))
-    items = readers.read_turns(spark, labelled_dir, f"translate_*{suffix}.json", readers.TRANSLATED_TURN.replace("sentiment_label", label_key), recursive=False)
-    labelled = readers.analysis_turns(items, label_key).withColumn("labelled_path", _plain(F.col("file")))
-    turns = cut(labelled.join(found, "labelled_path").select("dyad", "interviewer", "turn_index", "sentiment", "start_s", "end_s"))
-    asked = found.select(F.col("dyad").alias("job"), *[F.when(F.col(f"{w}_path").isin(*listed), F.col(f"{w}_path")).alias(f"{w}_path") for w in ("patient", "therapist")], "labelled_path")
-    counts = frames.groupBy(F.col("dyad").alias("job")).agg(*[F.count_if(F.col("side") == k).alias(f"{w}_frames") for k, w in ((0, "patient"), (1, "therapist"))])
-    status = jobs.load_status(asked, counts, turns.groupBy(F.col("dyad").alias("job")).agg(F.count("*").alias("turns")))
-    good = cut(status)
-    ready = good.where("ok").select(F.col("job").alias("dyad"))
-    return turns.join(ready, "dyad", "left_semi"), frames.join(ready, "dyad", "left_semi"), good
+        scanned = spark.createDataFrame([], "file string, ts double, au06_r double, au12_r double, au06_c double, au12_c double, kind string, message string")
+    errors = scanned.where("kind is not null").groupBy("file").agg(F.min(F.struct("kind", "message")).alias("e")).select("file", "e.*")
+    seen = scanned.select("file").distinct().withColumn("seen", F.lit(True))
+    bad = sides.join(errors, "file").select("job", "kind", "message")
+    bad = bad.unionByName(sides.join(seen, "file", "left_anti").select("job", F.lit("EmptyDataError").alias("kind"), F.lit("no lines").alias("message")))
+    frames = scanned.where("kind is null and ts is not null").join(sides, "file").select(
+        F.col("job").alias("dyad"), "side", "ts", S.smile_intensity(F.col("au06_r"), F.col("au12_r")).alias("intensity"), S.smile_presence(F.col("au06_c"), F.col("au12_c")).alias("presence"),
+    )
+    met = readers.scan_labelled(spark, labelled_dir, f"translate_*{suffix}.json", label_key).withColumnRenamed("file", "labelled_path").join(found, "labelled_path")
+    met = cut(met.select("job", F.col("patient_id").alias("patient"), F.col("therapist_id").alias("interviewer"), "turn_index", "sentiment", "start_s", "end_s", "kind", "message"))
+    bad = bad.unionByName(met.where("kind is not null").select("job", "kind", "message").distinct())
+    turns = met.where("kind is null").withColumnRenamed("job", "dyad").select(*TURN)
+
+    n_frames = frames.groupBy(F.col("dyad").alias("job")).agg(*[F.count_if(F.col("side") == k).alias(f"{w}_frames") for k, w in ((0, "patient"), (1, "therapist"))])
+    status = jobs.load_status(found, n_frames, turns.groupBy(F.col("dyad").alias("job")).agg(F.count("*").alias("turns")), bad)
+    status = cut(status.join(found.select("job", "patient_id", "therapist_id"), "job").select("job", "patient_id", "therapist_id", "ok", "reason"))
+    ready = status.where("ok").select(F.col("job").alias("dyad"))
+    return Loaded(turns.join(ready, "dyad", "left_semi"), cut(frames.join(ready, "dyad", "left_semi")), status, cut(counts))
 
 
 def smile(spark: SparkSession, data_model: str, labelled_dir: str, root: str, out: str, *, min_frames: int = dyad.MIN_FRAMES, least: int = 0, perms: int = 0, seed: int = 42, **options) -> DataFrame:
     """Turn table and result table of individual smiling, written below out; returns the result."""
-    turns, frames, _ = load(spark, data_model, labelled_dir, root, **options)
-    rows = dyad.turn_means(turns, frames, min_frames).withColumnsRenamed({"dyad": "patient_id", "interviewer": "therapist_id"})
+    got = load(spark, data_model, labelled_dir, root, **options)
+    got.report(out)
+    rows = dyad.turn_means(got.turns, got.frames, min_frames).withColumnsRenamed({"patient": "patient_id", "interviewer": "therapist_id"})
     rows = cut(jobs.inclusion_filter(rows, least))
     sinks.write_csv(rows, f"{out}/turns", sinks.SMILE_TURNS)
     result = analyses.smile_by_sentiment(rows, perms, seed)
@@ -76,8 +108,12 @@ def smile(spark: SparkSession, data_model: str, labelled_dir: str, root: str, ou
 
 def synchrony(spark: SparkSession, data_model: str, labelled_dir: str, root: str, out: str, *, min_frames: int = dyad.MIN_FRAMES, least: int = 0, **options) -> DataFrame:
     """Synchrony table, written below out."""
-    turns, frames, _ = load(spark, data_model, labelled_dir, root, **options)
+    got = load(spark, data_model, labelled_dir, root, **options)
+    got.report(out)
+    turns, frames = got.turns, got.frames
     rows = dyad.sync_turns(turns, dyad.cross_lag(turns, frames, min_frames=min_frames), dyad.simul_smile(turns, frames, min_frames=min_frames))
+    who = got.jobs.select(F.col("job").alias("participant_id"), "patient_id")  # models see the patient, also one with several interviews
+    rows = rows.join(who, "participant_id").drop("participant_id").withColumnRenamed("patient_id", "participant_id")
     rows = cut(jobs.inclusion_filter(rows, least, "participant_id"))
     sinks.write_csv(rows, f"{out}/synchrony_turns", sinks.SYNC_TURNS)
     return rows

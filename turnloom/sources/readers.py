@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnloom.functions import text as X
+from turnloom.sources import documents
 from turnloom.sources.columns import SYNC_TURNS
 
 ASR_TURN = "array<struct<text:string,start:string,end:string,speaker_id:string>>"
@@ -18,6 +19,7 @@ TRANSLATED_TURN = "array<struct<turn_index:int,text:string,start_ms:bigint,end_m
 CATALOG = T.StructType([
     T.StructField("therapist_id", T.StringType()), T.StructField("patient_id", T.StringType()), T.StructField("names_bindung", T.BooleanType()), T.StructField("has_bindung", T.BooleanType()),
     T.StructField("transcript", T.StringType()), T.StructField("patient_openface", T.StringType()), T.StructField("therapist_openface", T.StringType()),
+    T.StructField("interview", T.LongType()),
 ])
 SYNC = T.StructType([
     T.StructField(name, T.LongType() if name in ("turn_index", "n_frames", "simul_smile_frames", "simul_smile_n_frames") else
@@ -97,15 +99,15 @@ def bindung_files(files: DataFrame) -> DataFrame:
 
 
 def read_catalog(spark: SparkSession, document: dict[str, Any]) -> DataFrame:
-    """The data model (a parsed YAML document, a row for each interview)."""
+    """The data model (a parsed YAML document, a row for each interview, numbered from 0)."""
     rows = []
-    for item in document.get("interviews", []):
+    for number, item in enumerate(document.get("interviews") or []):
         types = item.get("types") or {}
         one = types.get("bindung") or {}
         text = lambda v: str(v or "").strip()
         rows.append((
             text((item.get("therapist") or {}).get("therapist_id")), text((item.get("patient") or {}).get("patient_id")), "bindung" in types, bool(one),
-            one.get("transcript"), text(one.get("patient_openface")) or None, text(one.get("therapist_openface")) or None,
+            one.get("transcript"), text(one.get("patient_openface")) or None, text(one.get("therapist_openface")) or None, number,
         ))
     return spark.createDataFrame(rows, CATALOG)
 
@@ -152,6 +154,54 @@ def read_openface(spark: SparkSession, path: str | list[str], threshold: float =
     return out.select(F.col("_metadata.file_path").alias("file"), number("timestamp").alias("ts"), *map(unit, UNITS))
 
 
+def scan_frames(spark: SparkSession, paths: Sequence[str], threshold: float = 0.5) -> DataFrame:
+    """file, ts and the four units of frame tables, each read by its own header; kind and message (else null) for what can't be read.
+
+    KeyError: no header names a timestamp. ParserError: a line has more cells than its header. A bad file is no error of the scan, and other
+    files' rows stay; large files are read in splits. Cells are parted at commas, without quotes. An empty file has no row.
+    """
+    lines = spark.read.text(list(paths)).where(F.trim("value") != "").select(documents.source_file().alias("file"), "value")
+    cells = F.transform(F.split("value", ","), lambda x: F.trim(x))
+    heads = lines.where(F.col("value").contains("timestamp")).select("file", cells.alias("head")).where(F.array_contains("head", "timestamp"))
+    heads = heads.groupBy("file").agg(F.min("head").alias("head"))
+    at = {name: F.array_position("head", name).cast("int") for name in ("timestamp", "confidence", *UNITS)}
+    heads = heads.select("file", F.size("head").alias("width"), *[c.alias(f"at_{n}") for n, c in at.items()])
+    met = lines.join(heads, "file", "left").withColumn("cells", cells)
+    wide = F.size("cells") > F.col("width")
+    kind = F.when(F.col("width").isNull(), "KeyError").when(wide, "ParserError")
+    message = F.when(F.col("width").isNull(), "'timestamp'").when(wide, F.format_string("expected %d fields, saw %d", "width", F.size("cells")))
+
+    def number(name: str) -> Column:
+        return F.when(F.col(f"at_{name}") > 0, F.get("cells", F.col(f"at_{name}") - 1)).try_cast("double")
+
+    sure = F.when(F.col("at_confidence") > 0, number("confidence") >= threshold).otherwise(F.lit(True))
+
+    def unit(name: str) -> Column:
+        value = number(name)
+        return F.when(sure & ~F.isnan(value), value).alias(name.lower())
+
+    told = met.where(~F.array_contains("cells", "timestamp") | F.col("width").isNull())
+    return told.select("file", number("timestamp").alias("ts"), *map(unit, UNITS), kind.alias("kind"), message.alias("message"))
+
+
+def scan_labelled(spark: SparkSession, path: str, glob: str, label_key: str = "sentiment_label") -> DataFrame:
+    """file, turn_index, sentiment, start_s, end_s of the labelled turns of JSON documents in a folder; kind and message (else null) of
+    documents that can't be read: JSONDecodeError, or TypeError where the top level is no list. A document without labelled turns has no row."""
+    whole = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
+    parsed = whole.select(documents.source_file().alias("file"), F.try_parse_json("value").alias("v"))
+    parsed = parsed.withColumn("items", F.try_variant_get("v", "$", "array<variant>"))
+    kind = F.when(F.col("v").isNull(), "JSONDecodeError").when(F.col("items").isNull(), "TypeError")
+    message = F.when(F.col("v").isNull(), "not a JSON document").when(F.col("items").isNull(), "not a JSON list")
+    each = parsed.select("file", kind.alias("kind"), message.alias("message"), F.explode_outer("items").alias("item"))
+    field = lambda name, of: F.try_variant_get("item", f"$['{name}']", of)
+    label = field(label_key, "string")
+    each = each.select(
+        "file", field("turn_index", "int").alias("turn_index"), F.lower(X.strip(label)).alias("sentiment"),
+        (field("start_ms", "double") / 1000).alias("start_s"), (field("end_ms", "double") / 1000).alias("end_s"), "kind", "message",
+    )
+    return each.where(F.col("kind").isNotNull() | F.col("sentiment").isNotNull())
+
+
 def discover_media(spark: SparkSession, path: str, globs: Sequence[str] = MEDIA, temp_audio: str | None = None) -> DataFrame:
     """Paths of recordings below a folder, in order. temp_audio: the folder of extracted sound, which alone is looked through."""
     if temp_audio is not None:
