@@ -8,20 +8,25 @@ import numpy as np
 from turnloom.plans import analyses, files
 
 
-def build(folder, patients=6):
+def frames(folder, people):
+    """Frame tables of so many patients and their therapists."""
     rng = np.random.default_rng(0)
-    interviews = []
-    (folder / "labelled").mkdir()
     (folder / "frames").mkdir()
-    for p in range(patients + 2):
-        names = {}
+    for p in range(people):
         for who in ("patient", "therapist"):
             t = np.arange(0, 80, 0.1)
             wave = np.sin(t / 3 + (who == "therapist") * 0.5 + p) + rng.normal(size=len(t)) * 0.2
             lines = [" timestamp, confidence, AU06_r, AU12_r, AU06_c, AU12_c"] + [f"{a:.2f}, {0.9 if i % 50 else 0.1}, {max(w, 0):.4f}, {max(w, 0):.4f}, {int(w > 0)}, {int(w > 0)}" for i, (a, w) in enumerate(zip(t, wave, strict=True))]
-            if not (p == patients and who == "patient"):  # this one's table is missing
-                (folder / f"frames/{who}{p}.csv").write_text("\n".join(lines) + "\n")
-            names[f"{who}_openface"] = f"frames/{who}{p}.csv"
+            (folder / f"frames/{who}{p}.csv").write_text("\n".join(lines) + "\n")
+
+
+def build(folder, patients=6):
+    interviews = []
+    (folder / "labelled").mkdir()
+    frames(folder, patients + 2)
+    (folder / f"frames/patient{patients}.csv").unlink()  # this one's table is missing
+    for p in range(patients + 2):
+        names = {f"{who}_openface": f"frames/{who}{p}.csv" for who in ("patient", "therapist")}
         interviews.append({"therapist": {"therapist_id": f"t{p % 3}"}, "patient": {"patient_id": f"p{p}"}, "types": {"bindung": {"transcript": "x" if p != patients + 1 else None, **names}}})
         turns = [{"turn_index": k, "text": "a", "start_ms": k * 13000, "end_ms": k * 13000 + 13000, "speaker_id": "p", "original_turn_indices": [k], "sentiment_label": ("positive", "neutral", "negative")[(k + p) % 3]} for k in range(6)]
         (folder / f"labelled/translate_P{p}_bindung_sentiment.json").write_text(json.dumps([*turns, {"turn_index": 6, "text": "no label"}]))

@@ -547,18 +547,40 @@ def test_sinks(spark, tmp_path):
     sinks.write_json(items, out, ["text"])
     more = items.unionByName(items.where("file = 'b'").withColumn("file", F.lit("c d")))
     sinks.write_json(more.withColumn("text", F.lit("new")), out, ["text"])  # a and b are left alone, one by one
-    read = lambda: {r.file: r.value for r in spark.read.option("basePath", out).text(out).collect()}
-    assert read() == {"a": '[{"text":"x"},{"text":"y"}]', "b": '[{"text":"z"}]', "c d": '[{"text":"new"}]'}
-    sinks.write_json(items.where("file = 'b'").withColumn("text", F.lit("over")), out, ["text"], overwrite=True)
-    assert read()["b"] == '[{"text":"over"}]' and len(read()) == 3
-    deep = items.withColumn("file", F.concat(F.lit("/in/sub/"), "file", F.lit(".json")))
-    sinks.write_json(deep, str(tmp_path / "mirror"), ["text"], root="/in")
-    assert {(r.dir, r.file) for r in spark.read.text(str(tmp_path / "mirror")).collect()} == {("sub", "a.json"), ("sub", "b.json")}
+    read = lambda: {p.name: p.read_text() for p in (tmp_path / "json").iterdir()}
+    assert read() == {"a.json": '[{"text":"x"},{"text":"y"}]', "b.json": '[{"text":"z"}]', "c d.json": '[{"text":"new"}]'}
+    sinks.write_json(items.where("file = 'b'").withColumn("text", F.lit("over")), "file://" + out, ["text"], overwrite=True)
+    assert read()["b.json"] == '[{"text":"over"}]' and len(read()) == 3
     seg = spark.createDataFrame([("my file", 2.0, 0.5, "S 1"), ("my file", 1.0, 0.25, "S2")], "uri string, start_s double, dur_s double, speaker string")
     sinks.write_rttm(seg, str(tmp_path / "rttm"))
-    lines = readers.parse_rttm(spark.read.text(str(tmp_path / "rttm"))).collect()
+    lines = readers.read_rttm(spark, str(tmp_path / "rttm")).collect()
     assert [(r.uri, r.start_s, r.speaker) for r in lines] == [("my_file", 1.0, "S2"), ("my_file", 2.0, "S_1")]
+    assert [p.name for p in (tmp_path / "rttm/my_file").iterdir()] == ["my_file.rttm"]
     sinks.write_csv(spark.createDataFrame([(1, float("nan"))], "a int, b double"), str(tmp_path / "csv"), ["b", "a", "c"])
     assert spark.read.text(str(tmp_path / "csv")).first().value == "b,a,c"
-    sinks.write_label_summary(items.withColumnRenamed("sentiment_label", "label"), str(tmp_path / "sum"))
-    assert [r.value for r in spark.read.text(str(tmp_path / "sum")).collect()][:2] == ["  positive          1", "  TOTAL             1"]
+    sinks.write_label_report(items.withColumnRenamed("sentiment_label", "label"), str(tmp_path / "sum"))
+    told = (tmp_path / "sum/sentiment_label_summary.txt").read_text().split("\n")
+    assert told == ["Sentiment-label summary", "=" * 40, "", "Overall counts:", "  positive          1", "  TOTAL             1", "", "Per-file counts:", "  a: positive=1", "  b: ", ""]
+
+
+def test_documents_appear_whole_or_not_at_all(spark, tmp_path):
+    """A task that dies halfway leaves nothing under a document's name; one that is tried again writes each document once."""
+    from turnloom.sources import documents
+
+    def failing(frames):
+        for frame in frames:
+            yield frame[:1]
+            raise RuntimeError("killed")
+
+    rows = spark.createDataFrame([(f"d{k % 2}/f{k}.txt", "x" * 1000) for k in range(20)], documents.DOCUMENT).repartition(2)
+    with pytest.raises(Exception, match="killed"):
+        documents.write(rows.mapInPandas(failing, documents.DOCUMENT), str(tmp_path / "out"))
+    assert not [p for p in (tmp_path / "out").rglob("*") if p.is_file()]
+    documents.write(rows, str(tmp_path / "out"))
+    found = [p for p in (tmp_path / "out").rglob("*") if p.is_file()]
+    assert len(found) == 20 and all(p.read_text() == "x" * 1000 for p in found)
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith(".")]
+    writer = documents._Writer(str(tmp_path / "two"), False)
+    messages = [writer.write(iter([("a", "first attempt")])), writer.write(iter([("a", "second"), ("b", "once")]))]
+    writer.commit([messages[1], None])  # only the committed attempt counts
+    assert {p.name: p.read_text() for p in (tmp_path / "two").iterdir()} == {"a": "second", "b": "once"}

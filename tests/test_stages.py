@@ -2,8 +2,10 @@
 
 import json
 
+import test_files
+
 from turnloom.operators import inference
-from turnloom.plans import stages
+from turnloom.plans import files, stages
 from turnloom.sources import readers
 
 
@@ -34,26 +36,57 @@ def test_full_chain(spark, tmp_path):
         return lambda frame: [[f"said {a}", "more."] for a in frame["start_ms"]]
 
     stages.process_media(spark, str(tmp_path / "in"), out, diarizer=diarizer, recogniser=make, extractor=extractor, both_speakers=True)
-    lines = readers.parse_rttm(spark.read.option("recursiveFileLookup", True).text(f"{out}/rttm")).collect()
+    lines = readers.read_rttm(spark, out).collect()
     assert sorted({r.uri for r in lines}) == ["one_take", "two"] and len(lines) == 8
-    results = {r.file: json.loads(r.value) for r in spark.read.text(f"{out}/results").collect()}
-    assert sorted(results) == ["one_take", "two"]
-    assert [(t["text"], t["start"], t["end"], t["speaker_id"]) for t in results["two"]] == [
+    at = tmp_path / "out"
+    assert sorted(str(p.relative_to(at)) for p in at.rglob("*.*")) == ["one_take/one_take.rttm", "one_take/results_one_take.json", "two/results_two.json", "two/two.rttm"]
+    results = json.loads((at / "two/results_two.json").read_text())
+    assert [(t["text"], t["start"], t["end"], t["speaker_id"]) for t in results] == [
         ("said 0", 0, 5000, "client"), ("more.", 0, 5000, "client"), ("said 5000", 5000, 7000, "therapist"), ("more.", 5000, 7000, "therapist"),
         ("said 8000", 8000, 12000, "client"), ("more.", 8000, 12000, "client"),
     ]
     stages.process_media(spark, str(tmp_path / "in"), out, diarizer=failing, recogniser=make, extractor=extractor, skip_existing=True)
-    assert spark.read.text(f"{out}/results").count() == 2
-    stages.translate(spark, f"{out}/results", f"{out}/translated", glob="*.txt")
-    done = spark.read.text(f"{out}/translated").collect()
-    assert sorted((r.dir, r.file) for r in done) == [("all", "one_take"), ("all", "two")]
-    turns = json.loads(done[0].value)
+    assert len(list(at.rglob("*.json"))) == 2
+    stages.translate(spark, out, f"{out}/translated")
+    turns = json.loads((at / "translated/two/translate_two.json").read_text())
     assert [(t["turn_index"], t["speaker_id"], t["original_turn_indices"]) for t in turns] == [(0, "client", [0, 1]), (1, "therapist", [2, 3]), (2, "client", [4, 5])]
-    items = readers.read_turns(spark, f"{out}/translated", "*.txt", readers.TRANSLATED_TURN).drop("sentiment_label").withColumnRenamed("speaker_id", "speaker")
-    summary = stages.label(items, inference.length_scorer, f"{out}/labelled", fields=("turn_index", "text"))
-    assert summary.where("file is null and label is null").first().n == 4
-    labelled = [json.loads(r.value) for r in spark.read.text(f"{out}/labelled").collect()]
-    assert all(["sentiment_label" in t for t in doc] == [True, False, True] for doc in labelled)
+
+
+def test_from_recordings_to_a_result_table(spark, tmp_path):
+    """Media, turns, labels, catalog and frames to the result table; a bad file and a patient with two interviews on the way."""
+    (tmp_path / "in").mkdir()
+    interviews = []
+    for p in range(5):
+        (tmp_path / f"in/P{p}_bindung.wav").write_text("x")
+    test_files.frames(tmp_path, 5)
+    for p in (0, 1, 2, 3, 4, 0):
+        pair = {"patient_openface": f"frames/patient{p}.csv", "therapist_openface": f"frames/therapist{p}.csv"}
+        interviews.append({"therapist": {"therapist_id": f"t{p % 2}"}, "patient": {"patient_id": f"P{p}"}, "types": {"bindung": {"transcript": "x", **pair}}})
+    interviews[5]["types"]["bindung"]["patient_openface"] = "frames/patient1.csv"
+    (tmp_path / "model.json").write_text(json.dumps({"interviews": interviews}))
+    out = str(tmp_path / "out")
+
+    def diarizer():
+        return lambda path, speakers: [(k * 13.0, 13.0, "A" if k % 3 else "B") for k in range(6)]
+
+    def make():
+        return lambda frame: [["word " * (1 + a // 13000 % 4)] for a in frame["start_ms"]]
+
+    stages.process_media(spark, str(tmp_path / "in"), out, diarizer=diarizer, recogniser=make, extractor=lambda: str, both_speakers=True)
+    (tmp_path / "out/P4_bindung/results_P4_bindung.json").write_text("{}")  # no list: this one has no turns from here on
+    stages.translate(spark, out, str(tmp_path / "translated"))
+    (tmp_path / "translated/translate_P9_bindung.json").write_text("[")
+    status = stages.label(spark, str(tmp_path / "translated"), str(tmp_path / "labelled"), inference.length_scorer)
+    assert {r.file.split("_")[1]: r.status for r in status.collect()} == {**{f"P{p}": "done" for p in range(4)}, "P9": "failed"}
+    assert stages.label(spark, str(tmp_path / "translated"), str(tmp_path / "labelled"), inference.length_scorer, overwrite=False).where("status = 'skipped'").count() == 4
+    (tmp_path / "labelled/translate_P4_bindung_sentiment.json").write_text("nothing")
+    stages.summarize(spark, str(tmp_path / "labelled"))
+    told = (tmp_path / "labelled/sentiment_label_summary.txt").read_text()
+    assert told.count("translate_P") == 5 and "TOTAL" in told
+    got = files.load(spark, str(tmp_path / "model.json"), str(tmp_path / "labelled"), str(tmp_path))
+    assert {r.job: r.reason for r in got.jobs.collect()} == {**{str(k): None for k in (0, 1, 2, 3, 5)}, "4": "exception:JSONDecodeError:not a JSON document"}
+    result = files.smile(spark, str(tmp_path / "model.json"), str(tmp_path / "labelled"), str(tmp_path), str(tmp_path / "results"))
+    assert {(r.n_patients, r.n_therapists) for r in result.collect()} == {(4, 2)}
 
 
 def test_unknown_stage(spark, tmp_path):

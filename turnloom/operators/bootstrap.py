@@ -1,71 +1,106 @@
-"""Wild cluster bootstrap of the slope in y ~ 1 + D, from four sums for each cluster."""
+"""Wild cluster bootstrap of the slope in y ~ 1 + D, from four sums for each cluster.
+
+With signs w of the clusters, a draw's refit moves by sums of w times a cluster's residual scores, and its variance is a quadratic form in that
+move whose linear parts are again such sums. So each partition multiplies its clusters by a matrix of signs and adds up; what is shuffled is a row
+of sums for each partition and draw, never a row for each cluster and draw.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.workers import reachable
+
 EXACT_UP_TO = 12
+#: Clusters whose signs are multiplied at once.
+TOGETHER = 256
+_SUMS = [f"{kind}{name}" for kind in "ru" for name in ("e0", "e1", "qr", "qt")]
 
 
 def cluster_sums(rows: DataFrame, y: str, d: str, cluster: str) -> DataFrame:
-    """(g, n, d, s, sd): count, sum of D, of y and of D * y; g numbers the clusters from 0. D is 0 or 1."""
+    """(g, n, d, s, sd): cluster, count, sum of D, of y and of D * y. D is 0 or 1."""
     kept = rows.where(F.col(y).isNotNull() & ~F.isnan(y) & F.col(d).isNotNull() & F.col(cluster).isNotNull())
-    sums = kept.groupBy(cluster).agg(
-        F.count("*").alias("n"), F.sum(F.col(d).cast("double")).alias("d"), F.sum(y).alias("s"), F.sum(F.col(y) * F.col(d)).alias("sd")
+    return kept.groupBy(F.col(cluster).alias("g")).agg(
+        F.count("*").cast("double").alias("n"), F.sum(F.col(d).cast("double")).alias("d"), F.sum(y).cast("double").alias("s"), F.sum(F.col(y) * F.col(d)).cast("double").alias("sd")
     )
-    number = (F.row_number().over(Window.orderBy(cluster)) - 1).alias("g")  # one row a cluster, sorted with spilling
-    return sums.select(number, "n", "d", "s", "sd")
+
+
+def signed_sums(cells: DataFrame, draws: int, seed: int, bits: dict[str, int] | None) -> DataFrame:
+    """(draw, sums): for each draw the sums over clusters of w times the columns _SUMS of cells.
+
+    bits: the bit of the draw's number that is a cluster's sign (by its name), for all sign vectors; None: signs from the seed and the name.
+    """
+
+    def signs(names: list[str]) -> np.ndarray:
+        if bits is not None:
+            return 1.0 - 2.0 * (np.arange(draws) >> np.array([[bits[x]] for x in names]) & 1)
+        return np.stack([1.0 - 2.0 * np.random.default_rng([seed, zlib.crc32(x.encode()), len(x)]).integers(0, 2, draws) for x in names])
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((draws, len(_SUMS)))
+        for frame in frames:
+            names, values = frame["g"].tolist(), frame[_SUMS].to_numpy(float)
+            for at in range(0, len(names), TOGETHER):
+                total += signs(names[at : at + TOGETHER]).T @ values[at : at + TOGETHER]
+        out = pd.DataFrame(total, columns=_SUMS)
+        out.insert(0, "draw", np.arange(draws))
+        yield out
+
+    reachable()
+    drawn = cells.select(F.col("g").cast("string").alias("g"), *_SUMS).mapInPandas(add, "draw int, " + ", ".join(f"{c} double" for c in _SUMS))
+    return drawn.groupBy("draw").agg(*[F.sum(c).alias(c) for c in _SUMS])
 
 
 def wild_cluster_bootstrap(rows: DataFrame, y: str, d: str, cluster: str, n_boot: int = 3000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """(wcb_beta, wcb_p, wcb_ci_lo, wcb_ci_hi, wcb_n_clusters, wcb_exact), one row.
+    """(wcb_beta, wcb_p, wcb_ci_lo, wcb_ci_hi, wcb_n_clusters, wcb_exact), one row; none where there is no fit.
 
-    Up to 12 clusters: all sign vectors; more: n_boot draws of hashed signs. p comes from refits with the null
-    imposed, the interval from unrestricted ones. Fewer than 4 rows, one value of D, one cluster, or no variance:
-    nulls. The cluster table is the only thing repeated, once for each draw.
+    Up to 12 clusters: all sign vectors; more: n_boot draws of seeded signs. p comes from refits with the null imposed, the interval from
+    unrestricted ones. Fewer than 4 rows, one value of D or one cluster: no row. No variance: nulls.
     """
+    spark = rows.sparkSession
+    schema = "wcb_beta double, wcb_p double, wcb_ci_lo double, wcb_ci_hi double, wcb_n_clusters long, wcb_exact boolean"
     cells = cluster_sums(rows, y, d, cluster)
-    whole = cells.agg(F.count("*").alias("tg"), F.sum("n").cast("double").alias("tn"), F.sum("d").alias("td"), F.sum("s").alias("ts"), F.sum("sd").alias("tsd"))
-    det = F.col("tn") * F.col("td") - F.col("td") * F.col("td")
-    whole = whole.withColumn("det", det).where("tg >= 2 and tn >= 4 and det > 0")
-    whole = whole.withColumn("b0", (F.col("td") * F.col("ts") - F.col("td") * F.col("tsd")) / F.col("det"))
-    whole = whole.withColumn("b1", (F.col("tn") * F.col("tsd") - F.col("td") * F.col("ts")) / F.col("det"))
-    whole = whole.withColumn("ybar", F.col("ts") / F.col("tn"))
-    whole = whole.withColumn("c", F.col("tg") / (F.col("tg") - 1) * (F.col("tn") - 1) / (F.col("tn") - 2))
-    exact = F.col("tg") <= EXACT_UP_TO
-    whole = whole.withColumn("draws", F.when(exact, F.pow(F.lit(2.0), F.col("tg")).cast("int")).otherwise(n_boot))
-    both = cells.crossJoin(F.broadcast(whole))  # one row on the right
-
-    def score(b0, b1, a0, a1):  # the slope's part of a cluster's score, before squaring
-        u0 = a0 - b0 * F.col("n") - b1 * F.col("d")
-        u1 = a1 - b0 * F.col("d") - b1 * F.col("d")
-        return (F.col("tn") * u1 - F.col("td") * u0) / F.col("det")
-
-    observed = both.agg(F.sqrt(F.first("c") * F.sum(score(F.col("b0"), F.col("b1"), F.col("s"), F.col("sd")) ** 2)).alias("se"))
-    drawn = both.withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("draws") - 1)))
-    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), F.col("g").cast("string"))), 1, 1), 16, 10).cast("int") % 2
-    bit = F.when(exact, F.call_function("shiftright", F.col("draw"), F.col("g")) % 2).otherwise(hashed)
-    drawn = drawn.withColumn("w", 1.0 - 2.0 * bit)
-    fit0, fit1 = F.col("b0") * F.col("n") + F.col("b1") * F.col("d"), (F.col("b0") + F.col("b1")) * F.col("d")
-    for kind, f0, f1 in (("r", F.col("ybar") * F.col("n"), F.col("ybar") * F.col("d")), ("u", fit0, fit1)):
-        drawn = drawn.withColumn(f"a0{kind}", f0 + F.col("w") * (F.col("s") - f0)).withColumn(f"a1{kind}", f1 + F.col("w") * (F.col("sd") - f1))
-    sums = drawn.groupBy("draw", "tn", "td", "det", "b1").agg(*[F.sum(x).alias(f"t{x}") for x in ("a0r", "a1r", "a0u", "a1u")])
+    t = cells.agg(F.count("*").alias("g"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("n", "d", "s", "sd")]).first()
+    det = t["n"] * t["d"] - t["d"] ** 2
+    if t["g"] < 2 or t["n"] < 4 or det <= 0:
+        return spark.createDataFrame([], schema)
+    b0, b1 = t["d"] * (t["s"] - t["sd"]) / det, (t["n"] * t["sd"] - t["d"] * t["s"]) / det
+    c = t["g"] / (t["g"] - 1) * (t["n"] - 1) / (t["n"] - 2)
+
+    def slope(u0, u1):  # the slope's part of a cluster's score
+        return (F.lit(t["n"]) * u1 - F.lit(t["d"]) * u0) / F.lit(det)
+
+    told = cells.withColumns({"R": slope(F.col("n"), F.col("d")), "T": slope(F.col("d"), F.col("d"))})
+    for kind, f0, f1 in (("r", t["s"] / t["n"], 0.0), ("u", b0, b1)):  # the null imposed, and not
+        e0 = F.col("s") - F.lit(f0) * F.col("n") - F.lit(f1) * F.col("d")
+        e1 = F.col("sd") - F.lit(f0 + f1) * F.col("d")
+        told = told.withColumns({f"{kind}e0": e0, f"{kind}e1": e1, f"{kind}q": slope(e0, e1)})
+        told = told.withColumns({f"{kind}qr": F.col(f"{kind}q") * F.col("R"), f"{kind}qt": F.col(f"{kind}q") * F.col("T")})
+    fixed = told.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in (("R", "R"), ("T", "T"), ("R", "T"), ("rq", "rq"), ("uq", "uq"))]).first()
+    se = float(np.sqrt(c * fixed["uq_uq"]))
+    exact = t["g"] <= EXACT_UP_TO
+    bits = {str(r["g"]): k for k, r in enumerate(sorted(cells.select("g").collect()))} if exact else None
+    sums = signed_sums(told, 2 ** t["g"] if exact else n_boot, seed, bits)
     for kind in "ru":
-        t0, t1 = F.col(f"ta0{kind}"), F.col(f"ta1{kind}")
-        sums = sums.withColumn(f"b0{kind}", F.col("td") * (t0 - t1) / F.col("det")).withColumn(f"b1{kind}", (F.col("tn") * t1 - F.col("td") * t0) / F.col("det"))
-    refit = drawn.join(sums.select("draw", "b0r", "b1r", "b0u", "b1u"), "draw")
-    spread = refit.groupBy("draw", "b1", "b1r", "b1u").agg(*[
-        (F.first("c") * F.sum(score(F.col(f"b0{k}"), F.col(f"b1{k}"), F.col(f"a0{k}"), F.col(f"a1{k}")) ** 2)).alias(f"v{k}") for k in "ru"
-    ])
-    spread = spread.crossJoin(F.broadcast(observed))  # one row on the right
-    hit = (F.col("vr") > 0) & (F.abs(F.col("b1r") / F.sqrt("vr")) >= F.abs(F.col("b1") / F.col("se")) - 1e-12)
-    t_u = F.when(F.col("vu") > 0, (F.col("b1u") - F.col("b1")) / F.sqrt("vu"))
-    told = spread.agg(F.count_if(hit).alias("hits"), F.count("*").alias("of"), *[F.percentile(t_u, q).alias(n) for q, n in ((1 - alpha / 2, "qhi"), (alpha / 2, "qlo"))], F.first("se").alias("se"))
-    ok = F.col("se") > 0
-    out = whole.select("tg", "b1").crossJoin(F.broadcast(told))
-    return out.select(
-        F.col("b1").alias("wcb_beta"), F.when(ok, F.col("hits") / F.col("of")).alias("wcb_p"),
-        F.when(ok, F.col("b1") - F.col("se") * F.col("qhi")).alias("wcb_ci_lo"), F.when(ok, F.col("b1") - F.col("se") * F.col("qlo")).alias("wcb_ci_hi"),
-        F.col("tg").alias("wcb_n_clusters"), (F.col("tg") <= EXACT_UP_TO).alias("wcb_exact"),
+        m0, m1 = F.col(f"{kind}e0"), F.col(f"{kind}e1")
+        move0, move1 = F.lit(t["d"]) * (m0 - m1) / F.lit(det), (F.lit(t["n"]) * m1 - F.lit(t["d"]) * m0) / F.lit(det)
+        sums = sums.withColumns({f"{kind}0": move0, f"{kind}1": move1})
+        a, b = F.col(f"{kind}0"), F.col(f"{kind}1")
+        spread = F.lit(fixed[f"{kind}q_{kind}q"]) + a * a * fixed["R_R"] + b * b * fixed["T_T"] + 2 * a * b * fixed["R_T"] - 2 * a * F.col(f"{kind}qr") - 2 * b * F.col(f"{kind}qt")
+        sums = sums.withColumn(f"{kind}v", F.lit(c) * spread)
+    none = 1e-12 * c * fixed["uq_uq"]  # a variance that rounding has left of nothing
+    hit = (F.col("rv") > none) & (F.abs(F.col("r1") / F.sqrt("rv")) >= F.lit(abs(b1) / se if se > 0 else 0.0) - 1e-12)
+    move = F.when(F.col("uv") > none, F.col("u1") / F.sqrt("uv"))
+    found = sums.agg(F.count_if(hit).alias("hits"), F.count("*").alias("of"), *[F.percentile(move, q).alias(n) for q, n in ((1 - alpha / 2, "hi"), (alpha / 2, "lo"))])
+    ok = F.lit(se > 0)
+    return found.select(
+        F.lit(b1).alias("wcb_beta"), F.when(ok, F.col("hits") / F.col("of")).alias("wcb_p"),
+        F.when(ok, b1 - se * F.col("hi")).alias("wcb_ci_lo"), F.when(ok, b1 - se * F.col("lo")).alias("wcb_ci_hi"),
+        F.lit(t["g"]).alias("wcb_n_clusters"), F.lit(exact).alias("wcb_exact"),
     )

@@ -253,24 +253,6 @@ def satterthwaite(deviance: Callable[[np.ndarray], float], variance: Callable[[n
     return 2 * variance(at) ** 2 / spread if spread > 0 else most
 
 
-def permutation_test(shuffles: DataFrame, y: str, group: str, observed: float, q: float) -> DataFrame:
-    """(perm_p, perm_n_valid) from effects.shuffled rows: (extreme + 1) / (valid + 1) of the same likelihood ratio.
-
-    Cells are summed by permutation in Spark and fitted in parallel; the null fit is shared, as the labels do not
-    enter it.
-    """
-    cells = shuffles.where(F.col(y).isNotNull() & F.col("shuffled").isin(*SENTIMENTS)).groupBy("perm", group, "shuffled").agg(F.count("*").alias("n"), F.sum(y).alias("s"))
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"lr": [lr_statistic(_numbered(frame, group, "shuffled"), q)]})
-
-    reachable()
-    each = cells.groupBy("perm").applyInPandas(fit, "lr double")
-    counts = each.where(~F.isnan("lr")).agg(F.count("*").alias("perm_n_valid"), F.count_if(F.col("lr") >= observed).alias("extreme"))
-    p = (F.col("extreme") + 1) / (F.col("perm_n_valid") + 1)
-    return counts.select(F.when(F.col("perm_n_valid") > 0, p).alias("perm_p"), "perm_n_valid")
-
-
 # --- residuals -------------------------------------------------------------------------------------------
 
 #: Values up to which Royston's approximation was made; for more, W is that of as many evenly spaced order statistics.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import signals as S
-from turnloom.operators import bootstrap, crossed, effects, models
+from turnloom.operators import bootstrap, crossed, effects, models, permutations
 from turnloom.scratch import cut
 
 # Measures with their families, and the columns of the two result tables in their order.
@@ -78,9 +78,7 @@ def smile_by_sentiment(turns: DataFrame, perms: int = 0, seed: int = 42) -> Data
         if row["method"] != "not_fittable":
             row |= models.residual_normality(kept, column, "patient_id")
         if perms and row["lr_stat"] is not None:
-            shuffles = effects.shuffled(kept.select("patient_id", "turn_index", "sentiment", column), "patient_id", "sentiment", ["turn_index", column], perms, seed + 100_000 + i)
-            q = kept.agg(F.sum(F.col(column) ** 2).alias("q")).first()["q"]
-            row |= models.permutation_test(shuffles, column, "patient_id", row["lr_stat"], q).first().asDict()
+            row |= permutations.permutation_test(kept, column, "patient_id", perms, seed + 100_000 + i, observed=row["lr_stat"]).first().asDict()
         rows.append(row)
     table = _table(spark, rows, SMILE_RESULT[:-2])
     picked = table.select("*", *effects.pick_p(F.col("perm_p"), F.col("lr_pval")))

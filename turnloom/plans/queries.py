@@ -710,14 +710,11 @@ def synchrony_descriptives(spark, sf_dir):
 @query()
 def permutation_test(spark, sf_dir):
     """The permutation p of one measure with 3000 shuffles within patients."""
-    from turnloom.operators import models
+    from turnloom.operators import permutations
     from turnloom.scratch import cut
 
     rows = cut(_smile(spark, sf_dir).where(F.col("client_smile_freq").isNotNull()).select("patient_id", "turn_index", "sentiment", "client_smile_freq"))
-    q = rows.agg(F.sum(F.col("client_smile_freq") ** 2).alias("q")).first()["q"] or 0.0
-    observed = models.sentiment_model(rows, "client_smile_freq", "patient_id")["lr_stat"]
-    shuffles = effects.shuffled(rows, "patient_id", "sentiment", ["turn_index", "client_smile_freq"], 3000, 100_042)
-    return models.permutation_test(shuffles, "client_smile_freq", "patient_id", observed or 0.0, q)
+    return permutations.permutation_test(rows, "client_smile_freq", "patient_id", 3000, 100_042)
 
 
 @query()

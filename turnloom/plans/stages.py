@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnloom.functions import text as X
 from turnloom.operators import inference, jobs, turns
 from turnloom.scratch import cut
-from turnloom.sources import readers, sinks
+from turnloom.sources import documents, readers, sinks
 
 ASR_FIELDS = ("text", "start", "end", "speaker_id")
 TRANSLATED_FIELDS = ("turn_index", "text", "start_ms", "end_ms", "speaker_id", "original_turn_indices")
@@ -22,40 +23,35 @@ def _named(audio: DataFrame) -> DataFrame:
     return audio.withColumn("uri", F.regexp_replace(stem, r"(?U)\s+", "_"))
 
 
-def plain_name(file: Column) -> Column:
-    """The path that a stage's output stands for: folders dir= and file= are resolved, results_, translate_ and the ending go."""
-    out = F.regexp_replace(F.regexp_replace(file, "/dir=all/", "/"), "/dir=([^/]*)/", "/$1/")
-    out = F.regexp_replace(out, "/file=([^/]*)/[^/]*$", "/$1")
-    return F.regexp_replace(out, r"/(?:results_|translate_)?([^/]*?)(?:\.json|\.txt)?$", "/$1")
+def _stem(file: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(file, r"[^/]*$", 0), r"\.[^.]*$", "")
 
 
-def _present(spark: SparkSession, folder: str, column: str = "file") -> DataFrame:
-    return sinks._written(spark, folder).select(F.col(column).alias("uri")).distinct()
+def _present(spark: SparkSession, out: str, glob: str, begins: str = "") -> DataFrame:
+    """uri of the recordings that have a document of this kind already."""
+    return documents.listed(spark, out, glob).select(F.regexp_replace(_stem(F.col("path")), f"^{begins}", "").alias("uri")).distinct()
 
 
 def diarization(spark: SparkSession, audio: DataFrame, out: str, make: Callable[[], Any], *, speakers: int = 2, skip_existing: bool = False) -> None:
-    """RTTM of each recording below out/rttm."""
+    """<uri>/<uri>.rttm of each recording, below out."""
     asked = _named(audio)
     if skip_existing:
-        asked = jobs.resume(asked, _present(spark, f"{out}/rttm"), "uri")
-    said = cut(inference.diarize(asked, make, speakers))
-    lines = sinks.rttm_lines(said).repartition("file").sortWithinPartitions("file", "start_s")
-    lines.select("file", "value").write.mode("append" if skip_existing else "overwrite").partitionBy("file").text(f"{out}/rttm")
+        asked = jobs.resume(asked, _present(spark, out, "*.rttm"), "uri")
+    sinks.write_rttm(inference.diarize(asked, make, speakers), out, overwrite=not skip_existing)
 
 
 def recognition(spark: SparkSession, audio: DataFrame, out: str, make: Callable[[], Any], *, both_speakers: bool = False, skip_existing: bool = False) -> None:
-    """JSON of each recording's recognised turns below out/results: segments that last, on their own clock."""
-    lines = spark.read.option("recursiveFileLookup", True).text(f"{out}/rttm")
-    segments = readers.parse_rttm(lines).withColumn("file", F.col("uri"))
+    """<uri>/results_<uri>.json of each recording below out: segments that last, on their own clock."""
+    segments = readers.read_rttm(spark, out).withColumn("file", F.col("uri"))
     asked = _named(audio)
     if skip_existing:
-        asked = jobs.resume(asked, _present(spark, f"{out}/results"), "uri")
+        asked = jobs.resume(asked, _present(spark, out, "results_*.json", "results_"), "uri")
     roles = turns.speaker_roles(segments).select("file", "speaker", "role")
     kept = turns.segment_filter(segments.join(roles, ["file", "speaker"]), F.coalesce("role", F.lit("other")), both_speakers)
     kept = kept.join(asked.select(F.col("uri").alias("file"), "audio"), "file")
     found = inference.transcribe(kept, make, ["file", "start_ms", "end_ms", "role"])
     item = found.select("file", F.struct("start_ms", "end_ms", "part").alias("idx"), "text", F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), F.col("role").alias("speaker_id"))
-    sinks.write_json(item, f"{out}/results", ASR_FIELDS, overwrite=not skip_existing)
+    sinks.write_json(item, out, ASR_FIELDS, overwrite=not skip_existing, path=F.concat("file", F.lit("/results_"), "file", F.lit(".json")))
 
 
 def process_media(
@@ -75,21 +71,55 @@ def process_media(
         recognition(spark, audio, out, recogniser, both_speakers=both_speakers, skip_existing=skip_existing)
 
 
-def translate(spark: SparkSession, in_dir: str, out: str, make: inference.Make = inference.identity, *, most: int = 192, overwrite: bool = False, glob: str = "results_*.json") -> None:
-    """Speaker turns of every result file, translated chunk by chunk; sub-folders are mirrored, files there are left alone."""
-    islands = turns.speaker_islands(readers.read_asr_turns(spark, in_dir, glob))
-    done = inference.translate_turns(islands, make, most).withColumns({"idx": F.col("turn_index"), "file": plain_name(F.col("file"))})
-    sinks.write_json(done, out, TRANSLATED_FIELDS, overwrite=overwrite, root=_rooted(spark, in_dir))
-
-
-def _rooted(spark: SparkSession, path: str) -> str:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
-
-
-def label(items: DataFrame, make: inference.Make, out: str, *, fields: Sequence[str] = TRANSLATED_FIELDS, turns_before: int = 2, overwrite: bool = False) -> DataFrame:
-    """Labelled turns of every file (by its name), written with their other fields in order, and how many there are of each label."""
-    named = items.withColumn("file", F.regexp_extract(plain_name(F.concat(F.lit("/"), "file")), "[^/]*$", 0))
-    done = cut(inference.label_turns(named, make, turns_before))
-    sinks.write_json(done, out, [*fields, "sentiment_label"], overwrite=overwrite)
-    return turns.label_summary(done.withColumnRenamed("sentiment_label", "label"))
+def translate(spark: SparkSession, in_dir: str, out: str | None, make: inference.Make = inference.identity, *, most: int = 192, overwrite: bool = False, glob: str = "results_*.json") -> None:
+    """translate_<id>.json for every result file: its speaker turns, translated chunk by chunk. Sub-folders are mirrored below out (None: the
+    input folder itself); files that are there already are neither read nor translated. One that is no list is left out."""
+    names = documents.listed(spark, in_dir, glob)
+    own = F.concat(F.regexp_extract("path", "^(?:.*/)?", 0), F.lit("translate_"), F.regexp_replace(_stem(F.col("path")), "^results_", ""), F.lit(".json"))
+    names = names.select(own.alias("name"), F.col("full").alias("file"))
+    if not overwrite:
+        names = names.join(documents.listed(spark, out or in_dir).select(F.col("path").alias("name")), "name", "left_anti")
+    items = readers.read_asr_turns(spark, in_dir, glob, strict=False).withColumn("file", documents.plain(F.url_decode(F.regexp_replace("file", r"\+", "%2B"))))
+    islands = turns.speaker_islands(items.join(names, "file").drop("file").withColumnRenamed("name", "file"))
+    done = inference.translate_turns(islands, make, most).withColumn("idx", F.col("turn_index"))
+    sinks.write_json(done, out or in_dir, TRANSLATED_FIELDS, overwrite=overwrite, path=F.col("file"))
+
+
+def label(
+    spark: SparkSession, in_dir: str, out: str, make: inference.Make, *, data_model: str | None = None, strict_patient_match: bool = False, max_files: int = 0,
+    turns_before: int = 2, label_key: str = "sentiment_label", overwrite: bool = True,
+) -> DataFrame:
+    """<stem>_sentiment.json for every translated file of a bindung interview, with a label on the client's turns, and the summary of all
+    labelled files in out. Returns (file, status): done, skipped (there already) or failed (no list).
+
+    strict_patient_match: only patients that the data model lists for it. max_files: the first ones by name; 0: all.
+    """
+    found = documents.listed(spark, in_dir, "translate_*.json").select("path", F.col("full").alias("file"))
+    found = readers.bindung_files(found).withColumn("code", X.patient_code(F.regexp_extract("path", r"[^/]*$", 0)))
+    if strict_patient_match:
+        found = jobs.strict_match(found, readers.read_catalog_file(spark, data_model))
+    found = jobs.first_files(found, max_files)
+    named = found.select("file", F.concat(_stem(F.col("path")), F.lit("_sentiment.json")).alias("name"))
+    there = documents.listed(spark, out, "*_sentiment.json").select(F.col("path").alias("name"))
+    todo = cut(named if overwrite else named.join(there, "name", "left_anti"))
+    items = readers.read_turns(spark, in_dir, "translate_*.json", readers.TRANSLATED_TURN, strict=False).drop("sentiment_label")
+    items = items.withColumn("file", documents.plain(F.url_decode(F.regexp_replace("file", r"\+", "%2B")))).join(todo, "file").drop("file").withColumnRenamed("name", "file")
+    asked = cut(items.withColumnRenamed("speaker_id", "speaker"))
+    done = inference.label_turns(asked, make, turns_before, label_key).withColumnRenamed("speaker", "speaker_id")
+    sinks.write_json(done, out, [*TRANSLATED_FIELDS, label_key], overwrite=overwrite, path=F.col("file"))
+    summarize(spark, out, label_key)
+    ok = asked.select(F.col("file").alias("name")).distinct().withColumn("ok", F.lit(True))
+    status = named.join(todo.select("name", F.lit(True).alias("todo")), "name", "left").join(ok, "name", "left")
+    return status.select(F.col("name").alias("file"), F.when(F.col("todo").isNull(), "skipped").when(F.col("ok").isNull(), "failed").otherwise("done").alias("status"))
+
+
+def summarize(spark: SparkSession, folder: str, label_key: str = "sentiment_label") -> None:
+    """sentiment_label_summary.txt over all labelled files of a folder, those of earlier runs included."""
+    whole = spark.read.option("pathGlobFilter", "*_sentiment.json").text(folder, wholetext=True) if documents.listed(spark, folder, "*_sentiment.json", False).count() else None
+    if whole is None:
+        labels = spark.createDataFrame([], "file string, label string")
+    else:
+        items = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
+        each = whole.select(F.regexp_extract(documents.source_file(), r"[^/]*$", 0).alias("file"), F.explode_outer(items).alias("item"))
+        labels = each.select("file", F.try_variant_get("item", f"$['{label_key}']", "string").alias("label"))
+    sinks.write_label_report(labels, folder)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
-from turnloom.operators import turns
+from turnloom.sources import documents
 from turnloom.sources.columns import SMILE_TURNS, SYNC_TURNS  # noqa: F401
 
 def mode(overwrite: bool) -> str:
@@ -36,10 +35,11 @@ def rttm_lines(segments: DataFrame) -> DataFrame:
     return segments.select(clean("uri").alias("file"), "start_s", line.alias("value"))
 
 
-def write_rttm(segments: DataFrame, path: str, overwrite: bool = True) -> None:
-    """A folder file=<uri> for each recording, its lines by start."""
-    lines = rttm_lines(segments).repartition("file").sortWithinPartitions("file", "start_s")
-    lines.select("file", "value").write.mode(mode(overwrite)).partitionBy("file").text(path)
+def write_rttm(segments: DataFrame, root: str, overwrite: bool = True) -> None:
+    """<uri>/<uri>.rttm for each recording, its lines by start."""
+    each = F.array_sort(F.collect_list(F.struct("start_s", "value")))
+    docs = rttm_lines(segments).groupBy("file").agg(each.alias("lines"))
+    documents.write(docs.select(F.concat("file", F.lit("/"), "file", F.lit(".rttm")).alias("path"), F.concat(F.array_join("lines.value", "\n"), F.lit("\n")).alias("value")), root, overwrite)
 
 
 def json_documents(items: DataFrame, fields: Sequence[str], file_col: str = "file", order: str = "idx") -> DataFrame:
@@ -49,37 +49,30 @@ def json_documents(items: DataFrame, fields: Sequence[str], file_col: str = "fil
     return docs.select(F.col(file_col).alias("file"), F.to_json(F.col("all.item"), {"ignoreNullFields": "true"}).alias("value"))
 
 
-def _written(spark, path: str) -> DataFrame:
-    """(dir, file) of the documents below an output folder; none if there is no such folder."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        return spark.createDataFrame([], "dir string, file string")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    part = lambda name: F.url_decode(F.regexp_replace(F.regexp_extract("path", rf"/{name}=([^/]*)/", 1), r"\+", "%2B"))
-    return found.select(part("dir").alias("dir"), part("file").alias("file")).distinct()
-
-
 def write_json(
-    items: DataFrame, path: str, fields: Sequence[str], overwrite: bool = False, file_col: str = "file", order: str = "idx", root: str | None = None,
+    items: DataFrame, root: str, fields: Sequence[str], overwrite: bool = False, file_col: str = "file", order: str = "idx", path: Column | None = None,
 ) -> None:
-    """A folder dir=<folder>/file=<name> for each file with its list of items. Files already there are left alone one by
-    one, or replaced if overwrite; files of other names stay. root: the input folder whose sub-folders are mirrored in dir;
-    without it there is one, named all."""
+    """One document for each file with its list of items, under its own name: path, an expression over file (<file>.json if None)."""
     docs = json_documents(items, fields, file_col, order)
-    if root is None:
-        docs = docs.withColumn("dir", F.lit("all"))
-    else:
-        top = re.sub("^file:/+", "/", root).rstrip("/")
-        below = F.regexp_replace(F.substring(F.regexp_replace("file", "^file:/+", "/"), len(top) + 1, 1 << 30), "^/+", "")
-        parent = F.regexp_replace(below, "/?[^/]*$", "")
-        docs = docs.withColumns({"dir": F.when(parent == "", "all").otherwise(parent), "file": F.regexp_extract(below, "[^/]*$", 0)})
-    if not overwrite:
-        docs = docs.join(_written(docs.sparkSession, path), ["dir", "file"], "left_anti")
-    out = docs.select("dir", "file", "value").write.partitionBy("dir", "file")
-    (out.mode("overwrite").option("partitionOverwriteMode", "dynamic") if overwrite else out.mode("append")).text(path)
-
-
-def write_label_summary(labels: DataFrame, path: str) -> None:
-    """One text: counts of each label over all files, the total, then by file. A line for each file and label."""
-    ordered = turns.label_summary(labels).orderBy(F.col("file").asc_nulls_first(), F.col("label").asc_nulls_last())
-    turns.summary_lines(ordered).coalesce(1).write.mode("overwrite").text(path)
+    documents.write(docs.select((F.concat("file", F.lit(".json")) if path is None else path).alias("path"), "value"), root, overwrite)
+
+
+def label_report(labels: DataFrame) -> DataFrame:
+    """path, value: one text with the counts of each label over all files, their total, and a line for each file. labels: file, label (blank
+    or null: the file is named all the same)."""
+    counts = labels.groupBy("file", "label").agg(F.count("*").alias("n")).where("label <> ''")
+    part = F.format_string("%s=%d", "label", "n")
+    told = counts.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list(part)), ", ").alias("said"))
+    by_file = labels.select("file").distinct().join(told, "file", "left")
+    by_file = by_file.agg(F.array_sort(F.collect_list(F.format_string("  %s: %s", "file", F.coalesce("said", F.lit(""))))).alias("files"))
+    total = counts.groupBy("label").agg(F.sum("n").alias("n"))
+    total = total.agg(F.array_sort(F.collect_list(F.format_string("  %-12s %6d", "label", "n"))).alias("labels"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
+    lines = F.concat(
+        F.array(F.lit("Sentiment-label summary"), F.lit("=" * 40), F.lit(""), F.lit("Overall counts:")), "labels", F.array(F.format_string("  %-12s %6d", F.lit("TOTAL"), "all"), F.lit(""), F.lit("Per-file counts:")), "files"
+    )
+    both = total.withColumn("one", F.lit(1)).join(by_file.withColumn("one", F.lit(1)), "one")  # a row each
+    return both.select(F.lit("sentiment_label_summary.txt").alias("path"), F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("value"))
+
+
+def write_label_report(labels: DataFrame, root: str) -> None:
+    documents.write(label_report(labels), root, overwrite=True)
