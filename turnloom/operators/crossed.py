@@ -1,25 +1,32 @@
-"""Mixed models with crossed intercepts, interviewer and participant, on a small table of cells.
+"""Mixed models with crossed intercepts, interviewer and participant.
 
 Participants are eliminated first: their part of every system is one small block each, and their ties to interviewers
-are summed chunk by chunk. What is left is as wide as there are interviewers, so the driver holds the cells and
-one matrix of interviewers x interviewers, however many participants there are.
+are summed chunk by chunk. What is left is as wide as there are interviewers. A table of cells of up to LOCAL_CELLS rows is fitted on the driver;
+a larger one stays in Spark (operators.blocks), where participants are eliminated in the tasks, and the driver holds one matrix of interviewers x
+interviewers, however many participants and turns there are. Both give the same deviances.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.operators.models import SINGULAR, chi2_sf, local, nelder_mead, satterthwaite, t_two_sided
+from turnloom.operators.models import SINGULAR, chi2_sf, local, quasi_newton, satterthwaite, t_two_sided
+from turnloom.scratch import cut
 
 #: Participants whose ties to interviewers are held as a dense block at a time.
 CHUNK = 2048
-#: Newton steps for the modes of the effects, and the decrement at which they stand.
-STEPS, STILL = 200, 1e-11
+#: Rows of a table of cells that the driver fits itself; it changes where the work is done, not what comes of it.
+LOCAL_CELLS = 1 << 17
+#: Newton steps for the modes of the effects, the decrement at which they stand (the log determinant moves with its root), and that under
+#: which a whole step is taken unseen, as the likelihood's own rounding is larger.
+STEPS, STILL, SURE = 200, 1e-17, 1e-10
 
 
 class Ties:
@@ -97,16 +104,29 @@ class Crossed:
         beta = np.linalg.solve(info, c)
         return info, beta, max(self.q - float(taken[-1, -1]) - float(beta @ c), 1e-300), logdet
 
+    def parts_many(self, thetas: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float, float]]:
+        return [self.parts(t) for t in thetas]
+
+    def deviances(self, thetas: list[np.ndarray], reml: bool) -> list[float]:
+        out = []
+        for info, _, rss, logdet in self.parts_many(thetas):
+            m = self.N - self.p if reml else self.N
+            out.append(m * math.log(2 * math.pi * rss / m) + logdet + m + (np.linalg.slogdet(info)[1] if reml else 0.0))
+        return out
+
     def deviance(self, theta: np.ndarray, reml: bool) -> float:
-        info, _, rss, logdet = self.parts(theta)
-        m = self.N - self.p if reml else self.N
-        out = m * math.log(2 * math.pi * rss / m) + logdet + m
-        return out + np.linalg.slogdet(info)[1] if reml else out
+        return self.deviances([theta], reml)[0]
 
     def fit(self, reml: bool, starts: tuple = ()) -> tuple[np.ndarray, float, bool]:
+        """The best of searches from the starts; theta may come with any sign, as only squares of deviations count."""
         width = 4 if self.slope else 2
-        found = [nelder_mead(lambda t: self.deviance(t, reml), np.asarray(s, float), tol=1e-9, apart=1e-5) for s in starts or (np.full(width, 0.1), np.full(width, 1.0))]
-        return min(found, key=lambda r: r[1])
+        found = [quasi_newton(lambda t: self.deviances(t, reml), np.asarray(s, float), step=1e-5, still=1e-5) for s in starts or (np.full(width, 0.3), np.full(width, 1.0))]
+        theta, value, ok = min(found, key=lambda r: r[1])
+        flat = [np.where(keep, theta, 0.0) for keep in ([False, True], [True, False], [False, False])] if width == 2 else []
+        for t, v in zip(flat, self.deviances(flat, reml) if flat else [], strict=True):
+            if v <= value + 1e-9:  # a variance that does not help is none
+                theta, value = t, v
+        return theta, value, ok
 
     def effect_df(self, theta: np.ndarray, s2: float) -> float:
         """Satterthwaite's degrees of freedom of the sentiment effect at REML."""
@@ -125,7 +145,42 @@ class Crossed:
         return satterthwaite(deviance, variance, at, self.N - self.p)
 
 
-class Binomial:
+class Laplace:
+    """What a binomial model needs besides deviances(points): x_columns fixed effects, per_row, rate (share of successes)."""
+
+    def deviance(self, v: np.ndarray) -> float:
+        return self.deviances([v])[0]
+
+    def start(self) -> np.ndarray:
+        rate = np.clip(self.rate, 1e-4, 1 - 1e-4)
+        return np.concatenate([[math.log(rate / (1 - rate))], np.zeros(self.columns - 1), np.full(3 if self.per_row else 2, 0.5)])
+
+    def fit(self, start: np.ndarray | None = None) -> tuple[np.ndarray, float, bool]:
+        """Estimates, deviance, whether the search settled; never worse than start."""
+        return quasi_newton(self.deviances, self.start() if start is None else start, still=2e-4)
+
+    def errors(self, v: np.ndarray) -> np.ndarray:
+        """Standard errors of the fixed effects, from the curvature over all parameters; of those alone at a boundary."""
+        p = self.columns
+        inner = [*range(p), *(q for q in range(p, len(v)) if abs(v[q]) > 1e-2)]
+        for among in (inner, list(range(p))):
+            e = np.eye(len(v))[among] * 1e-3
+            pairs = [(a, b) for a in range(len(e)) for b in range(a, len(e))]
+            got = iter(self.deviances([v + x * e[a] + y * e[b] for a, b in pairs for x, y in ((1, 1), (1, -1), (-1, 1), (-1, -1))]))
+            curve = np.zeros((len(e), len(e)))
+            for a, b in pairs:
+                pp, pm, mp, mm = (next(got) for _ in range(4))
+                curve[a, b] = curve[b, a] = (pp - pm - mp + mm) / 4e-6
+            try:
+                cov = 2 * np.linalg.inv(curve)
+            except np.linalg.LinAlgError:
+                continue
+            if np.isfinite(cov).all() and np.linalg.eigvalsh((cov + cov.T) / 2).min() > 0:
+                return np.sqrt(np.diag(cov)[:p])
+        return np.full(p, math.nan)
+
+
+class Binomial(Laplace):
     """succ of n ~ positive + (1 | interviewer) + (1 | participant) [+ (1 | observation)], Laplace approximation.
 
     cells: interviewer_id, participant_id, sentiment, succ, n, times (how many observations are just alike).
@@ -142,8 +197,12 @@ class Binomial:
         self.per_row = per_row
         choose = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) for n, k in zip(self.n, self.k, strict=True)]
         self.choose = float(self.w @ np.array(choose))
+        self.columns, self.rate = self.x.shape[1], float(self.w @ self.k / (self.w @ self.n))
 
-    def deviance(self, v: np.ndarray) -> float:
+    def deviances(self, points: list[np.ndarray]) -> list[float]:
+        return [self._deviance(v) for v in points]
+
+    def _deviance(self, v: np.ndarray) -> float:
         i, j, w, n, k = self.ties.i, self.ties.j, self.w, self.n, self.k
         p = self.x.shape[1]
         t, g = abs(float(v[p])), abs(float(v[p + 1]))
@@ -171,49 +230,28 @@ class Binomial:
             step = 1.0
             while True:
                 new_eta, new = at(ui + step * di, uj + step * dj, e + step * ds)
-                if new >= value + 1e-4 * step * gain or step < 1e-8:
+                if new >= value + 1e-4 * step * gain or step < 1e-8 or gain < SURE * (1 + abs(value)):
                     break
                 step /= 2
             ui, uj, e, eta, value = ui + step * di, uj + step * dj, e + step * ds, new_eta, new
         return math.inf
 
-    def start(self) -> np.ndarray:
-        rate = np.clip((self.w @ self.k) / (self.w @ self.n), 1e-4, 1 - 1e-4)
-        return np.concatenate([[math.log(rate / (1 - rate))], np.zeros(self.x.shape[1] - 1), np.full(3 if self.per_row else 2, 0.5)])
-
-    def fit(self, start: np.ndarray | None = None) -> tuple[np.ndarray, float, bool]:
-        """Estimates, deviance, whether the search settled; never worse than start."""
-        found = nelder_mead(self.deviance, self.start() if start is None else start, 0.25, 2500, 1e-7, 1e-4)
-        return nelder_mead(self.deviance, found[0], 0.05, 1500, 1e-8, 1e-4)
 
-    def errors(self, v: np.ndarray) -> np.ndarray:
-        """Standard errors of the fixed effects, from the curvature over all parameters; of those alone at a boundary."""
-        p = self.x.shape[1]
-        inner = [*range(p), *(q for q in range(p, len(v)) if abs(v[q]) > 1e-2)]
-        for among in (inner, list(range(p))):
-            e = np.eye(len(v))[among] * 1e-3
-            curve = np.array([[(self.deviance(v + a + b) - self.deviance(v + a - b) - self.deviance(v - a + b) + self.deviance(v - a - b)) / 4e-6 for b in e] for a in e])
-            try:
-                cov = 2 * np.linalg.inv(curve)
-            except np.linalg.LinAlgError:
-                continue
-            if np.isfinite(cov).all() and np.linalg.eigvalsh((cov + cov.T) / 2).min() > 0:
-                return np.sqrt(np.diag(cov)[:p])
-        return np.full(p, math.nan)
+def nested(cells: pd.DataFrame, per_row: bool) -> tuple[Laplace, np.ndarray, float, float, bool]:
+    """best_nested() of a table of cells."""
+    return best_nested(Binomial(cells, per_row, null=True), Binomial(cells, per_row))
 
 
-def nested(cells: pd.DataFrame, per_row: bool) -> tuple[Binomial, np.ndarray, float, float, bool]:
+def best_nested(null: Laplace, full: Laplace) -> tuple[Laplace, np.ndarray, float, float, bool]:
     """The full model, its estimates, deviances without and with the effect, and whether both searches settled.
 
     The full search starts at the null's optimum, so the likelihood ratio cannot be negative; a null that the full fit's
     variances improve is sought again from there.
     """
-    null, full = Binomial(cells, per_row, null=True), Binomial(cells, per_row)
     v0, dev0, ok0 = null.fit()
     v, dev, ok = full.fit(np.insert(v0, 1, 0.0))
-    again = null.fit(np.delete(v, 1))
-    if again[1] < dev0 - 1e-6:
-        v0, dev0, ok0 = again
+    if null.deviance(np.delete(v, 1)) < dev0 - 1e-6:
+        v0, dev0, ok0 = null.fit(np.delete(v, 1))
         if dev0 < dev:
             v, dev, ok = full.fit(np.insert(v0, 1, 0.0))
     return full, v, dev0, dev, ok and ok0
@@ -225,12 +263,15 @@ FOCAL_FIELDS = (
 )
 
 
-def _base(cells: pd.DataFrame, count: str, engine: str) -> tuple[dict, bool]:
+def _base(cells: DataFrame, count: str, engine: str) -> tuple[dict, bool]:
     """An empty result and whether there is enough to fit: two of each factor and ten observations."""
-    out: dict = dict.fromkeys(FOCAL_FIELDS) | {"n_obs": 0, "n_participants": 0, "n_interviewers": 0, "method": "not_fittable", "converged": False, "engine": engine}
-    if len(cells):
-        out |= {"n_obs": int(cells[count].sum()), "n_participants": cells["participant_id"].nunique(), "n_interviewers": cells["interviewer_id"].nunique()}
-    return out, bool(len(cells)) and min(out["n_participants"], out["n_interviewers"], cells["sentiment"].nunique()) >= 2 and out["n_obs"] >= 10
+    out: dict = dict.fromkeys(FOCAL_FIELDS) | {"method": "not_fittable", "converged": False, "engine": engine}
+    told = cells.agg(
+        F.coalesce(F.sum(count), F.lit(0)).alias("n_obs"), F.countDistinct("participant_id").alias("n_participants"),
+        F.countDistinct("interviewer_id").alias("n_interviewers"), F.countDistinct("sentiment").alias("labels"),
+    ).first()
+    out |= {k: int(told[k]) for k in ("n_obs", "n_participants", "n_interviewers")}
+    return out, min(out["n_participants"], out["n_interviewers"], told["labels"]) >= 2 and out["n_obs"] >= 10
 
 
 def _flat(out: dict) -> str:
@@ -239,15 +280,25 @@ def _flat(out: dict) -> str:
     return f"_singular({'+'.join(flat)})" if flat else ""
 
 
-def _gaussian_cells(rows: DataFrame, y: str) -> tuple[pd.DataFrame, float]:
+def _gaussian_cells(rows: DataFrame, y: str) -> DataFrame:
+    """A row for each pair of partners and label, in the scratch folder."""
     kept = rows.where(F.col(y).isNotNull() & ~F.isnan(y) & F.col("sentiment").isin("negative", "positive"))
-    cells = local(kept.groupBy("interviewer_id", "participant_id", "sentiment").agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(F.col(y) * F.col(y)).alias("q")))
-    return cells, math.fsum(cells["q"])
+    return cut(kept.groupBy("interviewer_id", "participant_id", "sentiment").agg(F.count("*").alias("n"), F.sum(y).cast("double").alias("s"), F.sum(F.col(y) * F.col(y)).cast("double").alias("q")))
+
+
+def _gaussian(cells: DataFrame) -> Callable[..., Crossed]:
+    """Makes models of the cells: on the driver up to LOCAL_CELLS of them, else in Spark."""
+    if cells.count() <= LOCAL_CELLS:
+        own = local(cells)
+        return partial(Crossed, own, math.fsum(own["q"]))
+    from turnloom.operators import blocks
 
+    return partial(blocks.CrossedBlocks, blocks.Blocks(cells, ("n", "s")), blocks.gaussian_totals(cells))
 
-def slope_check(cells: pd.DataFrame, q: float, theta: np.ndarray, ml: float) -> dict:
+
+def slope_check(model: Callable[..., Crossed], theta: np.ndarray, ml: float) -> dict:
     """Does the difference vary between participants? ML fits with and without the slope, the first from the second's end."""
-    sloped = Crossed(cells, q, slope=True)
+    sloped = model(slope=True)
     theta, dev, _ = sloped.fit(False, ([theta[0], theta[1], 0.0, 0.05], [theta[0], theta[1], 0.0, 0.7]))
     s2 = sloped.parts(theta)[2] / sloped.N
     stat = max(ml - dev, 0.0)
@@ -257,14 +308,14 @@ def slope_check(cells: pd.DataFrame, q: float, theta: np.ndarray, ml: float) ->
 def focal_model(rows: DataFrame, y: str) -> dict[str, float | str | int | bool | None]:
     """Positive against negative with crossed intercepts: REML estimate with Satterthwaite's p, ML likelihood ratio, slope check.
 
-    rows: sentiment (negative or positive), interviewer_id, participant_id and y. The cell table comes to the driver, one
-    row for each pair of partners and label.
+    rows: sentiment (negative or positive), interviewer_id, participant_id and y.
     """
-    cells, q = _gaussian_cells(rows, y)
+    cells = _gaussian_cells(rows, y)
     out, enough = _base(cells, "n", "spark_cells_lmm")
     if not enough:
         return out
-    full = Crossed(cells, q)
+    model = _gaussian(cells)
+    full = model()
     theta, _, out["converged"] = full.fit(True)
     info, beta, rss, _ = full.parts(theta)
     s2 = rss / (full.N - full.p)
@@ -273,37 +324,45 @@ def focal_model(rows: DataFrame, y: str) -> dict[str, float | str | int | bool |
         out["z"] = out["estimate"] / out["se"]
         out["p_wald"] = t_two_sided(out["z"], full.effect_df(theta, s2))
     out["sigma2_interviewer"], out["sigma2_participant"] = (float(t * t * s2) for t in theta)
-    flat, none, _ = Crossed(cells, q, null=True).fit(False)
+    flat, none, _ = model(null=True).fit(False)
     theta, ml, _ = full.fit(False, (flat, np.full(2, 0.5)))
     out["lrt_stat"] = max(none - ml, 0.0)
     out |= {"p_lrt": chi2_sf(out["lrt_stat"], 1), "lrt_source": "lrt_ml", "method": f"lmer{_flat(out)}"}
-    return out | slope_check(cells, q, theta, ml)
+    return out | slope_check(model, theta, ml)
 
 
 def focal_slope(rows: DataFrame, y: str) -> dict[str, float | str | None]:
     """The slope check alone; nulls if there is too little to fit."""
-    cells, q = _gaussian_cells(rows, y)
-    if not _base(cells, "n", "")[1]:
-        return {"slope_var_participant": None, "slope_lrt_stat": None, "slope_p_lrt": None, "slope_source": "unavailable:not_fittable" if len(cells) else "empty"}
-    theta, ml, _ = Crossed(cells, q).fit(False)
-    return slope_check(cells, q, theta, ml)
+    cells = _gaussian_cells(rows, y)
+    out, enough = _base(cells, "n", "")
+    if not enough:
+        return {"slope_var_participant": None, "slope_lrt_stat": None, "slope_p_lrt": None, "slope_source": "unavailable:not_fittable" if out["n_obs"] else "empty"}
+    model = _gaussian(cells)
+    theta, ml, _ = model().fit(False)
+    return slope_check(model, theta, ml)
 
 
 def focal_binomial(rows: DataFrame, succ: str, total: str, per_row: bool = True) -> dict[str, float | str | int | bool | None]:
     """Aggregated counts with an effect for each observation, or (per_row False) whether there was any success.
 
-    What comes to the driver is one row for each distinct (partners, label, successes, trials).
+    A cell is a distinct (partners, label, successes, trials); up to LOCAL_CELLS of them are fitted on the driver, more in Spark.
     """
     kept = rows.where(F.col("sentiment").isin("negative", "positive") & (F.col(total) > 0))
     k = F.col(succ).cast("double") if per_row else (F.col(succ) > 0).cast("double")
     n = F.greatest(F.col(total), F.col(succ)).cast("double") if per_row else F.lit(1.0)
-    cells = local(kept.groupBy("interviewer_id", "participant_id", "sentiment", k.alias("succ"), n.alias("n")).agg(F.count("*").alias("times")))
+    cells = cut(kept.groupBy("interviewer_id", "participant_id", "sentiment", k.alias("succ"), n.alias("n")).agg(F.count("*").alias("times")))
     out, enough = _base(cells, "times", "spark_cells_laplace")
     if not enough:
         return out
-    if not per_row and cells["succ"].nunique() < 2:
+    if not per_row and cells.select("succ").distinct().count() < 2:
         return out | {"method": "no_variance_in_binary_dv"}
-    full, v, none, dev, out["converged"] = nested(cells, per_row)
+    if cells.count() <= LOCAL_CELLS:
+        full, v, none, dev, out["converged"] = nested(local(cells), per_row)
+    else:
+        from turnloom.operators import blocks
+
+        table, total = blocks.Blocks(cells, ("succ", "n", "times")), blocks.binomial_totals(cells)
+        full, v, none, dev, out["converged"] = best_nested(blocks.BinomialBlocks(table, total, per_row, null=True), blocks.BinomialBlocks(table, total, per_row))
     se = float(full.errors(v)[1])
     out |= {"estimate": float(v[1]), "odds_ratio": math.exp(v[1]), "lrt_stat": max(none - dev, 0.0), "lrt_source": "lrt_laplace"}
     out["p_lrt"] = chi2_sf(out["lrt_stat"], 1)

@@ -116,6 +116,54 @@ def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, step: float
     return points[0], values[0], False
 
 
+def quasi_newton(f: Callable[[list[np.ndarray]], list[float]], start: np.ndarray, most: int = 100, step: float = 1e-4, still: float = 1e-4) -> tuple[np.ndarray, float, bool]:
+    """Least value by BFGS steps on central differences: the point, its value, whether the gradient is still there.
+
+    f takes many points at once: those of a gradient are one call, and so are the steps of a line search, so a function that is a pass
+    over distributed rows costs two passes an iteration.
+    """
+    n = len(start)
+    e = np.eye(n) * step
+
+    def gradient(x: np.ndarray) -> np.ndarray:
+        got = np.array(f([*(x + e), *(x - e)]))
+        return (got[:n] - got[n:]) / (2 * step)
+
+    x, value = np.asarray(start, float), f([np.asarray(start, float)])[0]
+    g, inverse = gradient(x), np.eye(n)
+    for k in range(most):
+        if np.abs(g).max() < still:
+            return x, value, True
+        d = -inverse @ g
+        if d @ g >= 0:
+            inverse, d = np.eye(n), -g
+        d *= min(1.0, 1.0 / np.abs(d).max())
+        lengths = [2.0 ** -i for i in range(4)] if k else [4.0 ** -i for i in range(5)]
+        tried = f([x + t * d for t in lengths])
+        best = int(np.argmin(tried))
+        if not tried[best] < value:
+            tried = f([x + t * d for t in (1e-2, 1e-3, 1e-4, 1e-6)])
+            lengths, best = [1e-2, 1e-3, 1e-4, 1e-6], int(np.argmin(tried))
+            if not tried[best] < value:
+                if (inverse == np.eye(n)).all():
+                    return x, value, bool(np.abs(g).max() < 100 * still)
+                inverse = np.eye(n)
+                continue
+        moved, fell = lengths[best] * d, value - tried[best]
+        x, value = x + moved, tried[best]
+        new = gradient(x)
+        change, g = new - g, new
+        if fell < 1e-10 * (1 + abs(value)) and np.abs(g).max() < 100 * still:
+            return x, value, True
+        along = change @ moved
+        if along > 1e-12:
+            if k == 0:
+                inverse = np.eye(n) * along / (change @ change)
+            a = np.eye(n) - np.outer(moved, change) / along
+            inverse = a @ inverse @ a.T + np.outer(moved, moved) / along
+    return x, value, False
+
+
 # --- one random intercept --------------------------------------------------------------------------------
 
 def design(labels: np.ndarray) -> np.ndarray:
