@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut
+from .common import bound_batches, cut, drop
 
 #: Where the key is looked for, and the keys drawn for applications that name none.
 KEY_CONF = "spark.turnloom.surrogateKey"
@@ -39,14 +39,18 @@ _DRAWN: dict[str, bytes] = {}
 _ROUNDS = 8
 #: Characters that are permuted as one number; longer texts go block by block.
 _BLOCK = 64
-#: Letters of a word that can be part of a name; characters of the two parts of an e-mail address.
-NAME_LETTERS, LOCAL_MOST, DOMAIN_MOST = 40, 64, 253
+#: Letters up to which a name's word becomes a pronounceable one; longer words keep their length.
+NAME_LETTERS = 40
+#: How often a surrogate that another entity has is drawn anew before the job gives up.
+REDRAWS = 8
 
 # Titles that come before a name, and given names by gender.
 TITLES = (
     "Mr", "Mister", "Sir", "Mrs", "Ms", "Miss", "Madam", "Dr", "Prof", "Herr", "Herrn", "Frau", "Monsieur", "Madame", "Mme", "Mlle",
     "Sr", "Señor", "Sra", "Señora", "Srta", "Don", "Doña", "Господин", "Госпожа", "Κύριος", "Κυρία",
 )
+#: Small words inside a name; they stay.
+PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "ter", "ten", "zu", "zur", "bin", "al", "y")
 WOMEN = (
     "mary", "patricia", "jennifer", "linda", "elizabeth", "susan", "jessica", "sarah", "karen", "lisa", "nancy", "emily", "anna", "emma", "julia", "laura", "alice", "jane",
     "marie", "claire", "sophie", "camille", "julie", "maria", "carmen", "ana", "lucia", "elena", "isabel", "sabine", "petra", "ursula", "katrin", "ingrid",
@@ -84,14 +88,16 @@ _IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)")
 _IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 _CARD = re.compile(r"(?<![\d-])[3-6]\d(?:[ -]?\d){11,17}(?![\d-])")
-_PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-])")
+_PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![\w-]|\.\d)")
 #: Lengths of the numbers that issuers give out.
 _ISSUED = re.compile(r"3[47]\d{13}|3[0689]\d{12,17}|35\d{14,17}|4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|(?:5[06-9]|6\d)\d{11,17}")
 #: Calling codes: 1 and 7, those of two digits, else three.
 _COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3}")
 _WORD = r"[^\W\d_]+"
-_PART = rf"{_WORD}(?:[-']{_WORD})?"
-_NAME = re.compile(rf"\b(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?P<name>{_PART}(?: {_PART}){{0,2}})")
+_PART = rf"(?:[^\W\d_]\.|{_WORD}(?:[-'’]{_WORD})*)"
+_TITLE = "|".join(sorted({*TITLES, *(t.upper() for t in TITLES)}, key=lambda t: (-len(t), t)))
+_SMALL = rf"(?:(?:{'|'.join(PARTICLES)}) )*"
+_NAME = re.compile(rf"\b(?:{_TITLE})\.? (?P<name>{_SMALL}{_PART}(?: {_SMALL}{_PART}){{0,3}})")
 _MENTION = re.compile(rf"(?<!\w){_WORD}(?!\w)")
 _HEX = re.compile("[0-9a-f]+")
 _HINT = re.compile(r"[0-9@=:]")
@@ -230,7 +236,7 @@ def _range_of(number: int) -> int | None:
 
 
 def ip(text: str, key: bytes) -> str | None:
-    """An address of the same range (private, loopback, public); not an address: None."""
+    """An address of the same range (private, loopback, public), with leading zeros where there were some; not an address: None."""
     parts = list(map(int, text.split(".")))
     if max(parts) > 255:
         return None
@@ -246,7 +252,7 @@ def ip(text: str, key: bytes) -> str | None:
                 break
     else:
         number = parts[0] << 24 | permute(number & 0xFFFFFF, 1 << 24, key, f"ip first {parts[0]}")
-    return ".".join(str(number >> s & 255) for s in (24, 16, 8, 0))
+    return ".".join(f"{number >> s & 255:0{len(p) if p[0] == '0' else 1}}" for s, p in zip((24, 16, 8, 0), text.split("."), strict=True))
 
 
 #: Ranges of addresses that stay among themselves: bits of the prefix and its value; others keep their first eight bits.
@@ -254,7 +260,7 @@ _RANGES6 = ((10, 0xFE80 >> 6), (7, 0xFC00 >> 9), (3, 0x2000 >> 13))
 
 
 def ip6(text: str, key: bytes) -> str | None:
-    """An address of the same range, in the short form; loopback, unspecified and what is no address: None."""
+    """An address of the same range, as short or as long as it was; loopback, unspecified and what is no address: None."""
     try:
         number = int(ipaddress.IPv6Address(text))
     except ValueError:
@@ -267,7 +273,11 @@ def ip6(text: str, key: bytes) -> str | None:
     low = permute(low, 1 << free, key, f"ip6 {fixed} {top}")
     if top == 0 and low < 2:
         low = permute(low, 1 << free, key, f"ip6 {fixed} {top}")
-    out = str(ipaddress.IPv6Address(top << free | low))
+    new = ipaddress.IPv6Address(top << free | low)
+    out = str(new)
+    if "::" not in text:
+        groups = new.exploded.split(":")
+        out = ":".join(groups if all(len(x) == 4 for x in text.split(":")) else [f"{int(x, 16):x}" for x in groups])
     return out.upper() if any(c.isupper() for c in text) else out
 
 
@@ -276,14 +286,14 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
     at, before = text.find("@"), 0
     while at >= 0:
         lo = at
-        while lo > before and at - lo <= LOCAL_MOST and _LOCAL.match(text[lo - 1]):
+        while lo > before and _LOCAL.match(text[lo - 1]):
             lo -= 1
         whole = lo == 0 or not _LOCAL.match(text[lo - 1]) or lo == before
         while lo < at and not text[lo].isalnum():
             lo += 1
-        if whole and lo < at and at - lo <= LOCAL_MOST and not (lo and (text[lo - 1].isalnum() or text[lo - 1] == "_")):
+        if whole and lo < at and not (lo and (text[lo - 1].isalnum() or text[lo - 1] == "_")):
             end, best, pos = _DOMAIN.match(text, at + 1).end(), None, at + 1
-            while pos < end and pos - at <= DOMAIN_MOST:
+            while pos < end:
                 stop = text.find(".", pos, end)
                 stop = end if stop < 0 else stop
                 top = _TOP.match(text, pos, stop)
@@ -292,7 +302,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
                 if not _LABEL.fullmatch(text, pos, stop):
                     break
                 pos = stop + 1
-            if best is not None and best - at - 1 <= DOMAIN_MOST:
+            if best is not None:
                 yield lo, best
                 before = best
         before = max(before, at + 1)
@@ -342,8 +352,12 @@ def name_word(word: str, key: bytes) -> str:
     """A pronounceable name of the same script, one for each word: its number among all words of up to its length
     is permuted within its length and spelled in syllables. A given name whose gender is known gets an ending for it."""
     low, script = word.lower(), script_of(word)
-    if script is None:
-        return "-".join(name_word(p, key) if p and p != word else shape_permute(p, key, "name") for p in re.split(r"[-']", word))
+    if script is None:  # hyphens, apostrophes and the dot of an initial stay; a word of another script is permuted within it
+        parts = re.split(r"([-'’.])", word)
+        return "".join(p if k % 2 else name_word(p, key) if p != word else shape_permute(p, key, "name") for k, p in enumerate(parts)) if len(parts) > 1 else shape_permute(word, key, "name")
+    if len(low) > NAME_LETTERS:
+        out = shape_permute(low, key, f"name {script}")
+        return out.upper() if word.isupper() else out.capitalize()
     letters, value, below = _LETTERS[script], 0, 0
     for c in low:
         value = value * len(letters) + letters.index(c)
@@ -363,18 +377,22 @@ def name_word(word: str, key: bytes) -> str:
 
 
 def name(text: str, key: bytes) -> str:
-    return " ".join(name_word(w, key) for w in text.split(" "))
+    return " ".join(w if w in PARTICLES else name_word(w, key) if w else w for w in text.split(" "))
 
 
 def _titled(text: str) -> list[tuple[int, str]]:
     """(place, name) of capitalised words behind a title."""
     out = []
     for m in _NAME.finditer(text):
-        kept = []
+        kept, full = [], 0
         for w in m["name"].split(" "):
-            if not w[0].isupper() or len(w) > NAME_LETTERS:
-                break
+            if w not in PARTICLES:
+                if not w[0].isupper() or full == 3:
+                    break
+                full += not w.endswith(".")
             kept.append(w)
+        while kept and kept[-1] in PARTICLES:
+            kept.pop()
         if kept:
             out.append((m.start("name"), " ".join(kept)))
     return out
@@ -383,11 +401,11 @@ def _titled(text: str) -> list[tuple[int, str]]:
 def _mentions(text: str, known: set[str], most: int) -> Iterator[tuple[int, int]]:
     """Places of known names, the longest at each word, in one walk over the words."""
     words = [m.span() for m in _MENTION.finditer(text)]
-    at = 0
+    at, longest = 0, max(map(len, known))
     while at < len(words):
         for n in range(min(most, len(words) - at), 0, -1):
             lo, hi = words[at][0], words[at + n - 1][1]
-            if hi - lo <= (NAME_LETTERS + 1) * most and text[lo:hi] in known:
+            if hi - lo <= longest and text[lo:hi] in known:
                 yield lo, hi
                 at += n
                 break
@@ -440,7 +458,7 @@ def entities(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     for at, words in titled:
         add(at, at + len(words), "name", lambda w=words: name(w, key))
         known.add(words)
-        known.update(w for w in words.split(" ") if len(w) > 1)
+        known.update(w for w in words.split(" ") if len(w) > 1 and w not in PARTICLES and not w.endswith("."))
     for lo, hi in _mentions(text, known, max(len(re.findall(_WORD, w)) for w in known)):
         add(lo, hi, "name", lambda w=text[lo:hi]: name(w, key))
     return sorted(found)
@@ -454,12 +472,34 @@ def session_key(spark: SparkSession) -> bytes:
     return _DRAWN.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
-def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, str, str]]]:
-    """The text with surrogates in place, and (type, original, surrogate) of each entity; null stays null."""
+#: What makes the surrogates of each type.
+MAKERS: dict[str, Callable[[str, bytes], str | None]] = {
+    "secret": secret, "email": email, "iban": iban, "ip": lambda x, key: (ip6 if ":" in x else ip)(x, key), "card": card, "ssn": ssn, "phone": phone, "name": name,
+}
+
+
+def canonical(kind: str, text: str) -> str:
+    """The same text for all spellings of one entity: addresses by their number, e-mails and names without case, the rest without layout."""
+    if kind == "ip":
+        try:
+            return str(ipaddress.IPv6Address(text)) if ":" in text else ".".join(str(int(p)) for p in text.split("."))
+        except ValueError:
+            return text
+    if kind in ("email", "name"):
+        return text.lower()
+    return "".join(c for c in text if c.isalnum() or c == "+") if kind in ("card", "phone", "iban") else text
+
+
+def replace(text: str | None, key: bytes, again: dict[tuple[str, str], int] | None = None) -> tuple[str | None, list[tuple[str, str, str]]]:
+    """The text with surrogates in place, and (type, original, surrogate) of each entity; null stays null.
+
+    again: how often the surrogate of a (type, canonical entity) is drawn anew."""
     if not text:
         return text, []
     out, at, seen = [], 0, []
     for lo, hi, kind, new in entities(text, key):
+        if again and (turn := again.get((kind, canonical(kind, text[lo:hi])))):
+            new = MAKERS[kind](text[lo:hi], key + f"|again {turn}".encode())
         out += [text[at:lo], new]
         seen.append((kind, text[lo:hi], new))
         at = hi
@@ -469,36 +509,47 @@ def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, s
 _ENTITY = "array<struct<kind:string,original:string,surrogate:string>>"
 
 
-def surrogates(text: Column, key: bytes) -> Column:
+def surrogates(text: Column, key: bytes, again: dict[tuple[str, str], int] | None = None) -> Column:
     """struct<text string, entities array<struct<kind, original, surrogate>>> of each whole text; null: null and none."""
 
     def batches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            done = [replace(x, key) for x in batch]
+            done = [replace(x, key, again) for x in batch]
             yield pd.DataFrame({"text": [x for x, _ in done], "entities": [[{"kind": k, "original": o, "surrogate": s} for k, o, s in e] for _, e in done]})
 
     bound_batches()
     return F.pandas_udf(batches, f"text string, entities {_ENTITY}")(text)
 
 
-def collisions(found: DataFrame, column: str = "entities") -> DataFrame:
-    """(kind, surrogate, originals) of surrogates that stand for more than one entity; none is expected.
-
-    E-mails and names are counted without regard to case, cards, phones and IBANs without regard to layout. One row for
-    each distinct entity is shuffled.
-    """
+def _distinct(found: DataFrame, column: str) -> DataFrame:
+    """(kind, o, surrogate) in canonical form, a row for each; each entity is shuffled once."""
 
-    def plain(c: str) -> Column:
-        bare = F.regexp_replace(c, r"[^\p{L}\p{N}+]", "")
-        return F.when(F.col("e.kind").isin("card", "phone", "iban"), bare).when(F.col("e.kind").isin("email", "name"), F.lower(c)).otherwise(F.col(c))
+    def plain(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for kinds, texts in pairs:
+            yield pd.Series([canonical(k, x) for k, x in zip(kinds, texts, strict=True)], dtype=object)
 
-    each = found.select(F.explode(column).alias("e")).select("e.kind", plain("e.original").alias("o"), plain("e.surrogate").alias("surrogate")).distinct()
-    return each.groupBy("kind", "surrogate").agg(F.count("*").alias("originals")).where("originals > 1")
+    bound_batches()
+    as_plain = F.pandas_udf(plain, "string")
+    each = found.select(F.explode(column).alias("e")).select("e.*").distinct()
+    return each.select("kind", as_plain("kind", "original").alias("o"), as_plain("kind", "surrogate").alias("surrogate")).distinct()
 
 
-def checked(found: DataFrame, column: str = "entities") -> DataFrame:
-    """found, written once, if no surrogate in the whole of it stands for two entities; else an error."""
-    found = cut(found)
-    if bad := collisions(found, column).count():
-        raise ValueError(f"personal data: {bad} surrogates stand for more than one entity")
-    return found
+def collisions(found: DataFrame, column: str = "entities") -> DataFrame:
+    """(kind, surrogate, originals) of surrogates that stand for more than one entity; none is expected. Spellings of one entity are one."""
+    return _distinct(found, column).groupBy("kind", "surrogate").agg(F.count("*").alias("originals")).where("originals > 1")
+
+
+def settled(make: Callable[[dict[tuple[str, str], int]], DataFrame], column: str = "entities") -> DataFrame:
+    """What make({}) gives, written once. If a surrogate in the whole of it stands for two entities, all but the first of them are drawn anew, and
+    make gets {(type, canonical entity): how often}: a permutation within a type can't do that, so there is nothing to draw as a rule."""
+    again: dict[tuple[str, str], int] = {}
+    for turn in range(1, REDRAWS + 2):
+        found = cut(make(again))
+        each = _distinct(found, column)
+        first = each.groupBy("kind", "surrogate").agg(F.min("o").alias("first"), F.count("*").alias("originals")).where("originals > 1")
+        late = each.join(first, ["kind", "surrogate"]).where("o <> first").select("kind", "o").collect()
+        if not late or turn > REDRAWS:
+            return found
+        again |= {(r["kind"], r["o"]): turn for r in late}
+        drop(found)
+    raise AssertionError
