@@ -40,14 +40,16 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with surrogates for personal data and secrets; n_chars follows the new text. Null and empty texts stay."""
-    mark = free_name("done", docs.columns)
-    done = docs.withColumn(mark, pii.surrogates(F.col("text"), pii.session_key(spark)))
+    mark, seen = free_name("done", docs.columns), free_name("entities", docs.columns)
     changed = {"text": F.col(mark)["text"]}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.length(F.col(mark)["text"]).cast(docs.schema["n_chars"].dataType)
-    seen = free_name("entities", docs.columns)
-    done = done.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns], F.col(mark)["entities"].alias(seen))
-    return pii.checked(done, seen).select(*docs.columns)
+
+    def replaced(again: dict) -> DataFrame:
+        done = docs.withColumn(mark, pii.surrogates(F.col("text"), pii.session_key(spark), again))
+        return done.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns], F.col(mark)["entities"].alias(seen))
+
+    return pii.settled(replaced, seen).select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
