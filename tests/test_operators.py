@@ -436,12 +436,15 @@ def test_shapiro_against_published_values():
     assert 0.4 < np.mean(ps) < 0.6 and math.isnan(models.shapiro_wilk(np.ones(9))[0])
 
 
-def test_many_residuals_still_have_a_w(spark):
-    rows = spark.range(7000).selectExpr("cast(pow(id / 7000, 3) as double) as v")
-    w, p = models.shapiro_wilk(models.normal_sample(rows, "v"))
-    plain = models.shapiro_wilk((np.arange(5000) / 5000) ** 3)
-    assert abs(w - plain[0]) < 0.01 and p < 1e-6
-    assert len(models.normal_sample(rows, "v", 9000)) == 7000
+@pytest.mark.parametrize("n", [4, 5, 12, 4999, 5001, 60_000])
+def test_w_of_a_column_is_that_of_the_sorted_values(spark, n):
+    """At any length, with ties, nulls and values in no order."""
+    values = np.round(np.random.default_rng(n).normal(size=n) ** 3, 2 if n > 12 else 5)
+    rows = spark.createDataFrame([(float(v),) for v in values] + [(None,)] * 3, "v double").repartition(3)
+    w, p = models.shapiro_wilk_of(rows, "v")
+    want = models.shapiro_wilk(values)
+    assert math.isclose(w, want[0], rel_tol=1e-9) and math.isclose(p, want[1], rel_tol=1e-6, abs_tol=1e-12)
+    assert all(map(math.isnan, models.shapiro_wilk_of(rows.limit(0), "v"))) and all(map(math.isnan, models.shapiro_wilk_of(spark.range(9).selectExpr("1.0 as v"), "v")))
 
 
 def test_resampling_across_empty_buckets(spark):

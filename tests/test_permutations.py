@@ -37,6 +37,14 @@ def test_likelihood_by_size_is_that_of_cells(spark):
     assert math.isclose(models.sentiment_model(df, "y", "who")["lr_stat"], want)
 
 
+def test_without_neutral_turns_positive_is_measured_against_negative(spark):
+    rows = [r for r in turns(np.random.default_rng(5)) if r[2] != "neutral"]
+    fit = models.sentiment_model(frame(spark, rows), "y", "who")
+    assert fit["coef_positive"] is None and fit["coef_negative"] is None and fit["lr_stat"] >= 0 and math.isfinite(fit["coef_pos_vs_neg"])
+    moved = models.sentiment_model(frame(spark, [(*r[:3], r[3] + 2.0 * (r[2] == "positive")) for r in rows]), "y", "who")
+    assert math.isclose(moved["coef_pos_vs_neg"], fit["coef_pos_vs_neg"] + 2.0, abs_tol=0.2)
+
+
 @pytest.mark.parametrize("block", [2048, 3])
 def test_sums_of_shuffles_have_the_moments_of_shuffles(spark, monkeypatch, block):
     """Within patients, a label's sum has the mean and variance of drawing without replacement, also where a patient is in many blocks."""

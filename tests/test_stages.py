@@ -4,6 +4,8 @@ import json
 
 import test_files
 
+from pyspark.sql import functions as F
+
 from turnloom.operators import inference
 from turnloom.plans import files, stages
 from turnloom.sources import readers
@@ -94,3 +96,67 @@ def test_unknown_stage(spark, tmp_path):
 
     with pytest.raises(ValueError, match="unknown stage"):
         stages.process_media(spark, str(tmp_path), str(tmp_path), "both")
+
+
+class Server:
+    """A chat server that fails every third call and counts the distinct requests that it answers."""
+
+    def __enter__(self):
+        import threading
+        from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+        seen = self.seen = {"calls": 0, "answered": []}
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_POST(self):  # noqa: N802
+                body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                seen["calls"] += 1
+                if seen["calls"] % 3 == 0:
+                    self.send_error(503)
+                    return
+                asked = body["messages"][-1]["content"]
+                assert len(body["messages"]) == 18 and body["max_tokens"] == 12
+                seen["answered"].append(asked)
+                answer = json.dumps({"choices": [{"message": {"content": " Positive." if "good" in asked.rsplit("Speech turn:", 1)[-1] else "Negative"}}]}).encode()
+                self.send_response(200)
+                self.end_headers()
+                self.wfile.write(answer)
+
+            def log_message(self, *args):
+                pass
+
+        self.http = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        self.url = f"http://127.0.0.1:{self.http.server_port}/v1"
+        threading.Thread(target=self.http.serve_forever, daemon=True).start()
+        return self
+
+    def __exit__(self, *args):
+        self.http.shutdown()
+
+
+def test_requests_are_asked_once_tried_again_and_kept(spark, tmp_path):
+    rows = [(f, k, who, text) for f in ("a", "b") for k, (who, text) in enumerate([("client", "good day"), ("therapist", "yes"), ("client", "bad day"), ("client", " ")])]
+    turns = spark.createDataFrame([*rows, ("c", 0, "client", "good luck")], "file string, idx int, speaker string, text string")
+    store = str(tmp_path / "answers")
+    with Server() as server:
+        make = inference.chat_client(server.url, timeout=10)
+        done = inference.label_turns_by_requests(turns, make, store, wait=0.01, tries=6).collect()
+        assert {(r.file, r.idx): r.sentiment_label for r in done if r.sentiment_label} == {("a", 0): "positive", ("a", 2): "negative", ("b", 0): "positive", ("b", 2): "negative", ("c", 0): "positive"}
+        assert len(server.seen["answered"]) == len(set(server.seen["answered"])) == 3  # both files ask the same
+        inference.label_turns_by_requests(turns, make, store).collect()
+        assert len(server.seen["answered"]) == 3
+    gone = inference.label_turns_by_requests(turns.withColumn("text", F.concat("text", F.lit("!"))).where("file = 'c'"), make, store, tries=2, wait=0.01).collect()
+    assert [r.sentiment_label for r in gone] == ["other"]  # no server, no answer; nothing is kept of it
+    assert spark.read.parquet(store).count() == 3
+
+
+def test_programs(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/results_P1_bindung.json").write_text(json.dumps([{"text": "good day", "start": 0, "end": 900, "speaker_id": "client"}, {"text": "yes", "start": 900, "end": 1000, "speaker_id": "therapist"}]))
+    (tmp_path / "model.json").write_text(json.dumps({"interviews": [{"patient": {"patient_id": "P1"}, "types": {"bindung": {}}}]}))
+    files.main(["translate", "--input-dir", str(tmp_path / "in"), "--translator", "turnloom.operators.inference:identity"])
+    assert (tmp_path / "in/translate_P1_bindung.json").exists()
+    with Server() as server:
+        files.main(["label", "--input-dir", str(tmp_path / "in"), "--output-dir", str(tmp_path / "out"), "--data-model", str(tmp_path / "model.json"), "--server-url", server.url, "--strict-patient-match"])
+    turns = json.loads((tmp_path / "out/translate_P1_bindung_sentiment.json").read_text())
+    assert [t.get("sentiment_label") for t in turns] == ["positive", None] and "positive" in (tmp_path / "out/sentiment_label_summary.txt").read_text()

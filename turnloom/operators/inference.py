@@ -6,7 +6,7 @@ model is loaded there and not sent with the plan. A call that fails gives what t
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,6 +60,77 @@ def label_turns(turns: DataFrame, make: Make, turns_before: int | None = 2, labe
     return turn_ops.write_back(turns, labels, label_key, file_col)
 
 
+def chat_client(url: str, model: str = "local", *, max_tokens: int = 12, temperature: float = 0.1, stop: Sequence[str] = ("\n",), timeout: float = 60.0) -> Callable[[], Callable[[str], str]]:
+    """Makes a call to a chat server that speaks the usual completions protocol: messages as JSON in, the answer's text out."""
+
+    def make() -> Callable[[str], str]:
+        import json
+        import urllib.request
+
+        def call(messages: str) -> str:
+            body = {"model": model, "messages": json.loads(messages), "max_tokens": max_tokens, "temperature": temperature, "stop": list(stop)}
+            asked = urllib.request.Request(f"{url.rstrip('/')}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": "Bearer local"})
+            with urllib.request.urlopen(asked, timeout=timeout) as got:
+                return json.load(got)["choices"][0]["message"]["content"] or ""
+
+        return call
+
+    return make
+
+
+def ask_once(requests: DataFrame, make: Callable[[], Callable[[str], str]], store: str, *, concurrency: int = 8, tries: int = 4, wait: float = 0.5) -> DataFrame:
+    """requests (with a column request) and the answer to each; equal requests are asked once, and what `store` has is not asked again.
+
+    A task makes up to `concurrency` calls at a time. A call that fails is tried again after wait, 2 wait, 4 wait, ...; after `tries` it has no
+    answer (null), and another run asks it again. Answers go to the folder `store` as Parquet (key, answer) before they are used.
+    """
+    spark = requests.sparkSession
+    keyed = requests.withColumn("key", F.sha2("request", 256))
+    schema = "key string, answer string"
+    place = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        known = spark.read.schema(schema).parquet(store)
+        new = keyed.join(known, "key", "left_anti")
+    else:
+        new = keyed
+
+    def answered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import time
+        from concurrent.futures import ThreadPoolExecutor
+
+        call = make()
+
+        def patient(request: str) -> str | None:
+            for k in range(tries):
+                try:
+                    return call(request)
+                except Exception:  # the server may fail in any way
+                    if k + 1 < tries:
+                        time.sleep(wait * 2**k)
+            return None
+
+        with ThreadPoolExecutor(concurrency) as pool:
+            for frame in frames:
+                yield pd.DataFrame({"key": frame["key"], "answer": pd.Series(list(pool.map(patient, frame["request"])), dtype=object)})
+
+    reachable()
+    asked = new.groupBy("key").agg(F.first("request").alias("request"))
+    asked.mapInPandas(answered, schema).where(F.col("answer").isNotNull()).write.mode("append").parquet(store)
+    known = spark.read.schema(schema).parquet(store).groupBy("key").agg(F.min("answer").alias("answer"))
+    return keyed.join(known, "key", "left").drop("key")
+
+
+def label_turns_by_requests(
+    turns: DataFrame, make: Callable[[], Callable[[str], str]], store: str, turns_before: int | None = 2, label_key: str = "sentiment_label", file_col: str = "file", **options
+) -> DataFrame:
+    """label_turns() with one request a turn to a server (chat_client), see ask_once for options; a turn without an answer is labelled as an empty one."""
+    asked = turn_ops.context_window(turns, turns_before, file_col)
+    asked = asked.select(file_col, "idx", F.to_json(T.build_prompt(F.col("text"), F.col("context"))).alias("request"))
+    got = ask_once(asked, make, store, **options)
+    labels = got.select(file_col, "idx", T.parse_sentiment(F.coalesce("answer", F.lit(""))).alias("label"))
+    return turn_ops.write_back(turns, labels, label_key, file_col)
+
+
 def translate_turns(turns: DataFrame, make: Make = identity, most: int = 192, text_col: str = "text") -> DataFrame:
     """turns with their text translated chunk by chunk; a chunk that fails keeps its source text."""
     key = [c for c in turns.columns if c != text_col]

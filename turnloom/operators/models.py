@@ -7,7 +7,7 @@ squares of the response; the fit's cost does not grow with the rows behind a cel
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 from statistics import NormalDist
 
 import numpy as np
@@ -172,6 +172,12 @@ def design(labels: np.ndarray) -> np.ndarray:
     return x
 
 
+def columns(labels: np.ndarray) -> list[int]:
+    """The columns of design() that can be told apart: without neutral turns positive is measured against negative."""
+    have = [0, *(j for j, s in ((1, "positive"), (2, "negative")) if (labels == s).any())]
+    return have if (labels == "neutral").any() else have[: max(len(have) - 1, 1)]
+
+
 class RandomIntercept:
     """y ~ X + (1 | group) from cells: group number, design row, count, sum of y; and the sum of squares of y."""
 
@@ -211,8 +217,7 @@ class RandomIntercept:
 def lr_statistic(cells: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], q: float, null: float | None = None) -> float:
     """2 x (full - null) log-likelihood at ML of the sentiment effect; null may be given, as shuffles do not move it."""
     group, labels, n, s = cells
-    x = design(labels)
-    x = x[:, [0, *(j for j in (1, 2) if x[:, j].any())]]
+    x = design(labels)[:, columns(labels)]
     if null is None:
         null = RandomIntercept(group, x[:, :1], n, s, q).log_likelihood()
     try:
@@ -253,14 +258,16 @@ def sentiment_model(rows: DataFrame, y: str, group: str) -> dict[str, float | st
     codes, labels, n, s = numbered
     out["lr_stat"] = lr_statistic(numbered, sums["q"])
     out["lr_pval"] = chi2_sf(out["lr_stat"], 2)
-    x = design(labels)
-    have = [0, *(j for j in (1, 2) if x[:, j].any())]
+    x, have = design(labels), columns(labels)
     fit = RandomIntercept(codes, x[:, have], n, s, sums["q"])
     lam = fit.best(True)
     a, beta, rss = fit.parts(lam)
     s2 = rss / (fit.N - fit.p)
     out |= {"sigma2_resid": s2, "sigma2_patient": lam * s2, "icc": lam / (1 + lam), "method": "lmer_singular" if lam * s2 < SINGULAR else "lmer"}
-    for name, c in (("positive", (0, 1, 0)), ("negative", (0, 0, 1)), ("pos_vs_neg", (0, 1, -1))):
+    contrasts = (("positive", (0, 1, 0)), ("negative", (0, 0, 1)), ("pos_vs_neg", (0, 1, -1)))
+    if not (labels == "neutral").any():
+        contrasts = (("pos_vs_neg", (0, 1, 0)),) if (labels == "positive").any() else ()
+    for name, c in contrasts:
         if any(v and j not in have for j, v in enumerate(c)):
             continue
         row = np.array([c[j] for j in have], float)
@@ -303,10 +310,6 @@ def satterthwaite(deviance: Callable[[np.ndarray], float], variance: Callable[[n
 
 # --- residuals -------------------------------------------------------------------------------------------
 
-#: Values up to which Royston's approximation was made; for more, W is that of as many evenly spaced order statistics.
-SHAPIRO_MOST = 5000
-
-
 def moments(rows: DataFrame, column: str) -> DataFrame:
     """(n, skewness, kurtosis): of the population, kurtosis in excess."""
     return rows.agg(F.count(column).alias("n"), F.skewness(column).alias("skewness"), F.kurtosis(column).alias("kurtosis"))
@@ -318,8 +321,7 @@ def residuals(rows: DataFrame, y: str, group: str) -> DataFrame:
     cells = local(cells_of(rows, y, group)).sort_values([group, "sentiment"], kind="stable")
     q = math.fsum(cells["q"])
     code, labels, n, s = _numbered(cells, group, "sentiment")
-    x = design(labels)
-    have = [0, *(j for j in (1, 2) if x[:, j].any())]
+    x, have = design(labels), columns(labels)
     fit = RandomIntercept(code, x[:, have], n, s, q)
     lam = fit.best(True)
     beta = fit.parts(lam)[1]
@@ -330,28 +332,39 @@ def residuals(rows: DataFrame, y: str, group: str) -> DataFrame:
     return kept.join(known, [group, "sentiment"]).withColumn("resid", F.col(y) - F.col("fitted")).drop("fitted")
 
 
-def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
-    """W and its p by Royston's approximation, for 4 to 5000 values that are not all the same; else NaN."""
-    x = np.sort(np.asarray(values, float))
-    n = len(x)
-    if not 4 <= n <= SHAPIRO_MOST or x[0] == x[-1]:
-        return math.nan, math.nan
-    normal = NormalDist()
-    m = np.array([normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    mm, u = float(m @ m), 1 / math.sqrt(n)
-    a = m / math.sqrt(mm)
-    last = a[-1] + np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0], u)
-    if n > 5:
-        before = a[-2] + np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0], u)
-        rest = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * before**2)
-        a = m / math.sqrt(rest)
-        a[-2], a[1] = before, -before
-    else:
-        a = m / math.sqrt((mm - 2 * m[-1] ** 2) / (1 - 2 * last**2))
-    a[-1], a[0] = last, -last
-    w = min(float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum()), 1.0)
+class _Weights:
+    """Royston's weights of order statistics: those of the two ends, and what the normal scores in between are divided by."""
+
+    def __init__(self, n: int, square: float):
+        """square: the sum of squares of all n normal scores."""
+        m, u = normal_scores(n, np.array([n, n - 1])), 1 / math.sqrt(n)
+        self.last = m[0] / math.sqrt(square) + np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0], u)
+        self.before = None
+        if n > 5:
+            self.before = m[1] / math.sqrt(square) + np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0], u)
+            rest = (square - 2 * m[0] ** 2 - 2 * m[1] ** 2) / (1 - 2 * self.last**2 - 2 * self.before**2)
+        else:
+            rest = (square - 2 * m[0] ** 2) / (1 - 2 * self.last**2)
+        self.scale = math.sqrt(rest)
+
+    def statistic(self, n: int, scores: float, spread: float, low: Sequence[float], high: Sequence[float]) -> float:
+        """W from the sum of normal score x value, the sum of squares about the mean, and the two ends, outermost first."""
+        m = normal_scores(n, np.array([n, n - 1]))
+        total = (scores - m[0] * (high[0] - low[0]) - (m[1] * (high[1] - low[1]) if self.before is not None else 0.0)) / self.scale
+        total += self.last * (high[0] - low[0]) + (self.before * (high[1] - low[1]) if self.before is not None else 0.0)
+        return float(min(total**2 / spread, 1.0))
+
+
+def normal_scores(n: int, ranks: np.ndarray) -> np.ndarray:
+    """About where order statistics of n normal values are expected; ranks from 1."""
+    inverse = NormalDist().inv_cdf
+    return np.array([inverse((r - 0.375) / (n + 0.25)) for r in ranks.tolist()])
+
+
+def shapiro_p(w: float, n: int) -> float:
+    """Royston's approximation, made for up to 5000 values and carried on beyond."""
     if w >= 1:
-        return w, 1.0
+        return 1.0
     if n <= 11:
         g = np.polyval([0.459, -2.273], n)
         value = -math.log(g - math.log(1 - w)) if g > math.log(1 - w) else math.inf
@@ -359,21 +372,55 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
     else:
         value, k = math.log(1 - w), math.log(n)
         mean, spread = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], k), math.exp(np.polyval([0.0030302, -0.082676, -0.4803], k))
-    return w, 1 - normal.cdf((value - mean) / spread)
+    return float(1 - NormalDist().cdf((value - mean) / spread))
 
 
-def normal_sample(rows: DataFrame, column: str, most: int = SHAPIRO_MOST) -> np.ndarray:
-    """All values if there are no more than `most`, else `most` evenly spaced order statistics of all of them, without a collect."""
-    if rows.where(F.col(column).isNotNull()).limit(most + 1).count() <= most:
-        return np.array([r[0] for r in rows.select(column).where(F.col(column).isNotNull()).collect()])
-    shares = [(i - 0.5) / most for i in range(1, most + 1)]
-    return np.array(rows.agg(F.percentile_approx(column, shares, F.lit(100 * most))).first()[0])
+def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
+    """W and its p for 4 or more values that are not all the same; else NaN."""
+    x = np.sort(np.asarray(values, float))
+    n = len(x)
+    if n < 4 or x[0] == x[-1]:
+        return math.nan, math.nan
+    m, x = normal_scores(n, np.arange(1, n + 1)), x - x.mean()
+    w = _Weights(n, float(m @ m)).statistic(n, float(m @ x), float(x @ x), x[:2], x[:-3:-1])
+    return w, shapiro_p(w, n)
+
+
+def shapiro_wilk_of(rows: DataFrame, column: str) -> tuple[float, float]:
+    """shapiro_wilk() of a column of any length, nulls left out: ranks are places in range partitions plus the rows of those before, and W needs
+    two sums over rank and value. The driver sees a row for each partition and the two values at either end."""
+    kept = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"), F.monotonically_increasing_id().alias("row"))
+    placed = kept.repartitionByRange("x", "row").sortWithinPartitions("x", "row")  # row: equal values need not share a task
+    placed = cut(placed.select("x", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")))
+    told = placed.agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    n, mean = told["n"], told["mean"]
+    if n < 4 or told["lo"] == told["hi"]:
+        drop(placed)
+        return math.nan, math.nan
+    starts, before = {}, 0
+    for r in placed.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
+        starts[r["part"]], before = before, before + r["n"]
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(3)
+        for frame in frames:
+            m = normal_scores(n, frame["part"].map(starts).to_numpy() + frame["place"].to_numpy() + 1)
+            x = frame["x"].to_numpy() - mean
+            sums += m @ x, m @ m, x @ x
+        yield pd.DataFrame([sums], columns=["mx", "mm", "xx"])
+
+    reachable()
+    s = placed.mapInPandas(add, "mx double, mm double, xx double").agg(*[F.sum(c).alias(c) for c in ("mx", "mm", "xx")]).first()
+    low, high = ([r["x"] for r in placed.select("x").orderBy(o).limit(2).collect()] for o in (F.asc("x"), F.desc("x")))
+    drop(placed)
+    w = _Weights(n, s["mm"]).statistic(n, s["mx"], s["xx"], low, high)
+    return w, shapiro_p(w, n)
 
 
 def residual_normality(rows: DataFrame, y: str, group: str) -> dict[str, float | None]:
-    """resid_skewness and resid_kurtosis over all rows, resid_shapiro_w and _p of normal_sample() of them."""
+    """resid_skewness and resid_kurtosis over all rows, resid_shapiro_w and _p."""
     resid = cut(residuals(rows, y, group).select("resid"))
     m = moments(resid, "resid").first()
-    w, p = shapiro_wilk(normal_sample(resid, "resid"))
+    w, p = shapiro_wilk_of(resid, "resid")
     drop(resid)
     return {"resid_shapiro_w": w, "resid_shapiro_p": p, "resid_skewness": m["skewness"], "resid_kurtosis": m["kurtosis"]}

@@ -73,10 +73,14 @@ def context_window(turns: DataFrame, turns_before: int | None = 2, file_col: str
     turns_before 0 gives all earlier texts, as the slice [-0:] does; None says the same plainly.
     """
     kept = turns.withColumn("text", T.strip(F.coalesce("text", F.lit("")))).where("text <> ''")
-    along = Window.partitionBy(file_col).orderBy("idx")
-    frame = along.rowsBetween(-turns_before if turns_before else Window.unboundedPreceding, -1)
-    seen = kept.withColumn("context", F.collect_list("text").over(frame))
-    return seen.where(T.canonical_speaker(F.col("speaker")) == "client").select(file_col, "idx", "text", "context")
+    client = T.canonical_speaker(F.col("speaker")) == "client"
+    if turns_before:
+        frame = Window.partitionBy(file_col).orderBy("idx").rowsBetween(-turns_before, -1)
+        return kept.withColumn("context", F.collect_list("text").over(frame)).where(client).select(file_col, "idx", "text", "context")
+    # A file's transcript is shuffled once; what a turn has before it is a slice of that, cut where it is used.
+    whole = kept.select(file_col, F.struct("idx", "text", client.alias("client")).alias("t")).groupBy(file_col).agg(F.array_sort(F.collect_list("t")).alias("all"))
+    each = whole.select(file_col, "all", F.posexplode(F.col("all")).alias("place", "t")).where("t.client")
+    return each.select(file_col, "t.idx", "t.text", F.slice(F.col("all.text"), F.lit(1), F.col("place")).alias("context"))
 
 
 def write_back(turns: DataFrame, labels: DataFrame, label_key: str = "sentiment_label", file_col: str = "file") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import signals as S
 from turnloom.operators import dyad, jobs
-from turnloom.plans import analyses
+from turnloom.plans import analyses, stages
 from turnloom.scratch import cut
 from turnloom.sources import documents, readers, sinks
 
@@ -127,7 +127,7 @@ def synchrony_models(spark: SparkSession, sync_turns: str, out: str) -> DataFram
 
 
 def main(args: Sequence[str] | None = None) -> None:
-    """python -m turnloom smile|synchrony|models ..."""
+    """python -m turnloom smile|synchrony|models|transcribe|translate|label ..."""
     parser = argparse.ArgumentParser(prog="turnloom", description=__doc__)
     kinds = parser.add_subparsers(dest="kind", required=True)
     for kind in ("smile", "synchrony"):
@@ -146,8 +146,12 @@ def main(args: Sequence[str] | None = None) -> None:
     models = kinds.add_parser("models")
     models.add_argument("--sync-turns", required=True)
     models.add_argument("--output-dir", required=True)
+    stages.add_programs(kinds)
     a = parser.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
+    if a.kind in ("transcribe", "translate", "label"):
+        stages.run_program(spark, a)
+        return
     if a.kind == "models":
         synchrony_models(spark, a.sync_turns, a.output_dir)
         return

@@ -86,12 +86,13 @@ def translate(spark: SparkSession, in_dir: str, out: str | None, make: inference
 
 
 def label(
-    spark: SparkSession, in_dir: str, out: str, make: inference.Make, *, data_model: str | None = None, strict_patient_match: bool = False, max_files: int = 0,
+    spark: SparkSession, in_dir: str, out: str, make: inference.Make | None, *, labeller: Callable[[DataFrame], DataFrame] | None = None, data_model: str | None = None, strict_patient_match: bool = False, max_files: int = 0,
     turns_before: int = 2, label_key: str = "sentiment_label", overwrite: bool = True,
 ) -> DataFrame:
     """<stem>_sentiment.json for every translated file of a bindung interview, with a label on the client's turns, and the summary of all
     labelled files in out. Returns (file, status): done, skipped (there already) or failed (no list).
 
+    make: a model of texts; or None and labeller, which gives turns (file, idx, speaker, text) their label_key, as by requests to a server.
     strict_patient_match: only patients that the data model lists for it. max_files: the first ones by name; 0: all.
     """
     found = documents.listed(spark, in_dir, "translate_*.json").select("path", F.col("full").alias("file"))
@@ -105,7 +106,8 @@ def label(
     items = readers.read_turns(spark, in_dir, "translate_*.json", readers.TRANSLATED_TURN, strict=False).drop("sentiment_label")
     items = items.withColumn("file", documents.plain(F.url_decode(F.regexp_replace("file", r"\+", "%2B")))).join(todo, "file").drop("file").withColumnRenamed("name", "file")
     asked = cut(items.withColumnRenamed("speaker_id", "speaker"))
-    done = inference.label_turns(asked, make, turns_before, label_key).withColumnRenamed("speaker", "speaker_id")
+    done = labeller(asked) if labeller else inference.label_turns(asked, make, turns_before, label_key)
+    done = done.withColumnRenamed("speaker", "speaker_id")
     sinks.write_json(done, out, [*TRANSLATED_FIELDS, label_key], overwrite=overwrite, path=F.col("file"))
     summarize(spark, out, label_key)
     ok = asked.select(F.col("file").alias("name")).distinct().withColumn("ok", F.lit(True))
@@ -123,3 +125,56 @@ def summarize(spark: SparkSession, folder: str, label_key: str = "sentiment_labe
         each = whole.select(F.regexp_extract(documents.source_file(), r"[^/]*$", 0).alias("file"), F.explode_outer(items).alias("item"))
         labels = each.select("file", F.try_variant_get("item", f"$['{label_key}']", "string").alias("label"))
     sinks.write_label_report(labels, folder)
+
+
+def loaded(name: str) -> Callable:
+    """module:function, as programs take models."""
+    from importlib import import_module
+
+    module, _, function = name.partition(":")
+    return getattr(import_module(module), function)
+
+
+def add_programs(kinds) -> None:
+    """transcribe, translate and label for the parser of python -m turnloom."""
+    one = kinds.add_parser("transcribe")
+    one.add_argument("--input-dir", required=True)
+    one.add_argument("--output-dir", required=True)
+    one.add_argument("--stage", choices=("diarization", "asr", "full"), default="full")
+    one.add_argument("--use-temp-audio", action="store_true")
+    one.add_argument("--skip-existing", action="store_true")
+    one.add_argument("--both-speakers", action="store_true")
+    one.add_argument("--speakers", type=int, default=2)
+    for model in ("--diarizer", "--recogniser", "--extractor"):
+        one.add_argument(model, help="module:function that makes the model; the sound is taken out by ffmpeg without one")
+    one = kinds.add_parser("translate")
+    one.add_argument("--input-dir", required=True)
+    one.add_argument("--output-dir", help="the input folder if not given")
+    one.add_argument("--translator", required=True, help="module:function that makes a function from texts to texts")
+    one.add_argument("--max-input-tokens", type=int, default=192)
+    one.add_argument("--overwrite", action="store_true")
+    one = kinds.add_parser("label")
+    for name in ("--input-dir", "--output-dir", "--data-model"):
+        one.add_argument(name, required=True)
+    one.add_argument("--server-url", default="http://localhost:8080/v1")
+    one.add_argument("--model-name", default="local")
+    one.add_argument("--answers", help="folder of the answers kept from run to run; below the output folder if not given")
+    one.add_argument("--concurrency", type=int, default=8)
+    one.add_argument("--context-turns", type=int, default=2)
+    one.add_argument("--label-key", default="sentiment_label")
+    one.add_argument("--strict-patient-match", action="store_true")
+    one.add_argument("--max-files", type=int, default=0)
+
+
+def run_program(spark: SparkSession, a) -> None:
+    if a.kind == "transcribe":
+        made = {k: loaded(v) if (v := getattr(a, k)) else None for k in ("diarizer", "recogniser", "extractor")}
+        process_media(spark, a.input_dir, a.output_dir, a.stage, use_temp_audio=a.use_temp_audio, speakers=a.speakers, both_speakers=a.both_speakers, skip_existing=a.skip_existing, **made)
+    elif a.kind == "translate":
+        translate(spark, a.input_dir, a.output_dir, loaded(a.translator), most=a.max_input_tokens, overwrite=a.overwrite)
+    else:
+        client, store = inference.chat_client(a.server_url, a.model_name), a.answers or f"{a.output_dir.rstrip('/')}/answers"
+        ask = lambda t: inference.label_turns_by_requests(t, client, store, max(0, a.context_turns), a.label_key, concurrency=a.concurrency)
+        told = label(spark, a.input_dir, a.output_dir, None, labeller=ask, data_model=a.data_model, strict_patient_match=a.strict_patient_match, max_files=a.max_files, label_key=a.label_key)
+        for r in told.groupBy("status").count().orderBy("status").collect():
+            print(f"{r['status']}: {r['count']}")
