@@ -724,6 +724,13 @@ def test_two_spellings_of_one_entity_are_no_collision(spark):
     assert len({pii._bare(at[x].removeprefix("see ").removesuffix(" now")) for x in SPELLINGS["card"]}) == 1
 
 
+def test_canonical_form_is_the_same_in_spark(spark):
+    more = [("ip", x) for x in ("::1", "fe80::", "1:2:3:4:5:6:7:8", "1::8", "FE80::00ab:0", "0.0.0.0", "010.0.00.7")]
+    pairs = [(k, x) for k, xs in SPELLINGS.items() for x in xs] + more
+    rows = spark.createDataFrame(pairs, "k string, x string").select("k", "x", pii.canonical_column(F.col("k"), F.col("x")).alias("c")).collect()
+    assert [(r.k, r.x, r.c) for r in rows] == [(k, x, pii.canonical(k, x)) for k, x in pairs]
+
+
 def test_surrogates_of_two_entities_are_drawn_anew(spark):
     """settled(): the later of two entities with one surrogate goes under the next tweak, the first keeps its own."""
     calls = []

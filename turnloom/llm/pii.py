@@ -482,7 +482,7 @@ def canonical(kind: str, text: str) -> str:
     """The same text for all spellings of one entity: addresses by their number, e-mails and names without case, the rest without layout."""
     if kind == "ip":
         try:
-            return str(ipaddress.IPv6Address(text)) if ":" in text else ".".join(str(int(p)) for p in text.split("."))
+            return ":".join(f"{int(x, 16):x}" for x in ipaddress.IPv6Address(text).exploded.split(":")) if ":" in text else ".".join(str(int(p)) for p in text.split("."))
         except ValueError:
             return text
     if kind in ("email", "name"):
@@ -521,17 +521,24 @@ def surrogates(text: Column, key: bytes, again: dict[tuple[str, str], int] | Non
     return F.pandas_udf(batches, f"text string, entities {_ENTITY}")(text)
 
 
-def _distinct(found: DataFrame, column: str) -> DataFrame:
-    """(kind, o, surrogate) in canonical form, a row for each; each entity is shuffled once."""
+def canonical_column(kind: Column, text: Column) -> Column:
+    """canonical() in Spark's own functions."""
+    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+    halves = F.split(F.lower(text), "::")
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    zeros = F.array_repeat(F.lit("0"), F.when(F.size(halves) > 1, F.greatest(F.lit(0), F.lit(8) - F.size(left) - F.size(right))).otherwise(0))
+    six = F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
+    four = F.regexp_replace(text, r"(^|\.)0+(?=\d)", "$1")
+    bare = F.regexp_replace(text, r"[^\p{L}\p{N}+]", "")
+    other = F.when(kind.isin("email", "name"), F.lower(text)).when(kind.isin("card", "phone", "iban"), bare).otherwise(text)
+    return F.when(kind == "ip", F.when(text.contains(":"), six).otherwise(four)).otherwise(other)
 
-    def plain(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for kinds, texts in pairs:
-            yield pd.Series([canonical(k, x) for k, x in zip(kinds, texts, strict=True)], dtype=object)
 
-    bound_batches()
-    as_plain = F.pandas_udf(plain, "string")
-    each = found.select(F.explode(column).alias("e")).select("e.*").distinct()
-    return each.select("kind", as_plain("kind", "original").alias("o"), as_plain("kind", "surrogate").alias("surrogate")).distinct()
+def _distinct(found: DataFrame, column: str) -> DataFrame:
+    """(kind, o, surrogate) in canonical form, a row for each; each entity is shuffled once."""
+    kind, e = F.col("e.kind"), F.col("e")
+    each = found.select(F.explode(column).alias("e"))
+    return each.select("e.kind", canonical_column(kind, e["original"]).alias("o"), canonical_column(kind, e["surrogate"]).alias("surrogate")).distinct()
 
 
 def collisions(found: DataFrame, column: str = "entities") -> DataFrame:
@@ -545,11 +552,12 @@ def settled(make: Callable[[dict[tuple[str, str], int]], DataFrame], column: str
     again: dict[tuple[str, str], int] = {}
     for turn in range(1, REDRAWS + 2):
         found = cut(make(again))
-        each = _distinct(found, column)
-        first = each.groupBy("kind", "surrogate").agg(F.min("o").alias("first"), F.count("*").alias("originals")).where("originals > 1")
-        late = each.join(first, ["kind", "surrogate"]).where("o <> first").select("kind", "o").collect()
-        if not late or turn > REDRAWS:
+        shared = collisions(found, column)
+        if turn > REDRAWS or shared.isEmpty():
             return found
+        each = _distinct(found, column).join(shared, ["kind", "surrogate"])
+        first = each.groupBy("kind", "surrogate").agg(F.min("o").alias("first"))
+        late = each.join(first, ["kind", "surrogate"]).where("o <> first").select("kind", "o").collect()
         again |= {(r["kind"], r["o"]): turn for r in late}
         drop(found)
     raise AssertionError
