@@ -91,6 +91,23 @@ def test_from_recordings_to_a_result_table(spark, tmp_path):
     assert {(r.n_patients, r.n_therapists) for r in result.collect()} == {(4, 2)}
 
 
+def test_sound_goes_from_store_to_store(spark, tmp_path):
+    """A stand-in for the program: it fails for one recording, and copies the others in capitals."""
+    tool = tmp_path / "tool"
+    tool.write_text('#!/bin/sh\nin="$5"\nfor out; do :; done\ngrep -q broken "$in" && exit 1\ntr a-z A-Z < "$in" > "$out"\n')
+    tool.chmod(0o755)
+    (tmp_path / "in").mkdir()
+    for name, text in (("a b.mov", "first"), ("c.mp4", "broken"), ("d.wav", "as it is")):
+        (tmp_path / "in" / name).write_text(text)
+    media = readers.discover_media(spark, str(tmp_path / "in"))
+    for folder in (f"{tmp_path}/one", f"file://{tmp_path}/two"):
+        rows = inference.extract_audio(media, inference.with_ffmpeg(folder, program=str(tool))).collect()
+        got = {r.path.rsplit("/", 1)[1]: r.audio for r in rows}
+        assert got["a b.mov"] == f"{folder}/a b.wav" and got["c.mp4"] is None and got["d.wav"].endswith("in/d.wav")
+        place = tmp_path / folder.rsplit("/", 1)[1]
+        assert [p.name for p in place.iterdir()] == ["a b.wav"] and (place / "a b.wav").read_text() == "FIRST"
+
+
 def test_unknown_stage(spark, tmp_path):
     import pytest
 

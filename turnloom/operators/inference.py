@@ -205,18 +205,38 @@ def resolve_device(preferred: str | int | None, accelerators: int = 0) -> str:
     return f"cuda:{number}" if number >= 0 else "cpu"
 
 
-def with_ffmpeg(folder: str, sample_rate: int = 16_000, channels: int = 1) -> Callable[[], Callable[[str], str | None]]:
-    """An extractor for extract_audio(): the sound of a recording as WAV in a folder that all executors share."""
+def with_ffmpeg(folder: str, sample_rate: int = 16_000, channels: int = 1, program: str = "ffmpeg") -> Callable[[], Callable[[str], str | None]]:
+    """An extractor for extract_audio(): the sound of a recording as WAV in a folder, both in any store that pyarrow reaches.
+
+    The recording is streamed to a file of the task's own, as its index may lie at its end, and the sound goes to the folder under a hidden name
+    first: a task that dies leaves no half of a file under a recording's name. A program that fails gives no sound.
+    """
 
     def make() -> Callable[[str], str | None]:
         import os
+        import shutil
         import subprocess
+        import tempfile
+        import uuid
+
+        from turnloom.sources.documents import store_of
 
         def extract(path: str) -> str | None:
-            out = os.path.join(folder, os.path.splitext(os.path.basename(path))[0] + ".wav")
-            os.makedirs(folder, exist_ok=True)
-            call = ["ffmpeg", "-y", "-loglevel", "error", "-i", path, "-vn", "-ac", str(channels), "-ar", str(sample_rate), out]
-            return out if subprocess.run(call, check=False).returncode == 0 else None
+            (source, at), (target, base) = store_of(path), store_of(folder)
+            stem = os.path.splitext(os.path.basename(path))[0]
+            with tempfile.TemporaryDirectory() as own:
+                recording, sound = f"{own}/recording{os.path.splitext(path)[1]}", f"{own}/sound.wav"
+                with source.open_input_stream(at) as read, open(recording, "wb") as write:
+                    shutil.copyfileobj(read, write, 1 << 20)
+                call = [program, "-y", "-loglevel", "error", "-i", recording, "-vn", "-ac", str(channels), "-ar", str(sample_rate), sound]
+                if subprocess.run(call, check=False).returncode:
+                    return None
+                target.create_dir(base)
+                hidden = f"{base}/.{uuid.uuid4().hex}"
+                with open(sound, "rb") as read, target.open_output_stream(hidden) as write:
+                    shutil.copyfileobj(read, write, 1 << 20)
+                target.move(hidden, f"{base}/{stem}.wav")
+            return f"{folder.rstrip('/')}/{stem}.wav"
 
         return extract
 

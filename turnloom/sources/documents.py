@@ -20,7 +20,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the planning work
 DOCUMENT = "path string, value string"
 
 
-def _store(root: str):
+def store_of(root: str):
+    """The store of a path, and the path there."""
     from pyarrow import fs
 
     if root.startswith(("/", "file:")):
@@ -38,7 +39,7 @@ class _Writer(DataSourceWriter):
         self.root, self.overwrite, self.hidden = root, overwrite, f".turnloom-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator) -> Written:
-        store, base = _store(self.root)
+        store, base = store_of(self.root)
         store.create_dir(f"{base}/{self.hidden}")
         files = []
         for path, value in iterator:
@@ -51,7 +52,7 @@ class _Writer(DataSourceWriter):
     def commit(self, messages: list) -> None:
         from pyarrow.fs import FileType
 
-        store, base = _store(self.root)
+        store, base = store_of(self.root)
         for own, path in (f for m in messages if m is not None for f in m.files):
             name = f"{base}/{path}"
             there = store.get_file_info(name).type == FileType.File
@@ -66,7 +67,7 @@ class _Writer(DataSourceWriter):
     def abort(self, messages: list) -> None:
         from pyarrow.fs import FileType
 
-        store, base = _store(self.root)
+        store, base = store_of(self.root)
         if store.get_file_info(f"{base}/{self.hidden}").type == FileType.Directory:
             store.delete_dir(f"{base}/{self.hidden}")
 
