@@ -57,6 +57,13 @@ def write_json(
     documents.write(docs.select((F.concat("file", F.lit(".json")) if path is None else path).alias("path"), "value"), root, overwrite)
 
 
+# The name of the labelled files' summary, its heading lines and the forms of its counts.
+REPORT_NAME = "sentiment_label_summary.txt"
+REPORT_HEAD = ("Sentiment-label summary", "=" * 40, "", "Overall counts:")
+REPORT_FILES = "Per-file counts:"
+REPORT_COUNT, REPORT_FILE = "  %-12s %6d", "  %s: %s"
+
+
 def label_report(labels: DataFrame) -> DataFrame:
     """path, value: one text with the counts of each label over all files, their total, and a line for each file. labels: file, label (blank
     or null: the file is named all the same)."""
@@ -64,14 +71,13 @@ def label_report(labels: DataFrame) -> DataFrame:
     part = F.format_string("%s=%d", "label", "n")
     told = counts.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list(part)), ", ").alias("said"))
     by_file = labels.select("file").distinct().join(told, "file", "left")
-    by_file = by_file.agg(F.array_sort(F.collect_list(F.format_string("  %s: %s", "file", F.coalesce("said", F.lit(""))))).alias("files"))
+    by_file = by_file.agg(F.array_sort(F.collect_list(F.format_string(REPORT_FILE, "file", F.coalesce("said", F.lit(""))))).alias("files"))
     total = counts.groupBy("label").agg(F.sum("n").alias("n"))
-    total = total.agg(F.array_sort(F.collect_list(F.format_string("  %-12s %6d", "label", "n"))).alias("labels"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
-    lines = F.concat(
-        F.array(F.lit("Sentiment-label summary"), F.lit("=" * 40), F.lit(""), F.lit("Overall counts:")), "labels", F.array(F.format_string("  %-12s %6d", F.lit("TOTAL"), "all"), F.lit(""), F.lit("Per-file counts:")), "files"
-    )
+    total = total.agg(F.array_sort(F.collect_list(F.format_string(REPORT_COUNT, "label", "n"))).alias("labels"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
+    head, middle = F.array(*map(F.lit, REPORT_HEAD)), F.array(F.format_string(REPORT_COUNT, F.lit("TOTAL"), "all"), F.lit(""), F.lit(REPORT_FILES))
+    lines = F.concat(head, "labels", middle, "files")
     both = total.withColumn("one", F.lit(1)).join(by_file.withColumn("one", F.lit(1)), "one")  # a row each
-    return both.select(F.lit("sentiment_label_summary.txt").alias("path"), F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("value"))
+    return both.select(F.lit(REPORT_NAME).alias("path"), F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("value"))
 
 
 def write_label_report(labels: DataFrame, root: str) -> None:
