@@ -207,6 +207,14 @@ def test_counts_equal_brute_force(spark):
         assert r.said.base_failed == failed and r.said.kept == (not failed) and (r.said.reason is None) == failed
 
 
+def test_filters_on_verdicts_do_not_repeat_the_statistics(spark):
+    judged = decision_list.judge(odd_docs(spark, ["a b c d " * 2000] * 3), decision_list.DecisionList(), as_col="said")
+    some = judged.where("not said.base_failed and said.kept and said.n_words > 5 and said.n_repeat_words < 3")
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("sort_array") == 2
+    assert some.count() == 0 and judged.where("said.n_words = 8000").count() == 3
+
+
 def test_list_finds_planted_rules_and_says_what_its_column_says(spark):
     rng = np.random.default_rng(2)
     x = rng.random((3000, len(decision_list.FEATURES)))

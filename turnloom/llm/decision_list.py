@@ -91,7 +91,8 @@ def with_statistics(docs: DataFrame, *, text_col: str = "text", as_col: str = "s
         c("n_repeat_words") / n, dup / lines, n / lines,
     )
     counts = [dup.alias(k) if k == "n_dup_lines" else c(k).alias(k) for k in COUNTS]
-    return out.select(*keep, F.struct(*counts, features.alias("features")).alias(as_col))
+    # A filter on what follows stops at a generator; through plain projections it would be written out in terms of the text, arrays in arrays.
+    return out.select(*keep, F.explode_outer(F.array(F.struct(*counts, features.alias("features")))).alias(as_col))
 
 
 def base_failed(stats: Column, least_words: int = LEAST_WORDS, most_repeated: int = MOST_REPEATED) -> Column:
