@@ -2,7 +2,8 @@
 
 Three rounds of random signs and a fast Hadamard transform turn each unit vector; its hash is the signed axis it
 lies nearest to. A bucket of a table is named by one or more hashes, so that buckets stay small however many rows there are:
-see plan(). Every row is in one bucket of each table, a query looks in its nearest `probes` buckets of each
+see plan(). How many of its nearest buckets a query looks in is measured: a bounded sample of the queries is searched in full, and the place
+of the true neighbours' buckets in the queries' lists tells what finds enough of them, see measured(). Every row is in one bucket of each table, a query looks in its nearest `probes` buckets of each
 table, and all candidates there are ranked by the exact cosine. What travels together is a cell, the rows of one first
 hash of a table; inside it a query meets only the rows of the buckets it looks in. Cells of many rows or queries are split in
 blocks that meet pairwise, so no task holds an unbounded cell. Queries that find fewer than k rows are searched
@@ -19,10 +20,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectors
-from .common import bound_batches, cut
+from .common import bound_batches, cut, drawn
 
 #: By the number of hashes that name a bucket together: tables, and buckets that a query looks in of each table.
 PLANS = {1: (10, 7), 2: (24, 64), 3: (48, 512)}
+#: Queries that are searched in full to measure a plan: about this many, twice as many at most; the share of their neighbours it must find.
+SAMPLE_QUERIES, RECALL = 200, 0.96
+#: Buckets of a table that a query looks in at most, where more than one hash names them; with one hash all may be looked in.
+MOST_PROBES = 2048
 #: Rows of a bucket, on average, above which one more hash is used.
 BUCKET_ROWS = 4096
 #: Rows and queries of one block of a cell.
@@ -63,9 +68,9 @@ def nearest_axes(x: np.ndarray, table: int, count: int, hashes: int = 1) -> np.n
         axis = top % turned.shape[1] * 2 + (top >= turned.shape[1])
         per.append((axis, np.take_along_axis(both, top, axis=1), both.shape[1]))
     axis, value, wide = per[0]
-    for more, gain, _ in per[1:]:  # the count best sums of one axis of each hash
-        total = (value[:, :, None] + gain[:, None, :]).reshape(len(x), -1)
-        code = (axis[:, :, None] * wide + more[:, None, :]).reshape(len(x), -1)
+    for more, gain, _ in per[1:]:  # the count best sums of one axis of each hash; place i with j is behind (i + 1) * (j + 1) - 1 others
+        i, j = np.nonzero(np.outer(np.arange(1, axis.shape[1] + 1), np.arange(1, more.shape[1] + 1)) <= count)
+        total, code = value[:, i] + gain[:, j], axis[:, i] * wide + more[:, j]
         top = np.argsort(-total, axis=1, kind="stable")[:, :count]
         axis, value = np.take_along_axis(code, top, axis=1), np.take_along_axis(total, top, axis=1)
     return axis
@@ -79,6 +84,63 @@ def plan(rows: int, dims: int) -> tuple[int, int, int]:
     return hashes, *PLANS[hashes]
 
 
+def measured(base: DataFrame, count: int, dims: int, k: int) -> tuple[int, int, int]:
+    """Hashes, tables and probes that find RECALL of the neighbours of a sample of queries, reading as few rows as can be.
+
+    base: id, v, asks. About SAMPLE_QUERIES queries are searched against every row, in one pass that leaves k rows a query for each
+    task. A neighbour is found if its bucket is among the first `probes` of the query's list in some table, so the place of that bucket in
+    the best table is the number of probes that it needs, and no plan has to be tried out. From plan()'s number of hashes down to one, those plans
+    count whose probes are enough; one hash always is, as a query may look in all its buckets.
+    """
+    asking = base.where("asks").select("id", "v")
+    got = sorted(drawn(asking, F.col("id"), SAMPLE_QUERIES, asking.count()).collect())
+    if not got:
+        return plan(count, dims)
+    ids, x = np.array([r["id"] for r in got], np.int64), vectors.matrix(pd.Series([r["v"] for r in got]))
+    x = np.pad(x, ((0, 0), (0, dims - x.shape[1])))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "v": []})
+        for batch in batches:
+            there = vectors.matrix(batch["v"])
+            near = best(ids, x, batch["id"].to_numpy(np.int64), np.pad(there, ((0, 0), (0, dims - there.shape[1]))), k)
+            near = near.merge(batch.drop_duplicates("id").rename(columns={"id": "vec_id"}), on="vec_id")
+            kept = pd.concat([kept, near]) if len(kept) else near
+            kept = kept.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable").drop_duplicates(["query_id", "vec_id"])
+            kept = kept[kept.groupby("query_id").cumcount() < k]
+        if len(kept):
+            yield kept[["query_id", "vec_id", "score", "v"]]
+
+    bound_batches()
+    found = base.select("id", "v").mapInPandas(search, f"query_id long, vec_id long, score double, v {base.schema['v'].dataType.simpleString()}")
+    found = found.groupBy("query_id", "vec_id").agg(F.max_by(F.struct("score", "v"), "score").alias("f"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("f.score"), "vec_id")
+    pairs = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query_id", "f.v").collect()
+    if not pairs:
+        return plan(count, dims)
+    of = np.searchsorted(ids, [r["query_id"] for r in pairs])
+    near = vectors.matrix(pd.Series([r["v"] for r in pairs]))
+    return cheapest(vectors.unit(x), vectors.unit(np.pad(near, ((0, 0), (0, dims - near.shape[1])))), of, plan(count, dims)[0])
+
+
+def cheapest(queries: np.ndarray, near: np.ndarray, of: np.ndarray, hashes: int) -> tuple[int, int, int]:
+    """Of one to `hashes` hashes the plan that reads the smallest share of the rows; near[i] is a neighbour of queries[of[i]]."""
+    axes, plans = 2 << max(0, queries.shape[1] - 1).bit_length(), []
+    for h in range(hashes, 0, -1):
+        tables, most = PLANS[h][0], axes if h == 1 else min(MOST_PROBES, axes**h)
+        need = np.full(len(of), most)
+        for t in range(tables):
+            own = nearest_axes(near, t, 1, h)[:, 0]
+            for at in range(0, len(queries), 64):  # lists of probes are long
+                these = np.flatnonzero((of >= at) & (of < at + 64))
+                same = nearest_axes(queries[at : at + 64], t, most, h)[of[these] - at] == own[these, None]
+                need[these] = np.minimum(need[these], np.where(same.any(axis=1), same.argmax(axis=1), most))
+        probes = int(np.sort(need)[int(np.ceil(RECALL * len(need))) - 1]) + 1
+        if probes <= most:
+            plans.append((tables * probes / axes**h, h, tables, probes))
+    return min(plans)[1:]
+
+
 def _code_bits(dims: int, hashes: int) -> int:
     """Bits of a bucket's number that follow those of its cell."""
     return (hashes - 1) * (1 + max(0, dims - 1).bit_length())
@@ -179,14 +241,17 @@ def nearest(
 
     Null, zero and non-finite vectors and null ids take no part, as query or candidate. A row whose id equals
     the query's is not a candidate. Rows that repeat an id are one candidate, and one query, with the nearest of their
-    vectors. Fewer than k rows: all of them. Ids are whole numbers; other columns may have any name. hashes, tables and
-    probes: by plan() unless they are given.
+    vectors. Fewer than k rows: all of them. Ids are whole numbers; other columns may have any name. Without hashes, tables and probes
+    they are measured on these rows; with some of them given, the others are those of PLANS.
     """
     good = rows.where(vectors.usable(F.col(vector_col)) & F.col(id_col).isNotNull())
     base = cut(good.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).distinct())
     count, dims = base.count(), max(vectors.dimension(base, "v"), 1)
-    hashes = hashes or plan(count, dims)[0]
-    tables, probes = tables or PLANS[hashes][0], probes or PLANS[hashes][1]
+    if hashes or tables or probes:
+        hashes = hashes or plan(count, dims)[0]
+        tables, probes = tables or PLANS[hashes][0], probes or PLANS[hashes][1]
+    else:
+        hashes, tables, probes = measured(base, count, dims, k)
     bits = _code_bits(dims, hashes)
     code = F.col("b").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
     index = base.select("id", "v", F.explode(buckets(F.col("v"), dims, tables, hashes)).alias("b"))
