@@ -1,6 +1,7 @@
 """Small cases with answers worked out by hand, and solvers against dense likelihoods."""
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -447,6 +448,43 @@ def test_w_of_a_column_is_that_of_the_sorted_values(spark, n):
     assert all(map(math.isnan, models.shapiro_wilk_of(rows.limit(0), "v"))) and all(map(math.isnan, models.shapiro_wilk_of(spark.range(9).selectExpr("1.0 as v"), "v")))
 
 
+def test_synchrony_in_one_pass(spark):
+    """Both measures of one resampling are those of each alone: gaps, missing values and times, short, outer and empty turns, small buckets."""
+    rng = np.random.default_rng(12)
+    gap = lambda v, share: None if rng.random() < share else float(v)
+    rows = [
+        (d, s, gap(t + rng.random(), 0.02), gap(math.sin(t / 3 + s) + rng.normal() / 5, 0.1), gap(rng.integers(2), 0.1))
+        for d in (1, 2, 3) for s in (0, 1) for t in range(60) if not (d == 2 and 20 < t < 45) and not (d == 3 and s == 1)
+    ]
+    f = spark.createDataFrame(rows, FRAME)
+    t = spark.createDataFrame([(d, 7, k, "positive", a, b) for d in (1, 2, 3, 4) for k, (a, b) in enumerate(((0.0, 30.0), (5.0, 6.0), (22.0, 58.0), (90.0, 120.0), (8.0, 3.0), (10.0, 40.5), (None, None)))], TURNS)
+    for bucket in (4.0, 600.0):
+        got = dyad.synchrony(t, f, 2.0, 3.0, 10.0, bucket=bucket)
+        want = dyad.sync_turns(t, dyad.cross_lag(t, f, 2.0, 3.0, 10.0, bucket=bucket), dyad.simul_smile(t, f, 2.0, bucket=bucket))
+        key = lambda r: (r.participant_id, r.turn_index)
+        got, want = sorted(got.collect(), key=key), sorted(want.collect(), key=key)
+        assert len(got) == 28 and [r[:8] for r in got] == [r[:8] for r in want]
+        for a, b in zip(got, want, strict=True):
+            assert a.simul_smile_frames == b.simul_smile_frames
+            assert all((x is None) == (y is None) and (x is None or math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-12)) for x, y in zip(a[8:], b[8:], strict=True))
+        assert sum(r.cc_r_peak is not None for r in got) == 6 and sum((r.simul_smile_n_frames or 0) > 0 for r in got) >= 8
+    empty = dyad.synchrony(t.limit(0), f, bucket=9.0).count(), dyad.synchrony(t, f.limit(0), bucket=9.0).where("n_frames = 0 and simul_smile_freq is null").count()
+    assert empty == (0, 28)
+
+
+def test_synchrony_shuffles_frames_once(spark):
+    """Of the joins by size none is a broadcast: frames and points are dealt once, by dyad and bucket, and only turns move after that."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = dyad.synchrony(spark.createDataFrame([], TURNS), spark.createDataFrame([(1, 0, 1.0, 1.0, 1.0)], FRAME))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [re.search(r"\((.*?), \d+\)", x)[1] for x in re.findall(r"Exchange hashpartitioning.*", plan)]
+    moved = [re.sub(r"#\d+L?", "", x) for x in moved]
+    assert plan.count("REPARTITION_BY_COL") == 1 and moved.count("dyad, bucket") == 2  # frames with the grid, and turns
+    assert not any("i" in x.split(", ") for x in moved)  # points are put side by side where they lie
+
+
 def test_resampling_across_empty_buckets(spark):
     """Frames at both ends of a long gap: the points between look past many buckets without any."""
     f = spark.createDataFrame([(1, s, t, v, v) for s in (0, 1) for t, v in ((0.0, 1.0), (1.0, 0.0), (50.0, 1.0))], FRAME)

@@ -28,11 +28,13 @@ def range_join(turns: DataFrame, points: DataFrame, at: str, *, closed: bool, bu
     """turns left-joined with the points of their dyad from start_s up to end_s (included if closed).
 
     A turn is listed under each time bucket that it meets and a point under its own, so the join has equal keys
-    and no interview is one task's.
+    and no interview is one task's. Points that have a column `bucket` are taken to lie there, and stay where they are if they
+    are dealt by (dyad, bucket).
     """
     first, last = F.floor(F.col("start_s") / bucket), F.floor(F.col("end_s") / bucket)
     listed = turns.withColumn("bucket", F.explode(F.sequence(first, F.greatest(first, last))))
-    there = points.withColumnRenamed("dyad", "at_dyad").withColumn("at_bucket", F.floor(F.col(at) / bucket))
+    own = F.col("bucket") if "bucket" in points.columns else F.floor(F.col(at) / bucket)
+    there = points.withColumn("at_bucket", own).withColumnRenamed("dyad", "at_dyad").drop("bucket")
     upper = F.col(at) <= F.col("end_s") if closed else F.col(at) < F.col("end_s")
     on = (F.col("dyad") == F.col("at_dyad")) & (F.col("bucket") == F.col("at_bucket")) & (F.col(at) >= F.col("start_s")) & upper
     return listed.join(there, on, "left").drop("at_dyad", "at_bucket", "bucket")
@@ -66,49 +68,82 @@ def common_grid(frames: DataFrame, hz: float = HZ) -> DataFrame:
     return span.select("dyad", "t0", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("i")).select("dyad", "i", (F.col("t0") + F.col("i") / hz).alias("t"))
 
 
-def _around(grid: DataFrame, frames: DataFrame, value: Column, bucket: float) -> DataFrame:
-    """Grid points of each side with the frame at or before and the frame at or after: (t, v) structs.
+def _around(grid: DataFrame, frames: DataFrame, bucket: float, **values: Column) -> DataFrame:
+    """Grid points of each side, dealt by (dyad, bucket), and for each value the frame at or before and that at or after: (t, v) structs.
 
-    A person's time is cut to buckets, each sorted on its own. The last frame before a bucket and the first after it
-    come from a table of one row a bucket, so a long recording is not one task's.
+    values: by name the (t, v) struct of a frame, null where the frame does not count. A person's time is cut to buckets, each sorted
+    on its own, for all values at once. The last frame before a bucket and the first after it come from a table of one row a
+    bucket, so a long recording is not one task's, and frames are shuffled once however many values they have.
     """
+    none = {n: F.lit(None).cast("struct<t:double,v:double>") for n in values}
     sides = F.explode(F.array(F.lit(0), F.lit(1))).alias("side")
-    points = grid.select("dyad", sides, "t", "i", F.lit(None).cast("struct<t:double,v:double>").alias("f"))
-    known = frames.where(F.col("ts").isNotNull()).select("dyad", F.col("side").cast("int").alias("side"), F.col("ts").alias("t"), F.lit(None).cast("long").alias("i"), F.struct(F.col("ts").alias("t"), value.alias("v")).alias("f"))
+    points = grid.select("dyad", sides, "t", "i", *[c.alias(n) for n, c in none.items()])
+    known = frames.where(F.col("ts").isNotNull()).select("dyad", F.col("side").cast("int").alias("side"), F.col("ts").alias("t"), F.lit(None).cast("long").alias("i"), *[c.alias(n) for n, c in values.items()])
     key = ["dyad", "side", "bucket"]
     both = points.unionByName(known).withColumn("bucket", F.floor(F.col("t") / bucket))
-    along = Window.partitionBy("dyad", "side").orderBy("bucket")
-    ends = both.groupBy(*key).agg(F.min("f").alias("first"), F.max("f").alias("last"))
-    behind = F.last("last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.last("first", ignorenulls=True).over(Window.partitionBy("dyad", "side").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1))
-    carried = ends.select(*key, F.array(behind, ahead).alias("fs")).select(*key, F.explode("fs").alias("f")).where("f is not null")
-    both = both.unionByName(carried.select("dyad", "side", F.col("f.t").alias("t"), F.lit(None).cast("long").alias("i"), "f", "bucket"))
+    along = Window.partitionBy("dyad", "side").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("dyad", "side").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy(*key).agg(*[f(n).alias(f"{n}_{at}") for n in values for f, at in ((F.min, "first"), (F.max, "last"))])
+    carried = [F.struct(*[(end if n == m else none[m]).alias(m) for m in values]) for n in values for end in (F.last(f"{n}_last", ignorenulls=True).over(along), F.last(f"{n}_first", ignorenulls=True).over(back))]
+    carried = ends.select(*key, F.array(*carried).alias("all")).select(*key, F.explode("all").alias("one"))
+    t = F.coalesce(*[F.col(f"one.{n}.t") for n in values])
+    both = both.unionByName(carried.select(*key, t.alias("t"), F.lit(None).cast("long").alias("i"), *[F.col(f"one.{n}").alias(n) for n in values]).where("t is not null"))
     each = Window.partitionBy(*key)
     before = each.orderBy(F.col("t"), F.col("i").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     after = each.orderBy(F.col("t").desc(), F.col("i").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("a", F.last("f", ignorenulls=True).over(before)).withColumn("b", F.last("f", ignorenulls=True).over(after))
-    return both.where("i is not null").select("dyad", "side", "i", "t", "a", "b")
+    near = [F.last(n, ignorenulls=True).over(w).alias(f"{n}_{at}") for w, at in ((before, "before"), (after, "after")) for n in values]
+    return both.repartition("dyad", "bucket").select(*key, "i", "t", *near).where("i is not null")
+
+
+def _frame(column: str) -> Column:
+    return F.struct(F.col("ts").alias("t"), F.col(column).cast("double").alias("v"))
+
+
+def _nearest(name: str) -> Column:
+    """Value of the nearer of the frames around a point, of two equally near the earlier."""
+    a, b, t = F.col(f"{name}_before"), F.col(f"{name}_after"), F.col("t")
+    return F.when(b.isNull() | (a.isNotNull() & (t - a["t"] <= b["t"] - t)), a["v"]).otherwise(b["v"])
+
+
+def _linear(name: str) -> Column:
+    """Value between the frames around a point; beyond the first or last frame, its value."""
+    a, b = F.col(f"{name}_before"), F.col(f"{name}_after")
+    v = F.when(a.isNull(), b["v"]).when(b.isNull() | (b["t"] <= a["t"]), a["v"])
+    return v.otherwise(a["v"] + (b["v"] - a["v"]) * ((F.col("t") - a["t"]) / (b["t"] - a["t"])))
 
 
 def resample_nearest(grid: DataFrame, frames: DataFrame, column: str = "presence", bucket: float = BUCKET_S) -> DataFrame:
     """(dyad, side, i, t, v): the value of the nearest frame, of two equally near the earlier; missing stays null."""
-    near = _around(grid, frames, F.col(column), bucket)
-    earlier = F.col("b").isNull() | (F.col("a").isNotNull() & (F.col("t") - F.col("a.t") <= F.col("b.t") - F.col("t")))
-    return near.select("dyad", "side", "i", "t", F.when(earlier, F.col("a.v")).otherwise(F.col("b.v")).alias("v"))
+    return _around(grid, frames, bucket, f=_frame(column)).select("dyad", "side", "i", "t", _nearest("f").alias("v"))
 
 
 def resample_linear(grid: DataFrame, frames: DataFrame, column: str = "intensity", bucket: float = BUCKET_S) -> DataFrame:
     """(dyad, side, i, t, v): linear between the frames with a value; beyond the first or last of them, its value."""
-    near = _around(grid, frames.where(F.col(column).isNotNull()), F.col(column), bucket)
-    share = (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
-    v = F.when(F.col("a").isNull(), F.col("b.v")).when(F.col("b").isNull() | (F.col("b.t") <= F.col("a.t")), F.col("a.v"))
-    return near.select("dyad", "side", "i", "t", v.otherwise(F.col("a.v") + (F.col("b.v") - F.col("a.v")) * share).alias("v"))
+    near = _around(grid, frames.where(F.col(column).isNotNull()), bucket, f=_frame(column))
+    return near.select("dyad", "side", "i", "t", _linear("f").alias("v"))
+
+
+def aligned(frames: DataFrame, hz: float, bucket: float, *, presence: bool = False, intensity: bool = False) -> DataFrame:
+    """(dyad, bucket, i, t) of the common grid, with presence_p, presence_q (nearest) and intensity_p, intensity_q (linear) as asked
+    for: participant and interviewer side by side. One shuffle of frames deals them by (dyad, bucket), and all that follows stays there."""
+    values, at = {}, {}
+    if presence:
+        values["near"], at["presence"] = _frame("presence"), _nearest("near")
+    if intensity:
+        values["line"], at["intensity"] = F.when(F.col("intensity").isNotNull(), _frame("intensity")), _linear("line")
+    found = _around(common_grid(frames, hz), frames, bucket, **values).select("dyad", "bucket", "side", "i", "t", *[v.alias(n) for n, v in at.items()])
+    return found.groupBy("dyad", "bucket", "i", "t").agg(*[F.max(F.when(F.col("side") == k, F.col(n))).alias(f"{n}_{x}") for n in at for k, x in ((0, "p"), (1, "q"))])
+
 
+def _smiling() -> Column:
+    """How many of a turn's points find both smiling; a missing presence is not a smile."""
+    both = F.coalesce((F.col("presence_p") >= 0.5) & (F.col("presence_q") >= 0.5), F.lit(False))
+    return F.count_if(F.col("i").isNotNull() & both)
 
-def aligned(resampled: DataFrame) -> DataFrame:
-    """(dyad, i, t, p, q): participant and interviewer side by side on the grid."""
-    side = lambda k: F.max(F.when(F.col("side") == k, F.col("v")))
-    return resampled.groupBy("dyad", "i", "t").agg(side(0).alias("p"), side(1).alias("q"))
+
+def _shared(n: Column, k: Column, min_frames: int) -> list[Column]:
+    enough = n >= max(3, min_frames)
+    return [F.when(enough, k).otherwise(0).cast("long").alias("simul_smile_frames"), n.alias("simul_smile_n_frames"), F.when(enough, k / n).alias("simul_smile_freq")]
 
 
 def simul_smile(turns: DataFrame, frames: DataFrame, hz: float = HZ, min_frames: int = MIN_FRAMES, bucket: float = BUCKET_S) -> DataFrame:
@@ -117,16 +152,9 @@ def simul_smile(turns: DataFrame, frames: DataFrame, hz: float = HZ, min_frames:
     A missing presence is not a smile, but its point counts. Fewer than max(3, min_frames) points: 0 frames, n
     kept, no share.
     """
-    both = aligned(resample_nearest(common_grid(frames, hz), frames, bucket=bucket))
-    smile = F.when(F.coalesce((F.col("p") >= 0.5) & (F.col("q") >= 0.5), F.lit(False)), 1).otherwise(0)
-    points = both.select("dyad", "i", "t", smile.alias("both_smile"))
-    met = range_join(turns, points, "t", closed=True, bucket=bucket).groupBy(*turns.columns)
-    got = met.agg(F.count("i").alias("n"), F.coalesce(F.sum("both_smile"), F.lit(0)).alias("k"))
-    enough = F.col("n") >= max(3, min_frames)
-    return got.select(
-        *turns.columns, F.when(enough, F.col("k")).otherwise(0).cast("long").alias("simul_smile_frames"), F.col("n").alias("simul_smile_n_frames"),
-        F.when(enough, F.col("k") / F.col("n")).alias("simul_smile_freq"),
-    )
+    met = range_join(turns, aligned(frames, hz, bucket, presence=True), "t", closed=True, bucket=bucket).groupBy(*turns.columns)
+    got = met.agg(F.count("i").alias("n"), _smiling().alias("k"))
+    return got.select(*turns.columns, *_shared(F.col("n"), F.col("k"), min_frames))
 
 
 def lag_scan(p: np.ndarray, q: np.ndarray, most: int, flat: float = 1e-12) -> tuple[float | None, int | None, float | None]:
@@ -154,6 +182,24 @@ def lag_scan(p: np.ndarray, q: np.ndarray, most: int, flat: float = 1e-12) -> tu
     return zero, *(best or (None, None))
 
 
+def _points(min_turn_s: float) -> Column:
+    """A turn's points in order, as one array bounded by the turn's length; none of turns that are short."""
+    long = (F.col("end_s") - F.col("start_s") >= min_turn_s) & F.col("i").isNotNull()
+    return F.array_sort(F.collect_list(F.when(long, F.struct("i", F.col("intensity_p").alias("p"), F.col("intensity_q").alias("q")))))
+
+
+def _scanned(at: str, most: int, least: int) -> Column:
+    """struct<cc_r, k, r> of the arrays that _points() gathers."""
+
+    def scan(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for ps, qs in batches:
+            found = [(None, None, None) if len(p) < least else lag_scan(np.array(p, float), np.array(q, float), min(most, len(p) - 3)) for p, q in zip(ps, qs, strict=True)]
+            yield pd.DataFrame({"cc_r": pd.Series([f[0] for f in found], dtype="Float64"), "k": pd.Series([f[1] for f in found], dtype="Int64"), "r": pd.Series([f[2] for f in found], dtype="Float64")})
+
+    reachable()
+    return F.pandas_udf(scan, "cc_r double, k long, r double")(F.col(f"{at}.p"), F.col(f"{at}.q"))
+
+
 def cross_lag(
     turns: DataFrame, frames: DataFrame, hz: float = HZ, max_lag_s: float = MAX_LAG_S, min_turn_s: float = MIN_TURN_S,
     min_frames: int = MIN_FRAMES, bucket: float = BUCKET_S,
@@ -164,33 +210,43 @@ def cross_lag(
     says that the participant leads. Turns that are short, or have few points, keep n_frames only. A turn's points are
     gathered once, as one array bounded by the turn's length, and all its lags are slices of that: no row for each lag.
     """
-    both = aligned(resample_linear(common_grid(frames, hz), frames, bucket=bucket))
-    key, most, least = ["dyad", "turn_index"], round(max_lag_s * hz), max(3, min_frames)
-    points = range_join(turns.select(*key, "start_s", "end_s"), both, "t", closed=True, bucket=bucket)
-    point = F.when((F.col("end_s") - F.col("start_s") >= min_turn_s) & F.col("i").isNotNull(), F.struct("i", "p", "q"))
-    gathered = points.groupBy(*key).agg(F.count("i").alias("n_frames"), F.array_sort(F.collect_list(point)).alias("at"))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [(None, None, None) if len(p) < least else lag_scan(np.array(p, float), np.array(q, float), min(most, len(p) - 3)) for p, q in zip(batch["p"], batch["q"], strict=True)]
-            yield pd.DataFrame({"cc_r": pd.Series([f[0] for f in found], dtype="Float64"), "k": pd.Series([f[1] for f in found], dtype="Int64"), "r": pd.Series([f[2] for f in found], dtype="Float64")})
-
-    def call(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        yield from scan(pd.DataFrame({"p": p, "q": q}) for p, q in batches)
-
-    reachable()
-    told = F.pandas_udf(call, "cc_r double, k long, r double")(F.col("at.p"), F.col("at.q"))
-    peak = gathered.select(*key, "n_frames", told.alias("f"))
+    key = ["dyad", "turn_index"]
+    met = range_join(turns.select(*key, "start_s", "end_s"), aligned(frames, hz, bucket, intensity=True), "t", closed=True, bucket=bucket)
+    gathered = met.groupBy(*key).agg(F.count("i").alias("n_frames"), _points(min_turn_s).alias("at"))
+    peak = gathered.select(*key, "n_frames", _scanned("at", round(max_lag_s * hz), max(3, min_frames)).alias("f"))
     peak = peak.select(*key, "n_frames", "f.cc_r", (F.col("f.k") / hz).alias("peak_lag_s"), F.col("f.r").alias("cc_r_peak"))
     out = turns.join(peak, key, "left")
     return out.select(*turns.columns, "cc_r", "peak_lag_s", "cc_r_peak", F.coalesce("n_frames", F.lit(0)).cast("long").alias("n_frames"))
 
 
+def synchrony(
+    turns: DataFrame, frames: DataFrame, hz: float = HZ, max_lag_s: float = MAX_LAG_S, min_turn_s: float = MIN_TURN_S,
+    min_frames: int = MIN_FRAMES, bucket: float = BUCKET_S,
+) -> DataFrame:
+    """The synchrony table, as sync_turns() of cross_lag() and simul_smile() gives it, from one resampling of both measures.
+
+    Frames are shuffled once, by (dyad, bucket); the grid, both resamplings and the range join stay there, and turns meet their points once.
+    """
+    key = ["dyad", "turn_index"]
+    both = aligned(frames, hz, bucket, presence=True, intensity=True)
+    met = range_join(turns.select(*key, "start_s", "end_s"), both, "t", closed=True, bucket=bucket)
+    gathered = met.groupBy(*key).agg(F.count("i").alias("n"), _smiling().alias("k"), _points(min_turn_s).alias("at"))
+    told = gathered.select(*key, "n", "k", _scanned("at", round(max_lag_s * hz), max(3, min_frames)).alias("f"))
+    told = told.select(
+        *key, F.col("n").alias("n_frames"), "f.cc_r", (F.col("f.k") / hz).alias("peak_lag_s"), F.col("f.r").alias("cc_r_peak"),
+        *_shared(F.col("n"), F.col("k"), min_frames),
+    )
+    return _table(turns.join(told, key, "left"))
+
+
 def sync_turns(turns: DataFrame, cc: DataFrame, ss: DataFrame) -> DataFrame:
     """The synchrony table: one row for each turn, whichever measures it has."""
     key = ["dyad", "turn_index"]
     out = turns.join(cc.select(*key, "cc_r", "peak_lag_s", "cc_r_peak", "n_frames"), key, "left")
-    out = out.join(ss.select(*key, "simul_smile_frames", "simul_smile_n_frames", "simul_smile_freq"), key, "left")
+    return _table(out.join(ss.select(*key, "simul_smile_frames", "simul_smile_n_frames", "simul_smile_freq"), key, "left"))
+
+
+def _table(out: DataFrame) -> DataFrame:
     return out.select(
         F.col("dyad").alias("participant_id"), F.col("interviewer").alias("interviewer_id"), "turn_index", F.lower(F.trim("sentiment")).alias("sentiment"),
         F.round(F.col("end_s") - F.col("start_s"), 3).alias("duration_s"), F.coalesce("n_frames", F.lit(0)).alias("n_frames"),

@@ -110,8 +110,7 @@ def synchrony(spark: SparkSession, data_model: str, labelled_dir: str, root: str
     """Synchrony table, written below out."""
     got = load(spark, data_model, labelled_dir, root, **options)
     got.report(out)
-    turns, frames = got.turns, got.frames
-    rows = dyad.sync_turns(turns, dyad.cross_lag(turns, frames, min_frames=min_frames), dyad.simul_smile(turns, frames, min_frames=min_frames))
+    rows = dyad.synchrony(got.turns, got.frames, min_frames=min_frames)
     who = got.jobs.select(F.col("job").alias("participant_id"), "patient_id")  # models see the patient, also one with several interviews
     rows = rows.join(who, "participant_id").drop("participant_id").withColumnRenamed("patient_id", "participant_id")
     rows = cut(jobs.inclusion_filter(rows, least, "participant_id"))

@@ -451,7 +451,7 @@ def _cross(spark, sf_dir):
 
 
 def _sync(spark, sf_dir):
-    return dyad.sync_turns(A.turns(spark, sf_dir), _cross(spark, sf_dir), _simul(spark, sf_dir))
+    return dyad.synchrony(A.turns(spark, sf_dir), A.frames(spark, sf_dir), A.HZ, A.MAX_LAG_S, A.MIN_TURN_S, bucket=A.BUCKET_S)
 
 
 @query(with_(A.FRAMES, A.GRID, A.NEAREST, A.TURNS, SIMUL) + "SELECT dyad, turn_index, simul_smile_frames, simul_smile_n_frames, round(simul_smile_freq, 9) AS simul_smile_freq FROM ss")
