@@ -359,6 +359,15 @@ def test_classifier_queries_take_null_and_repeated_ids(spark, monkeypatch):
     assert queries.op4_language_id(spark, "").count() == queries.op9_quality(spark, "").count() == queries.op6_pii(spark, "").count() == 0
 
 
+def test_a_label_that_repeats_counts_once(spark, monkeypatch):
+    d, labels = few_rows(spark)
+    got = []
+    for some in (labels, labels.unionByName(labels).unionByName(labels)):
+        monkeypatch.setattr(queries, "table", lambda spark, sf_dir, name, some=some: {"documents": d, "labels": some}[name])
+        got.append(sorted(map(str, queries.op9_quality(spark, "").collect())))
+    assert got[0] == got[1]
+
+
 @needs_tables
 def test_quality_scored_again_by_hand(spark):
     """The query's scores, from the statistics of each text and the rules of a model fitted on the same rows."""
