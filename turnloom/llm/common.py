@@ -8,19 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.scratch import cut, drop  # noqa: F401
-from turnloom.workers import reachable
-
-#: Bytes of one Arrow batch on its way to Python; a batch by number of rows has no bound when texts are long.
-BATCH_BYTES = "2m"
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def bound_batches() -> None:
-    """Set the size of Arrow batches in the active session, unless it is set already; workers find the package."""
-    reachable()
-    spark = SparkSession.getActiveSession()
-    if spark is not None and spark.conf.get(_BATCH, None) is None:
-        spark.conf.set(_BATCH, BATCH_BYTES)
+from turnloom.workers import BATCH_BYTES, bound_batches  # noqa: F401
 
 
 def remainder(doc_id: Column, by: int) -> Column:

@@ -6,15 +6,17 @@ turns: dyad, turn_index, start_s, end_s and whatever else; one row for each (dya
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions import signals as S
-from turnloom.workers import reachable
+from turnloom.workers import bound_batches, reachable
 
 HZ = 30.0
 MAX_LAG_S = 2.5
@@ -22,6 +24,8 @@ MIN_TURN_S = 4 * MAX_LAG_S
 MIN_FRAMES = 3
 #: Seconds of one time bucket of the range join.
 BUCKET_S = 600.0
+#: Points that a worker holds before it passes them on.
+POINTS = 1 << 16
 
 
 def range_join(turns: DataFrame, points: DataFrame, at: str, *, closed: bool, bucket: float = BUCKET_S) -> DataFrame:
@@ -58,87 +62,220 @@ def turn_means(turns: DataFrame, frames: DataFrame, min_frames: int = MIN_FRAMES
     )
 
 
-def common_grid(frames: DataFrame, hz: float = HZ) -> DataFrame:
-    """(dyad, i, t): t0 + i / hz over the time both partners have frames; fewer than 3 points: none."""
+def spans(frames: DataFrame, hz: float = HZ) -> DataFrame:
+    """(dyad, t0, last): the common grid's first time and last number, a row for each dyad; fewer than 3 points: none."""
     ends = frames.groupBy("dyad").agg(*[f(F.when(F.col("side") == s, F.col("ts"))).alias(n) for s in (0, 1) for f, n in ((F.min, f"lo{s}"), (F.max, f"hi{s}"))])
     ends = ends.where("lo0 is not null and lo1 is not null")
     span = ends.select("dyad", F.greatest("lo0", "lo1").alias("t0"), F.least("hi0", "hi1").alias("t1"))
     steps = F.floor((F.col("t1") - F.col("t0")) * hz + F.lit(1e-9)).cast("long")
-    span = span.withColumn("last", steps).where("last >= 2")
+    return span.select("dyad", "t0", steps.alias("last")).where("last >= 2")
+
+
+def common_grid(frames: DataFrame, hz: float = HZ) -> DataFrame:
+    """(dyad, i, t): t0 + i / hz over the time both partners have frames; fewer than 3 points: none."""
+    span = spans(frames, hz)
     return span.select("dyad", "t0", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("i")).select("dyad", "i", (F.col("t0") + F.col("i") / hz).alias("t"))
 
 
-def _around(grid: DataFrame, frames: DataFrame, bucket: float, **values: Column) -> DataFrame:
-    """Grid points of each side, dealt by (dyad, bucket), and for each value the frame at or before and that at or after: (t, v) structs.
+def _frame(column: str) -> Column:
+    return F.struct(F.col("ts").alias("t"), F.col(column).cast("double").alias("v"))
+
 
-    values: by name the (t, v) struct of a frame, null where the frame does not count. A person's time is cut to buckets, each sorted
-    on its own, for all values at once. The last frame before a bucket and the first after it come from a table of one row a
-    bucket, so a long recording is not one task's, and frames are shuffled once however many values they have.
+def _dealt(places: DataFrame, frames: DataFrame, bucket: float, **values: Column) -> DataFrame:
+    """A row for each (dyad, bucket) of places, with what else they have, and for each value the frames of both sides, <name>_0 and <name>_1:
+    array<struct<t, v>> in order, those of the bucket with the last frame before it and the first after it.
+
+    places: one row for each bucket that holds points. values: by name the (t, v) struct of a frame, null where the frame does not count. Frames are
+    shuffled once, however many values they have; points are not. The frames before and after a bucket come from a table of one row a
+    bucket, so a long recording is not one task's, and a row is bounded by a bucket's length.
     """
     none = {n: F.lit(None).cast("struct<t:double,v:double>") for n in values}
-    sides = F.explode(F.array(F.lit(0), F.lit(1))).alias("side")
-    points = grid.select("dyad", sides, "t", "i", *[c.alias(n) for n, c in none.items()])
-    known = frames.where(F.col("ts").isNotNull()).select("dyad", F.col("side").cast("int").alias("side"), F.col("ts").alias("t"), F.lit(None).cast("long").alias("i"), *[c.alias(n) for n, c in values.items()])
+    with_own = [c for c in places.columns if c not in ("dyad", "bucket")]
     key = ["dyad", "side", "bucket"]
-    both = points.unionByName(known).withColumn("bucket", F.floor(F.col("t") / bucket))
+    known = frames.where(F.col("ts").isNotNull()).select("dyad", F.col("side").cast("int").alias("side"), F.floor(F.col("ts") / bucket).alias("bucket"), *[c.alias(n) for n, c in values.items()])
+    edges = {f"{n}_{at}": (f(F.col(n)["t"]), by(F.col(n)["v"], F.col(n)["t"])) for n in values for at, f, by in (("first", F.min, F.min_by), ("last", F.max, F.max_by))}
+    ends = known.groupBy(*key).agg(*[c.alias(f"{n}_{x}") for n, pair in edges.items() for x, c in zip("tv", pair, strict=True)])  # of numbers, so by hash
+    ends = ends.select(*key, *[F.when(F.col(f"{n}_t").isNotNull(), F.struct(F.col(f"{n}_t").alias("t"), F.col(f"{n}_v").alias("v"))).alias(n) for n in edges], F.lit(False).alias("place"))
+    sides = places.select("dyad", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), "bucket", F.lit(True).alias("place"))
+    ends = ends.unionByName(sides, allowMissingColumns=True).groupBy(*key).agg(*[F.first(n, ignorenulls=True).alias(n) for n in edges], F.max("place").alias("place"))
     along = Window.partitionBy("dyad", "side").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     back = Window.partitionBy("dyad", "side").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    ends = both.groupBy(*key).agg(*[f(n).alias(f"{n}_{at}") for n in values for f, at in ((F.min, "first"), (F.max, "last"))])
     carried = [F.struct(*[(end if n == m else none[m]).alias(m) for m in values]) for n in values for end in (F.last(f"{n}_last", ignorenulls=True).over(along), F.last(f"{n}_first", ignorenulls=True).over(back))]
-    carried = ends.select(*key, F.array(*carried).alias("all")).select(*key, F.explode("all").alias("one"))
-    t = F.coalesce(*[F.col(f"one.{n}.t") for n in values])
-    both = both.unionByName(carried.select(*key, t.alias("t"), F.lit(None).cast("long").alias("i"), *[F.col(f"one.{n}").alias(n) for n in values]).where("t is not null"))
-    each = Window.partitionBy(*key)
-    before = each.orderBy(F.col("t"), F.col("i").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    after = each.orderBy(F.col("t").desc(), F.col("i").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    near = [F.last(n, ignorenulls=True).over(w).alias(f"{n}_{at}") for w, at in ((before, "before"), (after, "after")) for n in values]
-    return both.repartition("dyad", "bucket").select(*key, "i", "t", *near).where("i is not null")
-
-
-def _frame(column: str) -> Column:
-    return F.struct(F.col("ts").alias("t"), F.col(column).cast("double").alias("v"))
-
-
-def _nearest(name: str) -> Column:
-    """Value of the nearer of the frames around a point, of two equally near the earlier."""
-    a, b, t = F.col(f"{name}_before"), F.col(f"{name}_after"), F.col("t")
-    return F.when(b.isNull() | (a.isNotNull() & (t - a["t"] <= b["t"] - t)), a["v"]).otherwise(b["v"])
-
-
-def _linear(name: str) -> Column:
-    """Value between the frames around a point; beyond the first or last frame, its value."""
-    a, b = F.col(f"{name}_before"), F.col(f"{name}_after")
-    v = F.when(a.isNull(), b["v"]).when(b.isNull() | (b["t"] <= a["t"]), a["v"])
-    return v.otherwise(a["v"] + (b["v"] - a["v"]) * ((F.col("t") - a["t"]) / (b["t"] - a["t"])))
-
-
-def resample_nearest(grid: DataFrame, frames: DataFrame, column: str = "presence", bucket: float = BUCKET_S) -> DataFrame:
-    """(dyad, side, i, t, v): the value of the nearest frame, of two equally near the earlier; missing stays null."""
-    return _around(grid, frames, bucket, f=_frame(column)).select("dyad", "side", "i", "t", _nearest("f").alias("v"))
-
+    carried = ends.select(*key, "place", F.array(*carried).alias("all")).where("place").select(*key, F.explode("all").alias("one")).select(*key, "one.*")
+    rows = known.unionByName(carried).unionByName(places, allowMissingColumns=True).repartition("dyad", "bucket")
+    lists = [F.array_sort(F.collect_list(F.when(F.col("side") == k, F.col(n)))).alias(f"{n}_{k}") for n in values for k in (0, 1)]
+    return rows.groupBy("dyad", "bucket").agg(*[F.first(c, ignorenulls=True).alias(c) for c in with_own], *lists).where(F.col(with_own[0]).isNotNull())
+
+
+def _places(span: DataFrame, hz: float, bucket: float) -> DataFrame:
+    """(dyad, bucket, t0, last): the buckets that a grid meets, from spans()."""
+    first, end = F.floor(F.col("t0") / bucket), F.floor((F.col("t0") + F.col("last") / hz) / bucket)
+    return span.select("dyad", F.explode(F.sequence(first, end)).alias("bucket"), "t0", "last")
+
+
+def _points_in(t0: float, last: int, hz: float, at: int, bucket: float) -> tuple[int, np.ndarray]:
+    """Number of a bucket's first grid point and the times of its points."""
+    lo, hi = max(0, math.floor((at * bucket - t0) * hz) - 2), min(last, math.ceil(((at + 1) * bucket - t0) * hz) + 2)
+    t = t0 + np.arange(lo, hi + 1) / hz
+    own = np.flatnonzero(np.floor(t / bucket) == at)
+    return (lo + int(own[0]), t[own]) if len(own) else (lo, t[:0])
+
+
+class _Lists:
+    """A column of lists of (t, v) structs without nulls among them: what a row's list holds, as numbers."""
+
+    def __init__(self, column: pa.ListArray):
+        flat = column.values
+        self.to, self.t, self.v = column.offsets.to_numpy(), flat.field("t").to_numpy(zero_copy_only=False), flat.field("v")
+        self.values = self.v.to_numpy(zero_copy_only=False).astype(float)
+
+    def around(self, row: int, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each time the places in the column of the last frame at or before it and of the first at or after it; -1: none."""
+        lo, hi = self.to[row], self.to[row + 1]
+        own = self.t[lo:hi]
+        a, b = np.searchsorted(own, t, "right") - 1, np.searchsorted(own, t, "left")
+        return np.where(a < 0, -1, a + lo), np.where(b == hi - lo, -1, b + lo)
+
+    def nearest(self, row: int, t: np.ndarray) -> np.ndarray:
+        """Place of the nearer of the frames around each time, of two equally near the earlier; -1: none."""
+        a, b = self.around(row, t)
+        if not len(self.t):
+            return a
+        return np.where((b < 0) | ((a >= 0) & (t - self.t[a] <= self.t[b] - t)), a, b)
+
+    def linear(self, row: int, t: np.ndarray) -> np.ndarray:
+        """Value between the frames around each time; beyond the first or last frame, its value; NaN without frames."""
+        a, b = self.around(row, t)
+        if self.to[row] == self.to[row + 1]:
+            return np.full(len(t), np.nan)
+        ta, tb, va, vb = self.t[a], self.t[b], self.values[a], self.values[b]
+        with np.errstate(all="ignore"):
+            between = va + (vb - va) * ((t - ta) / (tb - ta))
+        return np.where(a < 0, vb, np.where((b < 0) | (tb <= ta), va, between))
+
+
+def _together(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """Rows of columns, numpy or Arrow, one after the other."""
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in c]) for c in zip(*rows, strict=True)], names)
+
+
+def _resampled(grid: DataFrame, frames: DataFrame, bucket: float, value: Column, hz: float | None, line: bool) -> DataFrame:
+    """(dyad, side, i, t, v) of a grid of points (dyad, i, t) or, with hz, of spans (dyad, t0, last)."""
+    if hz is None:
+        points = grid.withColumn("bucket", F.floor(F.col("t") / bucket)).groupBy("dyad", "bucket").agg(F.array_sort(F.collect_list(F.struct("t", "i"))).alias("at"))
+    else:
+        points = _places(grid, hz, bucket)
+    found = _dealt(points, frames, bucket, f=value)
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["dyad", "side", "i", "t", "v"]
+        for batch in batches:
+            sides, dyads, out, held = [_Lists(batch.column(f"f_{k}")) for k in (0, 1)], batch.column("dyad"), [], 0
+            if hz is None:
+                at = batch.column("at")
+                to, ts, numbers = at.offsets.to_numpy(), at.values.field("t").to_numpy(), at.values.field("i").to_numpy()
+            else:
+                t0s, lasts, buckets = (batch.column(c).to_numpy() for c in ("t0", "last", "bucket"))
+            for row in range(batch.num_rows):
+                if hz is None:
+                    t, i = ts[to[row] : to[row + 1]], numbers[to[row] : to[row + 1]]
+                else:
+                    lo, t = _points_in(float(t0s[row]), int(lasts[row]), hz, int(buckets[row]), bucket)
+                    i = np.arange(lo, lo + len(t))
+                for k, side in enumerate(sides):
+                    if line:
+                        empty = side.to[row] == side.to[row + 1]
+                        v = pa.array(side.linear(row, t), mask=np.full(len(t), empty))
+                    else:
+                        near = side.nearest(row, t)
+                        v = side.v.take(pa.array(near, mask=near < 0))
+                    out.append((dyads.take(pa.array(np.full(len(t), row))), np.full(len(t), k, "int32"), i, t, v))
+                held += 2 * len(t)
+                if held > POINTS:
+                    yield _together(out, names)
+                    out, held = [], 0
+            if out:
+                yield _together(out, names)
+
+    bound_batches()
+    kind = frames.schema["dyad"].dataType.simpleString()
+    return found.mapInArrow(resample, f"dyad {kind}, side int, i long, t double, v double")
+
+
+def resample_nearest(grid: DataFrame, frames: DataFrame, column: str = "presence", bucket: float = BUCKET_S, hz: float | None = None) -> DataFrame:
+    """(dyad, side, i, t, v): the value of the nearest frame, of two equally near the earlier; missing stays null.
+
+    grid: points as of common_grid() or, with hz, spans(), whose points are made where the frames lie.
+    """
+    return _resampled(grid, frames, bucket, _frame(column), hz, False)
 
-def resample_linear(grid: DataFrame, frames: DataFrame, column: str = "intensity", bucket: float = BUCKET_S) -> DataFrame:
-    """(dyad, side, i, t, v): linear between the frames with a value; beyond the first or last of them, its value."""
-    near = _around(grid, frames.where(F.col(column).isNotNull()), bucket, f=_frame(column))
-    return near.select("dyad", "side", "i", "t", _linear("f").alias("v"))
 
+def resample_linear(grid: DataFrame, frames: DataFrame, column: str = "intensity", bucket: float = BUCKET_S, hz: float | None = None) -> DataFrame:
+    """(dyad, side, i, t, v): linear between the frames with a value; beyond the first or last of them, its value. grid: as for resample_nearest()."""
+    return _resampled(grid, frames.where(F.col(column).isNotNull()), bucket, _frame(column), hz, True)
 
-def aligned(frames: DataFrame, hz: float, bucket: float, *, presence: bool = False, intensity: bool = False) -> DataFrame:
-    """(dyad, bucket, i, t) of the common grid, with presence_p, presence_q (nearest) and intensity_p, intensity_q (linear) as asked
-    for: participant and interviewer side by side. One shuffle of frames deals them by (dyad, bucket), and all that follows stays there."""
-    values, at = {}, {}
-    if presence:
-        values["near"], at["presence"] = _frame("presence"), _nearest("near")
-    if intensity:
-        values["line"], at["intensity"] = F.when(F.col("intensity").isNotNull(), _frame("intensity")), _linear("line")
-    found = _around(common_grid(frames, hz), frames, bucket, **values).select("dyad", "bucket", "side", "i", "t", *[v.alias(n) for n, v in at.items()])
-    return found.groupBy("dyad", "bucket", "i", "t").agg(*[F.max(F.when(F.col("side") == k, F.col(n))).alias(f"{n}_{x}") for n in at for k, x in ((0, "p"), (1, "q"))])
 
+def _met(turns: DataFrame, frames: DataFrame, hz: float, bucket: float, min_turn_s: float | None = None, smiles: bool = False) -> DataFrame:
+    """(dyad, turn_index, n, k, at): a turn's points on the common grid, both ends included, and how many find both smiling (smiles);
+    at, with min_turn_s: its parts by bucket, array<struct<i, p, q>>, of participant and interviewer, linear, of turns as long as that.
 
-def _smiling() -> Column:
-    """How many of a turn's points find both smiling; a missing presence is not a smile."""
-    both = F.coalesce((F.col("presence_p") >= 0.5) & (F.col("presence_q") >= 0.5), F.lit(False))
-    return F.count_if(F.col("i").isNotNull() & both)
+    Frames and turns are dealt by (dyad, bucket). Points are made there, from the frames of a bucket, and leave it as arrays: one row for each turn and
+    bucket, bounded by both. No row is made for a point.
+    """
+    values = {}
+    if smiles:
+        values["near"] = F.struct(F.col("ts").alias("t"), F.when(F.coalesce(F.col("presence") >= 0.5, F.lit(False)), 1.0).otherwise(0.0).alias("v"))
+    if min_turn_s is not None:
+        values["line"] = F.when(F.col("intensity").isNotNull(), _frame("intensity"))
+    found = _dealt(_places(spans(frames, hz), hz, bucket), frames, bucket, **values)
+    first, last = F.floor(F.col("start_s") / bucket), F.floor(F.col("end_s") / bucket)
+    listed = turns.select("dyad", F.explode(F.sequence(first, F.greatest(first, last))).alias("bucket"), F.struct("turn_index", F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s")).alias("turn"))
+    listed = listed.groupBy("dyad", "bucket").agg(F.collect_list("turn").alias("turns"))
+    names, wanted = ["dyad", "turn_index", "n", "k", "i", "p", "q"], set(values)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near, line = ([_Lists(batch.column(f"{n}_{s}")) for s in (0, 1)] if n in wanted else [] for n in ("near", "line"))
+            t0s, lasts, buckets = (batch.column(c).to_numpy() for c in ("t0", "last", "bucket"))
+            dyads, lists = batch.column("dyad"), batch.column("turns")
+            to, each = lists.offsets.to_numpy(), lists.values
+            starts, ends = (each.field(c).to_numpy() for c in ("start_s", "end_s"))
+            out, held = [], 0
+
+            def told(out: list[tuple], dyads: pa.Array = dyads, each: pa.StructArray = each) -> pa.RecordBatch:
+                row, turn, n, k, i, p, q = zip(*out, strict=True)
+                sides = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in side])]).astype("int32")), pa.array(np.concatenate(side))) for side in (p, q)]
+                return pa.RecordBatch.from_arrays([dyads.take(pa.array(row)), each.field("turn_index").take(pa.array(turn)), pa.array(n, "int64"), pa.array(k, "int64"), pa.array(i, "int64"), *sides], names)
+
+            for row in range(batch.num_rows):
+                i, t = _points_in(float(t0s[row]), int(lasts[row]), hz, int(buckets[row]), bucket)
+                if not len(t):
+                    continue
+                if near:
+                    both = np.ones(len(t), bool)
+                    for side in near:
+                        at = side.nearest(row, t)
+                        both &= (at >= 0) & (side.values[at] > 0) if len(side.values) else False
+                    both = np.concatenate([[0], np.cumsum(both)])
+                p, q = (side.linear(row, t) for side in line) if line else (t[:0], t[:0])
+                for turn in range(to[row], to[row + 1]):
+                    a, b = np.searchsorted(t, starts[turn], "left"), np.searchsorted(t, ends[turn], "right")
+                    if b <= a:
+                        continue
+                    long = bool(line) and ends[turn] - starts[turn] >= min_turn_s
+                    out.append((row, turn, b - a, both[b] - both[a] if near else 0, i + a, p[a:b] if long else p[:0], q[a:b] if long else q[:0]))
+                    held += b - a if long else 1
+                    if held > POINTS:
+                        yield told(out)
+                        out, held = [], 0
+            if out:
+                yield told(out)
+
+    bound_batches()
+    kinds = turns.schema["dyad"].dataType.simpleString(), turns.schema["turn_index"].dataType.simpleString()
+    parts = found.join(listed, ["dyad", "bucket"]).mapInArrow(cut, f"dyad {kinds[0]}, turn_index {kinds[1]}, n long, k long, i long, p array<double>, q array<double>")
+    at = [F.array_sort(F.collect_list(F.when(F.size("p") > 0, F.struct("i", "p", "q")))).alias("at")] if min_turn_s is not None else []
+    return parts.groupBy("dyad", "turn_index").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), *at)
 
 
 def _shared(n: Column, k: Column, min_frames: int) -> list[Column]:
@@ -152,9 +289,10 @@ def simul_smile(turns: DataFrame, frames: DataFrame, hz: float = HZ, min_frames:
     A missing presence is not a smile, but its point counts. Fewer than max(3, min_frames) points: 0 frames, n
     kept, no share.
     """
-    met = range_join(turns, aligned(frames, hz, bucket, presence=True), "t", closed=True, bucket=bucket).groupBy(*turns.columns)
-    got = met.agg(F.count("i").alias("n"), _smiling().alias("k"))
-    return got.select(*turns.columns, *_shared(F.col("n"), F.col("k"), min_frames))
+    key = ["dyad", "turn_index"]
+    out = turns.join(_met(turns.select(*key, "start_s", "end_s"), frames, hz, bucket, smiles=True), key, "left")
+    n, k = (F.coalesce(c, F.lit(0)).cast("long") for c in ("n", "k"))
+    return out.select(*turns.columns, *_shared(n, k, min_frames))
 
 
 def lag_scan(p: np.ndarray, q: np.ndarray, most: int, flat: float = 1e-12) -> tuple[float | None, int | None, float | None]:
@@ -182,14 +320,8 @@ def lag_scan(p: np.ndarray, q: np.ndarray, most: int, flat: float = 1e-12) -> tu
     return zero, *(best or (None, None))
 
 
-def _points(min_turn_s: float) -> Column:
-    """A turn's points in order, as one array bounded by the turn's length; none of turns that are short."""
-    long = (F.col("end_s") - F.col("start_s") >= min_turn_s) & F.col("i").isNotNull()
-    return F.array_sort(F.collect_list(F.when(long, F.struct("i", F.col("intensity_p").alias("p"), F.col("intensity_q").alias("q")))))
-
-
 def _scanned(at: str, most: int, least: int) -> Column:
-    """struct<cc_r, k, r> of the arrays that _points() gathers."""
+    """struct<cc_r, k, r> of a turn's parts as _met() gathers them."""
 
     def scan(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for ps, qs in batches:
@@ -197,7 +329,7 @@ def _scanned(at: str, most: int, least: int) -> Column:
             yield pd.DataFrame({"cc_r": pd.Series([f[0] for f in found], dtype="Float64"), "k": pd.Series([f[1] for f in found], dtype="Int64"), "r": pd.Series([f[2] for f in found], dtype="Float64")})
 
     reachable()
-    return F.pandas_udf(scan, "cc_r double, k long, r double")(F.col(f"{at}.p"), F.col(f"{at}.q"))
+    return F.pandas_udf(scan, "cc_r double, k long, r double")(F.flatten(F.col(f"{at}.p")), F.flatten(F.col(f"{at}.q")))
 
 
 def cross_lag(
@@ -208,12 +340,11 @@ def cross_lag(
 
     Lags up to K = max(0, min(round(max_lag_s * hz), n - 3)) points; of equal sizes the smallest lag; a positive lag
     says that the participant leads. Turns that are short, or have few points, keep n_frames only. A turn's points are
-    gathered once, as one array bounded by the turn's length, and all its lags are slices of that: no row for each lag.
+    gathered once, as one array bounded by the turn's length, and all its lags are slices of that: no row for each lag or point.
     """
     key = ["dyad", "turn_index"]
-    met = range_join(turns.select(*key, "start_s", "end_s"), aligned(frames, hz, bucket, intensity=True), "t", closed=True, bucket=bucket)
-    gathered = met.groupBy(*key).agg(F.count("i").alias("n_frames"), _points(min_turn_s).alias("at"))
-    peak = gathered.select(*key, "n_frames", _scanned("at", round(max_lag_s * hz), max(3, min_frames)).alias("f"))
+    met = _met(turns.select(*key, "start_s", "end_s"), frames, hz, bucket, min_turn_s)
+    peak = met.select(*key, F.col("n").alias("n_frames"), _scanned("at", round(max_lag_s * hz), max(3, min_frames)).alias("f"))
     peak = peak.select(*key, "n_frames", "f.cc_r", (F.col("f.k") / hz).alias("peak_lag_s"), F.col("f.r").alias("cc_r_peak"))
     out = turns.join(peak, key, "left")
     return out.select(*turns.columns, "cc_r", "peak_lag_s", "cc_r_peak", F.coalesce("n_frames", F.lit(0)).cast("long").alias("n_frames"))
@@ -225,13 +356,11 @@ def synchrony(
 ) -> DataFrame:
     """The synchrony table, as sync_turns() of cross_lag() and simul_smile() gives it, from one resampling of both measures.
 
-    Frames are shuffled once, by (dyad, bucket); the grid, both resamplings and the range join stay there, and turns meet their points once.
+    Frames are shuffled once, by (dyad, bucket); both resamplings stay there, and turns meet their points once.
     """
     key = ["dyad", "turn_index"]
-    both = aligned(frames, hz, bucket, presence=True, intensity=True)
-    met = range_join(turns.select(*key, "start_s", "end_s"), both, "t", closed=True, bucket=bucket)
-    gathered = met.groupBy(*key).agg(F.count("i").alias("n"), _smiling().alias("k"), _points(min_turn_s).alias("at"))
-    told = gathered.select(*key, "n", "k", _scanned("at", round(max_lag_s * hz), max(3, min_frames)).alias("f"))
+    met = _met(turns.select(*key, "start_s", "end_s"), frames, hz, bucket, min_turn_s, smiles=True)
+    told = met.select(*key, "n", "k", _scanned("at", round(max_lag_s * hz), max(3, min_frames)).alias("f"))
     told = told.select(
         *key, F.col("n").alias("n_frames"), "f.cc_r", (F.col("f.k") / hz).alias("peak_lag_s"), F.col("f.r").alias("cc_r_peak"),
         *_shared(F.col("n"), F.col("k"), min_frames),

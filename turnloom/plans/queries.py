@@ -405,13 +405,13 @@ def grid_turn_closed(spark, sf_dir):
 @query(with_(A.FRAMES, A.GRID, A.NEAREST) + "SELECT dyad, side, i, v FROM nearest")
 def resample_nearest(spark, sf_dir):
     f = A.frames(spark, sf_dir)
-    return dyad.resample_nearest(dyad.common_grid(f, A.HZ), f, bucket=A.BUCKET_S).select("dyad", "side", "i", "v")
+    return dyad.resample_nearest(dyad.spans(f, A.HZ), f, bucket=A.BUCKET_S, hz=A.HZ).select("dyad", "side", "i", "v")
 
 
 @query(with_(A.FRAMES, A.GRID, A.LINEAR) + "SELECT dyad, side, i, round(v, 9) AS v FROM linear")
 def resample_linear(spark, sf_dir):
     f = A.frames(spark, sf_dir)
-    return dyad.resample_linear(dyad.common_grid(f, A.HZ), f, bucket=A.BUCKET_S).select("dyad", "side", "i", r9("v"))
+    return dyad.resample_linear(dyad.spans(f, A.HZ), f, bucket=A.BUCKET_S, hz=A.HZ).select("dyad", "side", "i", r9("v"))
 
 
 SIMUL = """co AS (

@@ -8,6 +8,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+#: Bytes of one Arrow batch on its way to Python; a batch by number of rows has no bound when texts or lists are long.
+BATCH_BYTES = "2m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def reachable() -> None:
@@ -21,3 +24,11 @@ def reachable() -> None:
         known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
         if ROOT not in known:
             env["PYTHONPATH"] = os.pathsep.join([*known, ROOT])
+
+
+def bound_batches() -> None:
+    """Set the size of Arrow batches in the active session, unless it is set already; workers find the package."""
+    reachable()
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
