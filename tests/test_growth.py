@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from turnloom.functions import text as T
 from turnloom.operators import dyad
 
 FRAME = "dyad bigint, side int, ts double, intensity double, presence double"
@@ -64,3 +65,14 @@ def test_resampling_of_spans_is_that_of_points(spark):
             assert str([x.v for x in a]) == str(want)
         else:
             assert all(x.v is None for x in a if x.dyad == 3 and x.side == 1) and any(x.v is not None and math.isnan(x.v) for x in a)
+
+
+def test_a_text_is_split_once(spark):
+    """Runs of a long text are cut from its words as they were split once: work grows with the text, not with its square."""
+    long = " ".join(f"w{k}" for k in range(100_000))
+    texts = spark.createDataFrame([(long,), (" a  b ",), ("",), (None,)], "t string")
+    runs = T.split_oversized(F.col("t"), 7)
+    assert texts.select(runs)._jdf.queryExecution().analyzed().toString().count("split(") == 1
+    got = [r[0] for r in texts.select(runs).collect()]
+    words = long.split()
+    assert got == [[" ".join(words[k : k + 7]) for k in range(0, len(words), 7)], ["a b"], [], []]

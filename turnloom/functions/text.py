@@ -116,11 +116,14 @@ def token_len(text: Column) -> Column:
 
 
 def split_oversized(text: Column, most: int) -> Column:
-    """array<string> of runs of at most `most` words."""
-    words = words_of(text)
-    n = F.size(words)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(most))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(most)), " "))
+    """array<string> of runs of at most `most` words. A text is split once, not once for each run."""
+
+    def runs(words: Column) -> Column:
+        n = F.size(words)
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(most))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(most)), " "))
+
+    return F.transform(F.array(words_of(text)), runs)[0]
 
 
 def chunk_text(text: Column, most: int) -> Column:
