@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
-from turnloom.operators import dyad
+from turnloom.operators import blocks, crossed, dyad, models
 
 FRAME = "dyad bigint, side int, ts double, intensity double, presence double"
 TURNS = "dyad bigint, interviewer bigint, turn_index int, sentiment string, start_s double, end_s double"
@@ -72,7 +72,27 @@ def test_a_text_is_split_once(spark):
     long = " ".join(f"w{k}" for k in range(100_000))
     texts = spark.createDataFrame([(long,), (" a  b ",), ("",), (None,)], "t string")
     runs = T.split_oversized(F.col("t"), 7)
-    assert texts.select(runs)._jdf.queryExecution().analyzed().toString().count("split(") == 1
+    assert str(runs).count("split(") == 1
     got = [r[0] for r in texts.select(runs).collect()]
     words = long.split()
     assert got == [[" ".join(words[k : k + 7]) for k in range(0, len(words), 7)], ["a b"], [], []]
+
+
+@pytest.mark.parametrize("per_row", [True, False])
+def test_participants_with_the_same_cells_count_once(spark, monkeypatch, per_row):
+    """They are one participant with a number: the same deviances as of all, on the driver and in Spark, from a third of the cells or fewer."""
+    rng = np.random.default_rng(9)
+    one = [(int(rng.integers(4)), j, ("positive", "negative")[int(rng.integers(2))], int(rng.integers(3)), 4) for j in range(40) for _ in range(4)]
+    rows = [(i, j + 100 * c, s, k, n) for c in range(3) for i, j, s, k, n in one]
+    k, n = ("succ", "total") if per_row else ("least(succ, 1)", "1")
+    rows = spark.createDataFrame(rows, "interviewer_id int, participant_id int, sentiment string, succ int, total int")
+    cells = rows.groupBy("interviewer_id", "participant_id", "sentiment", F.expr(k).cast("double").alias("succ"), F.expr(n).cast("double").alias("n")).agg(F.count("*").alias("times")).cache()
+    few = crossed.alike(cells, "succ", "n", "times")
+    assert 3 * few.count() <= cells.count() and few.select("participant_id", "alike").distinct().agg(F.sum("alike")).first()[0] == 120
+    monkeypatch.setattr(blocks, "BLOCK_CELLS", 30)
+    points = [np.array(v)[: 5 if per_row else 4] for v in ([-0.5, 0.3, 0.6, 0.5, 0.4], [0.0, 0.0, 0.0, 0.0, 0.0], [2.0, -3.0, 1.5, 2.5, 1.0])]
+    want = crossed.Binomial(models.local(cells), per_row).deviances(points)
+    table = blocks.BinomialBlocks(blocks.Blocks(few, ("succ", "n", "times", "alike")), blocks.binomial_totals(few), per_row)
+    assert np.allclose(want, crossed.Binomial(models.local(few), per_row).deviances(points), rtol=1e-10)
+    assert np.allclose(want, table.deviances(points), rtol=1e-10)
+    assert np.allclose(want[::-1], table.deviances(points[::-1]), rtol=1e-10)  # modes sought from those of another point

@@ -132,6 +132,9 @@ def _binomial(block: dict, a: int, points: list) -> np.ndarray:
     penalised log-likelihood, its log determinant, its slope in u and its curvature in u with them eliminated."""
     i, j, d, k, n, w = (block[c] for c in ("i", "j", "d", "succ", "n", "times"))
     b, out = int(j.max()) + 1, []
+    often = block["alike"] if "alike" in block else np.ones(len(j))
+    alike = np.zeros(b)
+    alike[j] = often  # for how many participants one stands
     for b0, b1, t, g, own, u in points:
         fixed = b0 + b1 * d + t * np.asarray(u)[i]
         uj, e = np.zeros(b), np.zeros(len(n))
@@ -163,9 +166,9 @@ def _binomial(block: dict, a: int, points: list) -> np.ndarray:
             out.append(np.full(2 + a + a * a, math.nan))
             continue
         he = w * h / de
-        square, _ = _ties(block, a, t * he, (1 / dj)[:, None, None], np.full((len(n), 1), g), np.zeros((b, 1, 1)))
-        curve = np.diag(t * t * np.bincount(i, he, a)) - square
-        out.append(np.concatenate([[value.sum(), np.log(dj).sum() + w @ np.log(de)], t * np.bincount(i, w * r, a), curve.ravel()]))
+        square, _ = _ties(block, a, t * he, (alike / dj)[:, None, None], np.full((len(n), 1), g), np.zeros((b, 1, 1)))
+        curve = np.diag(t * t * np.bincount(i, often * he, a)) - square
+        out.append(np.concatenate([[alike @ value, alike @ np.log(dj) + (often * w) @ np.log(de)], t * np.bincount(i, often * w * r, a), curve.ravel()]))
     return np.stack(out)
 
 
@@ -173,17 +176,19 @@ class BinomialBlocks(Laplace):
     """Binomial on cells (interviewer_id, participant_id, sentiment, succ, n, times) in Spark: the same deviances.
 
     Given the interviewers' effects, participants do not see each other, so their modes are found in the tasks; the interviewers' are Newton steps on
-    the driver, a pass each, for all points that are asked for at once. The penalised likelihood is concave; steps that do not raise it are halved.
+    the driver, a pass each, for all points that are asked for at once. The penalised likelihood is concave, so they are found from anywhere: they start at
+    those of the best point so far, which saves passes; steps that do not raise it are halved.
     """
 
     def __init__(self, blocks: Blocks, total: dict, per_row: bool, null: bool = False):
         self.blocks, self.per_row, self.columns = blocks, per_row, 1 if null else 2
         self.choose, self.rate = float(total["choose"]), float(total["succ"] / total["n"])
+        self.from_, self.least = np.zeros(blocks.a), math.inf
 
     def deviances(self, points: list[np.ndarray]) -> list[float]:
         a, p, out = self.blocks.a, self.columns, [math.inf] * len(points)
         fixed = [(float(v[0]), float(v[1]) if p == 2 else 0.0, abs(float(v[p])), abs(float(v[p + 1])), abs(float(v[p + 2])) if self.per_row else 0.0) for v in points]
-        u, before, move, size = np.zeros((len(points), a)), np.full(len(points), -math.inf), np.zeros((len(points), a)), np.ones(len(points))
+        u, before, move, size = np.tile(self.from_, (len(points), 1)), np.full(len(points), -math.inf), np.zeros((len(points), a)), np.ones(len(points))
         live = list(range(len(points)))
         for _ in range(PASSES):
             tried = {x: u[x] + size[x] * move[x] for x in live}
@@ -207,6 +212,9 @@ class BinomialBlocks(Laplace):
             live = left
             if not live:
                 break
+        best = min(range(len(points)), key=out.__getitem__)
+        if out[best] < self.least:
+            self.from_, self.least = u[best], out[best]
         return out
 
 
@@ -229,5 +237,5 @@ def log_gamma(x):
 
 def binomial_totals(cells: DataFrame) -> dict:
     choose = log_gamma(F.col("n") + 1) - log_gamma(F.col("succ") + 1) - log_gamma(F.col("n") - F.col("succ") + 1)
-    w = F.col("times")
+    w = F.col("times") * F.col("alike") if "alike" in cells.columns else F.col("times")
     return cells.agg(F.sum(w * choose).alias("choose"), F.sum(w * F.col("succ")).alias("succ"), F.sum(w * F.col("n")).alias("n")).first().asDict()

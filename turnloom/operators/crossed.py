@@ -32,10 +32,12 @@ STEPS, STILL, SURE = 200, 1e-17, 1e-10
 class Ties:
     """Solves with M = I + sum over cells of w h h', h: t at the cell's interviewer, g (m numbers) at its participant."""
 
-    def __init__(self, i: np.ndarray, j: np.ndarray):
-        """j ascends."""
+    def __init__(self, i: np.ndarray, j: np.ndarray, alike: np.ndarray | None = None):
+        """j ascends. alike: for how many participants with the same cells each one stands; they have the same solution."""
         self.i, self.j = i, j
         self.a, self.b = int(i.max()) + 1, int(j.max()) + 1
+        self.alike = np.ones(self.b) if alike is None else alike
+        self.often = self.alike[j]
 
     def factor(self, w: np.ndarray, t: float, g: np.ndarray) -> float:
         """Prepares solve(); returns log det M."""
@@ -47,21 +49,21 @@ class Ties:
                 own[:, r, s] = np.bincount(self.j, w * g[:, r] * g[:, s], self.b)
         own += np.eye(m)
         self.inverse = np.linalg.inv(own)
-        left = np.diag(1 + t * t * np.bincount(self.i, w, self.a))
+        left = np.diag(1 + t * t * np.bincount(self.i, w * self.often, self.a))
         for lo in range(0, self.b, CHUNK):
             n = min(CHUNK, self.b - lo)
             part = slice(*np.searchsorted(self.j, (lo, lo + n)))
             at = self.i[part] * n + self.j[part] - lo
             tie = np.stack([np.bincount(at, t * w[part] * g[part, r], self.a * n).reshape(self.a, n) for r in range(m)], 2)
-            left -= np.einsum("ajr,jrs->ajs", tie, self.inverse[lo : lo + n]).reshape(self.a, -1) @ tie.reshape(self.a, -1).T
+            left -= np.einsum("ajr,jrs,j->ajs", tie, self.inverse[lo : lo + n], self.alike[lo : lo + n]).reshape(self.a, -1) @ tie.reshape(self.a, -1).T
         self.left = np.linalg.inv(left)
-        return float(np.linalg.slogdet(left)[1] + np.linalg.slogdet(own)[1].sum())
+        return float(np.linalg.slogdet(left)[1] + self.alike @ np.linalg.slogdet(own)[1])
 
     def solve(self, ra: np.ndarray, rb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """M^-1 of right sides over interviewers (a x k) and participants (b x m x k)."""
         half = np.einsum("jrs,jsk->jrk", self.inverse, rb)
         wg = self.t * self.w[:, None] * self.g
-        back = np.stack([np.bincount(self.i, (wg * half[self.j, :, k]).sum(1), self.a) for k in range(ra.shape[1])], 1)
+        back = np.stack([np.bincount(self.i, self.often * (wg * half[self.j, :, k]).sum(1), self.a) for k in range(ra.shape[1])], 1)
         ua = self.left @ (ra - back)
         forth = np.stack([np.stack([np.bincount(self.j, wg[:, r] * ua[self.i, k], self.b) for r in range(self.m)], 1) for k in range(ra.shape[1])], 2)
         return ua, np.einsum("jrs,jsk->jrk", self.inverse, rb - forth)
@@ -183,21 +185,24 @@ class Laplace:
 class Binomial(Laplace):
     """succ of n ~ positive + (1 | interviewer) + (1 | participant) [+ (1 | observation)], Laplace approximation.
 
-    cells: interviewer_id, participant_id, sentiment, succ, n, times (how many observations are just alike).
-    Alike observations share the mode of their own effect, so one row stands for them. Nothing is kept from one
+    cells: interviewer_id, participant_id, sentiment, succ, n, times (how many observations are just alike) and, if there is such a column, alike (for
+    how many participants with the same cells this one stands). Alike observations share the mode of their own effect, and alike
+    participants that of theirs, so one row stands for them. Nothing is kept from one
     evaluation to the next: the modes are always sought from zero, by Newton steps that are halved until the penalised
     log-likelihood rises. It is concave, so they are found; should steps run out, the deviance is infinite.
     """
 
     def __init__(self, cells: pd.DataFrame, per_row: bool, null: bool = False):
         cells, i, j, d = _coded(cells)
-        self.ties = Ties(i, j)
+        alike = cells["alike"].to_numpy(float)[np.unique(j, return_index=True)[1]] if "alike" in cells else None
+        self.ties = Ties(i, j, alike)
         self.k, self.n, self.w = (cells[c].to_numpy(float) for c in ("succ", "n", "times"))
         self.x = np.stack([np.ones(len(d)), d], 1)[:, : 1 if null else 2]
         self.per_row = per_row
         choose = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) for n, k in zip(self.n, self.k, strict=True)]
-        self.choose = float(self.w @ np.array(choose))
-        self.columns, self.rate = self.x.shape[1], float(self.w @ self.k / (self.w @ self.n))
+        every = self.w * self.ties.often
+        self.choose = float(every @ np.array(choose))
+        self.columns, self.rate = self.x.shape[1], float(every @ self.k / (every @ self.n))
 
     def deviances(self, points: list[np.ndarray]) -> list[float]:
         return [self._deviance(v) for v in points]
@@ -207,12 +212,12 @@ class Binomial(Laplace):
         p = self.x.shape[1]
         t, g = abs(float(v[p])), abs(float(v[p + 1]))
         own = abs(float(v[p + 2])) if self.per_row else 0.0
-        fixed = self.x @ v[:p]
+        fixed, alike, often = self.x @ v[:p], self.ties.alike, self.ties.often
         ui, uj, e = np.zeros(self.ties.a), np.zeros(self.ties.b), np.zeros(len(n))
 
         def at(ui: np.ndarray, uj: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, float]:
             eta = fixed + t * ui[i] + g * uj[j] + own * e
-            return eta, float(w @ (k * eta - n * np.logaddexp(0, eta)) - (ui @ ui + uj @ uj + w @ (e * e)) / 2)
+            return eta, float((often * w) @ (k * eta - n * np.logaddexp(0, eta) - e * e / 2) - (ui @ ui + alike @ (uj * uj)) / 2)
 
         eta, value = at(ui, uj, e)
         for _ in range(STEPS):
@@ -221,12 +226,12 @@ class Binomial(Laplace):
             de, ge = 1 + own * own * h, own * r - e
             logdet = self.ties.factor(w * h / de, t, np.full((len(n), 1), g))
             rest = w * (r - h * own * ge / de)  # each observation's own effect eliminated
-            di, dj = self.ties.solve((t * np.bincount(i, rest, self.ties.a) - ui)[:, None], (g * np.bincount(j, rest, self.ties.b) - uj)[:, None, None])
+            di, dj = self.ties.solve((t * np.bincount(i, often * rest, self.ties.a) - ui)[:, None], (g * np.bincount(j, rest, self.ties.b) - uj)[:, None, None])
             di, dj = di[:, 0], dj[:, 0, 0]
             ds = (ge - own * h * (t * di[i] + g * dj[j])) / de
-            gain = float((t * np.bincount(i, w * r, self.ties.a) - ui) @ di + (g * np.bincount(j, w * r, self.ties.b) - uj) @ dj + w @ (ge * ds))
+            gain = float((t * np.bincount(i, often * w * r, self.ties.a) - ui) @ di + alike @ ((g * np.bincount(j, w * r, self.ties.b) - uj) * dj) + (often * w) @ (ge * ds))
             if gain < STILL * (1 + abs(value)):
-                return -2 * (self.choose + value) + logdet + float(w @ np.log(de))
+                return -2 * (self.choose + value) + logdet + float((often * w) @ np.log(de))
             step = 1.0
             while True:
                 new_eta, new = at(ui + step * di, uj + step * dj, e + step * ds)
@@ -286,6 +291,16 @@ def _gaussian_cells(rows: DataFrame, y: str) -> DataFrame:
     return cut(kept.groupBy("interviewer_id", "participant_id", "sentiment").agg(F.count("*").alias("n"), F.sum(y).cast("double").alias("s"), F.sum(F.col(y) * F.col(y)).cast("double").alias("q")))
 
 
+def alike(cells: DataFrame, *columns: str) -> DataFrame:
+    """The cells of one participant for all who have the same ones, in the scratch folder, with their number as `alike`.
+
+    Their effects have the same mode and they add the same to every sum, so nothing is lost, and a fit's work grows with the different participants.
+    """
+    own = F.array_sort(F.collect_list(F.struct("interviewer_id", "sentiment", *columns)))
+    each = cells.groupBy("participant_id").agg(own.alias("own")).groupBy("own").agg(F.min("participant_id").alias("participant_id"), F.count("*").alias("alike"))
+    return cut(each.select("participant_id", "alike", F.explode("own").alias("cell")).select("participant_id", "alike", "cell.*"))
+
+
 def _gaussian(cells: DataFrame) -> Callable[..., Crossed]:
     """Makes models of the cells: on the driver up to LOCAL_CELLS of them, else in Spark."""
     if cells.count() <= LOCAL_CELLS:
@@ -345,7 +360,8 @@ def focal_slope(rows: DataFrame, y: str) -> dict[str, float | str | None]:
 def focal_binomial(rows: DataFrame, succ: str, total: str, per_row: bool = True) -> dict[str, float | str | int | bool | None]:
     """Aggregated counts with an effect for each observation, or (per_row False) whether there was any success.
 
-    A cell is a distinct (partners, label, successes, trials); up to LOCAL_CELLS of them are fitted on the driver, more in Spark.
+    A cell is a distinct (partners, label, successes, trials); participants whose cells are the same are one, counted; up to LOCAL_CELLS
+    cells of different participants are fitted on the driver, more in Spark.
     """
     kept = rows.where(F.col("sentiment").isin("negative", "positive") & (F.col(total) > 0))
     k = F.col(succ).cast("double") if per_row else (F.col(succ) > 0).cast("double")
@@ -356,12 +372,13 @@ def focal_binomial(rows: DataFrame, succ: str, total: str, per_row: bool = True)
         return out
     if not per_row and cells.select("succ").distinct().count() < 2:
         return out | {"method": "no_variance_in_binary_dv"}
+    cells = alike(cells, "succ", "n", "times")
     if cells.count() <= LOCAL_CELLS:
         full, v, none, dev, out["converged"] = nested(local(cells), per_row)
     else:
         from turnloom.operators import blocks
 
-        table, total = blocks.Blocks(cells, ("succ", "n", "times")), blocks.binomial_totals(cells)
+        table, total = blocks.Blocks(cells, ("succ", "n", "times", "alike")), blocks.binomial_totals(cells)
         full, v, none, dev, out["converged"] = best_nested(blocks.BinomialBlocks(table, total, per_row, null=True), blocks.BinomialBlocks(table, total, per_row))
     se = float(full.errors(v)[1])
     out |= {"estimate": float(v[1]), "odds_ratio": math.exp(v[1]), "lrt_stat": max(none - dev, 0.0), "lrt_source": "lrt_laplace"}
