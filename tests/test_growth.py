@@ -1,6 +1,7 @@
 """Work and memory that grow no faster than the input."""
 
 import math
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
 from turnloom.operators import blocks, crossed, dyad, models
+from turnloom.plans import queries as plans
 
 FRAME = "dyad bigint, side int, ts double, intensity double, presence double"
 TURNS = "dyad bigint, interviewer bigint, turn_index int, sentiment string, start_s double, end_s double"
@@ -22,6 +24,15 @@ def test_no_row_for_a_point(spark, measure):
     assert "sequence(0" not in plan and "last" in plan
 
 
+@pytest.mark.parametrize("name", ["simul_smile"])
+def test_queries_make_no_row_for_a_point(spark, tmp_path, name):
+    """No query writes the grid out; edges of buckets are aggregated by hash, without a sort."""
+    rows = [(k, datetime(2024, 1, 1 + 9 * (k // 2)), k % 2, 70.0, '{"k": 30}') for k in range(4)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    plan = plans.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution()
+    assert "sequence(0" not in plan.optimizedPlan().toString() and "SortAggregate" not in plan.executedPlan().toString()
+
+
 def near(own, t):
     """Value of the nearest of (time, value), written out; of two equally near the earlier."""
     return min(own, key=lambda x: (abs(x[0] - t), x[0]))[1]

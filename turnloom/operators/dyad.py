@@ -94,10 +94,10 @@ def _dealt(places: DataFrame, frames: DataFrame, bucket: float, **values: Column
     key = ["dyad", "side", "bucket"]
     known = frames.where(F.col("ts").isNotNull()).select("dyad", F.col("side").cast("int").alias("side"), F.floor(F.col("ts") / bucket).alias("bucket"), *[c.alias(n) for n, c in values.items()])
     edges = {f"{n}_{at}": (f(F.col(n)["t"]), by(F.col(n)["v"], F.col(n)["t"])) for n in values for at, f, by in (("first", F.min, F.min_by), ("last", F.max, F.max_by))}
-    ends = known.groupBy(*key).agg(*[c.alias(f"{n}_{x}") for n, pair in edges.items() for x, c in zip("tv", pair, strict=True)])  # of numbers, so by hash
-    ends = ends.select(*key, *[F.when(F.col(f"{n}_t").isNotNull(), F.struct(F.col(f"{n}_t").alias("t"), F.col(f"{n}_v").alias("v"))).alias(n) for n in edges], F.lit(False).alias("place"))
     sides = places.select("dyad", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), "bucket", F.lit(True).alias("place"))
-    ends = ends.unionByName(sides, allowMissingColumns=True).groupBy(*key).agg(*[F.first(n, ignorenulls=True).alias(n) for n in edges], F.max("place").alias("place"))
+    ends = known.unionByName(sides, allowMissingColumns=True).groupBy(*key)  # of numbers, so by hash, and once
+    ends = ends.agg(*[c.alias(f"{n}_{x}") for n, pair in edges.items() for x, c in zip("tv", pair, strict=True)], F.max("place").alias("place"))
+    ends = ends.select(*key, *[F.when(F.col(f"{n}_t").isNotNull(), F.struct(F.col(f"{n}_t").alias("t"), F.col(f"{n}_v").alias("v"))).alias(n) for n in edges], "place")
     along = Window.partitionBy("dyad", "side").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     back = Window.partitionBy("dyad", "side").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.struct(*[(end if n == m else none[m]).alias(m) for m in values]) for n in values for end in (F.last(f"{n}_last", ignorenulls=True).over(along), F.last(f"{n}_first", ignorenulls=True).over(back))]
