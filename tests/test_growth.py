@@ -24,7 +24,7 @@ def test_no_row_for_a_point(spark, measure):
     assert "sequence(0" not in plan and "last" in plan
 
 
-@pytest.mark.parametrize("name", ["simul_smile", "sync_turns", "synchrony_descriptives", "cross_lag", "cross_lag_peak"])
+@pytest.mark.parametrize("name", ["simul_smile", "sync_turns", "synchrony_descriptives", "cross_lag", "cross_lag_peak", "coverage"])
 def test_queries_make_no_row_for_a_point(spark, tmp_path, name):
     """No query writes the grid out; edges of buckets are aggregated by hash, without a sort."""
     rows = [(k, datetime(2024, 1, 1 + 9 * (k // 2)), k % 2, 70.0, '{"k": 30}') for k in range(4)]
