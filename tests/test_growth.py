@@ -33,6 +33,20 @@ def test_queries_make_no_row_for_a_point(spark, tmp_path, name):
     assert "sequence(0" not in plan.optimizedPlan().toString() and "SortAggregate" not in plan.executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["simul_smile", "sync_turns", "synchrony_descriptives", "cross_lag", "cross_lag_peak", "coverage"])
+def test_turns_are_dealt_and_not_broadcast(spark, tmp_path, name):
+    """Turns by bucket meet frames where both are dealt: no table of them goes through one task, the driver and every task."""
+    rows = [(k, datetime(2024, 1, 1 + 9 * (k // 2)), k % 2, 70.0, '{"k": 30}') for k in range(4)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    plan = plans.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().splitlines()
+    joins = [x.partition("Join ")[0].split()[-1] for x in plan if "Join [dyad" in x and ", bucket#" in x]
+    assert joins and set(joins) == {"ShuffledHash"}
+    beside = [x.partition("Join ")[0].split()[-1] for x in plan if "Join [dyad" in x and ", turn_index#" in x]
+    assert beside and set(beside) == {"SortMerge"}
+    turns = [k for k, x in enumerate(plan) if "partial_collect_list(turn#" in x]
+    assert turns and all("Exchange hashpartitioning(dyad#" in plan[k + 1] and ", bucket#" in plan[k + 1] for k in turns)
+
+
 def near(own, t):
     """Value of the nearest of (time, value), written out; of two equally near the earlier."""
     return min(own, key=lambda x: (abs(x[0] - t), x[0]))[1]

@@ -220,7 +220,7 @@ def _met(turns: DataFrame, frames: DataFrame, hz: float, bucket: float, min_turn
     at, with min_turn_s: its parts by bucket, array<struct<i, p, q>>, of participant and interviewer, linear, of turns as long as that.
 
     Frames and turns are dealt by (dyad, bucket). Points are made there, from the frames of a bucket, and leave it as arrays: one row for each turn and
-    bucket, bounded by both. No row is made for a point.
+    bucket, bounded by both. No row is made for a point. By hint no turn is broadcast: the size that Spark reckons with is that before they are listed by bucket.
     """
     values = {}
     if smiles:
@@ -230,7 +230,7 @@ def _met(turns: DataFrame, frames: DataFrame, hz: float, bucket: float, min_turn
     found = _dealt(_places(spans(frames, hz), hz, bucket), frames, bucket, **values)
     first, last = F.floor(F.col("start_s") / bucket), F.floor(F.col("end_s") / bucket)
     listed = turns.select("dyad", F.explode(F.sequence(first, F.greatest(first, last))).alias("bucket"), F.struct("turn_index", F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s")).alias("turn"))
-    listed = listed.groupBy("dyad", "bucket").agg(F.collect_list("turn").alias("turns"))
+    listed = listed.repartition("dyad", "bucket").groupBy("dyad", "bucket").agg(F.collect_list("turn").alias("turns"))
     names, wanted = ["dyad", "turn_index", "n", "k", "i", "p", "q"], set(values)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,11 +273,16 @@ def _met(turns: DataFrame, frames: DataFrame, hz: float, bucket: float, min_turn
 
     bound_batches()
     kinds = turns.schema["dyad"].dataType.simpleString(), turns.schema["turn_index"].dataType.simpleString()
-    parts = found.join(listed, ["dyad", "bucket"]).mapInArrow(cut, f"dyad {kinds[0]}, turn_index {kinds[1]}, n long, k long, i long, p array<double>, q array<double>")
+    parts = found.join(listed.hint("shuffle_hash"), ["dyad", "bucket"]).mapInArrow(cut, f"dyad {kinds[0]}, turn_index {kinds[1]}, n long, k long, i long, p array<double>, q array<double>")
     at = [F.array_sort(F.collect_list(F.when(F.size("p") > 0, F.struct("i", "p", "q")))).alias("at")] if min_turn_s is not None else []
     return parts.groupBy("dyad", "turn_index").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), *at)
 
 
+def _beside(turns: DataFrame, told: DataFrame) -> DataFrame:
+    """turns left-joined with what is told of them. By hint it is a merge: a filter behind it may turn it round and broadcast turns, by their size before they are listed."""
+    return turns.hint("merge").join(told, ["dyad", "turn_index"], "left")
+
+
 def _shared(n: Column, k: Column, min_frames: int) -> list[Column]:
     enough = n >= max(3, min_frames)
     return [F.when(enough, k).otherwise(0).cast("long").alias("simul_smile_frames"), n.alias("simul_smile_n_frames"), F.when(enough, k / n).alias("simul_smile_freq")]
@@ -290,7 +295,7 @@ def simul_smile(turns: DataFrame, frames: DataFrame, hz: float = HZ, min_frames:
     kept, no share.
     """
     key = ["dyad", "turn_index"]
-    out = turns.join(_met(turns.select(*key, "start_s", "end_s"), frames, hz, bucket, smiles=True), key, "left")
+    out = _beside(turns, _met(turns.select(*key, "start_s", "end_s"), frames, hz, bucket, smiles=True))
     n, k = (F.coalesce(c, F.lit(0)).cast("long") for c in ("n", "k"))
     return out.select(*turns.columns, *_shared(n, k, min_frames))
 
@@ -346,7 +351,7 @@ def cross_lag(
     met = _met(turns.select(*key, "start_s", "end_s"), frames, hz, bucket, min_turn_s)
     peak = met.select(*key, F.col("n").alias("n_frames"), _scanned("at", round(max_lag_s * hz), max(3, min_frames)).alias("f"))
     peak = peak.select(*key, "n_frames", "f.cc_r", (F.col("f.k") / hz).alias("peak_lag_s"), F.col("f.r").alias("cc_r_peak"))
-    out = turns.join(peak, key, "left")
+    out = _beside(turns, peak)
     return out.select(*turns.columns, "cc_r", "peak_lag_s", "cc_r_peak", F.coalesce("n_frames", F.lit(0)).cast("long").alias("n_frames"))
 
 
@@ -365,7 +370,7 @@ def synchrony(
         *key, F.col("n").alias("n_frames"), "f.cc_r", (F.col("f.k") / hz).alias("peak_lag_s"), F.col("f.r").alias("cc_r_peak"),
         *_shared(F.col("n"), F.col("k"), min_frames),
     )
-    return _table(turns.join(told, key, "left"))
+    return _table(_beside(turns, told))
 
 
 def sync_turns(turns: DataFrame, cc: DataFrame, ss: DataFrame) -> DataFrame:
